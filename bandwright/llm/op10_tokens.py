@@ -31,11 +31,12 @@ from tokenizers import Tokenizer
 
 # The pre-token pattern of the public byte-level BPE, with white
 # space written out so that every regex library agrees on it.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = "".join(regex.escape(chr(c), special_only=False) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 SAMPLE_ROWS = 2_000
+SAMPLE_BYTES = 50_000
 TABLE_ENTRIES = 50_000
 
 
@@ -87,24 +88,16 @@ _worker: dict[tuple, Lengths] = {}
 
 
 def frequent_pretokens(df: DataFrame, text: str, path: str, rows: int, entries: int) -> tuple[bytes, np.ndarray]:
-    """The commonest pre-tokens of at most ``rows`` texts with their lengths.
+    """The commonest pre-tokens of at most ``rows`` texts of up to SAMPLE_BYTES each, with their lengths.
 
-    A stated, bounded sample: it decides which lookups are fast, never a count.
-    The workers count; the driver gets at most ``entries`` of them a task.
+    A stated, bounded sample, read from as few partitions as hold it: it
+    decides which lookups are fast, never a count.
     """
     find = regex.compile(PATTERN).findall
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                seen.update(find(value))
-        top = [(p, n) for p, n in seen.most_common(entries) if "\0" not in p and len(p) <= 64]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    sample = df.select(F.col(text).alias("t")).where("t is not null").limit(rows)
-    top = sample.mapInArrow(tally, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries)
-    pieces = sorted(r[0] for r in top.collect())
+    seen: Counter = Counter()
+    for row in df.select(F.col(text).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES).take(rows):
+        seen.update(find(row.t))
+    pieces = sorted(p for p, _ in seen.most_common(entries) if "\0" not in p and len(p) <= 64)
     coded = Tokenizer.from_file(path).encode_batch(pieces, add_special_tokens=False)
     return "\0".join(pieces).encode(), np.array([len(c.ids) for c in coded], np.uint16)
 

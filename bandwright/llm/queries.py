@@ -11,6 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op7_quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op9_neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,7 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_token_counts,)}
+    return {f.__name__: f for f in (op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
