@@ -11,6 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op2_secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op5_mix import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op7_quality import quality
 
@@ -32,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_secret_scan, op5_source_mix, op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,3 +1,78 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from bandwright.llm import op2_secrets, op5_mix
+
+
+def _secrets() -> str:
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(op2_secrets.RULES):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"""
+    SELECT doc_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+             'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0),
+             'size': length(hits[i]), 'own': length(owns[i])}})) AS s, {rank} AS rank, '{kind}' AS kind, {least} AS least
+    FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {group}) AS owns, string_split_regex(t, {p}) AS gaps FROM d)"""
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+spans AS (SELECT doc_id, rank, kind, CAST(s.start AS BIGINT) AS a, kind || ':' || CAST(CAST(s.start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(s.start + s.size AS BIGINT) AS VARCHAR) AS label
+          FROM found WHERE s.own >= least),
+per AS (SELECT doc_id,
+          count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+          coalesce(string_agg(label, ',' ORDER BY a, rank) FILTER (WHERE rank < {op2_secrets.BASE_KINDS}), '') AS base,
+          string_agg(label, ',' ORDER BY a, rank) AS spans
+        FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (doc_id)"""
+
+
+def _mod(x: str, n: str | int) -> str:
+    return f"((({x}) % {n} + {n}) % {n})"
+
+
+def _hash(x: str, a: int, b: int, c: int) -> str:
+    p = op5_mix.PRIME
+    y = _mod(x, p)
+    return f"(((({y} * {y}) % {p}) * {a} % {p} + ({y} * {b}) % {p} + {c}) % {p})"
+
+
+def _permuted(x: str, n: str, source: str, turn: str, inverse: bool = False) -> str:
+    key = f"({_hash(f'{source} * 7919 + {turn} * 104729 + r * 1299709', 40692, 52774, 29)} % {n})"
+    other = _mod(f"{key} - x", n)
+    bit = f"{_hash(f'greatest(x, {other}) + r * 15485863', 45991, 22695, 17)} >= {op5_mix.PRIME // 2}"
+    rounds = ", ".join(f"{r}::BIGINT" for r in (reversed(range(op5_mix.ROUNDS)) if inverse else range(op5_mix.ROUNDS)))
+    return f"list_reduce([{rounds}], lambda x, r: CASE WHEN {bit} THEN {other} ELSE x END, ({x})::BIGINT)"
+
+
+def _mix() -> str:
+    b, p, k = op5_mix.BLOCK, op5_mix.PRIME, op5_mix.REPEATS
+    some = f"((rest + {b - 1}) // {b})"
+    return f"""
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{op5_mix.WORD}')), 0) AS BIGINT) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (SELECT *, [{", ".join(map(str, op5_mix.WEIGHTS))}][rank % {len(op5_mix.WEIGHTS)} + 1] AS weight FROM sums),
+levels AS (SELECT *, (sum(source_size) OVER () * {op5_mix.SHARE}::DOUBLE - coalesce(sum(source_size * {k}) OVER (ORDER BY source_size * {k} / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+           / (sum(weight) OVER (ORDER BY source_size * {k} / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM weighed),
+sources AS (SELECT source, rank, source_size, least((source_size * {k})::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+plan0 AS (SELECT *, (source_size + {b - 1}) // {b} AS n, (source_size - 1) % {b} + 1 AS last, least(CAST(floor(target + 0.5) AS BIGINT), {k} * source_size) AS words FROM sources WHERE source_size > 0),
+plan1 AS (SELECT *, words // source_size AS passes, words % source_size AS rest FROM plan0),
+plan2 AS (SELECT *, {_permuted("n - 1", "n", "rank", "passes", True)} AS short_at FROM plan1),
+plan AS (SELECT *, passes * n + CASE WHEN short_at >= {some} THEN {some} ELSE (rest + {b} - last + {b - 1}) // {b} END AS slots FROM plan2),
+seats AS (SELECT *, j // n AS turn, j % n AS q FROM (SELECT *, unnest(range(slots)) AS j FROM plan)),
+seated AS (SELECT rank, n, last, passes, rest, short_at, turn, q, {_permuted("q", "n", "rank", "turn")} AS block FROM seats),
+slots AS (SELECT rank, block, CASE WHEN turn < passes THEN full_words ELSE least(full_words, rest - (q * {b} - CASE WHEN q > short_at THEN {b} - last ELSE 0 END)) END AS words
+          FROM (SELECT *, CASE WHEN block = n - 1 THEN last ELSE {b} END AS full_words FROM seated)),
+placed AS (SELECT d.doc_id, d.size, s.rank, s.source_size, s.target, {_hash("coalesce(doc_id, -1)", *op5_mix.ORDER_KEY)} AS k FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+streams AS (SELECT *, row_number() OVER () AS id, CAST(coalesce(sum(size) OVER (PARTITION BY rank ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM placed),
+pieces AS (SELECT id, rank, block, greatest(start - block * {b}, 0) AS low, least(start + size - block * {b}, {b}) AS high
+           FROM (SELECT *, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM streams WHERE size > 0)),
+took AS (SELECT id, CAST(sum(greatest(least(words, high) - low, 0)) AS BIGINT) AS taken FROM pieces JOIN slots USING (rank, block) GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM streams LEFT JOIN took USING (id)"""
+
+
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op5_source_mix": _mix()}
