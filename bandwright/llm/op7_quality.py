@@ -56,7 +56,6 @@ def _classes() -> np.ndarray:
 
 CLASS_OF = _classes()
 IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
-TRIM = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()", np.uint8))
 START_BYTE = (np.arange(256) & 0xC0) != 0x80
 
 
@@ -107,11 +106,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = ts.hash_ranges(texts.data, starts, ends)
             inside = ~ts.IS_SPACE[texts.data]
             data = texts.data
-            low, high = starts.copy(), ends.copy()
-            for _ in range(2):
-                high -= (high > low) & TRIM[data[np.maximum(high - 1, 0)]]
-                low += (low < high) & TRIM[data[np.minimum(low, len(data) - 1)]] if len(data) else 0
-            bare = ts.hash_ranges(ts.LOWER[data], low, high)
+            bare, _ = ts.bare_hashes(ts.Texts(data, texts.offsets, lower=True))
             at = np.minimum(np.searchsorted(sorted_hashes, bare), len(WORDS) - 1)
             bins = np.where(sorted_hashes[at] == bare, rank[at], len(WORDS))
             owner = ts.spans_of(first)

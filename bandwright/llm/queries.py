@@ -17,12 +17,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op3_language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op5_mix import mixed
 
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op6_decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op7_quality import quality
 
@@ -44,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op5_source_mix, op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op5_source_mix, op6_decontaminate, op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -118,3 +118,24 @@ def slices(column: pa.Array, lower: bool = False, size: int = SLICE_BYTES) -> It
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end, Texts(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower)
         row = end
+
+
+TRIMMED = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()", np.uint8))
+
+
+def bare_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words without up to two punctuation marks at either end, first word of each text)."""
+    starts, ends, first = texts.words()
+    low, high = starts.copy(), ends.copy()
+    for _ in range(2 if len(starts) else 0):
+        high -= (high > low) & TRIMMED[texts.data[np.maximum(high - 1, 0)]]
+        low += (low < high) & TRIMMED[texts.data[np.minimum(low, len(texts.data) - 1)]]
+    return hash_ranges(texts.data, low, high), first
+
+
+def bare_words(values: list[str]) -> list[np.ndarray]:
+    """The bare word hashes of each of some strings, ASCII letters lower-cased."""
+    raw = [v.encode() for v in values]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    hashes, first = bare_hashes(Texts(np.frombuffer(b"".join(raw), np.uint8), offsets, lower=True))
+    return [hashes[first[i] : first[i + 1]] for i in range(len(values))]
