@@ -10,12 +10,13 @@ overlapping the next) is a query that retrieves all parts scoring at least
 ``THRESHOLD``. The sum of the terms' largest impacts, which is the bound WAND
 starts from, is computed for a whole batch of passages at once; those that
 reach the threshold go through block-max WAND. A retrieved part is then
-verified: five-word shingles of its question (its leading words) and of its
-answer (its last quarter) must both be found around the passage.
+verified: half of the five-word shingles of its question (its leading words)
+and half of the three-word shingles of its answer (its last quarter, five
+words at least) must be found around the passage.
 
 The index is sent to the workers only up to a measured size (``INDEX_BYTES``
-of item text); a larger benchmark is searched in several indexes, one scan
-each.
+of item text); a larger benchmark is split by item into several indexes that
+the rows pass one after the other.
 
 Defined results: a null or empty text is clean; items that are null or shorter
 than ``MIN_ITEM_WORDS`` words prove no leak and are not searched; repeated
@@ -26,7 +27,6 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +41,17 @@ MIN_ITEM_WORDS = 8
 THRESHOLD = 0.5
 OVERLAP = 0.5
 SHINGLE = 5
+ANSWER_SHINGLE = 3
+ANSWER_WORDS = 5
 K1, B = 1.2, 0.75
 POSTINGS_BLOCK = 16
 INDEX_BYTES = 32 << 20
 
 
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """Hashes of the five-word shingles of a word sequence; of the whole sequence if it is shorter."""
-    n = max(1, len(words) - SHINGLE + 1)
-    starts = np.arange(n)
-    return np.unique(ts.hash_ranges(words, starts, np.minimum(starts + SHINGLE, len(words))))
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles of a word sequence; of the whole sequence if it is shorter."""
+    starts = np.arange(max(1, len(words) - width + 1))
+    return np.unique(ts.hash_ranges(words, starts, np.minimum(starts + width, len(words))))
 
 
 class Index:
@@ -67,8 +68,9 @@ class Index:
             for part in np.array_split(words, n):
                 self.items.append(item)
                 parts.append(part)
-        self.questions = [shingle_set(p[: len(p) - max(1, len(p) // 4)]) for p in parts]
-        self.answers = [shingle_set(p[-max(1, len(p) // 4) :]) for p in parts]
+        cuts = [max(0, len(p) - max(ANSWER_WORDS, len(p) // 4)) for p in parts]
+        self.questions = [shingle_set(p[:c], SHINGLE) if c else shingle_set(p, SHINGLE) for p, c in zip(parts, cuts, strict=True)]
+        self.answers = [shingle_set(p[c:], ANSWER_SHINGLE) for p, c in zip(parts, cuts, strict=True)]
         self.terms = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         counted = [np.unique(np.searchsorted(self.terms, p), return_counts=True) for p in parts]
@@ -150,21 +152,21 @@ class Index:
                 continue
             text = int(np.searchsorted(base, p, "right")) - 1
             start = int(first[text]) + (p - int(base[text])) * half
-            around = shingle_sets_of(words[max(int(first[text]), start - half) : min(int(first[text + 1]), start + PASSAGE_WORDS + half)])
+            around = runs_of(words[max(int(first[text]), start - half) : min(int(first[text + 1]), start + PASSAGE_WORDS + half)])
             for part, score in hits:
                 if self.covered(self.questions[part], around) and self.covered(self.answers[part], around):
                     found.append((text, self.items[part], score))
         return found
 
     @staticmethod
-    def covered(wanted: np.ndarray, around: dict[int, np.ndarray]) -> bool:
-        return bool(np.isin(wanted, around["all"]).mean() >= OVERLAP)
+    def covered(wanted: np.ndarray, around: np.ndarray) -> bool:
+        return bool(np.isin(wanted, around).mean() >= OVERLAP)
 
 
-def shingle_sets_of(words: np.ndarray) -> dict[str, np.ndarray]:
-    """Hashes of all runs of up to five words, so that short answers are found too."""
+def runs_of(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of one to SHINGLE words."""
     starts = np.arange(len(words))
-    return {"all": np.concatenate([ts.hash_ranges(words, starts[: max(0, len(words) - n + 1)], starts[: max(0, len(words) - n + 1)] + n) for n in range(1, SHINGLE + 1)])}
+    return np.concatenate([ts.hash_ranges(words, starts[: max(0, len(words) - n + 1)], starts[: max(0, len(words) - n + 1)] + n) for n in range(1, SHINGLE + 1)])
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -172,30 +174,24 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // index_bytes))
-    source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    kind = dict(source.dtypes)["id"]
-
-    def one(k: int) -> DataFrame:
+    kind = dict(df.dtypes)[id_col]
+    hit = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64())]))
+    found = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.array().cast("array<struct<item: bigint, score: double>>").alias("hits"))
+    for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k) if shards > 1 else items
         sent = df.sparkSession.sparkContext.broadcast(Index([(r.item, r.text) for r in part.toLocalIterator()]))
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent: object = sent, last: bool = k == shards - 1) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
                 for a, b, texts in ts.slices(batch.column(1), lower=True):
-                    words, first = ts.bare_hashes(texts)
-                    leaks: list[dict[int, float]] = [{} for _ in range(texts.n)]
+                    words, first = ts.bare_hashes(texts, ts.TRIMMED_SYMBOLS, 6)
+                    leaks = [{h["item"]: h["score"] for h in row} for row in batch.column(2).slice(a, b - a).to_pylist()]
                     for t, item, score in index.leaks(words, first):
-                        leaks[t][item] = max(score, leaks[t].get(item, 0.0))
-                    found = [[{"item": i, "score": round(s, 6)} for i, s in sorted(x.items())] for x in leaks]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64())])))], ["id", "hits"])
-
-        return source.mapInArrow(search, f"id {kind}, hits array<struct<item: bigint, score: double>>")
+                        leaks[t][item] = max(round(score, 6), leaks[t].get(item, 0.0))
+                    hits = pa.array([[{"item": i, "score": s} for i, s in sorted(x.items())] for x in leaks], hit)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.nulls(b - a, pa.string()) if last else batch.column(1).slice(a, b - a), hits], ["id", "text", "hits"])
 
-    if shards == 1:
-        found = one(0)
-    else:  # the same rows once an index: each row's copies meet by id and text digest
-        rows = [one(k).withColumn("k", F.lit(k)) for k in range(shards)]
-        found = reduce(DataFrame.unionByName, rows).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+        found = found.mapInArrow(search, f"id {kind}, text string, hits array<struct<item: bigint, score: double>>")
     ids = F.array_distinct(F.transform("hits", lambda h: h["item"]))
     return found.select(F.col("id").alias(id_col), (F.size("hits") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("best_score"))

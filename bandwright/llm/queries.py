@@ -23,6 +23,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op4_lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "dropped", "text")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op5_mix import mixed
 
@@ -56,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op5_source_mix, op6_decontaminate, op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_line_dedup, op5_source_mix, op6_decontaminate, op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

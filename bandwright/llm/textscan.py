@@ -46,14 +46,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[s:e] for each range; equal sequences, equal hashes."""
-    up, down = powers(len(values) + 1)
+def prefix_hashes(values: np.ndarray) -> np.ndarray:
+    """What ``hash_between`` needs of values, for many ranges of the same values."""
+    up, _ = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
+    return total
+
+
+def hash_between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of values[s:e] for each range; equal sequences, equal hashes."""
+    _, down = powers(len(total))
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hash_between(prefix_hashes(values), starts, ends)
+
+
 class Texts:
     """Some texts as bytes, with their words and lines on demand."""
 
@@ -121,21 +131,22 @@ def slices(column: pa.Array, lower: bool = False, size: int = SLICE_BYTES) -> It
 
 
 TRIMMED = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()", np.uint8))
+TRIMMED_SYMBOLS = TRIMMED | np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>[]{}_", np.uint8))
 
 
-def bare_hashes(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words without up to two punctuation marks at either end, first word of each text)."""
+def bare_hashes(texts: Texts, marks: np.ndarray = TRIMMED, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words without up to ``most`` marks at either end, first word of each text)."""
     starts, ends, first = texts.words()
     low, high = starts.copy(), ends.copy()
-    for _ in range(2 if len(starts) else 0):
-        high -= (high > low) & TRIMMED[texts.data[np.maximum(high - 1, 0)]]
-        low += (low < high) & TRIMMED[texts.data[np.minimum(low, len(texts.data) - 1)]]
+    for _ in range(most if len(starts) else 0):
+        high -= (high > low) & marks[texts.data[np.maximum(high - 1, 0)]]
+        low += (low < high) & marks[texts.data[np.minimum(low, len(texts.data) - 1)]]
     return hash_ranges(texts.data, low, high), first
 
 
 def bare_words(values: list[str]) -> list[np.ndarray]:
-    """The bare word hashes of each of some strings, ASCII letters lower-cased."""
+    """The bare word hashes of each of some strings, ASCII letters lower-cased, marks and symbols off."""
     raw = [v.encode() for v in values]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    hashes, first = bare_hashes(Texts(np.frombuffer(b"".join(raw), np.uint8), offsets, lower=True))
+    hashes, first = bare_hashes(Texts(np.frombuffer(b"".join(raw), np.uint8), offsets, lower=True), TRIMMED_SYMBOLS, 6)
     return [hashes[first[i] : first[i + 1]] for i in range(len(values))]
