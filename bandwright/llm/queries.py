@@ -47,6 +47,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op8_html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op9_neardup import near_duplicates
 
@@ -62,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_line_dedup, op5_source_mix, op6_decontaminate, op7_quality_rules, op9_minhash_neardup, op10_token_counts)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_line_dedup, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
