@@ -240,3 +240,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", thres
     rebuilt = joined.withColumn("_gone", gone).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     rebuilt = rebuilt.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines"))).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(stay))
     return rebuilt.withColumn("n_dropped", F.coalesce(F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")), F.lit(0)).cast("long")).drop("_gone")
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", chars: str | None = "n_chars", **options: object) -> DataFrame:
+    """``df`` with the deduplicated texts; rows that lost every line go, and ``chars`` counts the new text."""
+    done = dedup_lines(df, id_col, text, **options).where(~((F.col("n_dropped") > 0) & (F.length(F.trim(F.col(text))) == 0)))
+    if chars in df.columns:
+        done = done.withColumn(chars, F.when(F.col("n_dropped") > 0, F.length(text)).otherwise(F.col(chars)).cast(df.schema[chars].dataType))
+    return done.select(*df.columns)

@@ -169,29 +169,45 @@ def runs_of(words: np.ndarray) -> np.ndarray:
     return np.concatenate([ts.hash_ranges(words, starts[: max(0, len(words) - n + 1)], starts[: max(0, len(words) - n + 1)] + n) for n in range(1, SHINGLE + 1)])
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(id, contaminated, n_items, items, best_score) for every row; items are the leaked item ids in order."""
+HITS = "array<struct<item: bigint, score: double>>"
+
+
+def with_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``df`` and a last column ``_hits``: (item, best score) of every leak, by item."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // index_bytes))
-    kind = dict(df.dtypes)[id_col]
     hit = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64())]))
-    found = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.array().cast("array<struct<item: bigint, score: double>>").alias("hits"))
+    at = df.columns.index(text)
+    found = df.withColumn("_hits", F.array().cast(HITS))
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k) if shards > 1 else items
         sent = df.sparkSession.sparkContext.broadcast(Index([(r.item, r.text) for r in part.toLocalIterator()]))
 
-        def search(batches: Iterator[pa.RecordBatch], sent: object = sent, last: bool = k == shards - 1) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for a, b, texts in ts.slices(batch.column(1), lower=True):
+                for a, b, texts in ts.slices(batch.column(at), lower=True):
+                    rows = batch.slice(a, b - a)
                     words, first = ts.bare_hashes(texts, ts.TRIMMED_SYMBOLS, 6)
-                    leaks = [{h["item"]: h["score"] for h in row} for row in batch.column(2).slice(a, b - a).to_pylist()]
+                    leaks = [{h["item"]: h["score"] for h in row} for row in rows.column(rows.num_columns - 1).to_pylist()]
                     for t, item, score in index.leaks(words, first):
                         leaks[t][item] = max(round(score, 6), leaks[t].get(item, 0.0))
                     hits = pa.array([[{"item": i, "score": s} for i, s in sorted(x.items())] for x in leaks], hit)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.nulls(b - a, pa.string()) if last else batch.column(1).slice(a, b - a), hits], ["id", "text", "hits"])
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], hits], rows.schema.names)
+
+        found = found.mapInArrow(search, found.schema)
+    return found
+
+
+def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
+    """(id, contaminated, n_items, items, best_score) for every row; items are the leaked item ids in order."""
+    found = with_hits(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), benchmark, "text", **options)
+    ids = F.transform("_hits", lambda h: h["item"])
+    best = F.coalesce(F.array_max(F.transform("_hits", lambda h: h["score"])), F.lit(0.0))
+    return found.select(F.col("id").alias(id_col), (F.size("_hits") > 0).alias("contaminated"), F.size("_hits").cast("long").alias("n_items"), ids.alias("items"), best.alias("best_score"))
+
 
-        found = found.mapInArrow(search, f"id {kind}, text string, hits array<struct<item: bigint, score: double>>")
-    ids = F.array_distinct(F.transform("hits", lambda h: h["item"]))
-    return found.select(F.col("id").alias(id_col), (F.size("hits") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("best_score"))
+def remove_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
+    """The rows of ``df`` without a leak, with all their columns."""
+    return with_hits(df, benchmark, text, **options).where(F.size("_hits") == 0).drop("_hits")

@@ -146,35 +146,69 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1))
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(id, counts, base_failed, char_distance, word_distance, kept) for every row."""
+def verdicts(chars: np.ndarray, words: np.ndarray, known: dict[str, tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(character distance, word distance) of each row of histograms from the nearest reference; 0 where too short to judge."""
+    refs = [(np.array(c, float), np.array(w, float)) for c, w in known.values()]
+    far = [np.min([distance(x, r[i]) for r in refs], axis=0) if refs and len(x) else np.zeros(len(x)) for i, x in ((0, chars), (1, words))]
+    far[0][chars.sum(axis=1) < MIN_CHARS_JSD] = 0
+    far[1][words.sum(axis=1) < MIN_WORDS_JSD] = 0
+    return np.round(far[0], 6), np.round(far[1], 6)
+
+
+def _histograms(batch: pa.RecordBatch, chars: int, commons: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array(batch.column(i).flatten(), float).reshape(batch.num_rows, k) for i, k in ((chars, len(CLASSES)), (commons, len(WORDS) + 1)))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _measured(df: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     source = df.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     kind = dict(source.dtypes)["id"]
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    measured = written(
-        source.mapInArrow(measure, f"id {kind}, lang string, {', '.join(f'{c} long' for c in counts)}, chars array<int>, commons array<int>"),
-        "quality",
-    )
+    return written(source.mapInArrow(measure, f"id {kind}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, chars array<int>, commons array<int>"), "quality")
+
+
+def quality(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(id, counts, base_failed, kept, char_distance, word_distance) for every row."""
+    measured = _measured(df, id_col, text, lang)
     known = references(measured)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = [(np.array(c, float), np.array(w, float)) for c, w in known.values()]
         for batch in batches:
-            n = batch.num_rows
-            chars, words = (np.array(batch.column(i).values, float)[: n * k].reshape(n, k) if n else np.zeros((0, k)) for i, k in ((1, len(CLASSES)), (2, len(WORDS) + 1)))
-            far = [np.min([distance(x, r[i]) for r in refs], axis=0) if refs and n else np.zeros(n) for i, x in ((0, chars), (1, words))]
-            far[0][chars.sum(axis=1) < MIN_CHARS_JSD] = 0
-            far[1][words.sum(axis=1) < MIN_WORDS_JSD] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.round(far, 6))], ["row", "char_distance", "word_distance"])
-
-    row = F.struct("id", *counts).alias("row")
-    shape = f"row struct<id: {kind}, {', '.join(f'{c}: bigint' for c in counts)}>"
-    judged = measured.select(row, "chars", "commons").mapInArrow(judge, f"{shape}, char_distance double, word_distance double")
+            far = verdicts(*_histograms(batch, 1, 2), known)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, far)], ["row", "char_distance", "word_distance"])
+
+    kind = dict(measured.dtypes)["id"]
+    shape = f"row struct<id: {kind}, {', '.join(f'{c}: bigint' for c in COUNTS)}>"
+    judged = measured.select(F.struct("id", *COUNTS).alias("row"), "chars", "commons").mapInArrow(judge, f"{shape}, char_distance double, word_distance double")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT)
     return (
         judged.select("row.*", "char_distance", "word_distance")
         .withColumnRenamed("id", id_col)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= MAX_CHAR_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE))
-        .select(id_col, *counts, "base_failed", "kept", "char_distance", "word_distance")
+        .select(id_col, *COUNTS, "base_failed", "kept", "char_distance", "word_distance")
     )
+
+
+def keep_good(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``df`` that ``quality`` keeps, with all their columns.
+
+    The texts are measured again beside their rows, which costs a second scan
+    and spares every shuffle of texts and every match by id.
+    """
+    known = references(_measured(df, text, text, lang).drop("id"))
+    at = df.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nothing = pa.nulls(batch.num_rows, pa.string())
+            done = 0
+            for part in measure(iter([pa.RecordBatch.from_arrays([nothing, nothing, batch.column(at)], ["id", "lang", "text"])])):
+                words, repeated = (np.array(part.column(i)) for i in (2, 6))
+                far = verdicts(*_histograms(part, 7, 8), known)
+                good = (words >= MIN_WORDS) & (repeated * 100 <= words * MAX_REPEATED_PERCENT) & (far[0] <= MAX_CHAR_DISTANCE) & (far[1] <= MAX_WORD_DISTANCE)
+                yield batch.slice(done, part.num_rows).filter(pa.array(good))
+                done += part.num_rows
+
+    return df.mapInArrow(keep, df.schema)

@@ -9,11 +9,13 @@ equal coordinates estimate the Jaccard similarity with concentration bounds.
 Texts with the same word sequence form a class and are sketched once. Classes
 that share a band are candidates. They are verified on their full shingle sets
 in two steps that together cover every candidate pair but those that one
-component already holds: each class against the smallest class of each of its
-buckets; then, in buckets that still hold several components, every class
-outside the largest of them against all classes of other components. So a
-group of n near copies costs about n comparisons and not n * n, and no link
-between components is lost. With 32 bands of 5, a pair at 0.8 is no candidate
+component already holds: each class against the most central class of each of
+its buckets (the one whose buckets are largest in sum); then, in buckets that
+still hold several components, every class outside the largest of them against
+all classes of other components. In the second step a pair is left out when its
+sets cannot overlap enough, as too many of one's shingles are in no other set
+of those buckets. So a group of n near copies costs about n comparisons and
+not n * n, and no link between components is lost. With 32 bands of 5, a pair at 0.8 is no candidate
 with probability 3e-6.
 
 Defined results: a text without words has an empty set, its own component and
@@ -138,8 +140,10 @@ def near_duplicates(
     classes = written(docs.where("key is not null").groupBy("key").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
 
     banded = classes.select("key", "n", F.explode("bands").alias("h"))
-    hubs = banded.groupBy("h").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = written(banded.join(hubs.select("h", "hub"), "h"), "members")
+    sizes = banded.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(banded.join(sizes, "h"), "members")
+    central = members.groupBy("key").agg(F.sum("size").alias("score"))
+    hubs = members.join(central, "key").groupBy("h").agg(F.max(F.struct("score", "key", "n")).alias("hub"))
 
     wanted = members.select("key").distinct().join(classes, "key").select(F.col("doc").alias("wanted"))
     wanted = written(wanted.distinct(), "wanted")
@@ -155,7 +159,7 @@ def near_duplicates(
         shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
         return shared.where(f"100 * shared >= {percent} * (total - shared)").select("a", "b")
 
-    tried = written(members.where(close("n", "hub.n")).where("key <> hub.key").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct(), "tried")
+    tried = written(members.join(hubs, "h").where(close("n", "hub.n")).where("key <> hub.key").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct(), "tried")
     first = written(verified(tried), "first")
     labels = components(first, "a", "b").select(F.col("node").alias("key"), "label")
 
@@ -163,9 +167,13 @@ def near_duplicates(
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("h", F.col("most.label").alias("most"))
     mixed = labelled.join(mixed, "h")
-    left = mixed.where("label <> most").select("h", F.col("key").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    right = mixed.select("h", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), "most")
-    rest = left.join(right, "h").where("al <> bl and (bl = most or a < b)").where(close("an", "bn"))
+    spread = sets.join(mixed.select("key").distinct(), "key").select("key", F.explode("shingles").alias("g"))
+    alone = spread.groupBy("g").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    mixed = written(mixed.join(alone, "key", "left").withColumn("common", F.expr("n - coalesce(alone, 0)")), "mixed")
+    left = mixed.where("label <> most").select("h", F.col("key").alias("a"), F.col("n").alias("an"), F.col("common").alias("ac"), F.col("label").alias("al"))
+    right = mixed.select("h", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bc"), F.col("label").alias("bl"), "most")
+    enough = F.expr(f"{100 + percent} * least(ac, bc) >= {percent} * (an + bn)")
+    rest = left.join(right, "h").where("al <> bl and (bl = most or a < b)").where(enough)
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     second = verified(rest)
@@ -177,3 +185,12 @@ def near_duplicates(
     of_class = classes.select("key", "doc").join(least, "key", "left").select("key", F.coalesce("component", "doc").alias("component"))
     found = docs.select("id", "key", "n").join(of_class, "key", "left").select("id", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS, **options: object) -> DataFrame:
+    """The rows of ``df`` that near_duplicates keeps, with all their columns."""
+    gone = near_duplicates(df, id_col, text, broadcast_ids=broadcast_ids, **options).where(~F.col("kept") & F.col(id_col).isNotNull())
+    gone = written(gone.select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    if gone.count() <= broadcast_ids:
+        gone = F.broadcast(gone)
+    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SURROGATE_KEY = "bandwright-1"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op1_surrogates import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op2_secrets import secrets
 
@@ -68,7 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_line_dedup, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_secret_scan, op3_language_id, op4_line_dedup, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
