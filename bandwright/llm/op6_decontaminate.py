@@ -2,15 +2,15 @@
 
 The test items are cut into parts of at most ``PART_WORDS`` words, the units
 of an inverted index whose impacts are BM25 weights divided by the part's own
-score, so a score is the share of the part that a passage covers. Postings are
-in blocks with their largest impact.
+score, so a score is the share of the part that a passage covers. The parts are
+in blocks, and each term has its largest impact in each block.
 
 Every passage of every text (windows of ``PASSAGE_WORDS`` words, each half
 overlapping the next) is a query that retrieves all parts scoring at least
-``THRESHOLD``. The sum of the terms' largest impacts, which is the bound WAND
-starts from, is computed for a whole batch of passages at once; those that
-reach the threshold go through block-max WAND. A retrieved part is then
-verified: half of the five-word shingles of its question (its leading words)
+``THRESHOLD``. The block-max bounds, sums of the terms' largest impacts in a
+block, are computed for all passages and blocks of a batch at once; a block
+that reaches the threshold is searched by WAND, with its own largest impacts as
+the terms' bounds. A retrieved part is then verified: half of the five-word shingles of its question (its leading words)
 and half of the three-word shingles of its answer (its last quarter, five
 words at least) must be found around the passage.
 
@@ -26,7 +26,9 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,9 @@ SHINGLE = 5
 ANSWER_SHINGLE = 3
 ANSWER_WORDS = 5
 K1, B = 1.2, 0.75
-POSTINGS_BLOCK = 16
+GRID_BLOCKS = 64
 INDEX_BYTES = 32 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -81,8 +84,11 @@ class Index:
             impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(parts[d]) / mean))
             for term, share in zip(t.tolist(), (impact / impact.sum()).tolist(), strict=True):
                 self.postings[term].append((d, share))
-        self.largest = np.array([max((w for _, w in p), default=0.0) for p in self.postings])
-        self.blocks = [[(p[min(i + POSTINGS_BLOCK, len(p)) - 1][0], max(w for _, w in p[i : i + POSTINGS_BLOCK])) for i in range(0, len(p), POSTINGS_BLOCK)] for p in self.postings]
+        self.starts = np.linspace(0, len(parts), min(GRID_BLOCKS, len(parts)) + 1).astype(int)
+        self.grid = np.zeros((len(self.terms), max(1, len(self.starts) - 1)), np.float32)
+        for term, posting in enumerate(self.postings):
+            blocks = np.searchsorted(self.starts, [d for d, _ in posting], "right") - 1
+            np.maximum.at(self.grid[term], blocks, np.array([w for _, w in posting], np.float32))
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         """The term of each word, or -1."""
@@ -91,45 +97,40 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         return np.where(self.terms[at] == words, at, -1)
 
-    def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All (part, score) with a score of at least the threshold, by block-max WAND over distinct terms."""
-        done = len(self.items)
-        bound = threshold - 1e-9
-        lists = [[self.postings[t], 0, self.blocks[t], 0, float(self.largest[t])] for t in terms if self.postings[t]]
-        here = lambda c: c[0][c[1]][0] if c[1] < len(c[0]) else done
+    def search(self, terms: list[int], block: int, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
+        """All (part, score) of one block of parts that score at least the threshold, by WAND over distinct terms."""
+        first, end = int(self.starts[block]), int(self.starts[block + 1])
+        bound = threshold - 1e-6
+        lists = []
+        for t in terms:
+            largest = float(self.grid[t, block])
+            if largest > 0:
+                posting = self.postings[t]
+                at = bisect_left(posting, (first,))
+                lists.append([posting[at][0], at, posting, largest])
         found = []
         while True:
-            lists = sorted((c for c in lists if c[1] < len(c[0])), key=here)
+            lists.sort(key=itemgetter(0))
             total, pivot = 0.0, -1
             for i, c in enumerate(lists):
-                total += c[4]
+                total += c[3]
                 if total >= bound:
                     pivot = i
                     break
-            if pivot < 0:
+            if pivot < 0 or lists[pivot][0] >= end:
                 return found
-            part = here(lists[pivot])
-            while pivot + 1 < len(lists) and here(lists[pivot + 1]) == part:
-                pivot += 1
-            limit, ends = 0.0, done
-            for c in lists[: pivot + 1]:
-                while c[3] < len(c[2]) and c[2][c[3]][0] < part:
-                    c[3] += 1
-                if c[3] < len(c[2]):
-                    limit += c[2][c[3]][1]
-                    ends = min(ends, c[2][c[3]][0] + 1)
-            if limit < bound:
-                target = max(part + 1, min(ends, here(lists[pivot + 1]) if pivot + 1 < len(lists) else done))
-            elif here(lists[0]) == part:
-                score = sum(c[0][c[1]][1] for c in lists[: pivot + 1])
+            part = lists[pivot][0]
+            if lists[0][0] == part:
+                score = sum(c[2][c[1]][1] for c in lists if c[0] == part)
                 if score >= bound:
                     found.append((part, score))
-                target = part + 1
-            else:
-                target = part
-            for c in lists[: pivot + 1]:
-                while c[1] < len(c[0]) and c[0][c[1]][0] < target:
-                    c[1] += 1
+                part += 1
+            for c in lists:
+                if c[0] >= part:
+                    break
+                c[1] = bisect_left(c[2], (part,), c[1])
+                c[0] = c[2][c[1]][0] if c[1] < len(c[2]) else end
+            lists = [c for c in lists if c[0] < end]
 
     def leaks(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float]]:
         """(text, item, score) of every verified leak in some texts, given all their words."""
@@ -143,11 +144,15 @@ class Index:
         keys = np.concatenate([passage, passage[window > 0] - 1]) * np.int64(len(self.terms) + 1) + np.concatenate([terms[at], terms[at][window > 0]])
         keys = np.unique(keys)
         passages, distinct = keys // (len(self.terms) + 1), keys % (len(self.terms) + 1)
-        bounds = np.bincount(passages, weights=self.largest[distinct], minlength=base[-1]) if len(keys) else np.zeros(0)
+        if not len(keys):
+            return []
+        begin = np.flatnonzero(np.concatenate([[True], passages[1:] != passages[:-1]]))
+        bounds = np.add.reduceat(self.grid[distinct], begin)  # passage x block: no part of the block scores more
+        stop = np.append(begin[1:], len(keys))
         found = []
-        for p in np.flatnonzero(bounds >= THRESHOLD - 1e-9).tolist():
-            lo, hi = np.searchsorted(passages, [p, p + 1])
-            hits = self.search(distinct[lo:hi].tolist())
+        for row, block in zip(*(x.tolist() for x in np.nonzero(bounds >= THRESHOLD - 1e-4)), strict=True):
+            p = int(passages[begin[row]])
+            hits = self.search(distinct[begin[row] : stop[row]].tolist(), block)
             if not hits:
                 continue
             text = int(np.searchsorted(base, p, "right")) - 1
@@ -187,7 +192,7 @@ def with_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         def search(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for a, b, texts in ts.slices(batch.column(at), lower=True):
+                for a, b, texts in ts.slices(batch.column(at), lower=True, size=SLICE_BYTES):
                     rows = batch.slice(a, b - a)
                     words, first = ts.bare_hashes(texts, ts.TRIMMED_SYMBOLS, 6)
                     leaks = [{h["item"]: h["score"] for h in row} for row in rows.column(rows.num_columns - 1).to_pylist()]
