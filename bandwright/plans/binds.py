@@ -27,4 +27,5 @@ def arguments(sql: str, values: dict[str, object], params: tuple[Param, ...] = (
 
 def run(spark: SparkSession, sql: str, values: dict[str, object] | None = None, params: tuple[Param, ...] = (), **options: object) -> DataFrame:
     """A source statement with its binds, as a DataFrame."""
-    return spark.sql(Dialect(**options).query(sql), args=arguments(sql, values or {}, params))
+    done = Dialect(**options).query(sql)
+    return spark.sql(done, args=arguments(done, values or {}, params))
