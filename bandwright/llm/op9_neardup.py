@@ -12,9 +12,10 @@ in two steps that together cover every candidate pair but those that one
 component already holds: each class against the most central class of each of
 its buckets (the one whose buckets are largest in sum); then, in buckets that
 still hold several components, every class outside the largest of them against
-all classes of other components. In the second step a pair is left out when its
-sets cannot overlap enough, as too many of one's shingles are in no other set
-of those buckets. So a group of n near copies costs about n comparisons and
+all classes of other components. The second step uses that a shingle held by at
+most RARE of those sets is rare: two sets that would overlap enough without
+their rare shingles are compared, and so are two that share rare shingles and
+could overlap enough with these; no other pair can be linked. So a group of n near copies costs about n comparisons and
 not n * n, and no link between components is lost. With 32 bands of 5, a pair at 0.8 is no candidate
 with probability 3e-6.
 
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 
 from bandwright.llm import textscan as ts
 from bandwright.llm.graph import components
-from bandwright.llm.store import written
+from bandwright.llm.store import small_batches, written
 
 BANDS = 32
 ROWS = 5
 PERCENT = 80
+RARE = 32
 BROADCAST_IDS = 500_000
 FULL = np.uint64(ts.MASK)
 
@@ -117,6 +119,7 @@ def near_duplicates(
     candidates are broadcast only when counted and at most ``broadcast_ids``;
     beyond that they are joined by a shuffle.
     """
+    small_batches(df.sparkSession)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,21 +164,34 @@ def near_duplicates(
 
     tried = written(members.join(hubs, "h").where(close("n", "hub.n")).where("key <> hub.key").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct(), "tried")
     first = written(verified(tried), "first")
-    labels = components(first, "a", "b").select(F.col("node").alias("key"), "label")
-
-    labelled = members.select("h", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    labelled = written(labelled, "labelled")
-    mixed = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("h", F.col("most.label").alias("most"))
-    mixed = labelled.join(mixed, "h")
-    spread = sets.join(mixed.select("key").distinct(), "key").select("key", F.explode("shingles").alias("g"))
-    alone = spread.groupBy("g").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    mixed = written(mixed.join(alone, "key", "left").withColumn("common", F.expr("n - coalesce(alone, 0)")), "mixed")
-    left = mixed.where("label <> most").select("h", F.col("key").alias("a"), F.col("n").alias("an"), F.col("common").alias("ac"), F.col("label").alias("al"))
-    right = mixed.select("h", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("common").alias("bc"), F.col("label").alias("bl"), "most")
-    enough = F.expr(f"{100 + percent} * least(ac, bc) >= {percent} * (an + bn)")
-    rest = left.join(right, "h").where("al <> bl and (bl = most or a < b)").where(enough)
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    def split_buckets(links: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold several components, with the bucket's largest one."""
+        labels = components(links, "a", "b").select(F.col("node").alias("key"), "label")
+        labelled = members.select("h", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        labelled = written(labelled, "labelled")
+        most = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
+        return labelled.join(most.where("labels > 1").select("h", F.col("most.label").alias("most")), "h")
+
+    mixed = written(split_buckets(first), "mixed")
+    spread = sets.join(mixed.select("key", "n", "label").distinct(), "key").select("key", "n", "label", F.explode("shingles").alias("g"))
+    spread = written(spread, "spread")
+    few = spread.groupBy("g").agg(F.count("*").alias("c")).where(f"c <= {RARE}").select("g", "c")
+    rare = written(spread.join(few, "g"), "rare")
+    counts = rare.groupBy("key").agg(F.count("*").alias("rare"), F.count_if(F.expr("c > 1")).alias("shared"))
+    mixed = mixed.join(counts, "key", "left").withColumn("common", F.expr("n - coalesce(rare, 0)"))
+    mixed = written(mixed.join(classes.select("key", "bands"), "key"), "mixed")
+    need = lambda most: F.expr(f"{100 + percent} * ({most}) >= {percent} * (an + bn)")
+    named = lambda df, x, *cols: df.select(*cols, *(F.col(c).alias(f"{x}_{c}") for c in df.columns if c not in cols)).withColumnsRenamed({f"{x}_key": x, f"{x}_n": f"{x}n"})
+    left = named(mixed.where("label <> most").select("h", "key", "n", "common", "label", "bands"), "a", "h")
+    right = named(mixed.select("h", "key", "n", "common", "label", "bands", "most"), "b", "h")
+    once = F.col("h") == F.array_min(F.array_intersect("a_bands", "b_bands"))  # in the first bucket that they share
+    dense = left.join(right, "h").where(F.expr("a_label <> b_label and (b_label = b_most or a < b)") & need("least(a_common, b_common)") & once).select("a", "b")
+    side = rare.where("c > 1").select("key", "g").join(mixed.select("key", "n", "common", "shared", "label").distinct(), "key")
+    left, right = named(side, "a", "g"), named(side, "b", "g")
+    sharing = left.join(right, "g").where("a < b and a_label <> b_label").where(~need("least(a_common, b_common)") & need("least(a_common, b_common) + least(a_shared, b_shared)"))
+    sharing = sharing.groupBy("a", "b", "an", "bn", "a_common", "b_common").agg(F.count("*").alias("both")).where(need("least(a_common, b_common) + both")).select("a", "b")
+    rest = dense.union(sharing).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = written(rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
     second = verified(rest)
 
     final = components(first.union(second), "a", "b").select(F.col("node").alias("key"), "label")
