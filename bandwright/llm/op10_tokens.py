@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from bandwright.llm.store import small_batches
+
 # The pre-token pattern of the public byte-level BPE, with white
 # space written out so that every regex library agrees on it.
 SPACE = "".join(regex.escape(chr(c), special_only=False) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -113,6 +115,7 @@ def token_counts(
     cache_entries: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row; ``tokenizer`` is a file every worker can read."""
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     table = frequent_pretokens(df, text, tokenizer, sample_rows, table_entries) if sample_rows else (b"", np.zeros(0, np.uint16))
     sent = spark.sparkContext.broadcast(table)  # at most table_entries pre-tokens of 64 characters

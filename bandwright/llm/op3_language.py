@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm import textscan as ts
+from bandwright.llm.store import small_batches
 
 SPECTRUM = 4
 PER_LANGUAGE = 200
@@ -159,6 +160,7 @@ def sample(df: DataFrame, id_col: str, text: str, lang: str, per_language: int =
 
 def identify(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) for every row."""
+    small_batches(df.sparkSession)
     model = fit(sample(df, id_col, text, lang))
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.regexp(F.col(text), F.lit(r"\p{L}")), F.lit(False)).alias("lettered"))
     if model is None:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm import textscan as ts
+from bandwright.llm.store import small_batches
 
 PART_WORDS = 64
 PASSAGE_WORDS = 128
@@ -179,6 +180,7 @@ HITS = "array<struct<item: bigint, score: double>>"
 
 def with_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``df`` and a last column ``_hits``: (item, best score) of every leak, by item."""
+    small_batches(df.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // index_bytes))

@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, which are whole texts here; a setting of the user's stays."""
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(16 << 20))):
+        try:
+            now = spark.conf.get(key)
+        except Exception:  # this version has no such setting
+            continue
+        if now == default or default is None and int(now.rstrip("bB") or 0) > 1 << 30:
+            spark.conf.set(key, ours)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -20,7 +20,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
