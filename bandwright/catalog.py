@@ -7,14 +7,16 @@ the translator; the others call the operators.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bandwright.operators import breaks, burst, drill, links, matrix, present
-from bandwright.plans import binds, criteria, plsql
+from bandwright.plans import binds, criteria, engine, plsql, quality
 from bandwright.plans.dialect import Dialect
+from bandwright.plans.model import Formula, ReportDef, Summary
+from bandwright.sources import sql_source
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 TYPES = {"o_orderdate": "date", "l_shipdate": "date", "ts": "date", "o_totalprice": "number", "c_acctbal": "number", "l_extendedprice": "number", "l_quantity": "number", "l_discount": "number", "p_size": "number", "p_retailprice": "number"}
@@ -402,7 +404,6 @@ source("u01_minus", "SELECT n_nationkey k FROM nation MINUS SELECT s_nationkey F
 source("u03_fallback_branch", "SELECT o_orderkey k FROM orders WHERE o_orderstatus = 'none' UNION ALL SELECT -1 FROM DUAL WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'none')", "SELECT CAST(-1 AS BIGINT) AS k")
 
 # ---- scalar functions
-_S = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END"
 source("d01_nvl", "SELECT o_orderkey, NVL(NULLIF(o_orderstatus, 'P'), 'none') v FROM orders", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'none') AS v FROM orders")
 source("d02_nvl2", "SELECT o_orderkey, NVL2(NULLIF(o_orderstatus, 'P'), 'set', 'unset') v FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'set' ELSE 'unset' END AS v FROM orders")
 source("d03_coalesce", "SELECT o_orderkey, COALESCE(NULLIF(o_orderstatus, 'P'), NULLIF(o_orderpriority, '5-LOW'), 'x') v FROM orders", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), nullif(o_orderpriority, '5-LOW'), 'x') AS v FROM orders")
@@ -525,6 +526,74 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.expr(plsql.formula(body, lambda n: "'F'")).alias("line"))
 
 
+# ---- definitions and their checks
+SAMPLE = """Q_CUSTOMER
+SELECT c.c_custkey, c.c_name, NVL(c.c_mktsegment, 'none') segment FROM customer c WHERE (:P_SEGMENT IS NULL OR c.c_mktsegment = :P_SEGMENT) ORDER BY c.c_name;
+
+Q_ORDERS
+SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o, nation n WHERE o.o_custkey = :C_CUSTKEY AND n.n_nationkey(+) = 1;
+"""
+
+
+def _sample() -> ReportDef:
+    return sql_source.report("SAMPLE", sql_source.named(SAMPLE))
+
+
+source("a11_dual", "SELECT 1 one, 'x' || NULL text FROM DUAL", "SELECT 1 AS one, 'x' AS text")
+
+
+@query("a04_sql_text_source", "SELECT * FROM (VALUES ('Q_CUSTOMER', 'c_custkey,c_name,segment'), ('Q_ORDERS', 'o_orderkey,o_custkey,o_totalprice')) AS t(dataset, columns)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(d.name, ",".join(i.name for i in d.items)) for d in _sample().datasets], "dataset string, columns string")
+
+
+@query("j08_inferred_link", "SELECT 'Q_CUSTOMER' AS parent, 'Q_ORDERS' AS child, 'c_custkey=o_custkey' AS pairs")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(link.parent, link.child, ",".join(f"{a}={b}" for a, b in link.pairs)) for link in _sample().links], "parent string, child string, pairs string")
+
+
+@query("w05_master_detail_run", f"SELECT c_custkey, c_name, coalesce(c_mktsegment, 'none') AS segment, count(o_orderkey) AS n_q_orders, CAST(sum(CAST(o_totalprice AS {MONEY})) AS DOUBLE) AS spent FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2, 3")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    for t in ("customer", "orders", "nation"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    table(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast(MONEY)).createOrReplaceTempView("orders")
+    report = replace(_sample(), summaries=(Summary("spent", "o_totalprice", "sum", "report"),))
+    out = engine.run(report, spark, P_SEGMENT="BUILDING").main
+    return out.withColumn("spent", F.col("spent").cast("double"))
+
+
+@query("r14_fidelity_score", "SELECT CAST(0.8571 AS DOUBLE) AS score, 'assisted' AS tier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    score = quality.fidelity(_sample(), ["c_custkey", "c_name", "segment", "o_orderkey", "o_custkey"])
+    return spark.createDataFrame([(score, quality.effort("READY", score))], "score double, tier string")
+
+
+@query("r16_complexity", "SELECT 12 AS score")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(quality.complexity(_sample()),)], "score int")
+
+
+@query("r17_report_diff", "SELECT * FROM (VALUES ('query', 'Q_ORDERS', 'removed'), ('query', 'Q_CUSTOMER', 'changed'), ('formula', 'CF_1', 'added')) AS t(part, name, change)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    old = _sample()
+    new = replace(old, datasets=(replace(old.datasets[0], sql="SELECT 1 FROM DUAL"),), formulas=(Formula("CF_1", "begin return 1; end;"),))
+    return spark.createDataFrame(quality.diff(old, new), "part string, name string, change string")
+
+
+@query("r20_leftover_lint", "SELECT * FROM (VALUES ('source', 'NVL'), ('source', '(+)')) AS t(text, leftover)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [("source", x) for d in _sample().datasets for x in quality.lint(d.sql)]
+    rows += [("translated", x) for d in _sample().datasets for x in quality.lint(Dialect().query(d.sql))]
+    return spark.createDataFrame(rows, "text string, leftover string")
+
+
+@query("r23_preflight", "SELECT 'READY' AS verdict")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    for t in ("customer", "orders", "nation"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    return spark.createDataFrame([(quality.preflight(_sample(), spark)[0],)], "verdict string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
