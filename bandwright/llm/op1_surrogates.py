@@ -15,7 +15,9 @@ Each distinct entity of the corpus gets one surrogate that depends on the key:
 
 Collision checks: a surrogate that two entities share, or that is an entity of
 the corpus itself, is drawn again with the next attempt until none is left, so
-distinct entities stay distinct and mentions of one keep one surrogate.
+distinct entities stay distinct and mentions of one keep one surrogate. (Where
+most numbers of a length are entities, free ones run out; then all numbers of
+that length are permuted among themselves.)
 
 Only rows with entities are shuffled: they meet their surrogates by the digest
 of their text. Defined results: a null text stays null with no entities; an
@@ -48,7 +50,7 @@ SYLLABLES = {
 }
 ENDINGS = {"Latin": ("na", "nus", "ner"), "Cyrillic": ("на", "н", "ко"), "Greek": ("να", "νος", "κης")}
 ROUNDS = 16
-ATTEMPTS = 64
+ATTEMPTS = 24
 PATTERN = "|".join(p for _, p in KINDS)
 
 
@@ -69,14 +71,14 @@ def _permuted(x: str, n: str, key: str, kind: str) -> str:
 
 
 def _made_up(key: str, canon: str, script: str, ending: str) -> str:
-    """Four syllables and an ending in the script."""
+    """Four syllables, one more every fourth attempt, and an ending in the script; all syllables have two letters."""
     parts = []
     for name, syllables in SYLLABLES.items():
         pool = syllables.split()
         array = "array(" + ", ".join(f"'{s}'" for s in pool) + ")"
-        word = ", ".join(f"element_at({array}, cast({_draw(key, canon, 'attempt', str(i))} % {len(pool)} as int) + 1)" for i in range(4))
+        word = ", ".join(f"element_at({array}, cast({_draw(key, canon, 'attempt', str(i))} % {len(pool)} as int) + 1)" for i in range(10))
         ends = "array(" + ", ".join(f"'{e}'" for e in ENDINGS[name]) + ")"
-        parts.append(f"WHEN {script} = '{name}' THEN concat({word}, element_at({ends}, {ending}))")
+        parts.append(f"WHEN {script} = '{name}' THEN concat(substr(concat({word}), 1, 2 * (4 + attempt div 4)), element_at({ends}, {ending}))")
     return f"CASE {' '.join(parts)} END"
 
 
@@ -154,7 +156,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         pending = written(pending.join(chosen, ["kind", "canon"], "left_anti"), "pending")
         if pending.isEmpty():
             return done
-    raise ValueError("no free surrogates left: the key space of a kind is used up")
+    # so many numbers of a length are taken that free ones cannot be hit: permute all of that length, which keeps them distinct
+    length = F.length("canon").alias("length")
+    dense = written(pending.select("kind", length).distinct(), "dense")
+    kept = done.withColumn("length", F.length("canon")).join(dense, ["kind", "length"], "left_anti").drop("length")
+    drawn = entities.withColumn("length", F.length("canon")).join(dense, ["kind", "length"], "left_semi").drop("length")
+    return kept.union(drawn.withColumn("attempt", F.lit(ATTEMPTS)).withColumn("surrogate", F.expr(surrogate(key))).select("kind", "canon", "surrogate"))
 
 
 def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op4_lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "dropped", "text")
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places = F.transform("dropped", lambda d: F.concat_ws(":", d["line"], d["first_id"], d["first_line"]))
+    return done.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.array_join(places, ","), F.lit("")).alias("dropped"), "text")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bandwright.llm import op2_secrets, op5_mix
+from bandwright.llm import op2_secrets, op4_lines, op5_mix
 
 
 def _secrets() -> str:
@@ -75,4 +75,39 @@ took AS (SELECT id, CAST(sum(greatest(least(words, high) - low, 0)) AS BIGINT) A
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM streams LEFT JOIN took USING (id)"""
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op5_source_mix": _mix()}
+def _near_duplicates() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || chr(10) || ws[i + 1]) END) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a),
+found AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM found LEFT JOIN sizes USING (doc_id)"""
+
+
+def _lines() -> str:
+    least = op4_lines.MIN_CHARS
+    return f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS s FROM split),
+own AS (SELECT *, doc_id * 1000000 + line AS place FROM lines WHERE length(s) >= {least} AND regexp_matches(s, '[0-9A-Za-z]|[^\\x00-\\x7F]')),
+distinct_lines AS (SELECT s, min(place) AS first FROM own GROUP BY s),
+cut AS (SELECT s, first, substr(s, 1, i - 1) AS a, substr(s, i + 1) AS b FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM distinct_lines)),
+keyed AS (SELECT s, first, md5(a || chr(1) || b) AS changed, md5(a || b) AS gone FROM cut),
+near AS (SELECT x.s, y.first FROM keyed x JOIN keyed y ON x.changed = y.changed AND x.s <> y.s
+         UNION ALL SELECT x.s, y.first FROM keyed x JOIN distinct_lines y ON x.gone = md5(y.s)
+         UNION ALL SELECT y.s, x.first FROM keyed x JOIN distinct_lines y ON x.gone = md5(y.s)),
+earliest AS (SELECT s, min(first) AS place FROM (SELECT s, first FROM distinct_lines UNION ALL SELECT s, first FROM near) GROUP BY s),
+gone AS (SELECT o.doc_id, o.line, e.place FROM own o JOIN earliest e ON o.s = e.s AND e.place < o.place),
+kept AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL) AS text, count(*) AS n_lines, count(g.line) AS n_dropped,
+         string_agg(g.line || ':' || g.place // 1000000 || ':' || g.place % 1000000, ',' ORDER BY l.line) FILTER (WHERE g.line IS NOT NULL) AS dropped
+         FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op9_minhash_neardup": _near_duplicates()}

@@ -8,11 +8,15 @@ its statistics for the planner and survives the loss of any executor.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
@@ -24,7 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's default of 10,000 rows, which are whole texts here; a setting of the user's stays."""
+    """Readies a session for the text operators.
+
+    Smaller Arrow batches than Spark's default of 10,000 rows, which are whole
+    texts here (a setting of the user's stays), and this package's folder on
+    the Python workers' path where they share it with the driver.
+    """
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if PACKAGE_ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, PACKAGE_ROOT)))
     for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(16 << 20))):
         try:
             now = spark.conf.get(key)

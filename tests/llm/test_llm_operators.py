@@ -84,11 +84,15 @@ def test_surrogates(spark):
     assert other[1] != one.text
 
 
-def test_surrogates_are_distinct(spark):
-    rows = [(f"{i:03}",) for i in range(600)]
-    entities = spark.createDataFrame(rows, "canon string").select(F.lit("card").alias("kind"), "canon")
-    got = op1_surrogates.assign(entities, "k").collect()
-    assert len({r.surrogate for r in got}) == 600 if len(got) == 600 else pytest.fail("some have none")
+def test_surrogates_are_distinct(spark, monkeypatch):
+    def drawn(n):
+        entities = spark.createDataFrame([(f"{i:03}",) for i in range(n)], "canon string").select(F.lit("card").alias("kind"), "canon")
+        return [r.surrogate for r in op1_surrogates.assign(entities, "k").collect()]
+
+    few = drawn(100)
+    assert len(few) == len(set(few)) == 100 and min(few) >= "100"
+    monkeypatch.setattr(op1_surrogates, "ATTEMPTS", 2)
+    assert len(set(drawn(600))) == 600
 
 
 # ---- 2
@@ -234,7 +238,7 @@ def test_decontamination(spark):
 def test_quality_verdicts(spark):
     clean = "the quick brown fox and the lazy dog went to the river for a long swim in the cold water of spring "
     rows = [(i, f"{clean}{i} " + " ".join(f"word{i}{j}" for j in range(30)), "en") for i in range(40)]
-    junk = [(100, " ".join(f"{w}$$$%%%" for w in clean.split()) * 3, "en"), (101, (clean + "\n") * 5, "en"), (102, "few words", None)]
+    junk = [(100, " ".join(f"{w}{k}$$$%%%" for k in range(3) for w in clean.split()), "en"), (101, (clean + "\n") * 5, "en"), (102, "few words", None)]
     df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in op7_quality.quality(df).collect()}
     assert all(got[i].kept for i in range(40)) and not any(got[i].kept for i in (100, 101, 102))
