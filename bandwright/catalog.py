@@ -12,11 +12,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandwright.functions.registry import standard
 from bandwright.operators import breaks, burst, drill, links, matrix, present
 from bandwright.plans import binds, criteria, engine, plsql, quality
 from bandwright.plans.dialect import Dialect
-from bandwright.plans.model import Formula, ReportDef, Summary
-from bandwright.sources import sql_source
+from bandwright.plans.model import Dataset, Field, Formula, Group, Item, Param, ReportDef, Summary
+from bandwright.sources import sql_source, tables
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 TYPES = {"o_orderdate": "date", "l_shipdate": "date", "ts": "date", "o_totalprice": "number", "c_acctbal": "number", "l_extendedprice": "number", "l_quantity": "number", "l_discount": "number", "p_size": "number", "p_retailprice": "number"}
@@ -594,6 +595,139 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(quality.preflight(_sample(), spark)[0],)], "verdict string")
 
 
+@query("a09_stub_table", "SELECT CAST(0 AS BIGINT) AS n_rows, 'a,b' AS columns")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    df = tables.stub(spark, "not_there", ["a", "b"])
+    return df.agg(F.count("*").alias("n_rows")).withColumn("columns", F.lit(",".join(df.columns)))
+
+
+@query("a12_fuller_dataset", "SELECT 'SELECT a, b FROM t' AS chosen")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = sql_source.better(Dataset("Q", "SELECT a FROM t WHERE a IS NOT NULL"), Dataset("Q", "SELECT a, b FROM t"))
+    return spark.createDataFrame([(chosen.sql,)], "chosen string")
+
+
+@query("a13_synthetic_rows", "SELECT CAST(range + 1 AS INT) AS ID, 'NAME ' || range AS NAME FROM range(5)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.synthetic(spark, [Item("ID", "number", precision=9), Item("NAME")], 5)
+
+
+@query("p03_realias_by_name", "SELECT CAST(n_nationkey AS INT) AS nation_key, n_name FROM nation")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "nation").select("n_name", F.col("n_nationkey").alias("NATION_KEY"))
+    return tables.declared(rows, [Item("nation_key", "number", precision=9), Item("n_name")])
+
+
+@query("w04_link_decorrelation", "SELECT 'SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o LEFT JOIN nation n ON n.n_nationkey = 1 WHERE 1 = 1' AS text")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    report = _sample()
+    text = Dialect().query(engine.without_link(report.dataset("Q_ORDERS"), report))
+    return spark.createDataFrame([(text,)], "text string")
+
+
+@query("w14_lexical_without_value", "SELECT count(*) AS n, 'RED: &P_WHERE has no value, its rows are not filtered' AS note FROM nation")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "nation").createOrReplaceTempView("nation")
+    dialect = Dialect()
+    return spark.sql(dialect.query("SELECT COUNT(*) n FROM nation WHERE &P_WHERE")).withColumn("note", F.lit(dialect.notes[0]))
+
+
+@query("w19_parameter_trigger", "SELECT r_regionkey, FALSE AS is_visible FROM region")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    text = plsql.visibility("begin if :P_DETAIL = 'N' then return (FALSE); end if; return (TRUE); end;", lambda n: "'N'")
+    return table(spark, sf, "region").select("r_regionkey", F.expr(text).alias("is_visible"))  # a constant, folded by the optimizer
+
+
+@query("w21_package_constant", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    registry = standard()
+    registry.constants["K_FINAL"] = "F"
+    return binds.run(spark, "SELECT o_orderkey FROM orders WHERE o_orderstatus = Pkg.F_Val('K_FINAL')", registry=registry)
+
+
+@query("j16_main_dataset", "SELECT 'Q_CUSTOMER' AS main")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(_sample().main().name,)], "main string")
+
+
+@query("g10_unbound_summary", "SELECT 'CS_X: nothing to sum for no_column' AS note")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    for t in ("customer", "orders", "nation"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    notes = engine.run(replace(_sample(), summaries=(Summary("CS_X", "no_column"),)), spark).notes
+    return spark.createDataFrame([(n,) for n in notes if n.startswith("CS_X")], "note string")
+
+
+@query("g11_reset_scope", f"SELECT n_regionkey, n_name, CAST(sum(CAST(c_acctbal AS {MONEY})) AS DOUBLE) AS at_nation, CAST(sum(sum(CAST(c_acctbal AS {MONEY}))) OVER (PARTITION BY n_regionkey) AS DOUBLE) AS at_region FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_name")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).withColumn("v", F.col("c_acctbal").cast(MONEY))
+    report = ReportDef("R", datasets=(Dataset("Q", "", groups=(Group("G_REGION", ("n_regionkey",)), Group("G_NATION", ("n_name",)))),))
+    nation = breaks.summary(rows, "sum", "v", report.level("G_NATION"), "at_nation")
+    region = breaks.summary(rows, "sum", "v", report.level("G_REGION"), "at_region")
+    return _doubles(nation.join(region, "n_regionkey"), "at_nation", "at_region")
+
+
+@query("n07_page_scoped_print", f"SELECT o_orderkey, page_no > 1 AS is_printed FROM (SELECT o_orderkey, floor(({ROW_NO} - 1) / 25) + 1 AS page_no FROM orders)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return present.print_on(present.paged(_numbered(spark, sf), 25), "allButFirstPage").select("o_orderkey", "is_printed")
+
+
+source("e09_named_arguments", "SELECT o_orderkey, F_Add_Delimiter(p_text => o_orderstatus, p_mark => ';') v FROM orders", "SELECT o_orderkey, o_orderstatus || ';' AS v FROM orders")
+
+
+@query("e16_parameter_placeholder", "SELECT 'From 1997 for FINAL' AS heading")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    body = "begin if :P_STATUS = 'F' then :CP_TITLE := 'From ' || :P_YEAR || ' for FINAL'; else :CP_TITLE := 'All'; end if; return (TRUE); end;"
+    values = {"P_STATUS": "'F'", "P_YEAR": "1997"}
+    return spark.range(1).select(F.expr(plsql.Compiler(Dialect(), values.__getitem__).compile(body).placeholders["CP_TITLE"]).alias("heading"))
+
+
+@query("r06_drill_child_run", "SELECT c_custkey, count(o_orderkey) AS n_q_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey = 42 GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    for t in ("customer", "orders", "nation"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    return drill.filtered(engine.run(_sample(), spark).main, {"P_C_CUSTKEY": 42}).select("c_custkey", "n_q_orders")
+
+
+@query("r08_burst_detection", "SELECT TRUE AS is_burst, FALSE AS is_drill, 'CUST_ID' AS key")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    report = ReportDef("R", (Param("P_DISTRIBUTE"),))
+    row = (burst.is_burst(report), burst.is_drill_through(report, ["P_X"]), burst.burst_key(["CF_1", "NAME", "CUST_ID"]))
+    return spark.createDataFrame([row], "is_burst boolean, is_drill boolean, key string")
+
+
+@query("r13_batch", "SELECT * FROM (VALUES ('SAMPLE', 'READY', 12), ('BROKEN', 'BLOCKER', 7)) AS t(report, verdict, complexity)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    reports = [_sample(), ReportDef("BROKEN", datasets=(Dataset("Q", "SELECT a FROM t, u WHERE a = b(+)"),))]
+    return spark.createDataFrame([(r.name, quality.preflight(r)[0], quality.complexity(r)) for r in reports], "report string, verdict string, complexity int")
+
+
+@query("r15_coverage", "SELECT 'missing_field' AS missing")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    report = replace(_sample(), fields=(Field("F_1", "c_name"), Field("F_2", "missing_field"), Field("F_3", "gone", visible=False)))
+    return spark.createDataFrame([(m,) for m in quality.coverage(report, ["c_custkey", "c_name"])], "missing string")
+
+
+@query("r18_document_drift", "SELECT CAST(0.3333 AS DOUBLE) AS drift, TRUE AS is_other_query")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    score = quality.drift(["c_custkey", "c_name", "c_phone"], [i.name for i in _sample().datasets[0].items])
+    return spark.createDataFrame([(score, score > 0.3)], "drift double, is_other_query boolean")
+
+
+@query("r19_audit_trail", "SELECT * FROM (VALUES ('Q_CUSTOMER', 'NVL'), ('Q_ORDERS', '(+)')) AS t(dataset, rewritten)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(d.name, x) for d in _sample().datasets for x in quality.audit(d.sql, Dialect().query(d.sql))]
+    return spark.createDataFrame(rows, "dataset string, rewritten string")
+
+
+@query("r25_no_rows_message", "SELECT 'No rows match' AS message")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").where("o_orderstatus = 'none'")
+    return spark.range(1 if quality.hollow(rows) else 0).select(F.lit("No rows match").alias("message"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -39,7 +39,7 @@ def _literal(value: object) -> str:
     return str(value) if isinstance(value, (int, float)) else masks.quote(str(value))
 
 
-def _without_link(d: Dataset, report: ReportDef) -> str:
+def without_link(d: Dataset, report: ReportDef) -> str:
     """The dataset's SQL without the predicates that tie it to a parent row: they become the join."""
     keys = {p.upper() for link in report.links if link.child.upper() == d.name.upper() for p, _ in link.pairs}
     if not keys:
@@ -74,7 +74,7 @@ def run(report: ReportDef, spark: SparkSession, registry: Registry | None = None
             notes.append(f"{d.name}: no SQL")
             continue
         dialect = Dialect(lexicals=lexicals or {}, **options)
-        sql = dialect.query(_without_link(d, report))
+        sql = dialect.query(without_link(d, report))
         notes += dialect.notes
         frames[d.name] = spark.sql(sql, args=binds.arguments(sql, known | {k.upper(): v for k, v in values.items()}, report.params))
 

@@ -27,6 +27,14 @@ def lint(sql: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def audit(before: str, after: str) -> list[str]:
+    """Functions and marks of a source statement that its translation no longer has."""
+    kept = {t.upper for t in lex.tokens(after)}
+    flat = lex.tokens(before)
+    calls = [t.upper for t, n in zip(flat, flat[1:], strict=False) if t.kind == "word" and n.text == "("] + [t.upper for t in flat if t.kind == "word" and t.upper in ("SYSDATE", "ROWNUM", "DUAL", "MINUS")]
+    return list(dict.fromkeys([c for c in calls if c not in kept and c.lower() not in {k.lower() for k in kept}] + ["(+)" for t in flat if t.kind == "outer"] + ["||" for t in flat if t.text == "||"]))
+
+
 def complexity(report: ReportDef) -> int:
     """5 a query, 3 a formula, 10 a lexical reference, 2 an outer join."""
     lexicals = sum(len(lex.lexicals(d.sql)) for d in report.datasets)
