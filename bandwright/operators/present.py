@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,11 +17,13 @@ def numbered(df: DataFrame, order: Order, name: str = "row_no", within: Sequence
     """Rows numbered from 1 in an order, of the report or of each group.
 
     A report-wide number is made from per-partition counts of a range-sorted
-    frame, so no single task gets all rows.
+    frame, so no single task gets all rows. The sorted frame is persisted: both
+    its counts and its rows must come from one and the same range partitioning,
+    which is sampled anew each time a plan runs.
     """
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     first = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_f"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     first = first.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
