@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bandwright.llm import op2_secrets, op4_lines, op5_mix
+from bandwright.llm import op2_secrets, op4_lines, op5_mix, op7_quality
 
 
 def _secrets() -> str:
@@ -110,4 +110,46 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
 FROM documents d LEFT JOIN kept k USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op9_minhash_neardup": _near_duplicates()}
+def _quality() -> str:
+    q = op7_quality
+    classes = ("[a-z]", "[A-Z]", "[0-9]", "[\\x09-\\x0D\\x1C-\\x1F ]", "[.,;:!?'\"()\\-]", "[#*$%&|<>]", None, "[^\\x00-\\x7F]")
+    counted = [f"length(t) - length(regexp_replace(t, '{c.replace(chr(39), chr(39) * 2)}', '', 'g'))" if c else "0" for c in classes]
+    mark = "[.,;:!?\"''()]{0,2}"
+    words = ", ".join("'" + w + "'" for w in q.WORDS)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def far(bins: str) -> str:
+        """Distance of each document from the nearest language for (doc_id, bin, n) rows."""
+        return f"""(SELECT doc_id, min(sqrt(greatest(0, least(1, js)))) AS far, any_value(total) AS total FROM (
+            SELECT g.doc_id, l.lang, any_value(t.total) AS total, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + r) / 2)) ELSE 0 END + CASE WHEN r > 0 THEN r * log2(r / ((p + r) / 2)) ELSE 0 END) / 2 AS js
+            FROM (SELECT doc_id, bin FROM (SELECT DISTINCT doc_id FROM d) CROSS JOIN (SELECT DISTINCT bin FROM {bins})) g
+            JOIN (SELECT doc_id, sum(n) AS total FROM {bins} GROUP BY 1) t ON g.doc_id = t.doc_id
+            CROSS JOIN (SELECT DISTINCT lang FROM d WHERE lang IS NOT NULL) l
+            LEFT JOIN (SELECT doc_id, bin, n AS own FROM {bins}) b ON b.doc_id = g.doc_id AND b.bin = g.bin
+            LEFT JOIN (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS share FROM {bins} JOIN d USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang, bin) x ON x.lang = l.lang AND x.bin = g.bin,
+            LATERAL (SELECT coalesce(own, 0) / greatest(t.total, 1)::DOUBLE AS p, coalesce(share, 0)::DOUBLE AS r)
+            GROUP BY g.doc_id, l.lang) GROUP BY doc_id)"""
+
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, lang, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, {counted[5]} AS n_symbols FROM w),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 7], chr(10))) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+again AS (SELECT doc_id, count(DISTINCT pos) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows) WHERE c > 1) GROUP BY doc_id),
+shapes AS (SELECT doc_id, length(t) AS n, [{", ".join(counted)}] AS cs FROM d),
+chars AS (SELECT doc_id, unnest(range(8)) AS bin, unnest(list_transform(range(1, 9), lambda i: CASE WHEN i = 7 THEN n - list_sum(cs) ELSE cs[i] END)) AS n FROM shapes),
+bare AS (SELECT doc_id, regexp_replace(regexp_replace(translate(x, '{upper}', '{lower}'), '^{mark}', ''), '{mark}$', '') AS x FROM (SELECT doc_id, unnest(ws) AS x FROM w)),
+commons AS (SELECT doc_id, coalesce(list_position([{words}], x), 0) AS bin, count(*) AS n FROM bare GROUP BY 1, 2),
+fc AS {far("chars")},
+fw AS {far("commons")},
+found AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    CASE WHEN coalesce(fc.total, 0) < {q.MIN_CHARS_JSD} THEN 0.0 ELSE round(fc.far, 6) END AS char_distance,
+    CASE WHEN coalesce(fw.total, 0) < {q.MIN_WORDS_JSD} THEN 0.0 ELSE round(fw.far, 6) END AS word_distance
+    FROM base b LEFT JOIN dups USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN fc USING (doc_id) LEFT JOIN fw USING (doc_id))
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+    NOT failed AND char_distance <= {q.MAX_CHAR_DISTANCE} AND word_distance <= {q.MAX_WORD_DISTANCE} AS kept, CAST(char_distance AS DOUBLE) AS char_distance, CAST(word_distance AS DOUBLE) AS word_distance
+FROM (SELECT *, n_words < {q.MIN_WORDS} OR n_repeat_words * 100 > n_words * {q.MAX_REPEATED_PERCENT} AS failed FROM found)"""
+
+
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op7_quality_rules": _quality(), "op9_minhash_neardup": _near_duplicates()}
