@@ -51,18 +51,19 @@ class Lengths:
         added = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.frequent = dict(zip(blob.decode().split("\0"), lengths.tolist(), strict=True)) if len(lengths) else {}
-        self.cache: dict[str, int] = {}
-        self.cache_entries = cache_entries
+        self.known = dict(self.frequent)
+        self.most = len(self.frequent) + cache_entries
         self.misses = 0
 
     def learn(self, pieces: set[str]) -> None:
-        missing = [p for p in pieces if p not in self.frequent and p not in self.cache]
-        if len(self.cache) + len(missing) > self.cache_entries:
-            self.cache.clear()
-            missing = [p for p in pieces if p not in self.frequent]
+        """Adds the lengths of all pieces; a full cache starts again with the frequent ones."""
+        missing = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(missing) > self.most:
+            self.known = dict(self.frequent)
+            missing = [p for p in pieces if p not in self.known]
         self.misses += len(missing)
-        for piece, coded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.cache[piece] = len(coded.ids)
+        for piece, coded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self.known[piece] = len(coded)
 
     def parts(self, text: str) -> tuple[list[str], int]:
         """The stretches of a text between added tokens, and how many of these it has."""
@@ -75,14 +76,10 @@ class Lengths:
         for part in parts:
             pieces = self.find(part)
             try:
-                total += sum(map(self.frequent.__getitem__, pieces))
-                continue
+                total += sum(map(self.known.__getitem__, pieces))
             except KeyError:
-                pass
-            seen = Counter(pieces)
-            self.learn(seen.keys())
-            known, cached = self.frequent, self.cache
-            total += sum(n * (known[p] if p in known else cached[p]) for p, n in seen.items())
+                self.learn(set(pieces))
+                total += sum(map(self.known.__getitem__, pieces))
         return total
 
 
