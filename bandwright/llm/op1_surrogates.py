@@ -52,6 +52,8 @@ ENDINGS = {"Latin": ("na", "nus", "ner"), "Cyrillic": ("на", "н", "ко"), "G
 ROUNDS = 16
 ATTEMPTS = 24
 PATTERN = "|".join(p for _, p in KINDS)
+#: What every mention holds: a digit, an at sign or the start of an honorific. Texts without it are not searched.
+TRIGGER = "[0-9@]|M(?:r|s|iss|me|lle|adame|onsieur)|Herr|Frau|S(?:r|eñor)|г-|госп|Κυρία|Κύριος"
 
 
 def _digits(x: str) -> str:
@@ -167,7 +169,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text with surrogates, n_entities, n_<kind>...) for every row."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    hit = F.coalesce(F.regexp(F.col("text"), F.lit(PATTERN)), F.lit(False))
+    hit = F.coalesce(F.regexp(F.col("text"), F.lit(TRIGGER)) & F.regexp(F.col("text"), F.lit(PATTERN)), F.lit(False))
     digest = F.sha2("text", 256)
     found = written(rows.where(hit).select(digest.alias("blob"), mentions(F.col("text")).alias("found")).dropDuplicates(["blob"]), "mentions")
     places = found.select("blob", F.posexplode("found").alias("at", "m")).select("blob", "at", "m.kind", "m.raw", F.posexplode("m.parts").alias("part", "canon"))
