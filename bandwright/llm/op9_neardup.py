@@ -199,6 +199,7 @@ def near_duplicates(
     least = linked.groupBy("label").agg(F.min("doc").alias("component"))
     least = linked.join(least, "label").select("key", "component")
     of_class = classes.select("key", "doc").join(least, "key", "left").select("key", F.coalesce("component", "doc").alias("component"))
+    of_class = written(of_class, "components")  # both sides of the next join are plain shuffles, so a class of very many copies can be split
     found = docs.select("id", "key", "n").join(of_class, "key", "left").select("id", "n", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
