@@ -6,7 +6,8 @@ paths and versions hold it, and the findings are joined back to all rows.
 
 A finding is a span of code points, end exclusive, of the whole match. Spark's
 regex functions give no positions, so they come from the lengths of the
-matches and of the pieces between them.
+matches and of the pieces between them. The new ledger rows are written before
+they are joined back, so the join can split a blob that very many rows share.
 
 Defined results: a null text is the empty blob and has no findings; repeated
 rows each get the findings of their blob; an empty table gives an empty result
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandwright.llm.store import written
+
 # Kinds in the order of ties, pattern, group that is measured, its least length.
 # The first three are the base rules; the last two are added by this engine.
 RULES = (
@@ -84,7 +87,7 @@ def joined(spans: Column) -> Column:
 
 def secrets(df: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``df``: counts by base kind, a digest of the base spans and all spans."""
-    new = update_ledger(df, ledger, text)
+    new = written(update_ledger(df, ledger, text), "ledger")
     full = new if ledger is None else ledger.unionByName(new)
     base = F.filter("findings", lambda s: s["rank"] < BASE_KINDS)
     counts = [F.expr(f"cast(size(filter(findings, s -> s.rank = {i})) as bigint)").alias(f"n_{kind}") for i, (kind, *_) in enumerate(RULES[:BASE_KINDS])]
