@@ -160,7 +160,7 @@ source("j17_semi_anti", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SE
 
 @query("j04_cross_product", "SELECT r_name, m.c_mktsegment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) m")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "region").select("r_name").crossJoin(F.broadcast(table(spark, sf, "customer").select("c_mktsegment").distinct()))
+    return table(spark, sf, "region").select("r_name").crossJoin(table(spark, sf, "customer").select("c_mktsegment").distinct())
 
 
 @query("j05_lookup_first", "SELECT c_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -560,6 +560,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast(MONEY)).createOrReplaceTempView("orders")
     report = replace(_sample(), summaries=(Summary("spent", "o_totalprice", "sum", "report"),))
     out = engine.run(report, spark, P_SEGMENT="BUILDING").main
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
     return out.withColumn("spent", F.col("spent").cast("double"))
 
 
