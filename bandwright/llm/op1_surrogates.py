@@ -177,6 +177,7 @@ def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text: str = "t
     mapped = places.join(surrogates, ["kind", "canon"]).groupBy("blob", "at", "kind", "raw").agg(F.sort_array(F.collect_list(F.struct("part", "surrogate"))).alias("parts"))
     mapped = mapped.select("blob", "at", "kind", _shaped(F.col("kind"), F.col("raw"), F.transform("parts", lambda p: p["surrogate"])).alias("new"))
     mapped = mapped.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("at", "new", "kind"))).alias("news"))
+    mapped = written(mapped, "mapped")  # both sides of the join with the texts are plain shuffles, so a text of very many copies can be split
     counts = [F.expr(f"cast(size(filter(news, m -> m.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind, _ in KINDS]
     gaps = F.split(F.col("text"), PATTERN, -1)
     rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("news"), i + 1)["new"], F.lit("")))), "")
