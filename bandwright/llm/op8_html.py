@@ -1,23 +1,30 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is a sequence of tokens: tags in their path of open elements, and block
-texts in theirs. Tokens of one host that occur in the same pages, equally often,
-share an occurrence vector and form an equivalence class. A class is valid if
-it has enough tokens and pages and each token occurs once in each of its pages;
-valid classes nest by their sets of pages, and the one that spans all pages of
-the host is the outermost: its texts are the template, and what stands between
-its tokens are the slots. Slots in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments (told by element and class names) are left
-out; the texts of the other slots are the main text.
-
-Vectors are never gathered: two sums of hashed (page, count) over the pages
-stand for a vector, so classes come from one aggregation over (host, token).
-A template of a host holds at most the texts of one page. The templates are
+texts in theirs. Tokens of one host that occur in the same pages, once in each,
+share an occurrence vector and form an equivalence class, over all pages of the
+host or over some of them (a second layout, a series, an optional box). A class
+needs MIN_PAGES pages and MIN_TOKENS tokens, and its tokens must come in the
+same order on all of its pages.
+
+Classes nest by their sets of pages: the parent of a class is the smallest class
+that spans all of its pages and more. The tokens of the parent cut each page
+into slots; a token of the class is template only where it stands in the same
+slot of the parent on every page (tokens of one class may stand in several
+slots, as the parts of a layout do). Texts that are template go, and what stands
+between the tokens are the slots. Slots in menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments (told by element and class names)
+are left out; the texts of the other slots are the main text, on pages with an
+article or main element those inside it.
+
+Vectors are never gathered: two sums of hashed page numbers stand for a vector,
+so classes come from one aggregation over tokens. Orders and page sets come from
+the classes that meet on a page, aggregated by pair. Tables of tokens are
 broadcast only when counted and at most ``BROADCAST_TEXTS``.
 
-Template texts inside an article go only if the host has at least MIN_PAGES
-pages and the template is less than half of its text, so hosts whose pages are
-copies of each other lose nothing.
+Texts of a class stay if they and those of the classes around it are half or
+more of the text on its pages, so pages that are copies of each other lose
+nothing.
 
 Defined results: a null or empty html gives an empty text; a page without a
 host (null or odd url) has no template; repeated rows count as pages of their
@@ -89,11 +96,10 @@ def _reason(tag: str, raw: str) -> str:
     return ""
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[str], bool]:
-    """(blocks, tags, has an article): blocks are (path, text, inside an article) outside left-out parts, in page order."""
+def parse(page: str) -> tuple[list[tuple[str, str | None, bool]], bool]:
+    """(tokens, has an article): tokens are (path, text or None for a tag, inside an article) in page order; texts of left-out parts are not among them."""
     stack: list[tuple[str, str, bool]] = []  # tag, reason inherited, inside an article
-    blocks: list[tuple[str, str, bool]] = []
-    tags: list[str] = []
+    found: list[tuple[str, str | None, bool]] = []
     pieces: list[str] = []
     reason, inside, article, at = "", False, False, 0
 
@@ -102,7 +108,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[str], bool]:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                blocks.append(("/".join(t for t, _, _ in stack if t in BLOCK), text, inside))
+                found.append(("/".join(t for t, _, _ in stack if t in BLOCK), text, inside))
 
     def pop_to(depth: int) -> None:
         nonlocal reason, inside
@@ -162,21 +168,92 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[str], bool]:
         reason = "comments" if "comments" in (own, reason) else own or reason
         stack.append((tag, reason, inside))
         if tag in BLOCK:
-            tags.append("/".join(t for t, _, _ in stack if t in BLOCK))
+            found.append(("/".join(t for t, _, _ in stack if t in BLOCK), None, inside))
     flush()
-    return blocks, tags, article
+    return found, article
 
 
-def content(page: str | None) -> list[tuple[str, str]]:
-    """(path, text) of the blocks in the slots that can hold the main text."""
+def content(page: str | None) -> list[tuple[str, str | None]]:
+    """(path, text) of the tags (text None) and of the blocks in the slots that can hold the main text, in page order."""
     if not page:
         return []
-    blocks, _, article = parse(page)
-    return [(path, text) for path, text, inside in blocks if inside or not article]
+    found, article = parse(page)
+    return [(path, text) for path, text, inside in found if text is None or inside or not article]
+
+
+def _token(host: str, path: str, text: str | None) -> int:
+    return xxhash.xxh64_intdigest(f"{host}\0{path}" if text is None else f"{host}\0{path}\0{text}") - (1 << 63)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, key, token, at, count, size, page_size) for the tokens of (page, key, host, html): first position, occurrences, code points of a text."""
+    for batch in batches:
+        rows: list[tuple[int, ...]] = []
+        for page, key, host, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            seen: dict[int, list[int]] = {}
+            for at, (path, text) in enumerate(content(value)):
+                seen.setdefault(_token(host, path, text), [at, 0, len(text or "")])[1] += 1
+            whole = sum(count * size for _, count, size in seen.values())
+            rows += [(page, key, token, at, count, size, whole) for token, (at, count, size) in seen.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["page", "key", "token", "at", "count", "size", "page_size"])
+
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(inner, outer, page_size, sequence) for the classes of (found, page_size): each with itself and with those of more pages."""
+    for batch in batches:
+        rows: list[tuple[int, int, int, int]] = []
+        for tokens, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            classes: dict[int, list[int]] = {}
+            pages: dict[int, int] = {}
+            for t in tokens:
+                classes.setdefault(t["class"], []).append(t["token"])
+                pages[t["class"]] = t["pages"]
+            for c, own in classes.items():
+                rows.append((c, c, whole, xxhash.xxh64_intdigest(",".join(map(str, own))) - (1 << 63)))
+                rows += [(c, other, whole, 0) for other in classes if pages[other] > pages[c]]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["inner", "outer", "page_size", "sequence"])
 
-def _token(kind: str, path: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{kind}\0{path}\0{text}") - (1 << 63)
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, slot) for the texts of (found): the slot is the number of tokens of the parent class before."""
+    for batch in batches:
+        rows: list[tuple[int, int]] = []
+        for tokens in batch.column(0).to_pylist():
+            before: dict[int, int] = {}
+            for t in tokens:
+                if t["size"]:
+                    rows.append((t["token"], before.get(t["parent"], 0)))
+                before[t["class"]] = before.get(t["class"], 0) + 1
+        columns = list(zip(*rows, strict=True)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "slot"])
+
+
+def _template(found: DataFrame, broadcast_texts: int) -> DataFrame:
+    """(token) of the template texts."""
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_texts else df
+    mark = F.xxhash64("page")
+    vectors = found.groupBy("token").agg(F.sum(F.shiftrightunsigned(mark, 33)).alias("high"), F.sum(mark.bitwiseAND(0x7FFFFFFF)).alias("low"), F.count("*").alias("pages"), F.sum("count").alias("count"), F.max("size").alias("size"))
+    vectors = written(vectors.where(f"count = pages and pages >= {MIN_PAGES}").select("token", "pages", "size", F.xxhash64("high", "low").alias("class")), "vectors")
+    classes = vectors.groupBy("class").agg(F.count("*").alias("tokens"), F.max("pages").alias("pages"), F.sum("size").alias("size")).where(f"tokens >= {MIN_TOKENS}")
+    classes = small(written(classes.drop("tokens"), "classes"))
+    members = small(written(vectors.join(classes.select("class"), "class"), "members"))
+
+    placed = written(found.select("page", "token", "at", "page_size").join(members, "token"), "placed")
+    by_page = placed.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("at", "class", "token", "pages"))).alias("found"), F.first("page_size").alias("page_size"))
+    met = by_page.select("found", "page_size").mapInArrow(_meetings, "inner long, outer long, page_size long, sequence long")
+    met = written(met.groupBy("inner", "outer").agg(F.count("*").alias("n"), F.sum("page_size").alias("whole"), (F.min("sequence") == F.max("sequence")).alias("ordered")), "meetings")
+    ordered = met.where("inner = outer and ordered").select(F.col("inner").alias("class"), "whole").join(classes, "class")
+    outer = ordered.select(F.col("class").alias("outer"), F.col("pages").alias("outer_pages"), F.col("size").alias("outer_size"))
+    above = met.where("inner <> outer").join(outer, "outer").join(classes.select(F.col("class").alias("inner"), "pages"), "inner").where("n = pages")
+    above = above.groupBy(F.col("inner").alias("class")).agg(F.min(F.struct("outer_pages", "outer")).alias("parent"), F.sum("outer_size").alias("outer_size"))
+    nested = ordered.join(above, "class", "left").withColumn("little", F.expr("2 * pages * (size + coalesce(outer_size, 0)) < whole"))
+    nested = small(written(nested.select("class", "parent.outer", "little"), "nested"))
+
+    standing = placed.join(nested, "class").select("page", F.struct("at", "class", "token", F.when(F.col("little"), F.col("size")).otherwise(0).alias("size"), F.col("outer").alias("parent")).alias("found"))
+    slots = standing.groupBy("page").agg(F.sort_array(F.collect_list("found")).alias("found")).select("found").mapInArrow(_slots, "token long, slot long")
+    return written(slots.groupBy("token").agg(F.min("slot").alias("low"), F.max("slot").alias("high")).where("low = high").select("token"), "template")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
@@ -185,51 +262,26 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", html: str
     host = F.nullif(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     pages = df.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[str, int, int, int, int]] = []
-            for i, (name, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if not value:
-                    continue
-                blocks, tags, article = parse(value)
-                seen: dict[int, list[int]] = {}
-                for path, text, inside in blocks:
-                    if inside or not article:
-                        seen.setdefault(_token("text", path, text), [0, len(text)])[0] += 1
-                for path in tags:
-                    seen.setdefault(_token("tag", path), [0, 0])[0] += 1
-                page = xxhash.xxh64_intdigest(f"{i}\0{value}")
-                rows += [(name, token, count, size, xxhash.xxh64_intdigest(f"{page}\0{count}")) for token, (count, size) in seen.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            marks = columns[4]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.string()), *(pa.array(columns[k], pa.int64()) for k in (1, 2, 3)), pa.array([m >> 33 for m in marks], pa.int64()), pa.array([m & 0x7FFFFFFF for m in marks], pa.int64())],
-                ["host", "token", "count", "size", "high", "low"],
-            )
-
-    found = pages.where("host is not null and html is not null").select("host", "html").mapInArrow(tokens, "host string, token long, count long, size long, high long, low long")
-    vectors = found.groupBy("host", "token").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.count("*").alias("pages"), F.sum("count").alias("count"), F.max("size").alias("size"))
-    vectors = written(vectors, "vectors")
-    hosts = vectors.groupBy("host").agg(F.max("pages").alias("host_pages"), F.sum(F.col("count") * F.col("size")).alias("host_size"))
-    once = vectors.where("count = pages").join(hosts, "host").where(f"pages = host_pages and pages >= {MIN_PAGES}")
-    classes = once.groupBy("host", "high", "low").agg(F.count("*").alias("tokens"), F.sum(F.col("pages") * F.col("size")).alias("class_size"), F.max("host_size").alias("host_size"), F.collect_set(F.when(F.col("size") > 0, F.col("token"))).alias("texts"))
-    templates = classes.where(f"tokens >= {MIN_TOKENS} and 2 * class_size < host_size and size(texts) > 0").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template"))
-    templates = written(templates, "templates")
-    if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= broadcast_texts:
-        templates = F.broadcast(templates)
+    key = F.xxhash64("host", "html")
+    hosted = pages.where("host is not null and html is not null").select(F.monotonically_increasing_id().alias("page"), key.alias("key"), "host", "html")
+    found = written(hosted.mapInArrow(_tokens, "page long, key long, token long, at long, count long, size long, page_size long"), "tokens")
+    template = _template(found, broadcast_texts)
+    few = template.count() <= broadcast_texts
+    known = frozenset(r.token for r in template.collect()) if few else frozenset()
+    if few:
+        joined = pages.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        of_page = found.select("key", "token").join(template, "token").groupBy("key").agg(F.collect_set("token").alias("template"))
+        joined = pages.withColumn("key", key).join(of_page, "key", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                blocks = content(value)
-                if template:
-                    known = set(template)
-                    blocks = [(path, text) for path, text in blocks if _token("text", path, text) not in known]
-                out.append("\n".join(text for _, text in blocks))
+            for name, value, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                gone = known if template is None else set(template)
+                out.append("\n".join(text for path, text in content(value) if text is not None and not (gone and name and _token(name, path, text) in gone)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
     kind = dict(pages.dtypes)["id"]
-    joined = pages.join(templates, "host", "left").select("id", F.col("url").cast("string"), "html", "template")
-    done = joined.mapInArrow(texts, f"id {kind}, url string, text string")
+    done = joined.select("id", F.col("url").cast("string"), "host", "html", "template").mapInArrow(texts, f"id {kind}, url string, text string")
     return done.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -261,6 +261,37 @@ def test_pages(spark):
     assert got[103] == body.format(i=1) + "\nSubscribe to us today" and got[200].endswith("Subscribe to us today")
 
 
+SECOND = "<html><body><div><p>Welcome to our pages</p></div><section><h2>Story {i}</h2><p>{body}</p>{box}</section><p>Printed in {where}</p></body></html>"
+FIRST = "<html><body><h3>Daily letter</h3><div><p>{body}</p></div><ul><li>Follow us</ul></body></html>"
+BOX = "<dl><dt>About the series</dt><dd>Every Monday a part</dd></dl>"
+
+
+def own(i):
+    return " ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(9))
+
+
+def test_template_classes_of_some_pages(spark):
+    """Two layouts of one host, a box on some pages of the second, and pages that are copies of each other."""
+    second = [(i, SECOND.format(i=i, body=own(i), box=BOX if i < 15 else "", where="Oslo")) for i in range(10, 22)]
+    copies = [(i, SECOND.format(i="c", body=own("c"), box="<table><tr><td>All of us<td>Some</table>", where="Oslo")) for i in range(30, 36)]
+    pages = [(i, FIRST.format(body=own(i))) for i in range(6)] + second + copies
+    df = spark.createDataFrame([(i, f"http://two.example/{i}", h) for i, h in pages], "page_id long, url string, html string")
+    want = {i: own(i) for i in range(6)} | {i: f"Story {i}\n{own(i)}" for i in range(10, 22)} | {i: f"Story c\n{own('c')}\nAll of us\nSome" for i in range(30, 36)}
+    assert {r.page_id: r.text for r in op8_html.extract(df).collect()} == want
+    assert {r.page_id: r.text for r in op8_html.extract(df, broadcast_texts=0).collect()} == want
+
+
+def test_no_template_without_order_or_slot(spark):
+    """Texts that change their order, or their slot in the class around them, are not template."""
+    order = [(i, "<html><head></head><body><div></div><p>{}</p></body></html>".format(own(i)).replace("<div>", "<div><h1>One</h1><h2>Two</h2><h3>Three</h3>" if i % 2 else "<div><h3>Three</h3><h1>One</h1><h2>Two</h2>")) for i in range(8)]
+    three = "<table><tr><td>Moves</td></tr></table>"
+    slot = [(i, f"<html><body>{three if i in (1, 3, 5) else ''}<h1>Head</h1><p>{own(i)}</p>{three if i in (0, 2, 4) else ''}<h2>Foot</h2></body></html>") for i in range(12)]
+    rows = [(i, f"http://order.example/{i}", h) for i, h in order] + [(100 + i, f"http://slot.example/{i}", h) for i, h in slot]
+    got = {r.page_id: r.text for r in op8_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(set(got[i].split("\n")) == {"One", "Two", "Three", own(i)} for i in range(8))
+    assert all(got[100 + i] == ("Moves\n" + own(i) if i in (1, 3, 5) else own(i) + "\nMoves" if i < 5 else own(i)) for i in range(12))
+
+
 # ---- 9
 def brute_components(docs, width, percent):
     sets = {}
