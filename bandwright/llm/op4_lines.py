@@ -1,26 +1,27 @@
 """Line dedup by a segment-partition edit join.
 
-A line goes when the same line, or one within ``THRESHOLD`` edits, occurs
-earlier in the corpus (by document id, then line number); the first stays.
-Lines of fewer than ``MIN_CHARS`` code points, or no letter or digit, are left
-alone: short lines recur in clean prose.
-
-Each distinct line of n code points is cut into THRESHOLD + 1 segments (the
-shorter ones first). Two lines within THRESHOLD edits share a segment at
-nearly the same place, so a line is indexed by (n, segment number, segment)
-and probes for every length from n - THRESHOLD to n the substrings that a
-segment can have moved to (both the left and the right side bound the move).
-A probe that equals the line's own index entry is the same row. Candidates are
+A line goes when the same line, or one within a number of edits, occurs earlier
+in the corpus (by document id, then line number); the first stays. ``EDITS``
+gives the edits by the length of the shorter line: none below 40 code points, 2
+from 40 and 3 from 100 on. Lines of fewer than ``MIN_CHARS`` code points, or no
+letter or digit, are left alone: short lines recur in clean prose.
+
+Each line of n code points with k edits is cut into k + 1 segments (the shorter
+ones first). Two lines within k edits share a segment at nearly the same place,
+so a line is indexed by (n, segment number, segment) and probes, for every
+length n up to its own that its edits reach, the substrings that a segment can
+have moved to (both the left and the right side bound the move). Candidates are
 the rows that meet in the join on that key; they are verified with a banded
 bit-parallel edit distance on the whole lines, after common ends are cut off.
 
 A key that more than ``HOT`` lines are indexed by (a passage in many lines) is
 not joined as it is. An edit changes the counts of at most two characters, so
-of 2 * THRESHOLD + 1 groups of characters one has equal counts in both lines;
-such a key is joined together with the counts of each group.
+of 2k + 1 groups of characters one has equal counts in both lines; such a key
+is joined together with the counts of each group.
 
 Only keys and numbers are shuffled, not lines: the texts of candidates alone
-are read again. Decisions are joined to the texts once, to rebuild them.
+are read again. Probes are never written: they go from the texts to the join.
+Decisions are joined to the texts once, to rebuild them.
 
 Defined results: a null text stays null and has no lines; an empty text is one
 empty line; rows that share an id are told apart by nothing but their text, so
@@ -40,11 +41,15 @@ from pyspark.sql import functions as F
 from bandwright.llm import textscan as ts
 from bandwright.llm.store import small_batches, written
 
-THRESHOLD = 1
+EDITS = ((40, 2), (100, 3))
 MIN_CHARS = 40
 HOT = 64
 CLASSES_PER_GROUP = 7
 BROADCAST_DOCS = 500_000
+FILTERED_KEYS = 200_000
+
+
+Edits = tuple[tuple[int, int], ...]
 
 
 def edit_within(a: str, b: str, k: int) -> bool:
@@ -117,79 +122,146 @@ def _segments(n: np.ndarray, k: int, i: int) -> tuple[np.ndarray, np.ndarray]:
     return start, start + short + (i >= long_from)
 
 
+def _allowed(n: np.ndarray | int, edits: Edits) -> np.ndarray:
+    """The edits that lines of n code points may have."""
+    return np.array([0, *(k for _, k in edits)])[np.searchsorted([least for least, _ in edits], n, "right")]
+
+
+class Lines:
+    """The lines of some texts that take part: owner, number, size and two hashes; their index keys, probe keys and counts."""
+
+    def __init__(self, texts: ts.Texts, least: int):
+        self.texts = texts
+        starts, ends, first = texts.lines()
+        head = np.zeros(len(texts.data) + 1, np.int64)
+        np.cumsum((texts.data & 0xC0) != 0x80, out=head[1:])
+        solid = np.zeros(len(texts.data) + 1, np.int64)
+        np.cumsum(SOLID[texts.data], out=solid[1:])
+        size = head[ends] - head[starts]
+        owner = ts.spans_of(first)
+        chosen = np.flatnonzero((size >= least) & (solid[ends] > solid[starts]))
+        self.number = (np.arange(len(starts)) - first[owner])[chosen]
+        self.starts, self.ends, self.size, self.owner = starts[chosen], ends[chosen], size[chosen], owner[chosen]
+        self.base = head[self.starts]
+        self.total = ts.prefix_hashes(texts.data)
+        self.key = ts.hash_between(self.total, self.starts, self.ends)
+
+    def other(self) -> np.ndarray:
+        return ts.hash_ranges(self.texts.data ^ 0x55, self.starts, self.ends)
+
+    def segments(self, edits: Edits, own: bool, repeats: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key hash, line, whether it is an index key): the index keys alone, or all keys to probe; of equal lines one has keys unless ``repeats``."""
+        byte_at = np.append(np.flatnonzero((self.texts.data & 0xC0) != 0x80), len(self.texts.data))  # of the nth code point
+        once = np.arange(len(self.key)) if repeats else np.sort(np.unique(self.key, return_index=True)[1])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for k in sorted({k for _, k in edits}):
+            for delta, i, move in _windows(k):
+                is_own = (delta, move) == (0, 0)
+                if own and not is_own:
+                    continue
+                at = once[_allowed(self.size[once] - delta, edits) == k]
+                n = self.size[at] - delta
+                a, b = _segments(n, k, i)
+                a, b = a + move, b + move
+                fits = (a >= 0) & (b <= self.size[at])
+                at, n, a, b = at[fits], n[fits], a[fits], b[fits]
+                h = ts.hash_between(self.total, byte_at[self.base[at] + a], byte_at[self.base[at] + b])
+                found.append((ts.mix(h + (n * (k + 1) + i).astype(np.uint64) * np.uint64(ts.BASE)), at, np.full(len(at), is_own)))
+        h, at, flags = (np.concatenate(parts) for parts in zip(*found, strict=True))
+        return h, at, flags
+
+    def groups(self, k: int) -> np.ndarray:
+        """Hashes of the counts of 2k + 1 groups of characters, by line."""
+        starts, ends, data = self.starts, self.ends, self.texts.data
+        groups = 2 * k + 1
+        last = np.flatnonzero(np.append((data[1:] & 0xC0) != 0x80, True)) if len(data) else np.zeros(0, np.int64)  # byte of each code point
+        line_of = np.searchsorted(starts, last, "right") - 1
+        inside = (line_of >= 0) & (last < ends[np.maximum(line_of, 0)]) if len(starts) else np.zeros(len(last), bool)
+        kinds = groups * CLASSES_PER_GROUP
+        kind = (data[last[inside]].astype(np.int64) * 151 >> 3) % kinds
+        counts = np.bincount(line_of[inside] * kinds + kind, minlength=len(starts) * kinds).reshape(len(starts), groups, CLASSES_PER_GROUP).astype(np.uint64)
+        weights = ts.mix(np.arange(1, kinds + 1, dtype=np.uint64)).reshape(1, groups, CLASSES_PER_GROUP)
+        return ts.mix((counts * weights).sum(axis=2, dtype=np.uint64))
+
+
 def line_rows(texts: ts.Texts, k: int, least: int) -> dict[str, np.ndarray]:
-    """The lines of some texts that take part: owner, number, size, two hashes, index keys and probe keys."""
-    starts, ends, first = texts.lines()
-    head = np.zeros(len(texts.data) + 1, np.int64)
-    np.cumsum((texts.data & 0xC0) != 0x80, out=head[1:])
-    solid = np.zeros(len(texts.data) + 1, np.int64)
-    np.cumsum(SOLID[texts.data], out=solid[1:])
-    size = head[ends] - head[starts]
-    owner = ts.spans_of(first)
-    chosen = np.flatnonzero((size >= least) & (solid[ends] > solid[starts]))
-    number = (np.arange(len(starts)) - first[owner])[chosen]
-    starts, ends, size, owner = starts[chosen], ends[chosen], size[chosen], owner[chosen]
-    byte_at = np.append(np.flatnonzero((texts.data & 0xC0) != 0x80), len(texts.data))  # of the nth code point
-    base = head[starts]
-    total = ts.prefix_hashes(texts.data)
-    key = ts.hash_between(total, starts, ends)
-    other = ts.hash_ranges(texts.data ^ 0x55, starts, ends)
-
-    def substring(n: np.ndarray, i: int, move: int, ok: np.ndarray) -> np.ndarray:
-        a, b = _segments(n, k, i)
-        a, b = a + move, b + move
-        fits = ok & (a >= 0) & (b <= size)
-        a, b = np.where(fits, a, 0), np.where(fits, b, 0)
-        h = ts.hash_between(total, byte_at[base + a], byte_at[base + b])
-        h = ts.mix(h + (n * (k + 1) + i).astype(np.uint64) * np.uint64(ts.BASE))
-        return np.where(fits, h, np.uint64(0))
-
-    every = np.ones(len(size), bool)
-    groups = 2 * k + 1
-    last = np.flatnonzero(np.append((texts.data[1:] & 0xC0) != 0x80, True)) if len(texts.data) else np.zeros(0, np.int64)  # byte of each code point
-    line_of = np.searchsorted(starts, last, "right") - 1
-    inside = (line_of >= 0) & (last < ends[np.maximum(line_of, 0)]) if len(starts) else np.zeros(len(last), bool)
-    kinds = groups * CLASSES_PER_GROUP
-    kind = (texts.data[last[inside]].astype(np.int64) * 151 >> 3) % kinds
-    counts = np.bincount(line_of[inside] * kinds + kind, minlength=len(size) * kinds).reshape(len(size), groups, CLASSES_PER_GROUP).astype(np.uint64)
-    weights = ts.mix(np.arange(1, kinds + 1, dtype=np.uint64)).reshape(1, groups, CLASSES_PER_GROUP)
-    tally = ts.mix((counts * weights).sum(axis=2, dtype=np.uint64))
-    index = [substring(size, i, 0, every) for i in range(k + 1)]
-    probes = [substring(size - d, i, move, size - d >= least) for d, i, move in _windows(k) if (d, move) != (0, 0)]
-    return {"owner": owner, "number": number, "size": size, "key": key, "other": other, "index": np.array(index), "probes": np.array(probes), "groups": tally.T}
+    """The lines of some texts at k edits, with a column for each line; keys that a line lacks are 0."""
+    x = Lines(texts, least)
+    h, at, own = x.segments(((least, k),), False, repeats=True)
+    columns = {}
+    for name, flag in (("index", True), ("probes", False)):
+        lines, hashes = at[own == flag], h[own == flag]
+        order = np.argsort(lines, kind="stable")
+        lines, hashes = lines[order], hashes[order]
+        nth = np.arange(len(lines)) - np.searchsorted(lines, lines)
+        columns[name] = np.zeros((nth.max(initial=-1) + 1, len(x.size)), np.uint64)
+        columns[name][nth, lines] = hashes
+    return {"owner": x.owner, "number": x.number, "size": x.size, "key": x.key, "other": x.other(), **columns, "groups": x.groups(k).T}
 
 
 SOLID = np.zeros(256, bool)
 SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _decisions(df: DataFrame, id_col: str, text: str, k: int, least: int, broadcast_docs: int) -> DataFrame:
+def _signed(v: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(v).view(np.int64))
+
+
+def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int, broadcast_docs: int) -> DataFrame:
     """(id, dropped): for each id, the lines to drop with the earliest place of each."""
     small_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = dict(source.dtypes)["id"]
+    edited = max(least, edits[0][0])
+    most = max(k for _, k in edits)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in ts.slices(batch.column(1)):
-                x = line_rows(texts, k, least)
-                signed = lambda v: np.ascontiguousarray(v).view(np.int64)
-                keys = [pa.FixedSizeListArray.from_arrays(pa.array(signed(v.T).ravel()), len(v)).cast(pa.list_(pa.int64())) for v in (x["index"], x["probes"], x["groups"])]
-                ids = batch.column(0).slice(a, b - a).take(pa.array(x["owner"]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(x["number"].astype(np.int32)), pa.array(signed(x["key"])), pa.array(signed(x["other"])), *keys], ["id", "line", "key", "other", "index", "probes", "groups"])
-
-    shape = f"id {kind}, line int, key long, other long, index array<long>, probes array<long>, groups array<long>"
-    places = written(source.mapInArrow(lines, shape), "lines")
-    distinct = places.groupBy("key", "other").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"), F.first("index").alias("index"), F.first("probes").alias("probes"), F.first("groups").alias("groups"))
-    distinct = written(distinct, "distinct")
-
-    entries = distinct.select(F.col("key").alias("b"), "groups", F.explode("index").alias("h"))
-    probing = distinct.select(F.col("key").alias("a"), "groups", F.explode(F.concat("index", "probes")).alias("h")).where("h <> 0")
+                x = Lines(texts, least)
+                ids = batch.column(0).slice(a, b - a).take(pa.array(x.owner))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(x.number.astype(np.int32)), _signed(x.key), _signed(x.other())], ["id", "line", "key", "other"])
+
+    def keys(own: bool) -> DataFrame:
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, texts in ts.slices(batch.column(0)):
+                    x = Lines(texts, edited)
+                    h, at, _ = x.segments(edits, own)
+                    yield pa.RecordBatch.from_arrays([_signed(h), _signed(x.key[at])], ["h", "key"])
+
+        return source.select("text").mapInArrow(found, "h long, key long")
+
+    places = written(source.mapInArrow(lines, f"id {kind}, line int, key long, other long"), "lines")
+    distinct = written(places.groupBy("key", "other").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies")), "distinct")
+
+    entries = written(keys(True).distinct(), "entries")
     hot = written(entries.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
-    cool = probing.drop("groups").join(entries.drop("groups").join(hot, "h", "left_anti"), "h").where("a <> b").select("a", "b")
-    by_group = lambda side: side.join(hot, "h").select("h", "a" if "a" in side.columns else "b", F.posexplode("groups").alias("g", "tally"))
-    refined = by_group(probing).join(by_group(entries), ["h", "g", "tally"]).where("a <> b").select("a", "b")
-    pairs = cool.union(refined)
+    n_hot = hot.count()
+    cool = entries if not n_hot else entries.join(F.broadcast(hot) if n_hot <= FILTERED_KEYS else hot, "h", "left_anti")
+    pairs = keys(False).toDF("h", "a").join(cool.toDF("h", "b"), "h").where("a <> b").select("a", "b")
+    if n_hot:
+        few = np.array([r.h for r in hot.collect()], np.int64) if n_hot <= FILTERED_KEYS else None
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, texts in ts.slices(batch.column(0)):
+                    x = Lines(texts, edited)
+                    h, at, own = x.segments(edits, False)
+                    if few is not None:
+                        some = np.isin(h.view(np.int64), few)
+                        h, at, own = h[some], at[some], own[some]
+                    tally = x.groups(most)[at]
+                    width = tally.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [_signed(np.repeat(h, width)), _signed(np.repeat(x.key[at], width)), pa.array(np.repeat(own, width)), pa.array(np.tile(np.arange(width, dtype=np.int64), len(h))), _signed(tally.ravel())],
+                        ["h", "key", "own", "g", "tally"],
+                    )
+
+        refined = source.select("text").mapInArrow(counted, "h long, key long, own boolean, g long, tally long").distinct()
+        refined = written(refined if few is not None else refined.join(hot, "h", "left_semi"), "refined")
+        met = refined.select("h", "g", "tally", F.col("key").alias("a")).join(refined.where("own").select("h", "g", "tally", F.col("key").alias("b")), ["h", "g", "tally"])
+        pairs = pairs.union(met.where("a <> b").select("a", "b"))
     pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct, "key").select("first.id", "first.line")
@@ -216,7 +288,7 @@ def _decisions(df: DataFrame, id_col: str, text: str, k: int, least: int, broadc
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [edit_within(a, b, k) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ok = [edit_within(a, b, int(_allowed(min(len(a), len(b)), edits))) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("value").alias("va")), "a").join(texts.select(F.col("key").alias("b"), F.col("value").alias("vb")), "b")
@@ -230,9 +302,9 @@ def _decisions(df: DataFrame, id_col: str, text: str, k: int, least: int, broadc
     return dropped.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("line", F.col("earliest.id").alias("first_id"), F.col("earliest.line").alias("first_line")))).alias("dropped"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", edits: Edits = EDITS, min_chars: int = MIN_CHARS, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """``df`` with the text rebuilt from the lines that stay, and n_lines, n_dropped and dropped (line, first_id, first_line)."""
-    drops = _decisions(df, id_col, text, threshold, min_chars, broadcast_docs).withColumnRenamed("id", "_drop_id")
+    drops = _decisions(df, id_col, text, edits, min_chars, broadcast_docs).withColumnRenamed("id", "_drop_id")
     drops = written(drops, "drops")
     joined = df.join(drops, F.col(id_col).eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
     gone = F.transform("dropped", lambda d: d["line"])

@@ -33,14 +33,26 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _deduped(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
     from bandwright.llm.op4_lines import dedup_lines
 
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), **options)
     places = F.transform("dropped", lambda d: F.concat_ws(":", d["line"], d["first_id"], d["first_line"]))
     return done.select("doc_id", "n_lines", "n_dropped", F.coalesce(F.array_join(places, ","), F.lit("")).alias("dropped"), "text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edit at every length, as the DuckDB SQL of this query has it."""
+    from bandwright.llm.op4_lines import MIN_CHARS
+
+    return _deduped(spark, sf_dir, edits=((MIN_CHARS, 1),))
+
+
+def op4_line_dedup_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits of the operator and the pipeline, which grow with the length of a line."""
+    return _deduped(spark, sf_dir)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op5_mix import mixed
 
@@ -80,7 +92,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_secret_scan, op3_language_id, op4_line_dedup, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_secret_scan, op3_language_id, op4_line_dedup, op4_line_dedup_edits, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -175,6 +175,34 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch):
     assert got == {100}
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_edits_grow_with_the_length(spark, monkeypatch, hot):
+    import random
+
+    monkeypatch.setattr(op4_lines, "HOT", hot)
+    rng = random.Random(7)
+    bases = ["".join(rng.choices("abcdefgé ", k=n)) for n in (30, 39, 40, 41, 60, 98, 99, 100, 101, 102, 103, 150, 260)]
+    lines = []
+    for base in bases:
+        lines.append(base)
+        for edits in (1, 2, 2, 3, 3, 3, 4):
+            line = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(line))
+                line[at : at + 1] = rng.choice([[], ["X"], [line[at], "Y"]])
+            lines.append("".join(line))
+    rng.shuffle(lines)
+
+    def near(a, b):
+        n = min(len(a), len(b))
+        return a == b or n >= 40 and op4_lines.edit_within(a, b, 3 if n >= 100 else 2)
+
+    want = {i for i, x in enumerate(lines) if len(x) >= op4_lines.MIN_CHARS and any(near(x, y) for y in lines[:i])}
+    got = op4_lines.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r.doc_id for r in got.where("n_dropped > 0").collect()} == want
+    assert len(want) > 30
+
+
 # ---- 5
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (i % 37 + 1)), f"s{i % 3}" if i % 10 else None) for i in range(400)]
