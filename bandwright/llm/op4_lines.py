@@ -4,7 +4,8 @@ A line goes when the same line, or one within a number of edits, occurs earlier
 in the corpus (by document id, then line number); the first stays. ``EDITS``
 gives the edits by the length of the shorter line: none below 40 code points, 2
 from 40 and 3 from 100 on. Lines of fewer than ``MIN_CHARS`` code points, or no
-letter or digit, are left alone: short lines recur in clean prose.
+letter or digit, are left alone: the shortest lines recur in clean prose. From
+``MIN_CHARS`` to the first length of ``EDITS`` only exact copies go.
 
 Each line of n code points with k edits is cut into k + 1 segments (the shorter
 ones first). Two lines within k edits share a segment at nearly the same place,
@@ -42,7 +43,7 @@ from bandwright.llm import textscan as ts
 from bandwright.llm.store import small_batches, written
 
 EDITS = ((40, 2), (100, 3))
-MIN_CHARS = 40
+MIN_CHARS = 20
 HOT = 64
 CLASSES_PER_GROUP = 7
 BROADCAST_DOCS = 500_000

@@ -203,6 +203,12 @@ def test_edits_grow_with_the_length(spark, monkeypatch, hot):
     assert len(want) > 30
 
 
+def test_exact_copies_of_short_lines_go(spark):
+    texts = ["All rights reserved.\nReleased under the MIT License.\nYes.", "All rights reserved.\nReleased under the MIT Licence.\nYes.", "Released under the MIT License.\nAll rights reserved\nNineteen characters"]
+    got = op4_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {0: texts[0], 1: "Released under the MIT Licence.\nYes.", 2: "All rights reserved\nNineteen characters"}
+
+
 # ---- 5
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (i % 37 + 1)), f"s{i % 3}" if i % 10 else None) for i in range(400)]
