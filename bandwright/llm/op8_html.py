@@ -15,7 +15,9 @@ slots, as the parts of a layout do). Texts that are template go, and what stands
 between the tokens are the slots. Slots in menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments (told by element and class names)
 are left out; the texts of the other slots are the main text, on pages with an
-article or main element those inside it.
+article or main element those inside it. An article in a left-out part (a teaser
+in a sidebar) is left out too, unless it alone has LONG_TEXT code points: then
+what looked like a sidebar is a wrapper.
 
 Vectors are never gathered: two sums of hashed page numbers stand for a vector,
 so classes come from one aggregation over tokens. Orders and page sets come from
@@ -48,6 +50,7 @@ from bandwright.llm.store import small_batches, written
 MIN_PAGES = 5
 MIN_TOKENS = 3
 BROADCAST_TEXTS = 200_000
+LONG_TEXT = 140
 
 # Element names of HTML, and words of class names, roles and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,9 +101,11 @@ def _reason(tag: str, raw: str) -> str:
 
 def parse(page: str) -> tuple[list[tuple[str, str | None, bool]], bool]:
     """(tokens, has an article): tokens are (path, text or None for a tag, inside an article) in page order; texts of left-out parts are not among them."""
-    stack: list[tuple[str, str, bool]] = []  # tag, reason inherited, inside an article
+    stack: list[tuple[str, str, bool]] = []  # tag, reason inherited ('nested': in an article of a left-out part), inside an article
     found: list[tuple[str, str | None, bool]] = []
+    nested: set[int] = set()
     pieces: list[str] = []
+    open_reasons = ("", "nested")
     reason, inside, article, at = "", False, False, 0
 
     def flush() -> None:
@@ -108,6 +113,8 @@ def parse(page: str) -> tuple[list[tuple[str, str | None, bool]], bool]:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
+                if reason == "nested":
+                    nested.add(len(found))
                 found.append(("/".join(t for t, _, _ in stack if t in BLOCK), text, inside))
 
     def pop_to(depth: int) -> None:
@@ -120,14 +127,14 @@ def parse(page: str) -> tuple[list[tuple[str, str | None, bool]], bool]:
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
-            if not reason:
+            if reason in open_reasons:
                 pieces.append(page[at:])
             break
-        if m.start() > at and not reason:
+        if m.start() > at and reason in open_reasons:
             pieces.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not reason:
+            if m[0].startswith("<![CDATA[") and reason in open_reasons:
                 pieces.append(m[0][9:-3])
             continue
         tag = m[2].lower()
@@ -160,8 +167,8 @@ def parse(page: str) -> tuple[list[tuple[str, str | None, bool]], bool]:
             continue
         own = _reason(tag, m[3])
         if tag in ("article", "main") and not own and reason == "part":
-            reason = ""
-        if own == "part" and inside and HEADING.search(f"{tag} {m[3]}"):
+            reason = "nested"
+        if own == "part" and (inside or reason == "nested") and HEADING.search(f"{tag} {m[3]}"):
             own = ""  # the article's own heading
         if tag in ("article", "main") and not (own or reason):
             inside = article = True
@@ -170,7 +177,10 @@ def parse(page: str) -> tuple[list[tuple[str, str | None, bool]], bool]:
         if tag in BLOCK:
             found.append(("/".join(t for t, _, _ in stack if t in BLOCK), None, inside))
     flush()
-    return found, article
+    long = sum(len(found[i][1] or "") for i in nested) >= LONG_TEXT
+    if long and sum(len(text or "") for i, (_, text, kept) in enumerate(found) if i not in nested and (kept or not article)) < LONG_TEXT:
+        return [(path, text, kept or i in nested) for i, (path, text, kept) in enumerate(found)], True
+    return [token for i, token in enumerate(found) if i not in nested], article
 
 
 def content(page: str | None) -> list[tuple[str, str | None]]:

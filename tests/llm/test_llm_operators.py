@@ -326,6 +326,18 @@ def test_no_template_without_order_or_slot(spark):
     assert all(got[100 + i] == ("Moves\n" + own(i) if i in (1, 3, 5) else own(i) + "\nMoves" if i < 5 else own(i)) for i in range(12))
 
 
+def test_an_article_in_a_sidebar_is_no_main_text(spark):
+    long = own("a")
+    pages = [
+        f"<div id='content'><p>{long}</p></div><aside class='related'><article><h2>Next</h2><p>{own('b')}</p></article></aside>",
+        f"<article><p>{long}</p><div class='widget'><article>Teaser</article></div></article>",
+        f"<div class='page-sidebar'><p>Left</p><article><header class='entry-header'><h1>Title</h1></header><p>{long}</p><div class='ad'>Buy</div></article></div><p>Small print</p>",
+        "<p>Short page</p><nav><article>Menu</article></nav>",
+    ]
+    got = op8_html.extract(spark.createDataFrame([(i, "http://side.example/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {0: long, 1: long, 2: f"Title\n{long}", 3: "Short page"}
+
+
 # ---- 9
 def brute_components(docs, width, percent):
     sets = {}
