@@ -16,12 +16,18 @@ the rows that meet in the join on that key; they are verified with a banded
 bit-parallel edit distance on the whole lines, after common ends are cut off.
 
 A key that more than ``HOT`` lines are indexed by (a passage in many lines) is
-not joined as it is. An edit changes the counts of at most two characters, so
-of 2k + 1 groups of characters one has equal counts in both lines; such a key
-is joined together with the counts of each group.
-
-Only keys and numbers are shuffled, not lines: the texts of candidates alone
-are read again. Probes are never written: they go from the texts to the join.
+not joined as it is but refined. If segment i is the one that is equal, the k
+edits can be shared out so that i of them lie before it and k - i after it. The
+longest part that is still open is cut into segments the same way, and the key
+is extended by one of these, with its place and length; part by part, until at
+most ``HOT_REFINED`` lines share a key or what is open is no longer than its
+edits. Lines that meet there are candidates only if their counts of characters
+differ by two for each edit at most. So lines that differ in a number only are
+told apart by the number, and candidates grow with the lines and not with their
+square.
+
+Only keys and numbers are shuffled, not lines: the texts of candidates and of
+lines with a hot key alone are read again. Probes are never written: they go from the texts to the join.
 Decisions are joined to the texts once, to rebuild them.
 
 Defined results: a null text stays null and has no lines; an empty text is one
@@ -33,6 +39,7 @@ id sorts first; an empty table gives an empty result; other columns stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +51,12 @@ from bandwright.llm.store import small_batches, written
 
 EDITS = ((40, 2), (100, 3))
 MIN_CHARS = 20
-HOT = 64
-CLASSES_PER_GROUP = 7
+HOT = 16
+HOT_REFINED = 32
+TALLIES = ("t0", "t1", "t2", "t3")
 BROADCAST_DOCS = 500_000
-FILTERED_KEYS = 200_000
+FILTERED_KEYS = 1_000_000
+LINE_SLICE_BYTES = 1 << 16
 
 
 Edits = tuple[tuple[int, int], ...]
@@ -56,8 +65,8 @@ Edits = tuple[tuple[int, int], ...]
 def edit_within(a: str, b: str, k: int) -> bool:
     """Whether the edit distance of a and b is at most k, in a band of 2k + 1 diagonals held as bits.
 
-    Bits D0 of the band advance one column a step; the score is followed along
-    the lowest diagonal and then up the last column.
+    For each number of edits up to k, one word of bits says on which diagonals
+    the current place can be reached; common ends are cut off first.
     """
     n = min(len(a), len(b))
     i = 0
@@ -171,33 +180,76 @@ class Lines:
         h, at, flags = (np.concatenate(parts) for parts in zip(*found, strict=True))
         return h, at, flags
 
-    def groups(self, k: int) -> np.ndarray:
-        """Hashes of the counts of 2k + 1 groups of characters, by line."""
-        starts, ends, data = self.starts, self.ends, self.texts.data
-        groups = 2 * k + 1
+    def tallies(self) -> np.ndarray:
+        """Four integers for each line: its counts of 32 groups of characters, a byte each."""
+        data = self.texts.data
         last = np.flatnonzero(np.append((data[1:] & 0xC0) != 0x80, True)) if len(data) else np.zeros(0, np.int64)  # byte of each code point
-        line_of = np.searchsorted(starts, last, "right") - 1
-        inside = (line_of >= 0) & (last < ends[np.maximum(line_of, 0)]) if len(starts) else np.zeros(len(last), bool)
-        kinds = groups * CLASSES_PER_GROUP
-        kind = (data[last[inside]].astype(np.int64) * 151 >> 3) % kinds
-        counts = np.bincount(line_of[inside] * kinds + kind, minlength=len(starts) * kinds).reshape(len(starts), groups, CLASSES_PER_GROUP).astype(np.uint64)
-        weights = ts.mix(np.arange(1, kinds + 1, dtype=np.uint64)).reshape(1, groups, CLASSES_PER_GROUP)
-        return ts.mix((counts * weights).sum(axis=2, dtype=np.uint64))
-
-
-def line_rows(texts: ts.Texts, k: int, least: int) -> dict[str, np.ndarray]:
-    """The lines of some texts at k edits, with a column for each line; keys that a line lacks are 0."""
-    x = Lines(texts, least)
-    h, at, own = x.segments(((least, k),), False, repeats=True)
-    columns = {}
-    for name, flag in (("index", True), ("probes", False)):
-        lines, hashes = at[own == flag], h[own == flag]
-        order = np.argsort(lines, kind="stable")
-        lines, hashes = lines[order], hashes[order]
-        nth = np.arange(len(lines)) - np.searchsorted(lines, lines)
-        columns[name] = np.zeros((nth.max(initial=-1) + 1, len(x.size)), np.uint64)
-        columns[name][nth, lines] = hashes
-    return {"owner": x.owner, "number": x.number, "size": x.size, "key": x.key, "other": x.other(), **columns, "groups": x.groups(k).T}
+        at = np.searchsorted(self.starts, last, "right") - 1
+        inside = (at >= 0) & (last < self.ends[np.maximum(at, 0)]) if len(self.starts) else np.zeros(len(last), bool)
+        counts = np.bincount(at[inside] * 32 + (data[last[inside]].astype(np.int64) * 151 >> 3) % 32, minlength=len(self.starts) * 32)
+        return counts.reshape(-1, 32).astype(np.uint8).view(np.int64).reshape(-1, len(TALLIES))
+
+    def states(self, edits: Edits) -> States:
+        """The open state of each line for each length of an index line that it can be near to."""
+        at, n, k = [], [], []
+        for most in sorted({k for _, k in edits}):
+            for delta in range(most + 1):
+                lines = np.flatnonzero(_allowed(self.size - delta, edits) == most)
+                at.append(lines)
+                n.append(self.size[lines] - delta)
+                k.append(np.full(len(lines), most))
+        at, n, k = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, n, k))
+        parts = np.stack([n, k, np.zeros(len(n), np.int64), self.size[at]], axis=1)[:, None, :].astype(np.int64)
+        return States(at, np.zeros(len(at), np.uint64), n == self.size[at], parts)
+
+    def refined(self, states: States) -> States:
+        """The states after one more segment, of the longest open part."""
+        open_ = np.where(states.parts[:, :, 0] > states.parts[:, :, 1], states.parts[:, :, 0], 0)
+        part = open_.argmax(axis=1)
+        rows = np.arange(len(part))
+        is_open = open_[rows, part] > 0
+        byte_at = np.append(np.flatnonzero((self.texts.data & 0xC0) != 0x80), len(self.texts.data))
+        found = [States(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros((0, states.parts.shape[1] + 1, 4), np.int64))]
+        size, budget, start, have = states.parts[rows, part].T
+        for k in np.unique(budget[is_open]).tolist():
+            for i in range(k + 1):
+                for move in range(-i, i + 1):
+                    can = is_open & (budget == k) & (np.abs(have - size - move) <= k - i)
+                    row = np.flatnonzero(can)
+                    a, b = _segments(size[row], k, i)
+                    fits = (a + move >= 0) & (b + move <= have[row])
+                    row, a, b = row[fits], a[fits], b[fits]
+                    base = self.base[states.line[row]] + start[row] + move
+                    h = ts.hash_between(self.total, byte_at[base + a], byte_at[base + b])
+                    h = ts.mix(h + (size[row] * (k + 1) + i).astype(np.uint64) * np.uint64(ts.BASE) + states.h[row] * np.uint64(3))
+                    parts = np.concatenate([states.parts[row], np.stack([size[row] - b, np.full(len(row), k - i), start[row] + b + move, have[row] - b - move], axis=1)[:, None, :]], axis=1)
+                    parts[np.arange(len(row)), part[row]] = np.stack([a, np.full(len(row), i), start[row], a + move], axis=1)
+                    found.append(States(states.line[row], h, states.own[row] & (move == 0), parts))
+        return States(*(np.concatenate(c) for c in zip(*((f.line, f.h, f.own, f.parts) for f in found), strict=True)))
+
+
+@dataclass
+class States:
+    """Lines on their way to a key: line, key so far, whether it is an index key, and the open parts (size in the index line, edits, start and size in this line)."""
+
+    line: np.ndarray
+    h: np.ndarray
+    own: np.ndarray
+    parts: np.ndarray
+
+    def where(self, chosen: np.ndarray) -> States:
+        return States(self.line[chosen], self.h[chosen], self.own[chosen], self.parts[chosen])
+
+
+def line_keys(texts: ts.Texts, edits: Edits, hots: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[Lines, States, np.ndarray]:
+    """(lines, states at ``depth`` refinements, whether they are final) of one-line texts, through the keys of ``hots`` (line, h) alone."""
+    x = Lines(texts, edits[0][0])
+    known = np.unique(ts.mix(hots[1] + hots[0].astype(np.uint64) * np.uint64(ts.BASE)))
+    states = x.refined(x.states(edits))
+    for _ in range(depth):
+        chosen = np.isin(ts.mix(states.h + x.owner[states.line].astype(np.uint64) * np.uint64(ts.BASE)), known)
+        states = x.refined(states.where(chosen))
+    return x, states, (states.parts[:, :, 0] <= states.parts[:, :, 1]).all(axis=1)
 
 
 SOLID = np.zeros(256, bool)
@@ -208,13 +260,69 @@ def _signed(v: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(v).view(np.int64))
 
 
+def _hot_lines(source: DataFrame, edits: Edits, hot: np.ndarray) -> DataFrame:
+    """(key, value, hots) of the distinct lines with keys in ``hot``."""
+    hot = np.sort(hot)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in ts.slices(batch.column(0)):
+                x = Lines(texts, edits[0][0])
+                h, at, _ = x.segments(edits, False)
+                near = hot[np.minimum(np.searchsorted(hot, h.view(np.int64)), len(hot) - 1)]
+                h, at = h[near == h.view(np.int64)], at[near == h.view(np.int64)]
+                order = np.argsort(at, kind="stable")
+                chosen, first = np.unique(at[order], return_index=True)
+                values = pa.array([texts.data[x.starts[i] : x.ends[i]].tobytes().decode() for i in chosen], pa.string())
+                hots = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), _signed(h[order]))
+                yield pa.RecordBatch.from_arrays([_signed(x.key[chosen]), values, hots], ["key", "value", "hots"])
+
+    return source.select("text").mapInArrow(lines, "key long, value string, hots array<long>").dropDuplicates(["key"])
+
+
+def _refined_pairs(lines: DataFrame, edits: Edits) -> DataFrame:
+    """(a, b) of the candidates among lines with hot keys: one level of refinement after the other."""
+    pairs, depth = None, 0
+    byte = "pmod((shiftrightunsigned({}, {}) & 255) - (shiftrightunsigned({}, {}) & 255), 256)"
+    differences = [byte.format(f"a{t}", 8 * i, t, 8 * i) for t in TALLIES for i in range(8)]
+    apart = " + ".join(f"least({d}, 256 - {d})" for d in differences)
+    most = max(k for _, k in edits)
+    while True:
+        depth += 1
+
+        def keys(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, lists = batch.column(0).to_numpy(), batch.column(2)
+                for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
+                    hots = lists.slice(a, b - a)
+                    owner = np.repeat(np.arange(b - a), np.diff(hots.offsets.to_numpy()))
+                    x, states, final = line_keys(texts, edits, (owner, hots.flatten().to_numpy().view(np.uint64)), depth)
+                    tallies = x.tallies()[states.line].T
+                    columns = [_signed(states.h), pa.array(names[a:b][x.owner[states.line]]), pa.array(states.own), pa.array(final), pa.array(x.size[states.line]), *map(pa.array, tallies)]
+                    yield pa.RecordBatch.from_arrays(columns, ["h", "key", "own", "final", "size", *TALLIES])
+
+        found = written(lines.mapInArrow(keys, f"h long, key long, own boolean, final boolean, size long, {', '.join(f'{t} long' for t in TALLIES)}").distinct(), "refined")
+        hot = found.where("own and not final").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h")
+        hot = written(hot, "hot")
+        cool = found.where("own").join(hot, "h", "left_anti")
+        probe = found.select("h", F.col("key").alias("a"), F.col("size").alias("n"), *(F.col(t).alias(f"a{t}") for t in TALLIES))
+        met = probe.join(cool.select("h", F.col("key").alias("b"), "size", *TALLIES), "h").where(f"a <> b and {apart} <= {2 * most} - abs(n - size)").select("a", "b")
+        met = written(met.distinct(), "refined-pairs")
+        pairs = met if pairs is None else pairs.union(met)
+        if hot.isEmpty():
+            return pairs
+        more = found.join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("more"))
+        lines = written(lines.join(more, "key").select("key", "value", F.array_union("hots", "more").alias("hots")), "hot-lines")
+
+
 def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int, broadcast_docs: int) -> DataFrame:
     """(id, dropped): for each id, the lines to drop with the earliest place of each."""
+    if any(least < (k + 1) ** 2 for least, k in edits):
+        raise ValueError(f"edits {edits}: k edits need lines of (k + 1) ** 2 code points")
     small_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = dict(source.dtypes)["id"]
     edited = max(least, edits[0][0])
-    most = max(k for _, k in edits)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,40 +344,6 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
     places = written(source.mapInArrow(lines, f"id {kind}, line int, key long, other long"), "lines")
     distinct = written(places.groupBy("key", "other").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies")), "distinct")
 
-    entries = written(keys(True).distinct(), "entries")
-    hot = written(entries.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
-    n_hot = hot.count()
-    cool = entries if not n_hot else entries.join(F.broadcast(hot) if n_hot <= FILTERED_KEYS else hot, "h", "left_anti")
-    pairs = keys(False).toDF("h", "a").join(cool.toDF("h", "b"), "h").where("a <> b").select("a", "b")
-    if n_hot:
-        few = np.array([r.h for r in hot.collect()], np.int64) if n_hot <= FILTERED_KEYS else None
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, _, texts in ts.slices(batch.column(0)):
-                    x = Lines(texts, edited)
-                    h, at, own = x.segments(edits, False)
-                    if few is not None:
-                        some = np.isin(h.view(np.int64), few)
-                        h, at, own = h[some], at[some], own[some]
-                    tally = x.groups(most)[at]
-                    width = tally.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(np.repeat(h, width)), _signed(np.repeat(x.key[at], width)), pa.array(np.repeat(own, width)), pa.array(np.tile(np.arange(width, dtype=np.int64), len(h))), _signed(tally.ravel())],
-                        ["h", "key", "own", "g", "tally"],
-                    )
-
-        refined = source.select("text").mapInArrow(counted, "h long, key long, own boolean, g long, tally long").distinct()
-        refined = written(refined if few is not None else refined.join(hot, "h", "left_semi"), "refined")
-        met = refined.select("h", "g", "tally", F.col("key").alias("a")).join(refined.where("own").select("h", "g", "tally", F.col("key").alias("b")), ["h", "g", "tally"])
-        pairs = pairs.union(met.where("a <> b").select("a", "b"))
-    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct, "key").select("first.id", "first.line")
-    wanted = written(wanted.groupBy("id").agg(F.collect_set("line").alias("lines")).select(F.col("id").alias("wanted"), "lines"), "wanted")
-    if wanted.count() <= broadcast_docs:
-        wanted = F.broadcast(wanted)
-
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values = [], []
@@ -284,8 +358,30 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
                 keys = ts.hash_ranges(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.string())], ["key", "value"])
 
-    texts = source.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text", "lines").mapInArrow(chosen, "key long, value string")
-    texts = written(texts.dropDuplicates(["key"]), "texts")
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(key, value) of the lines with distinct keys: each is read again where it is first."""
+        wanted = some.join(distinct, "key").select("first.id", "first.line")
+        wanted = written(wanted.groupBy("id").agg(F.collect_set("line").alias("lines")).select(F.col("id").alias("wanted"), "lines"), "wanted")
+        if wanted.count() <= broadcast_docs:
+            wanted = F.broadcast(wanted)
+        found = source.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text", "lines").mapInArrow(chosen, "key long, value string")
+        return found.dropDuplicates(["key"])
+
+    entries = written(keys(True).distinct(), "entries")
+    hot = written(entries.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
+    n_hot = hot.count()
+    cool = entries if not n_hot else entries.join(F.broadcast(hot) if n_hot <= FILTERED_KEYS else hot, "h", "left_anti")
+    pairs = keys(False).toDF("h", "a").join(cool.toDF("h", "b"), "h").where("a <> b").select("a", "b")
+    if n_hot:
+        if n_hot <= FILTERED_KEYS:
+            lines_of = _hot_lines(source, edits, hot.toArrow()["h"].to_numpy())
+        else:
+            hots = written(keys(False).join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("hots")), "hots")
+            lines_of = hots.join(texts_of(hots.select("key")), "key").select("key", "value", "hots")
+        pairs = pairs.union(_refined_pairs(written(lines_of, "hot-lines"), edits))
+    pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+
+    texts = written(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "texts")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,22 +399,37 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
     return dropped.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("line", F.col("earliest.id").alias("first_id"), F.col("earliest.line").alias("first_line")))).alias("dropped"))
 
 
+OUTPUTS = ("n_lines", "n_dropped", "dropped")
+
+
+def _rebuilt(df: DataFrame, id_col: str, text: str, edits: Edits, min_chars: int, broadcast_docs: int) -> DataFrame:
+    """(row, text, n_lines, n_dropped, dropped) with each row of ``df`` as a struct, so no name of its columns can clash."""
+    drops = written(_decisions(df, id_col, text, edits, min_chars, broadcast_docs), "drops").withColumnRenamed("id", "drop_id")
+    row = F.col("row")
+    joined = df.select(F.struct(*(df[c] for c in df.columns)).alias("row")).join(drops, row[id_col].eqNullSafe(F.col("drop_id")), "left")
+    joined = joined.select("row", row[text].alias("text"), "dropped", F.transform("dropped", lambda d: d["line"]).alias("gone"))
+    stay = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not array_contains(gone, i)), '\\n')"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return joined.select("row", stay.alias("text"), n_lines.alias("n_lines"), F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"), "dropped")
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", edits: Edits = EDITS, min_chars: int = MIN_CHARS, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
-    """``df`` with the text rebuilt from the lines that stay, and n_lines, n_dropped and dropped (line, first_id, first_line)."""
-    drops = _decisions(df, id_col, text, edits, min_chars, broadcast_docs).withColumnRenamed("id", "_drop_id")
-    drops = written(drops, "drops")
-    joined = df.join(drops, F.col(id_col).eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
-    gone = F.transform("dropped", lambda d: d["line"])
-    lines = F.split(F.col(text), "\n", -1)
-    stay = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (l, i) -> not array_contains(_gone, i)), '\\n')")
-    rebuilt = joined.withColumn("_gone", gone).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    rebuilt = rebuilt.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines"))).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(stay))
-    return rebuilt.withColumn("n_dropped", F.coalesce(F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")), F.lit(0)).cast("long")).drop("_gone")
-
-
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", chars: str | None = "n_chars", **options: object) -> DataFrame:
-    """``df`` with the deduplicated texts; rows that lost every line go, and ``chars`` counts the new text."""
-    done = dedup_lines(df, id_col, text, **options).where(~((F.col("n_dropped") > 0) & (F.length(F.trim(F.col(text))) == 0)))
-    if chars in df.columns:
-        done = done.withColumn(chars, F.when(F.col("n_dropped") > 0, F.length(text)).otherwise(F.col(chars)).cast(df.schema[chars].dataType))
-    return done.select(*df.columns)
+    """``df`` with the text rebuilt from the lines that stay, and n_lines, n_dropped and dropped (line, first_id, first_line).
+
+    Columns of ``df`` of these three names give way to them.
+    """
+    done = _rebuilt(df, id_col, text, edits, min_chars, broadcast_docs)
+    own = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns if c not in OUTPUTS]
+    return done.select(*own, *OUTPUTS)
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", chars: str | None = "n_chars", edits: Edits = EDITS, min_chars: int = MIN_CHARS, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
+    """``df`` with the deduplicated texts; rows that lost every line go, and ``chars`` counts the new text.
+
+    Rows without a dropped line stay as they are, with a null or empty text
+    too; the columns are those of ``df`` whatever their names; an empty table
+    stays empty.
+    """
+    done = _rebuilt(df, id_col, text, edits, min_chars, broadcast_docs).where(~((F.col("n_dropped") > 0) & (F.length(F.trim(F.col("text"))) == 0)))
+    size = lambda c: F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row")[c]).cast(df.schema[c].dataType)
+    return done.select(*(F.col("text").alias(c) if c == text else size(c).alias(c) if c == chars else F.col("row")[c].alias(c) for c in df.columns))

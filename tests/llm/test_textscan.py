@@ -98,7 +98,7 @@ def test_banded_edit_distance(a, b):
 
 @given(st.text(alphabet="abcdé", min_size=40, max_size=60), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 39), st.sampled_from("xyz")), max_size=3), st.integers(1, 3))
 @settings(max_examples=300, deadline=None)
-def test_close_lines_share_a_key_and_a_group(a, edits, k):
+def test_close_lines_share_a_key_at_every_depth(a, edits, k):
     b = list(a)
     for kind, at, c in edits[:k]:
         if kind == 0:
@@ -108,11 +108,19 @@ def test_close_lines_share_a_key_and_a_group(a, edits, k):
         else:
             b.pop(at)
     b = "".join(b)
-    if len(b) < 40:
+    if len(b) < 40 or a == b:
         return
     (_, _, t), = ts.slices(pa.array([a, b]))
-    x = op4_lines.line_rows(t, k, 40)
-    own = [set(x["index"][:, i].tolist()) for i in (0, 1)]
-    probes = [own[i] | set(x["probes"][:, i].tolist()) for i in (0, 1)]
-    assert own[0] & probes[1] or own[1] & probes[0]
-    assert (x["groups"][:, 0] == x["groups"][:, 1]).any()
+    x = op4_lines.Lines(t, 40)
+    h, at, own = x.segments(((40, k),), False)
+    known = np.zeros(0, np.uint64)
+    for depth in range(3):
+        _, states, final = op4_lines.line_keys(t, ((40, k),), (np.repeat([0, 1], len(known)), np.tile(known, 2)), depth)
+        if depth == 0:
+            assert set(zip(h, at, own)) == set(zip(states.h, states.line, states.own))
+        keys = [(set(states.h[(states.line == i) & states.own]), set(states.h[states.line == i])) for i in (0, 1)]
+        shared = keys[0][0] & keys[1][1] | keys[1][0] & keys[0][1]
+        assert shared
+        if shared & set(states.h[final]):
+            return
+        known = np.append(known, states.h)
