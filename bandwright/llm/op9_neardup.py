@@ -196,7 +196,8 @@ def near_duplicates(
 
     final = components(first.union(second), "a", "b").select(F.col("node").alias("key"), "label")
     linked = classes.select("key", "doc").join(final, "key")
-    least = linked.groupBy("label").agg(F.min("doc").alias("component"))
+    linked = written(linked, "linked")
+    least = written(linked.groupBy("label").agg(F.min("doc").alias("component")), "least")  # so that a component of very many texts can be split in the join
     least = linked.join(least, "label").select("key", "component")
     of_class = classes.select("key", "doc").join(least, "key", "left").select("key", F.coalesce("component", "doc").alias("component"))
     of_class = written(of_class, "components")  # both sides of the next join are plain shuffles, so a class of very many copies can be split
@@ -205,9 +206,16 @@ def near_duplicates(
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS, **options: object) -> DataFrame:
-    """The rows of ``df`` that near_duplicates keeps, with all their columns."""
-    gone = near_duplicates(df, id_col, text, broadcast_ids=broadcast_ids, **options).where(~F.col("kept") & F.col(id_col).isNotNull())
-    gone = written(gone.select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    """One row of each group of near-duplicates, with all its columns: the one of the smallest id, a null id first.
+
+    A row is told by its id and a hash of its text, so of rows that share an id
+    each is judged by its own text; rows that agree in both stay or go
+    together. Texts without words (null, empty) all stay. The columns are those
+    of ``df`` whatever their names; an empty table stays empty.
+    """
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
+    gone = near_duplicates(df.select(row.alias("row"), F.col(text).alias("text")), "row", "text", broadcast_ids=broadcast_ids, **options).where(~F.col("kept"))
+    gone = written(gone.select("row.id", "row.text").distinct(), "gone")
     if gone.count() <= broadcast_ids:
         gone = F.broadcast(gone)
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(gone, df[id_col].eqNullSafe(gone["id"]) & (F.xxhash64(df[text]) == gone["text"]), "left_anti")
