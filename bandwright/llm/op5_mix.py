@@ -18,7 +18,7 @@ So a pass takes each block once, no document is taken more than ``repeats``
 times, a source's words differ from its target by less than one, and reruns
 agree. The source list has one row a source and is small.
 
-Defined results: a null or empty text has size 0 and takes 0; a null source is
+Defined results: ids may be of any type; a null or empty text has size 0 and takes 0; a null source is
 a source of its own and comes last; rows that share an id are separate
 documents (equal rows are interchangeable); an empty table gives an empty
 result; other columns are ignored.
@@ -38,6 +38,8 @@ REPEATS = 2
 BLOCK = 512
 SHARD_SLOTS = 1024
 BUCKETS = 4096
+SLOTS_PER_TASK = 8192
+MOST_TASKS = 32768
 ROUNDS = 16
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +64,13 @@ def permuted(x: str, n: str, source: str, turn: str, inverse: bool = False) -> C
     return F.expr(f"aggregate({rounds}, cast({x} as bigint), (x, r) -> if({bit}, {other}, x))")
 
 
+def order_key(df: DataFrame, id_col: str) -> Column:
+    """The pseudorandom place of a row in its source's stream; ids that are no whole numbers count by a hash of their text."""
+    whole = dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    number = f"`{id_col}`" if whole else f"xxhash64(cast(`{id_col}` as string))"
+    return F.expr(_hash(f"coalesce(cast({number} as bigint), -1)", *ORDER_KEY))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, rank, source_size, target) from (source, source_size): water filling by weight."""
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
@@ -98,7 +107,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     plan = written(quotas(sources, block), "quotas")
 
     placed = sized.join(sources.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
-    placed = placed.withColumn("k", F.expr(_hash("coalesce(cast(id as bigint), -1)", *ORDER_KEY))).withColumn("bucket", F.expr(f"k div {PRIME // BUCKETS + 1}"))
+    placed = placed.withColumn("k", order_key(placed, "id")).withColumn("bucket", F.expr(f"k div {PRIME // BUCKETS + 1}"))
     inner = Window.partitionBy("rank", "bucket").orderBy("k", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("total")).select("rank", "bucket", F.coalesce(F.sum("total").over(outer), F.lit(0)).alias("offset"))
@@ -121,6 +130,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     drawn = counts.withColumn("within", F.coalesce(F.sum("count").over(inner), F.lit(0))).join(parts, ["rank", "part"]).selectExpr("rank", "shard", "offset + within as first", "count")
     closing = plan.join(counts.groupBy("rank").agg(F.sum("count").alias("got")), "rank", "left").selectExpr("rank", f"{total} div {SHARD_SLOTS} + 1 + rank as shard", "coalesce(got, 0) as first", "slots - coalesce(got, 0) as count")
     ranges = drawn.unionByName(closing).join(plan, "rank").withColumn("end", F.expr("least(first + count, slots)")).where("first < end")
+    ranges = ranges.repartition(min(MOST_TASKS, total // SLOTS_PER_TASK + 1), "rank", "shard")  # few thin rows become many slots: dealt out by slots
     slots = ranges.withColumn("j", F.explode(F.expr("sequence(first, end - 1)"))).selectExpr("*", "j div n as turn", "pmod(j, n) as q")
     slots = slots.withColumn("block", permuted("q", "n", "rank", "turn"))
     slots = slots.withColumn("full", F.expr(f"if(block = n - 1, last, {block})"))
