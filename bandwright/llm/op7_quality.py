@@ -196,9 +196,11 @@ def keep_good(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     """The rows of ``df`` that ``quality`` keeps, with all their columns.
 
     The texts are measured again beside their rows, which costs a second scan
-    and spares every shuffle of texts and every match by id.
+    and spares every shuffle of texts and every match by id. Null and empty
+    texts go, as the base rules fail them; equal rows stay or go together; the
+    columns are those of ``df`` whatever their names; an empty table stays empty.
     """
-    known = references(_measured(df, text, text, lang).drop("id"))
+    known = references(_measured(df.select(F.lit(None).cast("int").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), "id", "text", "lang"))
     at = df.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
