@@ -1,7 +1,8 @@
 """Tables that cut lineage, in the folder all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) is a folder of our own taken. A written Parquet table keeps
+in local mode (tests, a laptop) is a folder of our own taken, and the session's
+settings stay as they are. On a cluster an unset folder is an error. A written Parquet table keeps
 its statistics for the planner and survives the loss of any executor.
 """
 
@@ -18,12 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="bandwright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="bandwright-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 

@@ -46,7 +46,7 @@ def test_stages(spark):
                 kept = []
                 for line in rows[i].split("\n"):
                     long = len(line) >= op4_lines.MIN_CHARS and re.search(r"[0-9A-Za-z\x80-\U0010ffff]", line)
-                    if long and any(abs(len(o) - len(line)) <= 1 and op4_lines.edit_within(o, line, 1) for o in seen):
+                    if long and (line in seen or any(_near(o, line) for o in seen)):
                         seen[line] = 1
                         continue
                     if long:
@@ -76,6 +76,26 @@ def test_stages(spark):
     assert whole == {i: r["taken"] for i, r in got.items()}
 
 
+def _near(a, b):
+    n = min(len(a), len(b))
+    k = 0 if n < 40 else 2 if n < 100 else 3
+    return k > 0 and abs(len(a) - len(b)) <= k and _distance_within(a, b, k)
+
+
+def _distance_within(a, b, k):
+    """Edit distance by the usual table, rows cut to the diagonals within k."""
+    far = k + 1
+    row = {j: j for j in range(min(k, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - k), min(len(b), i + k) + 1):
+            new[j] = min(i if j == 0 else far, row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]) if j else far)
+        row = new
+        if min(row.values()) > k:
+            return False
+    return row.get(len(b), far) <= k
+
+
 def _shingles(text):
     w = [x.lower() for x in text.split()]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
