@@ -52,7 +52,7 @@ from bandwright.llm.store import small_batches, written
 EDITS = ((40, 2), (100, 3))
 MIN_CHARS = 20
 HOT = 16
-HOT_REFINED = 32
+HOT_REFINED = 128
 TALLIES = ("t0", "t1", "t2", "t3")
 BROADCAST_DOCS = 500_000
 FILTERED_KEYS = 1_000_000
@@ -307,7 +307,6 @@ def _refined_pairs(lines: DataFrame, edits: Edits) -> DataFrame:
         cool = found.where("own").join(hot, "h", "left_anti")
         probe = found.select("h", F.col("key").alias("a"), F.col("size").alias("n"), *(F.col(t).alias(f"a{t}") for t in TALLIES))
         met = probe.join(cool.select("h", F.col("key").alias("b"), "size", *TALLIES), "h").where(f"a <> b and {apart} <= {2 * most} - abs(n - size)").select("a", "b")
-        met = written(met.distinct(), "refined-pairs")
         pairs = met if pairs is None else pairs.union(met)
         if hot.isEmpty():
             return pairs
