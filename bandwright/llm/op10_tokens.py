@@ -9,7 +9,10 @@ counts are the same.
 
 Byte-pair merges never cross the edge of a pre-token, so a text's count is the
 sum over its pre-tokens; a string of an added token counts as one, as the
-library does by default.
+library does by default. Long texts are read in pieces of about ``PIECE``
+characters, cut before a single blank between two words, where a pre-token
+always begins. The pre-token pattern is that of byte-level BPE, so a tokenizer
+file with a normalizer, another pre-tokenizer or a prefix blank is refused.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows
 and ties are counted row by row; an empty table gives an empty result; other
@@ -36,17 +39,41 @@ from bandwright.llm.store import small_batches
 SPACE = "".join(regex.escape(chr(c), special_only=False) for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
+PIECE = 1 << 16
+CUT = regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 SAMPLE_ROWS = 2_000
 SAMPLE_BYTES = 50_000
 TABLE_ENTRIES = 50_000
 
 
+def load(path: str) -> Tokenizer:
+    """The tokenizer of a file, if its pre-tokens are those of PATTERN."""
+    tokenizer = Tokenizer.from_file(path)
+    steps = json.loads(tokenizer.to_str())
+    splits = steps["pre_tokenizer"] or {}
+    if steps["normalizer"] or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex", True):
+        raise ValueError(f"{path}: not a plain byte-level tokenizer")
+    return tokenizer
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces that end where a pre-token does."""
+    at = 0
+    while len(text) - at > PIECE:
+        cut = CUT.search(text, at + PIECE)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class Lengths:
     """Pre-token lengths of one worker: the frequent table, then a cache of bounded size."""
 
     def __init__(self, path: str, blob: bytes, lengths: np.ndarray, cache_entries: int):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load(path)
         self.find = regex.compile(PATTERN).findall
         added = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
@@ -55,12 +82,12 @@ class Lengths:
         self.most = len(self.frequent) + cache_entries
         self.misses = 0
 
-    def learn(self, pieces: set[str]) -> None:
-        """Adds the lengths of all pieces; a full cache starts again with the frequent ones."""
-        missing = [p for p in pieces if p not in self.known]
+    def learn(self, found: set[str]) -> None:
+        """Adds the lengths of all pre-tokens; a full cache starts again with the frequent ones."""
+        missing = [p for p in found if p not in self.known]
         if len(self.known) + len(missing) > self.most:
             self.known = dict(self.frequent)
-            missing = [p for p in pieces if p not in self.known]
+            missing = [p for p in found if p not in self.known]
         self.misses += len(missing)
         for piece, coded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             self.known[piece] = len(coded)
@@ -73,13 +100,13 @@ class Lengths:
 
     def count(self, text: str) -> int:
         parts, total = self.parts(text)
-        for part in parts:
-            pieces = self.find(part)
+        for piece in (p for part in parts for p in pieces(part)):
+            found = self.find(piece)
             try:
-                total += sum(map(self.known.__getitem__, pieces))
+                total += sum(map(self.known.__getitem__, found))
             except KeyError:
-                self.learn(set(pieces))
-                total += sum(map(self.known.__getitem__, pieces))
+                self.learn(set(found))
+                total += sum(map(self.known.__getitem__, found))
         return total
 
 
@@ -96,9 +123,9 @@ def frequent_pretokens(df: DataFrame, text: str, path: str, rows: int, entries:
     seen: Counter = Counter()
     for row in df.select(F.col(text).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES).take(rows):
         seen.update(find(row.t))
-    pieces = sorted(p for p, _ in seen.most_common(entries) if "\0" not in p and len(p) <= 64)
-    coded = Tokenizer.from_file(path).encode_batch(pieces, add_special_tokens=False)
-    return "\0".join(pieces).encode(), np.array([len(c.ids) for c in coded], np.uint16)
+    commonest = sorted(p for p, _ in seen.most_common(entries) if "\0" not in p and len(p) <= 64)
+    coded = load(path).encode_batch(commonest, add_special_tokens=False)
+    return "\0".join(commonest).encode(), np.array([len(c.ids) for c in coded], np.uint16)
 
 
 def token_counts(
