@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,16 @@ def test_pages_edges(spark):
 
 
 # ---- 1
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def valid_iban(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
 def test_surrogates(spark):
     text = "Mail Ann.Lee@corp.example, ann.lee@corp.example; +1 (017) 555-7713, 10.0.0.1, 4785380592391138 or 4785-3805-9239-1138. Mrs. Ada BYRON met Mr. Byron and Herr Иван Петров, 123-45-6789."
     df = spark.createDataFrame([(1, text), (2, "Mrs. Ada Byron, 10.0.0.2"), (3, "1.2.3 and 2024-01-01, a@b")], "doc_id long, text string")
@@ -75,18 +87,62 @@ def test_surrogates(spark):
     mails = re.findall(r"\S+@[\w.]+\w", one.text)
     assert mails[0] == mails[1]
     cards = re.findall(r"\d{4}-?\d{4}-?\d{4}-?\d{4}", one.text)
-    assert cards[0] == cards[1].replace("-", "") and "-" in cards[1]
+    assert cards[0] == cards[1].replace("-", "") and "-" in cards[1] and luhn(cards[0])
     first, last = re.search(r"Mrs\. (\w+) (\w+) met", one.text).groups()
     assert last.isupper() and first.endswith("na") and re.search(rf"Mr\. {last.capitalize()} ", one.text)
     assert got[2].text.startswith(f"Mrs. {first} {last.capitalize()}")
     assert re.search(r"Herr [а-я]", one.text, re.I) and got[3].text == "1.2.3 and 2024-01-01, a@b"
-    other = {r.doc_id: r.text for r in op1_surrogates.pseudonymize(df, "other").collect()}
+    other = {r.doc_id: r.text for r in op1_surrogates.pseudonymize(df, "o'the\\r").collect()}
     assert other[1] != one.text
 
 
+PEOPLE = [
+    "Mrs. Byron and Ms Ada came. Ada Byron left, Byron said; Then Ada Byron again.", "Ada Byron wrote to DR. ADA BYRON.", "Dr. Ada Lovelace, Prof Émile Petit Martin", "Byron alone, Ada alone: no honorific here", "The Old Man and Old Mill",
+    "Mr. Kim Lee, Mrs. Kim Park, Mrs. Olga Lee", "Señora Olga Ruiz", None, "",
+]
+NUMBERS = [
+    "GB29 NWBK 6016 1331 9268 19 and GB29NWBK60161331926819, GB29 BARC 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00 FR14 2004 1010 0505 0001 3M02 606",
+    "call +14155550123 or +1 415 555 0123, +44 20 79460123, 555 123 4567 or 555-123-4567", "3782 822463 10005 and 378282246310005", "2001:db8:0:1:1:1:1:1 fe80:0::1 std::map 12:30:45", "a@one.example b@one.example a@two.example",
+]
+
+
+def test_surrogates_of_all_mentions(spark):
+    """No entity survives, mentions of one entity agree in all texts, and distinct entities stay distinct."""
+    texts = PEOPLE + NUMBERS
+    got = {r.doc_id: r for r in op1_surrogates.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").collect()}
+    new = [got[i].text for i in range(len(texts))]
+    assert new[7] is None and new[8] == "" and new[3] == PEOPLE[3] and new[4] == PEOPLE[4]
+    who: dict = {}
+    for old, now in zip(PEOPLE, new):
+        assert (old is None) == (now is None)
+        for a, b in zip(re.findall(r"[\w'-]+", old or ""), re.findall(r"[\w'-]+", now or "")):
+            if a != b and a.isalpha():
+                assert who.setdefault(a.lower(), b.lower()) == b.lower() and a.isupper() == b.isupper()
+    names = {"byron", "ada", "lovelace", "émile", "petit", "martin", "kim", "lee", "park", "olga", "ruiz"}
+    assert names <= set(who) and len({who[n] for n in names}) == len(names) and not {who[n] for n in names} & names
+    assert who["olga"].endswith("na") and who["kim"].endswith("ner") and got[0].n_name == 5
+    n = len(PEOPLE)
+    ibans = re.findall(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})+(?: ?[A-Z0-9]{1,3})?", new[n])
+    assert len(ibans) == 3 and ibans[0].replace(" ", "") == ibans[1] and ibans[2].replace(" ", "") != ibans[1]
+    assert all(valid_iban(x) and x.startswith("GB") and "NWBK" not in x and "601613" not in x.replace(" ", "") for x in ibans)
+    assert all(map(valid_iban, re.findall(r"(?:DE|FR)\d\d[ 0-9A-Z]+\d", new[n + 1].replace(" FR", "\nFR"))))
+    phones = re.findall(r"\+1 ?([\d ]+)|\+44 ([\d ]+)|(\d{3}[ -]\d{3}[ -]\d{4})", new[n + 2])
+    digits = [re.sub(r"\D", "", "".join(p)) for p in phones]
+    assert len(digits) == 5 and digits[0] == digits[1] and digits[3] == digits[4] and len(set(digits)) == 3 and "0123" not in new[n + 2]
+    cards = re.findall(r"\d{4} ?\d{6} ?\d{5}", new[n + 3])
+    assert cards[0].replace(" ", "") == cards[1] != "378282246310005" and luhn(cards[1])
+    assert "2001:db8" not in new[n + 4] and "fe80" not in new[n + 4] and new[n + 4].endswith("std::map 12:30:45")
+    mails = new[n + 5].split()
+    assert len({m.split("@")[0] for m in mails}) == 3 and mails[0].split("@")[1] == mails[1].split("@")[1] != mails[2].split("@")[1]
+    for name in ("Byron", "Ada", "Lovelace", "Petit", "Olga", "ADA"):
+        assert not any(re.search(rf"\b{name}\b", t or "") for i, t in enumerate(new) if i != 3)
+    again = op1_surrogates.pseudonymize(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(5), "k")
+    assert {r.doc_id: r.text for r in again.collect()} == {i: r.text for i, r in got.items()}
+
+
 def test_surrogates_are_distinct(spark, monkeypatch):
     def drawn(n):
-        entities = spark.createDataFrame([(f"{i:03}",) for i in range(n)], "canon string").select(F.lit("card").alias("kind"), "canon")
+        entities = spark.createDataFrame([(f"{i:03}",) for i in range(n)], "canon string").select(F.lit("ssn").alias("kind"), "canon", F.lit(None).cast("string").alias("gender"))
         return [r.surrogate for r in op1_surrogates.assign(entities, "k").collect()]
 
     few = drawn(100)
@@ -246,22 +302,82 @@ def test_block_max_wand_finds_what_full_scoring_finds():
     items = [(i, " ".join(rng.choices(words, k=rng.randint(8, 150)))) for i in range(150)]
     index = op6_decontaminate.Index(items)
     for _ in range(100):
-        terms = sorted(set(rng.sample(range(len(index.terms)), 40)))
-        score = collections.Counter()
-        for t in terms:
-            for part, share in index.postings[t]:
-                score[part] += share
-        found = sorted(p for block in range(len(index.starts) - 1) for p, _ in index.search(terms, block, 0.4))
-        assert found == sorted(p for p, s in score.items() if s >= 0.4)
+        terms = np.array(sorted(set(rng.sample(range(len(index.terms)), 40))))
+        score = np.bincount(index.postings % index.n, index.shares * np.isin(index.postings // index.n, terms), minlength=index.n)
+        found = sorted(p for block in range(index.blocks) for p, _ in index.search(terms, block, 0.4))
+        assert found == np.flatnonzero(score >= 0.4).tolist()
+        bounds = index.bounds(terms, np.zeros(len(terms), int), 1)[0]
+        assert all(bounds[np.searchsorted(index.starts, p, "right") - 1] >= score[p] - 1e-9 for p in range(index.n))
+
+
+def brute_leaks(text, items):
+    """Items that a text leaks by the definition: all passages against all parts, scored in full."""
+    def bare(t):
+        return [w for w in (re.sub(r"^[.,;:!?\"'()#*$%&|<>\[\]{}_]{0,6}|[.,;:!?\"'()#*$%&|<>\[\]{}_]{0,6}$", "", x) for x in WORD.findall((t or "").lower()))]
+
+    def grams(w, n):
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+    o, words, found = op6_decontaminate, bare(text), set()
+    parts = []
+    for item, t in items:
+        w = bare(t)
+        if 0 < len(w) < o.MIN_ITEM_WORDS:
+            runs = [words[i : i + len(w)] for i in range(len(words) - len(w) + 1)] if len(w) >= o.MIN_RUN_WORDS else [words]
+            found |= {item} if w in runs else set()
+        elif w:
+            n = -(-len(w) // o.PART_WORDS)
+            cuts = [len(w) // n + (i < len(w) % n) for i in range(n)]
+            parts += [(item, w[sum(cuts[:i]) : sum(cuts[: i + 1])]) for i in range(n)]
+    held = collections.Counter(x for _, p in parts for x in set(p))
+    mean = sum(len(p) for _, p in parts) / max(1, len(parts))
+    for item, p in parts:
+        tf = collections.Counter(p)
+        impact = {x: math.log1p((len(parts) - held[x] + 0.5) / (held[x] + 0.5)) * f * (o.K1 + 1) / (f + o.K1 * (1 - o.B + o.B * len(p) / mean)) for x, f in tf.items()}
+        cut = max(0, len(p) - max(o.ANSWER_WORDS, len(p) // 4))
+        half = o.PASSAGE_WORDS // 2
+        for start in range(0, max(1, len(words)), half):
+            passage = set(words[start : start + o.PASSAGE_WORDS])
+            around = words[max(0, start - half) : start + o.PASSAGE_WORDS + half]
+            if sum(v for x, v in impact.items() if x in passage) >= o.THRESHOLD * sum(impact.values()):
+                runs = {tuple(around[i : i + n]) for n in range(1, o.SHINGLE + 1) for i in range(len(around) - n + 1)}
+                wanted = [grams(p[:cut] or p, o.SHINGLE), grams(p[cut:], o.ANSWER_SHINGLE)]
+                if all(len(g & runs) >= o.OVERLAP * len(g) for g in wanted):
+                    found.add(item)
+    return found
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_decontamination_by_the_definition(spark, kind):
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(400)]
+    make = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    name = (lambda i: i) if kind == "int" else (lambda i: f"set-{i}")
+    items = [(name(i), make(rng.choice([1, 2, 3, 5, 7, 8, 12, 30, 64, 65, 140]))) for i in range(60)] + [(None, make(10)), (None, make(5)), (name(100), None), (name(101), "")]
+    docs = []
+    for i in range(60):
+        words = make(rng.randint(0, 300)).split()
+        for _, t in rng.sample([x for x in items if x[1]], rng.randint(0, 2)):
+            own = [w if rng.random() > rng.choice([0, 0, 0.1, 0.3]) else "x" for w in t.split()]
+            at = rng.randint(0, len(words))
+            words[at:at] = own[: rng.choice([len(own), len(own), max(1, len(own) // 2)])]
+        docs.append((i, " ".join(words)))
+    docs += [(900, items[0][1]), (901, None), (902, "")]
+    got = op6_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, f"item_id {kind}, text string"), index_bytes=4000).collect()
+    one = {r.doc_id: set(r["items"]) for r in op6_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, f"item_id {kind}, text string")).collect()}
+    assert one == {i: brute_leaks(t, items) for i, t in docs}
+    assert {None} <= set().union(*one.values()) and len(got) == len(docs)
 
 
 def test_decontamination(spark):
     rng = [hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(3000)]
     items = [(k, " ".join(rng[k * 40 : k * 40 + 30])) for k in range(10)] + [(50, " ".join(rng[500:700])), (51, "too short")]
-    docs = [(1, " ".join(rng[1000:1300]) + " " + items[3][1].upper() + " " + " ".join(rng[1300:1500])), (2, " ".join(rng[1500:2500])), (3, "%%% ".join(items[7][1].split()) + "!!!"), (4, " ".join(items[5][1].split()[:12])), (5, " ".join(rng[480:720])), (6, "too short")]
+    docs = [(1, " ".join(rng[1000:1300]) + " " + items[3][1].upper() + " " + " ".join(rng[1300:1500])), (2, " ".join(rng[1500:2500])), (3, "%%% ".join(items[7][1].split()) + "!!!"), (4, " ".join(items[5][1].split()[:12])), (5, " ".join(rng[480:720])), (6, "it is too short, yes"), (7, "too, short")]
     benchmark = spark.createDataFrame(items, "item_id int, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = {1: [3], 2: [], 3: [7], 4: [], 5: [50], 6: []}
+    want = {1: [3], 2: [], 3: [7], 4: [], 5: [50], 6: [], 7: [51]}
     for size in (1 << 20, 900):
         got = {r.doc_id: r["items"] for r in op6_decontaminate.decontaminate(df, benchmark, index_bytes=size).collect()}
         assert got == want
@@ -338,6 +454,79 @@ def test_an_article_in_a_sidebar_is_no_main_text(spark):
     assert {r.page_id: r.text for r in got} == {0: long, 1: long, 2: f"Title\n{long}", 3: "Short page"}
 
 
+def test_class_names_that_say_something_else_stay():
+    page = "<article><h1>T</h1><section class='notice-board'>a</section><section class='social-history'>b</section><p><math><mi>x</mi></math></p><xmp>y</xmp><div class='share-bar'>no</div><div class='ad box'>no</div></article><nav>no</nav>"
+    assert [t for _, t, kept in op8_html.parse(page) if kept] == ["T", "a", "b", "x", "y"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '>\"'", "<b>", "<div>", "<![CDATA[", "<p><b>", "</i>", "<!--", "<a \">"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        op8_html.parse(piece * n + ">")
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 12 * max(took(10_000), 0.005)
+
+
+def brute_template(pages):
+    """Texts of each page by the definitions, with occurrence vectors as sets: pages are (host, html), all lists of names off."""
+    parsed = [[(path, t) for path, t, _ in op8_html.parse(h, False)] for _, h in pages]
+    hosts = collections.defaultdict(list)
+    for i, (host, _) in enumerate(pages):
+        hosts[host].append(i)
+    out = []
+    for ids in hosts.values():
+        at = collections.defaultdict(dict)
+        twice = set()
+        for i in ids:
+            for k, token in enumerate(parsed[i]):
+                twice |= {token} if i in at[token] else set()
+                at[token].setdefault(i, k)
+        classes = collections.defaultdict(list)
+        for token, where in at.items():
+            if token not in twice and len(where) >= op8_html.MIN_PAGES:
+                classes[frozenset(where)].append(token)
+        classes = {v: ts for v, ts in classes.items() if len(ts) >= op8_html.MIN_TOKENS}
+        size = lambda v: sum(len(t or "") for _, t in classes[v])
+        ordered = {v for v, ts in classes.items() if len({tuple(sorted(ts, key=lambda x: at[x][i])) for i in v}) == 1}
+        gone = set()
+        for v in ordered:
+            around = [o for o in ordered if v < o]
+            parent = min(around, key=len, default=None)
+            whole = sum(len(t or "") for i in v for _, t in parsed[i])
+            if 2 * len(v) * (size(v) + sum(map(size, around))) >= whole:
+                continue
+            for token in classes[v]:
+                slots = {sum(at[x][i] < at[token][i] for x in classes[parent]) if parent else 0 for i in v}
+                gone |= {token} if token[1] is not None and len(slots) == 1 else set()
+        out += [(i, "\n".join(t for path, t in parsed[i] if t is not None and (path, t) not in gone)) for i in ids]
+    return dict(out)
+
+
+def test_menus_go_by_the_template_alone(spark):
+    """No list of names: what a host repeats is found by classes over all or some of its pages, as the definitions say."""
+    import random
+
+    rng = random.Random(4)
+    pages = []
+    for host in range(4):
+        menu = "".join(f"<li>{w}{host}" for w in ("Home", "News", "About"))
+        for i in range(14):
+            box = "<div>Series<p>Every Monday<p>Archive</div>" if i % 2 and host % 2 else ""
+            more = "".join(rng.sample(["<p>one more", "<p>and another", "<h2>Also</h2>"], rng.randint(0, 3)))
+            pages.append((f"h{host}", f"<body><nav><ul>{menu}</ul></nav><div class=story><h1>Story {i}</h1><p>{own(f'{host}-{i}')}{more}{box}</div><footer>All rights {host}</footer>"))
+    want = brute_template(pages)
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in op8_html.extract(df, by_names=False).collect()}
+    assert got == want
+    assert not any(x in t for t in got.values() for x in ("Home", "News", "About", "Series", "All rights"))
+    assert all(own(f"{i // 14}-{i % 14}") in t for i, t in got.items())
+
+
 # ---- 9
 def brute_components(docs, width, percent):
     sets = {}
@@ -389,11 +578,15 @@ def test_components_of_a_path(spark):
 
 
 # ---- 10
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     texts = ["Hello world's  end\n\n x", "<|endoftext|> <|endof", "é中文🙂\x85​ a ", "I'll've 1234 $$$ \t\t", "zzqqxx " * 50, "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for piece, text in ((5, LONG), (3, "a  b c\n d 's e\u3000f g  \t h"), (1, texts[2])):
+        monkeypatch.setattr(op10_tokens, "PIECE", piece)
+        lengths = op10_tokens.Lengths(TOKENIZER, b"", np.zeros(0, np.uint16), 1000)
+        assert "".join(op10_tokens.pieces(text)) == text and lengths.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
     for options in ({}, {"sample_rows": 0}, {"cache_entries": 3}):
         got = {r.doc_id: r for r in op10_tokens.token_counts(df, TOKENIZER, limit=20, **options).collect()}
         assert {i: r.n_tokens for i, r in got.items()} == want
