@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm import textscan as ts
-from bandwright.llm.store import small_batches, written
+from bandwright.llm.store import release, small_batches, written
 
 EDITS = ((40, 2), (100, 3))
 MIN_CHARS = 20
@@ -369,6 +369,7 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
     entries = written(keys(True).distinct(), "entries")
     hot = written(entries.groupBy("h").count().where(F.col("count") > HOT).select("h"), "hot")
     n_hot = hot.count()
+    release(df.sparkSession)  # the largest shuffle comes next
     cool = entries if not n_hot else entries.join(F.broadcast(hot) if n_hot <= FILTERED_KEYS else hot, "h", "left_anti")
     pairs = keys(False).toDF("h", "a").join(cool.toDF("h", "b"), "h").where("a <> b").select("a", "b")
     if n_hot:
@@ -379,6 +380,7 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
             lines_of = hots.join(texts_of(hots.select("key")), "key").select("key", "value", "hots")
         pairs = pairs.union(_refined_pairs(written(lines_of, "hot-lines"), edits))
     pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    release(df.sparkSession)
 
     texts = written(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "texts")
 

@@ -9,6 +9,7 @@ its statistics for the planner and survives the loss of any executor.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -62,6 +63,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done, which it does when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder; its rows are computed once."""
     spark = df.sparkSession
