@@ -60,7 +60,7 @@ KINDS = (
     ("ssn", r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"),
     ("ip", r"(?<![\p{L}\p{N}.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\.?[\p{L}\p{N}])"),
     ("ipv6", r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"),
-    ("phone", r"(?<![\p{L}\p{N}+])(?:\+(?=(?:[ .()-]{0,2}[0-9]){7,15}(?![0-9]))[0-9]{1,4}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,10}){1,5}|\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}])"),
+    ("phone", r"(?<![\p{L}\p{N}+])(?:\+(?=(?:[ .()-]{0,2}[0-9]){7,15}(?![0-9]))[0-9]{1,4}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,8}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![\p{L}\p{N}])"),
     ("name", rf"(?<![\p{{L}}\p{{N}}]){HONORIFIC} {NAME}(?: {NAME}){{0,2}}"),
 )
 PAIR = rf"(?<![\p{{L}}\p{{N}}'-]){NAME}(?= ({NAME}))"
@@ -92,7 +92,7 @@ def _permuted(x: str, n: str, key: str, kind: str) -> str:
     """A keyed permutation of [0, n) applied to x (swap-or-not)."""
     other = f"pmod({_draw(key, kind, 'attempt', 'r')} % ({n}) - x, {n})"
     bit = f"pmod({_draw(key, kind, 'attempt', 'r', f'greatest(x, {other})')}, 2) = 1"
-    return f"aggregate(sequence(1, {ROUNDS}), cast({x} as bigint), (x, r) -> if({bit}, {other}, x))"
+    return f"aggregate(sequence(1, {ROUNDS}), try_cast({x} as bigint), (x, r) -> if({bit}, {other}, x))"
 
 
 def _made_up(key: str, canon: str, script: str, ending: str) -> str:
@@ -114,8 +114,13 @@ def _script(x: str) -> str:
 def surrogate(key: str) -> str:
     """SQL for the canonical surrogate of (kind, canon, gender) at ``attempt``."""
 
+    stream = f"concat(sha2(concat_ws('|', {_quoted(key)}, kind, canon, attempt, 'a'), 256), sha2(concat_ws('|', {_quoted(key)}, kind, canon, attempt, 'b'), 256))"
+    value = "cast(conv(substr(h, 2 * (i % 64) + 1, 2), 16, 10) as int)"
+
     def digits(x: str) -> str:
-        return f"lpad(cast({_permuted(x, f'cast(rpad(1, length({x}) + 1, 0) as bigint)', key, 'kind')} as string), length({x}), '0')"
+        """A permutation of the numbers of x's length; beyond bigint, keyed digits."""
+        permuted = f"lpad(cast({_permuted(x, f'try_cast(rpad(1, length({x}) + 1, 0) as bigint)', key, 'kind')} as string), length({x}), '0')"
+        return f"CASE WHEN length({x}) <= 18 THEN {permuted} ELSE transform(array({stream}), h -> array_join(transform(split({x}, ''), (c, i) -> cast({value} % 10 as string)), ''))[0] END"
 
     payload = digits("substr(canon, 1, length(canon) - 1)")
     # each second digit from the right counts double, with its digits summed
@@ -124,9 +129,7 @@ def surrogate(key: str) -> str:
     octet = "cast(split(canon, '[.]')[{}] as bigint)"
     address = " + ".join(f"{octet.format(i)} * {256 ** (3 - i)}" for i in range(4))
     dotted = f"transform(array({_permuted(f'({address})', '4294967296', key, 'kind')}), v -> concat_ws('.', v div 16777216, v div 65536 % 256, v div 256 % 256, v % 256))[0]"
-    stream = f"concat(sha2(concat_ws('|', {_quoted(key)}, kind, canon, attempt, 'a'), 256), sha2(concat_ws('|', {_quoted(key)}, kind, canon, attempt, 'b'), 256))"
     groups = f"transform(array({stream}), h -> concat_ws(':', concat('fd', substr(h, 1, 2)), transform(sequence(1, 7), i -> substr(h, 4 * i + 1, 4))))[0]"
-    value = "cast(conv(substr(h, 2 * i + 1, 2), 16, 10) as int)"
     account = f"transform(array({stream}), h -> array_join(transform(split(substr(canon, 5), ''), (c, i) -> if(c rlike '[0-9]', cast({value} % 10 as string), char(65 + {value} % 26))), ''))[0]"
     # the remainder by 97 of account, country and 00, with letters as numbers from 10
     rest = "aggregate(split(concat(b, substr(canon, 1, 2), '00'), ''), 0, (s, c) -> if(c rlike '[0-9]', s * 10 + cast(c as int), s * 100 + ascii(c) - 55) % 97)"

@@ -102,7 +102,7 @@ PEOPLE = [
 ]
 NUMBERS = [
     "GB29 NWBK 6016 1331 9268 19 and GB29NWBK60161331926819, GB29 BARC 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00 FR14 2004 1010 0505 0001 3M02 606",
-    "call +14155550123 or +1 415 555 0123, +44 20 79460123, 555 123 4567 or 555-123-4567", "3782 822463 10005 and 378282246310005", "2001:db8:0:1:1:1:1:1 fe80:0::1 std::map 12:30:45", "a@one.example b@one.example a@two.example",
+    "call +14155550123 or +1 415 555 0123, +44 20 79460123, 555 123 4567 or 555-123-4567", "3782 822463 10005 and 378282246310005", "2001:db8:0:1:1:1:1:1 fe80:0::1 std::map 12:30:45", "a@one.example b@one.example a@two.example", "+12 34567890 12345678 12345678 1234567",
 ]
 
 
@@ -132,6 +132,7 @@ def test_surrogates_of_all_mentions(spark):
     cards = re.findall(r"\d{4} ?\d{6} ?\d{5}", new[n + 3])
     assert cards[0].replace(" ", "") == cards[1] != "378282246310005" and luhn(cards[1])
     assert "2001:db8" not in new[n + 4] and "fe80" not in new[n + 4] and new[n + 4].endswith("std::map 12:30:45")
+    assert re.fullmatch(r"\+\d\d( \d{8}){3} \d{7}", new[n + 6]) and "12345678" not in new[n + 6]
     mails = new[n + 5].split()
     assert len({m.split("@")[0] for m in mails}) == 3 and mails[0].split("@")[1] == mails[1].split("@")[1] != mails[2].split("@")[1]
     for name in ("Byron", "Ada", "Lovelace", "Petit", "Olga", "ADA"):
