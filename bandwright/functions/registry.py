@@ -36,6 +36,20 @@ def _long_date(d: str) -> str:
     return f"date_format({d}, 'MMMM dd, yyyy')"
 
 
+def _trimmed(x: str) -> str:
+    return f"nullif(trim({x}), '')"
+
+
+def _format_address(street1: str, street2: str, city: str, state: str, zip_code: str, zip4: str) -> str:
+    lines = [f"nullif(concat_ws(', ', {_trimmed(a)}, {_trimmed(b)}), '')" for a, b in ((street1, street2), (city, state))]
+    return f"concat_ws(' ', {lines[0]}, {lines[1]}, concat_ws('-', {_trimmed(zip_code)}, {_trimmed(zip4)}))"
+
+
+def _organisation(business: str, first: str, middle: str, last: str, style: str) -> str:
+    own = f"concat_ws(' ', {_trimmed(first)}, concat({_trimmed(middle)}, '.'))"
+    return f"coalesce({_trimmed(business)}, nullif(concat_ws(', ', {_trimmed(last)}, nullif({own}, '')), ''))"
+
+
 @dataclass
 class Registry:
     builders: dict[str, tuple[int, Callable[..., str]]] = field(default_factory=dict)
@@ -67,5 +81,9 @@ def standard() -> Registry:
     out.add("F_ADD_DELIMITER", 2, _delimited)
     out.add("F_URL_ESCAPE", 1, _url)
     out.add("F_LONG_DATE", 1, _long_date)
+    out.add("F_FORMAT_ADDRESS", 6, _format_address)
+    out.add("F_FORMAT_ORG_NAME", 5, _organisation)
+    out.add("F_TO_PHONE", 1, _phone)
+    out.add("ESCAPE", 1, _url)
     out.add("F_ORG_NAME", 1, lambda x: f"initcap(trim({x}))")
     return out

@@ -90,6 +90,12 @@ def folded(df: DataFrame, keys: Sequence[str], leaves: Sequence[str], name: str)
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*leaves))).alias(name))
 
 
+def percent(df: DataFrame, source: str, keys: Sequence[str], scope: Sequence[str], name: str) -> DataFrame:
+    """Each group's sum as a share of its scope's (of the report without a scope); ``scope`` is the first of ``keys``."""
+    by = df.groupBy(*keys).agg(F.sum(source).alias("_v"))
+    return share(by, "_v", name, scope).drop("_v")
+
+
 def summary(df: DataFrame, function: str, source: str, keys: Sequence[str], name: str, order: Column | None = None) -> DataFrame:
     """One declared summary at its level."""
     if source.lower() not in {c.lower() for c in df.columns}:

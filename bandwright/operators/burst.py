@@ -12,9 +12,9 @@ from bandwright.plans.model import ReportDef
 
 
 def is_burst(report: ReportDef) -> bool:
-    """Whether a report is made for distribution: by its parameters or a file-name formula."""
+    """Whether a report is made for distribution: by its parameters, or a formula or trigger that makes the file name."""
     names = {p.name.upper() for p in report.params}
-    return bool(names & {"P_AS_PATH", "P_DISTRIBUTE"}) or any("P_AS_PATH" in f.body.upper() for f in report.formulas)
+    return bool(names & {"P_AS_PATH", "P_DISTRIBUTE"}) or any("P_AS_PATH" in x.body.upper() for x in (*report.formulas, *report.triggers))
 
 
 def is_drill_through(report: ReportDef, forwarded: Sequence[str]) -> bool:

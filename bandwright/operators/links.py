@@ -38,7 +38,7 @@ def lookup(master: DataFrame, child: DataFrame, pairs: Pairs, values: dict[str,
 def lookup_list(master: DataFrame, child: DataFrame, pairs: Pairs, value: str, name: str, order: Sequence[str], separator: str = "\n") -> DataFrame:
     """All child values in order as one text, NULL if there is none."""
     listed = child.groupBy(*_keyed(child, pairs)).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_v")))).alias("_l"))
-    listed = listed.select(*(c for _, c in pairs), F.array_join(F.transform("_l", lambda x: x["_v"]), separator).alias(name))
+    listed = listed.select(*(c for _, c in pairs), F.nullif(F.array_join(F.transform("_l", lambda x: x["_v"]), separator), F.lit("")).alias(name))
     return _left(master, listed, pairs)
 
 

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.functions import masks
 from bandwright.functions.registry import Registry, standard
-from bandwright.operators import breaks, links, matrix, present
+from bandwright.operators import breaks, drill, links, matrix, present
 from bandwright.plans import binds, lex, plsql
 from bandwright.plans.dialect import Dialect
-from bandwright.plans.model import Dataset, ReportDef
+from bandwright.plans.lex import Token
+from bandwright.plans.model import Dataset, ReportDef, Summary
+
+MATRIX_VALUES = 1000
 
 
 @dataclass
 class Result:
-    """datasets: rows by dataset; main: the repeated rows; the rest by name."""
+    """datasets: rows by dataset; main: the repeated rows; order: their break order; the rest by name."""
 
     main: DataFrame
     datasets: dict[str, DataFrame]
@@ -26,6 +31,7 @@ class Result:
     matrices: dict[str, DataFrame] = field(default_factory=dict)
     charts: dict[str, DataFrame] = field(default_factory=dict)
     notes: list[str] = field(default_factory=list)
+    order: list[Column] = field(default_factory=list)
 
 
 def _types(report: ReportDef) -> dict[str, str]:
@@ -39,127 +45,337 @@ def _literal(value: object) -> str:
     return str(value) if isinstance(value, (int, float)) else masks.quote(str(value))
 
 
+ARITHMETIC = ("+", "-", "*", "/", "||")
+
+
+def _column_at(flat: list[Token], i: int) -> int:
+    """The end of the column name that starts at i, or i if none does."""
+    if i >= len(flat) or flat[i].kind not in ("word", "quoted"):
+        return i
+    end = i + 1
+    while end + 1 < len(flat) and flat[end].text == "." and flat[end + 1].kind in ("word", "quoted"):
+        end += 2
+    return i if end < len(flat) and flat[end].text in ("(", *ARITHMETIC) else end
+
+
+def link_predicates(flat: list[Token], keys: set[str]) -> list[tuple[int, int, str, str]]:
+    """(start, end, bind, column) of each ``column = :KEY`` or ``:KEY = column`` among the tokens."""
+    out = []
+    for i, t in enumerate(flat):
+        if t.kind in ("word", "quoted") and (i == 0 or flat[i - 1].text not in (".", *ARITHMETIC)):
+            end = _column_at(flat, i)
+            if end > i and end + 1 < len(flat) and flat[end].text == "=" and flat[end + 1].kind == "bind" and flat[end + 1].text[1:].upper() in keys and (end + 2 == len(flat) or flat[end + 2].text not in ARITHMETIC):
+                out.append((i, end + 2, flat[end + 1].text[1:].upper(), "".join(x.text for x in flat[i:end])))
+        elif t.kind == "bind" and t.text[1:].upper() in keys and i + 2 < len(flat) and flat[i + 1].text == "=" and (i == 0 or flat[i - 1].text not in ARITHMETIC):
+            end = _column_at(flat, i + 2)
+            if end > i + 2:
+                out.append((i, end, t.text[1:].upper(), "".join(x.text for x in flat[i + 2 : end])))
+    return out
+
+
+def _link_keys(d: Dataset, report: ReportDef) -> dict[str, str]:
+    """Child column by parent column of the links into a dataset."""
+    return {p.upper(): c for link in report.links if link.child.upper() == d.name.upper() for p, c in link.pairs}
+
+
 def without_link(d: Dataset, report: ReportDef) -> str:
     """The dataset's SQL without the predicates that tie it to a parent row: they become the join."""
-    keys = {p.upper() for link in report.links if link.child.upper() == d.name.upper() for p, _ in link.pairs}
+    keys = _link_keys(d, report)
     if not keys:
         return d.sql
-    out: list[str] = []
     flat = lex.tokens(d.sql)
-    i = 0
-    while i < len(flat):
-        t = flat[i]
-        side = i + 1 < len(flat) and flat[i + 1].text == "=" and t.kind in ("word", "bind")
-        other = flat[i + 2] if side and i + 2 < len(flat) else None
-        if side and other is not None and other.kind == "bind" and other.text[1:].upper() in keys:
-            while len(out) >= 2 and out[-1] == ".":
-                out = out[:-2]
-            out.append("1 = 1")
-            i += 3
-            continue
-        out.append(t.text)
-        i += 1
-    return " ".join(out).replace(" . ", ".")
+    out: list[Token] = []
+    at = 0
+    for start, end, _, _ in link_predicates(flat, set(keys)):
+        out += [*flat[at:start], Token("number", "1"), Token("op", "="), Token("number", "1")]
+        at = end
+    return lex.text_of(out + flat[at:])
 
 
-def run(report: ReportDef, spark: SparkSession, registry: Registry | None = None, lexicals: dict[str, str] | None = None, now: str = "current_timestamp()", **values: object) -> Result:
-    """The report's data. Tables are views of the session; ``values`` are the parameters."""
-    registry = registry or standard()
-    types, notes = _types(report), list(report.notes)
-    known = {p.name.upper(): values.get(p.name, values.get(p.name.lower(), p.default)) for p in report.params}
-    options = {"types": types, "registry": registry, "now": now}
-    frames: dict[str, DataFrame] = {}
-    for d in report.datasets:
-        if not d.sql:
-            notes.append(f"{d.name}: no SQL")
-            continue
-        dialect = Dialect(lexicals=lexicals or {}, **options)
-        sql = dialect.query(without_link(d, report))
-        notes += dialect.notes
-        frames[d.name] = spark.sql(sql, args=binds.arguments(sql, known | {k.upper(): v for k, v in values.items()}, report.params))
-
-    def name_of(df: DataFrame):
+AGGREGATES = ("SUM", "AVG", "COUNT", "MIN", "MAX", "STDDEV", "VARIANCE", "MEDIAN", "LISTAGG")
+SET_WORDS = ("UNION", "INTERSECT", "MINUS", "EXCEPT")
+
+
+def with_keys(d: Dataset, report: ReportDef) -> str:
+    """The dataset's SQL with the join columns of its link predicates among its columns, in every branch of a set operation.
+
+    A branch that groups gets them as keys of its groups, one that only
+    aggregates becomes a group for each key; a branch without the predicate
+    gets NULL. A branch with ROLLUP or CUBE stays as it is.
+    """
+    keys = _link_keys(d, report)
+    branches: list[list[Token]] = [[]]
+    between: list[list[Token]] = []
+    depth = 0
+    for t in lex.tokens(d.sql):
+        depth += (t.text == "(") - (t.text == ")")
+        if depth == 0 and lex.is_word(t, *SET_WORDS):
+            between.append([t])
+            branches.append([])
+        elif between and not branches[-1] and lex.is_word(t, "ALL"):
+            between[-1].append(t)
+        else:
+            branches[-1].append(t)
+    found = [{column.rpartition(".")[2].upper(): column for _, _, _, column in link_predicates(b, set(keys))} for b in branches]
+    have = {c.upper() for c in _selected(branches[0])}
+    missing = [c for c in dict.fromkeys(k.upper() for k in keys.values()) if c not in have and "*" not in have and any(c in f for f in found)]
+    if not missing or any(lex.is_word(t, "ROLLUP", "CUBE", "SETS") for b in branches for t in b):
+        return d.sql
+    out: list[Token] = []
+    for k, branch in enumerate(branches):
+        out += [*(between[k - 1] if k else []), *_with_columns(branch, [(found[k].get(c), c) for c in missing])]
+    return lex.text_of(out)
+
+
+def _top(flat: list[Token], *words: str) -> int | None:
+    """Where the first of some words stands outside of parentheses."""
+    depth = 0
+    for i, t in enumerate(flat):
+        depth += (t.text == "(") - (t.text == ")")
+        if depth == 0 and lex.is_word(t, *words):
+            return i
+    return None
+
+
+def _selected(branch: list[Token]) -> list[str]:
+    """The names of the columns that a SELECT gives."""
+    source = _top(branch, "FROM")
+    parts = lex.split(lex.tree(branch[: source if source is not None else len(branch)])[1:], ",")
+    return [p[-1].text.strip('"') for p in parts if p and hasattr(p[-1], "text")]
+
+
+def _with_columns(branch: list[Token], columns: list[tuple[str | None, str]]) -> list[Token]:
+    source = _top(branch, "FROM")
+    if source is None:
+        return branch
+    added = [x for expr, name in columns for x in (Token("op", ","), Token("word", expr or "NULL"), Token("word", "AS"), Token("word", name))]
+    exprs = [expr for expr, _ in columns if expr]
+    group, after = _top(branch, "GROUP"), _top(branch, "HAVING", "ORDER")
+    end = after if after is not None else len(branch)
+    listed = [x for e in exprs for x in (Token("op", ","), Token("word", e))]
+    if group is not None and exprs:
+        tail = [*branch[source:end], *listed, *branch[end:]]
+    elif exprs and any(lex.is_word(t, *AGGREGATES) and branch[i + 1].text == "(" for i, t in enumerate(branch[:source])):
+        tail = [*branch[source:end], Token("word", "GROUP"), Token("word", "BY"), *listed[1:], *branch[end:]]
+    else:
+        tail = branch[source:]
+    return [*branch[:source], *added, *tail]
+
+
+class _Run:
+    """One run of a report: its frames, deepest detail first, and notes on what could not be done."""
+
+    def __init__(self, report: ReportDef, spark: SparkSession, registry: Registry, lexicals: dict[str, str], now: str, values: dict[str, object]):
+        self.report, self.spark, self.lexicals = report, spark, lexicals
+        self.types, self.notes = _types(report), list(report.notes)
+        self.known = {p.name.upper(): values.get(p.name, values.get(p.name.lower(), p.default)) for p in report.params}
+        self.given = self.known | {k.upper(): v for k, v in values.items()}
+        self.options = {"types": self.types, "registry": registry, "now": now}
+        self.frames: dict[str, DataFrame] = {}
+
+    def sql(self, text: str, **options: object) -> DataFrame:
+        dialect = Dialect(**options, **self.options)
+        sql = dialect.query(text)
+        self.notes += dialect.notes
+        return self.spark.sql(sql, args=binds.arguments(sql, self.given, self.report.params))
+
+    def names(self, df: DataFrame) -> Callable[[str], str]:
         columns = {c.upper(): c for c in df.columns}
 
         def resolve(name: str) -> str:
             key = name.upper()
             if key in columns:
                 return f"`{columns[key]}`"
-            if key in known:
-                return _literal(known[key])
+            if key in self.known:
+                return _literal(self.known[key])
             raise plsql.UntranslatableFormula(f"{name} is neither a column nor a parameter")
 
         return resolve
 
-    main_set = report.main()
-    for f in report.formulas:
-        home = f.dataset if f.dataset in frames else main_set.name
-        df = frames[home]
+    def load(self, d: Dataset) -> None:
+        if not d.sql:
+            self.notes.append(f"{d.name}: no SQL")
+            return
+        text = without_link(replace(d, sql=with_keys(d, self.report)), self.report)
+        left = [b for b in lex.binds(text) if b in _link_keys(d, self.report) and b not in self.given and f"=:{b}" in text.upper().replace(" ", "")]
+        self.notes += [f"{d.name}: the predicate on :{b} is not understood, its rows are not tied to their parent" for b in left]
+        self.frames[d.name] = self.sql(text, lexicals=self.lexicals)
+
+    def fetched(self, df: DataFrame, name: str, body: str) -> DataFrame:
+        """``df`` with the value of a cursor formula, as a correlated subquery that Spark makes a join."""
+        columns = {c.upper(): c for c in df.columns}
+        flat = [Token("word", f"O.{columns[t.text[1:].upper()]}") if t.kind == "bind" and t.text[1:].upper() in columns else t for t in lex.tokens(plsql.single_fetch(body))]
+        unknown = [t.text for t in flat if t.kind == "bind" and t.text[1:].upper() not in self.given]
+        if unknown:
+            raise plsql.UntranslatableFormula(f"{', '.join(unknown)}: neither a column nor a parameter")
+        view = f"bandwright_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
         try:
-            done = plsql.Compiler(Dialect(**options), name_of(df)).compile(f.body)
-            for name, value in done.placeholders.items():
-                df = df.withColumn(name, F.expr(value))
-            df = df.withColumn(f.name, F.expr(done.value or "NULL"))
-        except plsql.UntranslatableFormula as e:
-            notes.append(f"{f.name}: {e}")
-            df = df.withColumn(f.name, F.lit(None).cast("string"))
-        frames[home] = df
-
-    main = frames[main_set.name]
-    for link in report.links:
-        if link.parent.upper() != main_set.name.upper() or not link.pairs or link.child not in frames:
-            continue
-        child = frames[link.child]
-        main = links.lookup_count(main, child, link.pairs, f"n_{link.child.lower()}")
-        for s in report.summaries:
-            if s.source.lower() in {c.lower() for c in child.columns} and s.source.lower() not in {c.lower() for c in main.columns}:
-                main = links.subtotal(main, child, link.pairs, breaks.aggregate(s.function, F.col(s.source)), s.name)
-    out = Result(main, frames, notes=notes)
-    keys = [g.columns[0] for g in main_set.groups[:-1]]
-    own = [s for s in report.summaries if s.source.lower() in {c.lower() for c in main.columns} and s.function.lower() in breaks.FUNCTIONS]
-    if any(lex.is_word(t, "ROLLUP", "CUBE", "SETS") for t in lex.tokens(main_set.sql)):
-        notes.append(f"{main_set.name}: has subtotal rows of its own, none are added")
-    elif own:
-        aggregates = [breaks.aggregate(s.function, F.col(s.source)).alias(s.name) for s in own]
-        if keys:
-            out.breaks = breaks.levels(main, keys, aggregates)
-        for s in own:
+            return self.sql(f"SELECT O.*, ({lex.text_of(flat)}) AS {name} FROM {view} O")
+        finally:
+            self.spark.catalog.dropTempView(view)
+
+    def formulas(self, main: str) -> None:
+        for f in self.report.formulas:
+            home = f.dataset if f.dataset in self.frames else main
+            df = self.frames[home]
             try:
-                out.totals[s.name] = breaks.summary(main, s.function, s.source, report.level(s.reset), s.name)
-            except ValueError as e:
-                notes.append(f"{s.name}: {e}")
-    for s in report.summaries:
-        if s not in own and s.name not in main.columns:
-            notes.append(f"{s.name}: nothing to sum for {s.source}")
-    for m in report.matrices:
-        if m.values:
-            out.matrices[m.name] = matrix.matrix(main, list(m.band) + list(m.rows), m.column, m.values, m.measure, m.function, margins=m.margins)
-        else:
-            notes.append(f"{m.name}: give the values of {m.column}")
+                if any(lex.is_word(t, "CURSOR") for t in lex.tokens(f.body)):
+                    df = self.fetched(df, f.name, f.body)
+                else:
+                    done = plsql.Compiler(Dialect(**self.options), self.names(df)).compile(f.body)
+                    for name, value in done.placeholders.items():
+                        df = df.withColumn(name, F.expr(value))
+                    df = df.withColumn(f.name, F.expr(done.value or "NULL"))
+            except plsql.UntranslatableFormula as e:
+                self.notes.append(f"{f.name}: {e}")
+                df = df.withColumn(f.name, F.lit(None).cast("string"))
+            self.frames[home] = df
+
+    def ordered(self, df: DataFrame, d: Dataset) -> list[str]:
+        """Columns that fix the order of a dataset's rows: those of its ORDER BY that it has, then all others."""
+        columns = {c.upper(): c for c in df.columns}
+        flat = lex.tokens(d.sql)
+        at = _top(flat, "ORDER")
+        named = [columns[p[-1].upper] for p in lex.split(lex.tree(flat[at + 2 :]), ",") if p and getattr(p[-1], "upper", "") in columns] if at is not None else []
+        return list(dict.fromkeys([*named, *df.columns]))
+
+    def attach(self, parent: str, above: tuple[str, ...] = ()) -> None:
+        """Adds to a dataset what its rows show of their details, after these got what they show of theirs."""
+        for link in self.report.links:
+            if link.parent.upper() != parent.upper() or link.child not in self.frames or link.child in above:
+                continue
+            if not link.pairs:
+                self.notes.append(f"{link.parent} to {link.child}: no columns to join on")
+                continue
+            self.attach(link.child, (*above, parent))
+            child, d = self.frames[link.child], self.report.dataset(link.child)
+            gone = [c for _, c in link.pairs if c.upper() not in {x.upper() for x in child.columns}]
+            if gone:
+                self.notes.append(f"{link.parent} to {link.child}: {link.child} has no column {', '.join(gone)}")
+                continue
+            order = self.ordered(child, d)
+            own = {c.lower() for c in self.frames[parent].columns}
+            theirs = {c.lower(): c for c in child.columns}
+            df = links.lookup_count(self.frames[parent], child, link.pairs, f"n_{link.child.lower()}")
+            for s in self.report.summaries:
+                if s.source.lower() in theirs and s.source.lower() not in own and s.name.lower() not in own:
+                    if s.function.lower() in breaks.PERCENT:
+                        continue
+                    by = F.struct(*order) if s.function.lower() in ("first", "last") else None
+                    df = links.subtotal(df, child, link.pairs, breaks.aggregate(s.function, F.col(s.source), by), s.name)
+            shown = {f.source.lower(): f for f in self.report.fields if f.source.lower() in theirs and f.source.lower() not in own}
+            lists = [c for c, f in shown.items() if f.group and self.report.owner(f.group).upper() == link.child.upper()]
+            firsts = {theirs[c]: theirs[c] for c in shown if c not in lists and theirs[c] not in df.columns}
+            if firsts:
+                df = links.lookup(df, child, link.pairs, firsts, order)
+            for c in lists:
+                if theirs[c] not in df.columns:
+                    df = links.lookup_list(df, child, link.pairs, theirs[c], theirs[c], order)
+            self.frames[parent] = df
+
+    def summaries(self, out: Result, d: Dataset) -> None:
+        main = out.main
+        have = {c.lower() for c in main.columns}
+        keys = [g.columns[0] for g in d.groups[:-1]]
+        own = [s for s in self.report.summaries if s.source.lower() in have]
+        order = F.struct(*self.ordered(main, d)) if any(s.function.lower() in ("first", "last") for s in own) else None
+        if any(lex.is_word(t, "ROLLUP", "CUBE", "SETS") for t in lex.tokens(d.sql)):
+            self.notes.append(f"{d.name}: has subtotal rows of its own, none are added")
+        elif own:
+            plain = [s for s in own if s.function.lower() in breaks.FUNCTIONS or s.function.lower() in ("first", "last")]
+            if keys and plain:
+                out.breaks = breaks.levels(main, keys, [breaks.aggregate(s.function, F.col(s.source), order).alias(s.name) for s in plain])
+            for s in own:
+                try:
+                    out.totals[s.name] = self.total(main, s, order)
+                except (ValueError, KeyError) as e:
+                    self.notes.append(f"{s.name}: {e}")
+        self.notes += [f"{s.name}: nothing to sum for {s.source}" for s in self.report.summaries if s not in own and s.name not in main.columns and not any(s.name in f.columns for f in self.frames.values())]
+
+    def total(self, main: DataFrame, s: Summary, order: Column | None) -> DataFrame:
+        level = self.report.level(s.reset)
+        if s.function.lower() in breaks.PERCENT:
+            return breaks.percent(main, s.source, level, self.report.level(s.compute), s.name)
+        return breaks.summary(main, s.function, s.source, level, s.name, order)
+
+    def matrices(self, out: Result) -> None:
+        for m in self.report.matrices:
+            values = list(m.values)
+            if not values:  # the columns of a matrix are data: one small query finds them
+                found = [r[0] for r in out.main.select(m.column).where(F.col(m.column).isNotNull()).distinct().orderBy(m.column).limit(MATRIX_VALUES + 1).collect()]
+                if len(found) > MATRIX_VALUES:
+                    self.notes.append(f"{m.name}: {m.column} has more than {MATRIX_VALUES} values, give those to show")
+                    continue
+                values = found
+                self.notes.append(f"{m.name}: {len(values)} columns from the values of {m.column}")
+            out.matrices[m.name] = matrix.matrix(out.main, list(m.band) + list(m.rows), m.column, values, m.measure, m.function, margins=m.margins)
+
+    def placed(self, out: Result) -> None:
+        """What the layout shows: masked texts, visibility, styles, links and boilerplate."""
+        bodies = {t.name.upper(): t.body for t in self.report.triggers}
+        columns = {c.upper(): c for c in out.main.columns}
+        names = self.names(out.main)
+        for f in self.report.fields:
+            column = columns.get(f.source.upper())
+            if column and f.mask:
+                typed = self.types.get(column.lower(), "")
+                text = masks.date_text(f"`{column}`", f.mask) if masks.is_date_mask(f.mask) and typed != "number" else masks.number_text(f"`{column}`", f.mask)
+                out.main = out.main.withColumn(f"{f.name}_text", F.expr(text))
+            rules = []
+            for label, style in f.formats:
+                try:
+                    out.main.select(present.condition(label))  # analysed, not run
+                    rules.append((label, dict(style)))
+                except Exception as e:
+                    self.notes.append(f"{f.name}: {str(e).splitlines()[0]}")
+            if rules:
+                out.main = out.main.withColumn(f"_format_{f.name}", present.styled(rules))
+            body = bodies.get(f.trigger.upper())
+            if not body:
+                continue
+            link = plsql.hyperlink(body)
+            if link:
+                known = {p: columns[c.upper()] for p, c in link[1].items() if c.upper() in columns}
+                out.main = out.main.withColumn(f"_link_{f.name}", drill.link(link[0], known))
+            try:
+                done = plsql.Compiler(Dialect(**self.options), names).compile(body)
+                if done.value is not None:
+                    out.main = out.main.withColumn(f"_visible_{f.name}", F.expr(f"coalesce({done.value}, TRUE)"))
+                styles = {k: v for k, v in done.styles.items() if k not in ("hyperlink", "field_char")}
+                if styles:
+                    pairs = ", ".join(f"'{k}', cast({v} as string)" for k, v in sorted(styles.items()))
+                    out.main = out.main.withColumn(f"_style_{f.name}", F.expr(f"map_filter(map({pairs}), (k, v) -> v is not null)"))
+            except plsql.UntranslatableFormula as e:
+                self.notes.append(f"{f.trigger}: {e}")
+        for name, template in self.report.texts:
+            out.main = out.main.withColumn(f"{name}_text", present.token_text(template, list(columns.values())))
+
+
+def run(report: ReportDef, spark: SparkSession, registry: Registry | None = None, lexicals: dict[str, str] | None = None, now: str = "current_timestamp()", **values: object) -> Result:
+    """The report's data. Tables are views of the session; ``values`` are the parameters."""
+    at = _Run(report, spark, registry or standard(), lexicals or {}, now, values)
+    for d in report.datasets:
+        at.load(d)
+    main_set = report.main()
+    at.formulas(main_set.name)
+    at.attach(main_set.name)
+    out = Result(at.frames[main_set.name], at.frames, notes=at.notes)
+    down = {i.name.upper() for i in main_set.items if i.break_order == "descending"}
+    out.order = [F.col(c).desc_nulls_last() if c.upper() in down else F.col(c).asc_nulls_last() for c in dict.fromkeys([*(g.columns[0] for g in main_set.groups), *at.ordered(out.main, main_set)]) if c in out.main.columns or c.upper() in {x.upper() for x in out.main.columns}]
+    at.summaries(out, main_set)
+    at.matrices(out)
     for c in report.charts:
-        series = matrix.chart(main, c.category, c.value)
+        series = matrix.chart(out.main, c.category, c.value)
         if series is None:
-            notes.append(f"{c.name}: its columns are not in the data")
+            at.notes.append(f"{c.name}: its columns are not in the data")
         else:
             out.charts[c.name] = series
-    bodies = {t.name.upper(): t.body for t in report.triggers}
-    shown = {c.upper(): c for c in main.columns}
-    for f in report.fields:
-        column = shown.get(f.source.upper())
-        if column and f.mask:
-            typed = types.get(column.lower(), "")
-            text = masks.date_text(f"`{column}`", f.mask) if masks.is_date_mask(f.mask) and typed != "number" else masks.number_text(f"`{column}`", f.mask)
-            out.main = out.main.withColumn(f"{f.name}_text", F.expr(text))
-        if f.trigger.upper() in bodies:
-            try:
-                shown_when = plsql.Compiler(Dialect(**options), name_of(main)).compile(bodies[f.trigger.upper()])
-                out.main = out.main.withColumn(f"_visible_{f.name}", F.expr(f"coalesce({shown_when.value}, TRUE)"))
-            except plsql.UntranslatableFormula as e:
-                notes.append(f"{f.trigger}: {e}")
+    at.placed(out)
     return out
 
 
-def pages(result: Result, report: ReportDef, order: list[str]) -> DataFrame:
-    """The main rows with numbers and pages."""
-    numbered = present.numbered(result.main, order)
+def pages(result: Result, report: ReportDef, order: list[str] | None = None) -> DataFrame:
+    """The main rows with numbers and pages, in break order unless another is given."""
+    numbered = present.numbered(result.main, order or result.order)
     return present.paged(numbered, report.max_records) if report.max_records else numbered

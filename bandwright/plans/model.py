@@ -33,6 +33,7 @@ class Item:
     label: str = ""
     precision: int = 0
     scale: int = 0
+    break_order: str = "ascending"
 
     @property
     def spark_type(self) -> T.DataType:
@@ -122,13 +123,15 @@ class Trigger:
 
 @dataclass(frozen=True)
 class Field:
-    """A placed column: its mask, trigger and level."""
+    """A placed column: its mask, trigger, the group whose frame repeats it, and its conditional formats in order."""
 
     name: str
     source: str
     mask: str = ""
     trigger: str = ""
     visible: bool = True
+    group: str = ""
+    formats: tuple[tuple[str, tuple[tuple[str, str], ...]], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -153,6 +156,8 @@ class ReportDef:
     fields: tuple[Field, ...] = ()
     max_records: int = 0
     notes: tuple[str, ...] = field(default=())
+    texts: tuple[tuple[str, str], ...] = ()
+    layout: str = ""
 
     def dataset(self, name: str) -> Dataset:
         for d in self.datasets:
@@ -172,6 +177,22 @@ class ReportDef:
                     return keys
         raise UnresolvedReference(f"no group {reset}")
 
+    def owner(self, group: str) -> str:
+        """The dataset of a group, '' if there is none."""
+        return next((d.name for d in self.datasets for g in d.groups if g.name.upper() == group.upper()), "")
+
+    def shape(self) -> str:
+        """How the body repeats: matrix, chart, labels, form (a page a record), grouped, master-detail or table."""
+        if self.matrices:
+            return "matrix"
+        if self.charts and not self.fields:
+            return "chart"
+        if self.layout in ("labels", "form"):
+            return self.layout
+        if len(self.datasets) > 1 and self.links:
+            return "master-detail"
+        return "grouped" if self.datasets and len(self.main().groups) > 1 else "table"
+
     def main(self) -> Dataset:
         """The dataset the report repeats: a linked parent if there is one, else the one with most columns and groups."""
         if not self.datasets:

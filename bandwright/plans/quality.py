@@ -123,3 +123,19 @@ def hollow(df: DataFrame) -> bool:
 
 def effort(verdict: str, score: float) -> str:
     return "automatic" if verdict == "READY" and score >= 0.9 else "assisted" if verdict in ("READY", "AMBER") else "manual"
+
+
+def referenced(report: ReportDef) -> list[tuple[str, int]]:
+    """(table, references) over all datasets, most referenced first, ties in the order of first use; schema names do not count."""
+    counts: dict[str, int] = {}
+    for d in report.datasets:
+        flat = lex.tokens(d.sql)
+        for i, t in enumerate(flat[:-1]):
+            if lex.is_word(t, "FROM", "JOIN") and flat[i + 1].kind in ("word", "quoted"):
+                end = i + 1
+                while end + 2 < len(flat) and flat[end + 1].text == ".":
+                    end += 2
+                name = flat[end].text.strip('"').lower()
+                if name != "dual":
+                    counts[name] = counts.get(name, 0) + 1
+    return sorted(counts.items(), key=lambda x: -x[1])

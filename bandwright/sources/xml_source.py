@@ -64,13 +64,55 @@ def _item(node: ET.Element) -> Item:
     inner = node.find("dataDescriptor")
     precision = node.get("precision") or (inner.get("precision") if inner is not None else None)
     scale = node.get("scale") or (inner.get("scale") if inner is not None else None)
-    return Item(node.get("name", ""), node.get("datatype") or node.get("oracleDatatype") or "vchar2", node.get("defaultLabel", ""), _number(precision), _number(scale))
+    return Item(node.get("name", ""), node.get("datatype") or node.get("oracleDatatype") or "vchar2", node.get("defaultLabel", ""), _number(precision), _number(scale), (node.get("breakOrder") or "ascending").lower())
 
 
 def _sources(matrix: ET.Element, part: str) -> list[str]:
     return [f.get("source", "") for p in matrix.iter(part) for f in p.iter("field")]
 
 
+def _frame_matrix(m: ET.Element, frames: dict[str, str], datasets: list[Dataset], groups: dict[str, list[Item]]) -> Matrix | None:
+    """A matrix that names its frames: columns go across the horizontal one, rows down the vertical one, and the first number of the other groups fills the cells."""
+    across, down = (frames.get((m.get(k) or "").upper(), "").upper() for k in ("horizontalFrame", "verticalFrame"))
+    if not groups.get(across) or not groups.get(down):
+        return None
+    home = next(d for d in datasets if any(g.name.upper() == across for g in d.groups))
+    cells = [i.name for g in home.groups if g.name.upper() not in (across, down) for i in groups[g.name.upper()] if i.kind == "number"]
+    return Matrix(m.get("name", ""), (groups[down][0].name,), groups[across][0].name, (), cells[0]) if cells else None
+
+
+def _formats(node: ET.Element) -> tuple[tuple[str, tuple[tuple[str, str], ...]], ...]:
+    """(condition label, style properties) of the format exceptions of a field, in document order."""
+    out = []
+    for e in node.iter("formatException"):
+        style = {k: v for inner in (*e.iter("formatVisualSettings"), *e.iter("font")) for k, v in inner.attrib.items()}
+        if e.get("label") and style:
+            out.append((e.get("label", ""), tuple(sorted(style.items()))))
+    return tuple(out)
+
+
+def _fields(root: ET.Element) -> tuple[Field, ...]:
+    """All placed columns, each with the group of the innermost frame around it; short-hand lists of fields too."""
+    out: list[Field] = []
+
+    def walk(node: ET.Element, group: str) -> None:
+        if node.tag == "repeatingFrame":
+            group = node.get("source", "")
+        if node.tag == "field" and node.get("source"):
+            out.append(Field(node.get("name") or f"F_{node.get('source')}", node.get("source", ""), node.get("formatMask", ""), node.get("formatTrigger", ""), node.get("visible", "yes") != "no", group, _formats(node)))
+        for child in node:
+            walk(child, group)
+
+    walk(root, "")
+    return tuple(out)
+
+
+def _layout(root: ET.Element) -> str:
+    if root.find(".//mailing") is not None or any(r.get("printDirection", "").lower() in ("acrossdown", "downacross") for r in root.iter("repeatingFrame")):
+        return "labels"
+    return "form" if root.find(".//formlike") is not None or any(r.get("maxRecordsPerPage") == "1" for r in root.iter("repeatingFrame")) else ""
+
+
 def parse(data: bytes) -> ReportDef:
     notes: list[str] = []
     root = _root(decode(data))
@@ -92,6 +134,7 @@ def parse(data: bytes) -> ReportDef:
     bodies = {f.get("name", "").upper(): (f.findtext("textSource") or f.findtext(".//textSource") or "") for f in root.iter("function")}
     datasets, formulas, summaries = [], [], []
     owner: dict[str, str] = {}
+    own_items: dict[str, list[Item]] = {}
     for source in root.iter("dataSource"):
         name = source.get("name", "")
         sql = (source.findtext("select") or "").strip()
@@ -102,6 +145,7 @@ def parse(data: bytes) -> ReportDef:
             for i in own:
                 items.setdefault(i.name.upper(), i)
             owner[group.get("name", "").upper()] = name
+            own_items[group.get("name", "").upper()] = own
             if own:
                 groups.append(Group(group.get("name", ""), tuple(i.name for i in own), name))
         if not items and sql:
@@ -133,14 +177,18 @@ def parse(data: bytes) -> ReportDef:
             by = {s.name.upper(): s for s in summaries}
             cell = by.get(cells[0].upper())
             matrices.append(Matrix(m.get("name", ""), tuple(rows), cols[0], (), cell.source if cell else cells[0], cell.function if cell else "sum"))
+        elif framed := _frame_matrix(m, {r.get("name", "").upper(): r.get("source", "") for r in root.iter("repeatingFrame")}, datasets, own_items):
+            matrices.append(framed)
+        else:
+            notes.append(f"{m.get('name', 'matrix')}: rows, columns or cells not found")
     charts = [Chart(g.get("name", "chart"), g.get("groups", ""), g.get("dataValues", ""), g.get("title", "")) for g in root.iter("graph")]
     for c in re.finditer(r"<rw:graph\b([^>]*)", decode(data)):
         at = dict(re.findall(r"(\w+)=\"([^\"]*)\"", c[1]))
         charts.append(Chart(at.get("id", "chart"), at.get("groups", ""), at.get("dataValues", ""), at.get("title", "")))
-    fields = tuple(Field(f.get("name", ""), f.get("source", ""), f.get("formatMask", ""), f.get("formatTrigger", ""), f.get("visible", "yes") != "no") for f in root.iter("field"))
+    texts = tuple((t.get("name", ""), "".join(x.text or "" for x in t.iter("string"))) for t in root.iter("text"))
     triggers = tuple(Trigger(n, b) for n, b in bodies.items() if b and n.lower() not in {f.name.lower() for f in formulas})
     records = max((_number(r.get("maxRecordsPerPage")) for r in root.iter("repeatingFrame")), default=0)
-    return ReportDef(root.get("name", ""), params, tuple(datasets), tuple(links), tuple(formulas), tuple(summaries), tuple(matrices), tuple(charts), triggers, fields, records, tuple(notes))
+    return ReportDef(root.get("name", ""), params, tuple(datasets), tuple(links), tuple(formulas), tuple(summaries), tuple(matrices), tuple(charts), triggers, _fields(root), records, tuple(notes), tuple(t for t in texts if "&" in t[1]), _layout(root))
 
 
 def columns_of(sql: str) -> list[str]:
