@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bandwright.operators.present import with_totals
+
 FUNCTIONS = {
     "sum": F.sum,
     "average": F.avg,
@@ -65,8 +67,8 @@ def labelled(df: DataFrame, keys: Sequence[str], total: str = "Total") -> DataFr
 def share(df: DataFrame, value: str, name: str, scope: Sequence[str] = (), places: int = 6) -> DataFrame:
     """Each row's share of its scope's total (of the report without a scope)."""
     if scope:
-        total = F.sum(value).over(Window.partitionBy(*scope))
-        return df.withColumn(name, F.round((F.col(value) / total).cast("double"), places))
+        totalled = with_totals(df, scope, F.sum(value).alias("_total"))
+        return totalled.withColumn(name, F.round((F.col(value) / F.col("_total")).cast("double"), places)).drop("_total")
     total = df.agg(F.sum(value).alias("_total"))
     return df.crossJoin(F.broadcast(total)).withColumn(name, F.round((F.col(value) / F.col("_total")).cast("double"), places)).drop("_total")
 

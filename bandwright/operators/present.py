@@ -17,13 +17,15 @@ def numbered(df: DataFrame, order: Order, name: str = "row_no", within: Sequence
     """Rows numbered from 1 in an order, of the report or of each group.
 
     A report-wide number is made from per-partition counts of a range-sorted
-    frame, so no single task gets all rows. The sorted frame is persisted: both
-    its counts and its rows must come from one and the same range partitioning,
-    which is sampled anew each time a plan runs.
+    frame, so no single task gets all rows. Both its counts and its rows must
+    come from one and the same range partitioning, which is sampled anew each
+    time a plan runs: so the sorted frame is checkpointed where the session has
+    a folder for that, and persisted where it has none.
     """
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ordered = ordered.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ordered.persist(StorageLevel.MEMORY_AND_DISK)
     first = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_f"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     first = first.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -31,6 +33,13 @@ def numbered(df: DataFrame, order: Order, name: str = "row_no", within: Sequence
     return joined.withColumn(name, (F.col("_i") - F.col("_f") + F.col("_before") + 1).cast("int")).drop("_p", "_i", "_f", "_before")
 
 
+def with_totals(df: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
+    """Each row with an aggregate of its group, NULL keys being a group too."""
+    totals = df.groupBy(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys))).agg(total)
+    on = [df[k].eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    return df.join(totals, on).drop(*(f"_g{i}" for i in range(len(keys))))
+
+
 def banded(df: DataFrame, row_no: str = "row_no", name: str = "is_tinted") -> DataFrame:
     return df.withColumn(name, F.col(row_no) % 2 == 0)
 
@@ -40,8 +49,8 @@ def paged(df: DataFrame, per_page: int, row_no: str = "row_no", name: str = "pag
 
 
 def continued(df: DataFrame, group: Sequence[str], page: str = "page_no", name: str = "is_continued") -> DataFrame:
-    """Whether a row's page is after the first page of its group."""
-    return df.withColumn(name, F.col(page) > F.min(page).over(Window.partitionBy(*group)))
+    """Whether a row's page is after the first page of its group; the first pages come from one aggregation, so a large group is no large task."""
+    return with_totals(df, group, F.min(page).alias("_first")).withColumn(name, F.col(page) > F.col("_first")).drop("_first")
 
 
 def print_on(df: DataFrame, rule: str, page: str = "page_no", last: str = "total_pages", name: str = "is_printed") -> DataFrame:
