@@ -76,6 +76,40 @@ def test_stages(spark):
     assert whole == {i: r["taken"] for i, r in got.items()}
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, dropped string, _gone int, n_dropped long, _hits int, hits int, row string, gone int, id int, key string, blob string"
+GOOD = "It was a cold day in the north and the men of the town went out to the fields with their dogs to look for the lost sheep of the farm on the hill. "
+
+
+def _clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "d", 1, 8, 2, 3, "r", 4, 5, "k", "b") for i, t in rows], CLASH)
+
+
+@pytest.mark.parametrize("at", range(5), ids=[name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, at):
+    """Null and empty texts, repeated rows, a null id, an empty table, and columns whose names clash."""
+    name, stage = corpus_pipeline.STAGES[at]
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, GOOD + "one two three"), (4, GOOD + "one two three"), (5, GOOD + "one two three"), (None, "quite another text of the world, and so on it goes with it"), (6, "x " * 5000)]
+    df = _clashing(spark, rows)
+    done = stage(spark, df, DATA)
+    got = [r.asDict() for r in done.collect()]
+    assert stage(spark, df.limit(0), DATA).count() == 0
+    if name == "source_mix":
+        assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+        return
+    assert done.columns == df.columns and all((r["dropped"], r["_gone"], r["n_dropped"], r["_hits"], r["row"]) == ("d", 1, 8, 2, "r") for r in got)
+    ids = sorted((r["doc_id"] or 0 for r in got))
+    want = {"quality_rules": [4, 4, 5], "line_dedup": [0, 1, 2, 3, 4, 4, 6], "near_dedup": [0, 1, 2, 3, 4, 4, 6], "decontamination": [0, 1, 2, 3, 4, 4, 5, 6]}[name]
+    assert ids == want
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    from bandwright.llm.op9_neardup import one_of_each
+
+    long, other = GOOD, "something else that nobody else has written so far, neither here nor there at all"
+    got = one_of_each(_clashing(spark, [(1, long), (5, long), (5, other), (None, other + " "), (7, other)])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, other + " "), (1, long)]
+
+
 def _near(a, b):
     n = min(len(a), len(b))
     k = 0 if n < 40 else 2 if n < 100 else 3
