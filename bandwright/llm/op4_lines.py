@@ -281,12 +281,27 @@ def _hot_lines(source: DataFrame, edits: Edits, hot: np.ndarray) -> DataFrame:
 
 
 def _refined_pairs(lines: DataFrame, edits: Edits) -> DataFrame:
-    """(a, b) of the candidates among lines with hot keys: one level of refinement after the other."""
-    pairs, depth = None, 0
-    byte = "pmod((shiftrightunsigned({}, {}) & 255) - (shiftrightunsigned({}, {}) & 255), 256)"
-    differences = [byte.format(f"a{t}", 8 * i, t, 8 * i) for t in TALLIES for i in range(8)]
-    apart = " + ".join(f"least({d}, 256 - {d})" for d in differences)
+    """(a, b) of the candidates among lines with hot keys, each once: one level of refinement after the other."""
     most = max(k for _, k in edits)
+    tally = [F.col(t) for t in TALLIES]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, list of b), a > b, for the lines (key, size, tallies) that are near enough to one of their list by size and tallies."""
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            there = lists.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            here = [c.to_numpy() for c in batch.columns[:-1]]
+            theirs = [there.field(i).to_numpy() for i in range(len(here))]
+            bytes_of = lambda columns: np.ascontiguousarray(np.stack(columns, axis=1)).view(np.uint8)
+            apart = bytes_of(theirs[2:]) - bytes_of(here[2:])[owner]
+            apart = np.minimum(apart, 0 - apart).sum(axis=1, dtype=np.int64)
+            near = (here[0][owner] != theirs[0]) & (apart <= 2 * most - np.abs(here[1][owner] - theirs[1]))
+            found = np.unique(np.sort(np.stack([here[0][owner][near], theirs[0][near]], axis=1), axis=1)[:, ::-1], axis=0)
+            larger, first = np.unique(found[:, 0], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(larger), pa.ListArray.from_arrays(pa.array(np.append(first, len(found)).astype(np.int32)), pa.array(np.ascontiguousarray(found[:, 1])))], ["a", "bs"])
+
+    pairs, depth = None, 0
     while True:
         depth += 1
 
@@ -305,11 +320,16 @@ def _refined_pairs(lines: DataFrame, edits: Edits) -> DataFrame:
         hot = found.where("own and not final").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h")
         hot = written(hot, "hot")
         cool = found.where("own").join(hot, "h", "left_anti")
-        probe = found.select("h", F.col("key").alias("a"), F.col("size").alias("n"), *(F.col(t).alias(f"a{t}") for t in TALLIES))
-        met = probe.join(cool.select("h", F.col("key").alias("b"), "size", *TALLIES), "h").where(f"a <> b and {apart} <= {2 * most} - abs(n - size)").select("a", "b")
+        line = F.struct("key", "size", *tally)
+        # at most HOT_REFINED lines in a list; a final key has no bound, and its lines hardly differ
+        listed = cool.where("not final").groupBy("h").agg(F.collect_list(line).alias("near"))
+        listed = listed.union(cool.where("final").select("h", F.array(line).alias("near")))
+        met = found.select("h", "key", "size", *tally).join(listed, "h").where("size(near) > 1 or near[0].key <> key")
+        met = written(met.select("key", "size", *tally, "near").mapInArrow(compared, "a long, bs array<long>"), "near")
         pairs = met if pairs is None else pairs.union(met)
         if hot.isEmpty():
-            return pairs
+            by = pairs.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+            return by.select("a", F.explode("bs").alias("b"))
         more = found.join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("more"))
         lines = written(lines.join(more, "key").select("key", "value", F.array_union("hots", "more").alias("hots")), "hot-lines")
 
