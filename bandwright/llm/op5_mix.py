@@ -141,7 +141,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
 def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken) for every row."""
     documents, slots, pieces = mix(df, id_col, text, source)
-    hits = pieces.join(slots.select("rank", "block", "words"), ["rank", "block"], "left")
+    hits = pieces.join(slots.select("rank", "block", "words").hint("merge"), ["rank", "block"], "left")  # both sides grow with the input
     took = hits.groupBy("rank", "start", "id", "size", "source_size", "target").agg(F.sum(F.expr("greatest(least(coalesce(words, 0), high) - low, 0)")).alias("taken"))
     none = documents.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return took.select("id", "size", "source_size", "target", "taken").unionByName(none).withColumnRenamed("id", id_col)
