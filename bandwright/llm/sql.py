@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bandwright.llm import op2_secrets, op4_lines, op5_mix, op7_quality
+from bandwright.llm import op2_secrets, op4_lines, op5_mix, op7_quality, op13_resample
 
 
 def _secrets() -> str:
@@ -31,6 +31,37 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN per USING (doc_id)"""
 
 
+CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)"
+
+
+def _crc32(x: str) -> str:
+    """The unsigned CRC-32 of a text's bytes; the table of 256 states is in scope as ``crc``."""
+    pairs = f"list_transform(range(1, strlen({x}) + 1), lambda i: CAST('0x' || substr(hex({x}), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {pairs}), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"
+
+
+def _resample() -> str:
+    n, word = op13_resample.BUCKETS, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH table_of AS MATERIALIZED ({CRC_TABLE}),
+words AS MATERIALIZED (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS w FROM documents),
+wanted AS MATERIALIZED (SELECT regexp_extract_all({lower}, '{word}') AS w FROM benchmark),
+counts AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words) GROUP BY doc_id, f),
+targets AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM wanted) GROUP BY f),
+known AS MATERIALIZED (SELECT f, {_crc32("f")} % {n} AS bucket FROM (SELECT f FROM counts UNION SELECT f FROM targets), table_of),
+s AS (SELECT bucket, sum(n)::BIGINT AS n FROM counts JOIN known USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS n FROM targets JOIN known USING (f) GROUP BY bucket),
+gains AS (SELECT b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + {n})::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {n})::DOUBLE)))::BIGINT AS gain
+          FROM (SELECT unnest(range({n})) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+sums AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM counts JOIN known USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) >= {op13_resample.MIN_WORDS} AS enough, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+                  floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+           FROM words LEFT JOIN sums USING (doc_id)),
+placed AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY enough ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER (PARTITION BY enough) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= n * {op13_resample.PERCENT} // 100 THEN place END AS rank FROM placed"""
+
+
 def _mod(x: str, n: str | int) -> str:
     return f"((({x}) % {n} + {n}) % {n})"
 
@@ -152,4 +183,4 @@ SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_du
 FROM (SELECT *, n_words < {q.MIN_WORDS} OR n_repeat_words * 100 > n_words * {q.MAX_REPEATED_PERCENT} AS failed FROM found)"""
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op7_quality_rules": _quality(), "op9_minhash_neardup": _near_duplicates()}
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op7_quality_rules": _quality(), "op9_minhash_neardup": _near_duplicates(), "op13_importance_resample": _resample()}
