@@ -91,6 +91,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op11_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op13_resample import resample
 
@@ -98,7 +104,7 @@ def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_secret_scan, op3_language_id, op4_line_dedup, op4_line_dedup_edits, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts, op13_importance_resample)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_secret_scan, op3_language_id, op4_line_dedup, op4_line_dedup_edits, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts, op11_prefix_trie, op13_importance_resample)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bandwright.llm import op2_secrets, op4_lines, op5_mix, op7_quality, op13_resample
+from bandwright.llm import op2_secrets, op4_lines, op5_mix, op7_quality, op11_trie, op13_resample
 
 
 def _secrets() -> str:
@@ -62,6 +62,24 @@ placed AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY en
 SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= n * {op13_resample.PERCENT} // 100 THEN place END AS rank FROM placed"""
 
 
+def _trie() -> str:
+    return f"""
+WITH table_of AS MATERIALIZED ({CRC_TABLE}),
+own AS (SELECT conv_id AS c, list({{'e': md5(strlen(role) || ':' || role || text), 'n': length(text)}} ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS t
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT c, c::VARCHAR AS s, t FROM own),
+hashed AS (SELECT heads.c, t, {_crc32("s")} % {op11_trie.HEADS} AS h FROM heads, table_of),
+conv AS MATERIALIZED (SELECT a.c, coalesce(b.t[1:a.h], []) || a.t[a.h + 1:] AS t FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % {op11_trie.FAMILY}),
+pre AS (SELECT c, t, unnest(range(len(t) + 1)) AS d FROM conv),
+keyed AS MATERIALIZED (SELECT c, d, len(t) = d AS ends, coalesce(array_to_string(list_transform(t[1:d], lambda x: x.e), ''), '') AS k, coalesce(t[d].n, 0) AS size FROM pre),
+nodes AS MATERIALIZED (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, min(size) AS size, coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM keyed GROUP BY d, k),
+kids AS MATERIALIZED (SELECT a.d, a.k, a.conv_id, a.n_convs, a.ends, count(b.k) AS n_children, (a.n_convs - 1) * a.size AS saved
+         FROM nodes a LEFT JOIN nodes b ON b.d = a.d + 1 AND substr(b.k, 1, 32 * a.d) = a.k GROUP BY ALL),
+subs AS (SELECT up AS d, substr(k, 1, 32 * up) AS k, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT k, n_children, saved, unnest(range(d + 1)) AS up FROM kids) GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM kids x JOIN subs s ON s.d = x.d AND s.k = x.k LEFT JOIN kids p ON p.d = x.d - 1 AND p.k = substr(x.k, 1, 32 * (x.d - 1))"""
+
+
 def _mod(x: str, n: str | int) -> str:
     return f"((({x}) % {n} + {n}) % {n})"
 
@@ -183,4 +201,4 @@ SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_du
 FROM (SELECT *, n_words < {q.MIN_WORDS} OR n_repeat_words * 100 > n_words * {q.MAX_REPEATED_PERCENT} AS failed FROM found)"""
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op7_quality_rules": _quality(), "op9_minhash_neardup": _near_duplicates(), "op13_importance_resample": _resample()}
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op7_quality_rules": _quality(), "op9_minhash_neardup": _near_duplicates(), "op11_prefix_trie": _trie(), "op13_importance_resample": _resample()}
