@@ -97,6 +97,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandwright.llm.op12_repeats import without_repeats
+
+    done = without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandwright.llm.op13_resample import resample
 
@@ -104,7 +111,7 @@ def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_surrogates, op2_secret_scan, op3_language_id, op4_line_dedup, op4_line_dedup_edits, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts, op11_prefix_trie, op13_importance_resample)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_secret_scan, op3_language_id, op4_line_dedup, op4_line_dedup_edits, op5_source_mix, op6_decontaminate, op7_quality_rules, op8_html_text, op9_minhash_neardup, op10_token_counts, op11_prefix_trie, op12_repeated_bytes, op13_importance_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
