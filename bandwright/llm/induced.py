@@ -3,8 +3,8 @@
 ``suffix_order`` sorts all suffixes of an array of symbols that ends in a symbol
 0 of which there is no other. As in all induced sorting, the suffixes that start
 a rise (S*: an S-type after an L-type) are sorted first, by naming the stretches
-between them and sorting the string of names by recursion. From their order the
-L-types follow in a scan upwards and the S-types in a scan downwards: whatever is
+between them and sorting the string of names by recursion, or in memory once the
+names fit there. From their order the L-types follow in a scan upwards and the S-types in a scan downwards: whatever is
 scanned puts the suffix that begins one symbol earlier into a priority queue.
 
 The queue is bulk and disk-backed. It takes tuples (symbol, position, common
@@ -37,6 +37,8 @@ from bandwright.llm import textscan as ts
 
 NO_TUPLES = np.zeros((0, 2), np.int64)  # a tuple is (symbol << 8 | common prefix, position)
 CHUNK = 1 << 20
+#: Bytes for each name that sorting in memory takes.
+IN_MEMORY = 64
 FAR = np.iinfo(np.int64).max
 
 
@@ -184,6 +186,37 @@ class Carried:
         return out
 
 
+def doubled(names: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The recursion's base case, for names that fit in memory: their suffixes by the first ``cap`` names, and the common prefixes.
+
+    Ranks of the first h names make ranks of the first 2h. A suffix's common
+    prefix with the one before is put together from the steps, largest first.
+    """
+    n, h = len(names), 1
+    ranks = [names.astype(np.int64)]
+    while h < cap:
+        last = ranks[-1]
+        follow = np.zeros(n, np.int64)
+        follow[:-h] = last[h:] + 1
+        key = last * (n + 2) + follow
+        order = np.argsort(key, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.zeros(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        ranks.append(rank)
+        h *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    shared = np.zeros(n, np.int64)
+    for k, rank in reversed(list(enumerate(ranks))):
+        a, b = np.minimum(order[:-1] + shared[1:], n - 1), np.minimum(order[1:] + shared[1:], n - 1)
+        shared[1:] += np.where(rank[a] == rank[b], 1 << k, 0) if k < len(ranks) - 1 else 0
+    whole = np.zeros(n, bool)
+    whole[1:] = ranks[-1][order[1:]] == ranks[-1][order[:-1]]
+    shared[whole] = cap
+    return order, np.minimum(shared, cap).astype(np.uint8)
+
+
 class Text:
     """An array of symbols with the types of its suffixes and the lengths of its runs."""
 
@@ -213,7 +246,7 @@ class Text:
 
         L-types are induced upwards. S-types are induced downwards, as the same scan over mirrored symbols.
         """
-        disk, bin_size, window = self.disk, max(512, int(self.n**0.5)), max(4096, 2 * int(self.n**0.5))
+        disk, bin_size, window = self.disk, max(512, int(self.n**0.5)), max(1 << 15, 2 * int(self.n**0.5))
         take = window
         mirrored = (lambda x: self.size - 1 - x.astype(np.int64)) if s_type else (lambda x: x.astype(np.int64))
         count = np.zeros(self.size, np.int64)
@@ -353,7 +386,9 @@ class Text:
             ordered = np.append(self.n - 1, down[is_lms[down] == 1][::-1])
             names, number = self.names(ordered)
             if number == n:
-                rank, equal = np.argsort(names, kind="stable"), np.zeros(n, np.int64)
+                rank, equal = np.argsort(names, kind="stable"), np.zeros(n, np.uint8)
+            elif n * IN_MEMORY <= self.disk.budget:
+                rank, equal = doubled(names, (self.cap + 1) // 2)
             else:
                 rank, equal = Text(names, (self.cap + 1) // 2, self.disk).sorted(False)  # a name is two symbols at least
             seeds = self.lms[rank]

@@ -46,10 +46,10 @@ from bandwright.llm.induced import suffix_order
 from bandwright.llm.store import release, small_batches, written
 
 WIDTH = 50
-ANCHOR = 24
+ANCHOR = 20
 BLOCK = 1 << 20
-SHARD = 32 << 20
-BUDGET = 1 << 26
+SHARD = 12 << 20
+BUDGET = 1 << 27
 PART = 1 << 22
 NO_ID = -(1 << 63)
 ENTRY = np.dtype([("s", "<u8"), ("first", "<i8"), ("a", "<u4"), ("many", "u1")])
@@ -153,7 +153,7 @@ SENT_TYPES, ASKED_TYPES = "shard int, block long, x binary", "shard int, block l
 
 def codes_of(table: pa.Table) -> pa.Table:
     """For the entries that blocks sent to a shard: (shard, block, x) with a code for each entry and the first id of the settled ones."""
-    sent = [np.frombuffer(x.as_buffer(), ENTRY) for x in table["x"]]
+    sent = [unpacked_entries(x.as_buffer()) for x in table["x"]]
     sizes = np.array([len(x) for x in sent])
     entries = np.concatenate(sent)
     order = np.lexsort((entries["s"], entries["a"]))
@@ -177,6 +177,25 @@ def codes_of(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_columns(SENT, rows)])
 
 
+def packed_entries(entries: np.ndarray) -> bytes:
+    """Entries column by column, the ids as differences from the smallest, in as few bytes as hold them: they compress well."""
+    low = int(entries["first"].min()) if len(entries) else 0
+    apart = entries["first"].view(np.uint64) - np.uint64(low & ((1 << 64) - 1))
+    size = next(k for k in (2, 4, 8) if k == 8 or not len(apart) or int(apart.max()) < 1 << 8 * k)
+    head = np.array([len(entries), low, size], "<i8")
+    return b"".join(x.tobytes() for x in (head, entries["s"], entries["a"], apart.astype(f"<u{size}"), np.packbits(entries["many"])))
+
+
+def unpacked_entries(x: bytes) -> np.ndarray:
+    n, low, size = np.frombuffer(x, "<i8", 3).tolist()
+    out = np.zeros(n, ENTRY)
+    out["s"], out["a"] = np.frombuffer(x, "<u8", n, 24), np.frombuffer(x, "<u4", n, 24 + 8 * n)
+    apart = np.frombuffer(x, f"<u{size}", n, 24 + 12 * n).astype(np.uint64)
+    out["first"] = (apart + np.uint64(low & ((1 << 64) - 1))).view(np.int64)
+    out["many"] = np.unpackbits(np.frombuffer(x, np.uint8, offset=24 + (12 + size) * n), count=n)
+    return out
+
+
 def unpacked(x: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(x, np.uint8, n), np.frombuffer(x, np.int64, offset=n)
 
@@ -295,7 +314,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
             for row, ids, bounds, data in blocks_in(batch):
                 x = block_of(data, bounds, ids, width, shards)
                 name = batch.column("block")[row].as_py()
-                yield _columns(SENT, [(s, name, x.entries[a:b].tobytes()) for s, a, b in zip(x.shards.tolist(), x.cuts[:-1], x.cuts[1:], strict=True)])
+                yield _columns(SENT, [(s, name, packed_entries(x.entries[a:b])) for s, a, b in zip(x.shards.tolist(), x.cuts[:-1], x.cuts[1:], strict=True)])
 
     codes = written(blocks.mapInArrow(send, SENT_TYPES).groupBy("shard").applyInArrow(codes_of, SENT_TYPES), "codes")
     release(df.sparkSession)
