@@ -730,12 +730,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from bandwright import catalog_definitions  # noqa: F401  adds its queries
+    from bandwright import catalog_definitions, catalog_details  # noqa: F401  they add their queries
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from bandwright import catalog_definitions  # noqa: F401
+    from bandwright import catalog_definitions, catalog_details  # noqa: F401
 
     return dict(_oracles)

@@ -98,6 +98,15 @@ def percent(df: DataFrame, source: str, keys: Sequence[str], scope: Sequence[str
     return share(by, "_v", name, scope).drop("_v")
 
 
+def brought(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the values that ``totals`` has for its group, NULL keys being a group too; one row of them goes to all."""
+    if not keys:
+        return df.crossJoin(F.broadcast(totals))
+    names = {k.lower() for k in keys}
+    named = totals.select(*(F.col(c).alias(f"_g_{c.lower()}") if c.lower() in names else F.col(c) for c in totals.columns))
+    return df.join(named, [df[k].eqNullSafe(F.col(f"_g_{k.lower()}")) for k in keys], "left").drop(*(f"_g_{k.lower()}" for k in keys))
+
+
 def summary(df: DataFrame, function: str, source: str, keys: Sequence[str], name: str, order: Column | None = None) -> DataFrame:
     """One declared summary at its level."""
     if source.lower() not in {c.lower() for c in df.columns}:

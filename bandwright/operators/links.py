@@ -11,10 +11,11 @@ from pyspark.sql.window import Window
 Pairs = Sequence[tuple[str, str]]
 
 
-def _left(master: DataFrame, child: DataFrame, pairs: Pairs) -> DataFrame:
-    """A left join on the pairs, without the child's key columns."""
+def _left(master: DataFrame, child: DataFrame, pairs: Pairs, null_safe: bool = False) -> DataFrame:
+    """A left join on the pairs, without the child's key columns; NULL meets NULL only if ``null_safe``."""
     child = child.withColumnsRenamed({c: f"_k{i}" for i, (_, c) in enumerate(pairs)})
-    keys = [F.col(f"_m.{m}") == F.col(f"_k{i}") for i, (m, _) in enumerate(pairs)]
+    same = Column.eqNullSafe if null_safe else Column.__eq__
+    keys = [same(F.col(f"_m.{m}"), F.col(f"_k{i}")) for i, (m, _) in enumerate(pairs)]
     joined = master.alias("_m").join(child, keys, "left")
     return joined.drop(*(f"_k{i}" for i in range(len(pairs))))
 
@@ -52,6 +53,19 @@ def subtotal(master: DataFrame, child: DataFrame, pairs: Pairs, aggregate: Colum
     return _left(master, child.groupBy(*_keyed(child, pairs)).agg(aggregate.alias(name)), pairs)
 
 
+def merged(master: DataFrame, child: DataFrame, pairs: Pairs, aggregates: dict[str, Column], shown: dict[str, Column], null_safe: bool = False) -> DataFrame:
+    """All that master rows show of their details, from one aggregation of the child and one join.
+
+    ``aggregates`` are computed for each key under the names given; ``shown``
+    are the columns that the master gets, from expressions over these names.
+    """
+    keys = [F.col(c).alias(f"_c{i}") for i, (_, c) in enumerate(pairs)]
+    summed = child.groupBy(*keys).agg(*(a.alias(f"_a{i}") for i, a in enumerate(aggregates.values())))
+    summed = summed.withColumnsRenamed({f"_a{i}": f"_v_{n}" for i, n in enumerate(aggregates)})
+    joined = _left(master, summed, [(m, f"_c{i}") for i, (m, _) in enumerate(pairs)], null_safe)
+    return joined.withColumns(shown).drop(*(f"_v_{n}" for n in aggregates))
+
+
 def hops(master: DataFrame, chain: Sequence[tuple[DataFrame, Pairs, dict[str, str], Sequence[str]]]) -> DataFrame:
     """Lookups one after the other; each may use what the one before found."""
     for child, pairs, values, order in chain:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import graphlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from bandwright.functions import masks
 from bandwright.functions.registry import Registry, standard
 from bandwright.operators import breaks, drill, links, matrix, present
-from bandwright.plans import binds, lex, plsql
+from bandwright.plans import binds, detail, lex, plsql
 from bandwright.plans.dialect import Dialect
 from bandwright.plans.lex import Token
-from bandwright.plans.model import Dataset, ReportDef, Summary
+from bandwright.plans.model import Dataset, Formula, ReportDef, Summary
 
 MATRIX_VALUES = 1000
 
@@ -45,34 +46,6 @@ def _literal(value: object) -> str:
     return str(value) if isinstance(value, (int, float)) else masks.quote(str(value))
 
 
-ARITHMETIC = ("+", "-", "*", "/", "||")
-
-
-def _column_at(flat: list[Token], i: int) -> int:
-    """The end of the column name that starts at i, or i if none does."""
-    if i >= len(flat) or flat[i].kind not in ("word", "quoted"):
-        return i
-    end = i + 1
-    while end + 1 < len(flat) and flat[end].text == "." and flat[end + 1].kind in ("word", "quoted"):
-        end += 2
-    return i if end < len(flat) and flat[end].text in ("(", *ARITHMETIC) else end
-
-
-def link_predicates(flat: list[Token], keys: set[str]) -> list[tuple[int, int, str, str]]:
-    """(start, end, bind, column) of each ``column = :KEY`` or ``:KEY = column`` among the tokens."""
-    out = []
-    for i, t in enumerate(flat):
-        if t.kind in ("word", "quoted") and (i == 0 or flat[i - 1].text not in (".", *ARITHMETIC)):
-            end = _column_at(flat, i)
-            if end > i and end + 1 < len(flat) and flat[end].text == "=" and flat[end + 1].kind == "bind" and flat[end + 1].text[1:].upper() in keys and (end + 2 == len(flat) or flat[end + 2].text not in ARITHMETIC):
-                out.append((i, end + 2, flat[end + 1].text[1:].upper(), "".join(x.text for x in flat[i:end])))
-        elif t.kind == "bind" and t.text[1:].upper() in keys and i + 2 < len(flat) and flat[i + 1].text == "=" and (i == 0 or flat[i - 1].text not in ARITHMETIC):
-            end = _column_at(flat, i + 2)
-            if end > i + 2:
-                out.append((i, end, t.text[1:].upper(), "".join(x.text for x in flat[i + 2 : end])))
-    return out
-
-
 def _link_keys(d: Dataset, report: ReportDef) -> dict[str, str]:
     """Child column by parent column of the links into a dataset."""
     return {p.upper(): c for link in report.links if link.child.upper() == d.name.upper() for p, c in link.pairs}
@@ -86,7 +59,7 @@ def without_link(d: Dataset, report: ReportDef) -> str:
     flat = lex.tokens(d.sql)
     out: list[Token] = []
     at = 0
-    for start, end, _, _ in link_predicates(flat, set(keys)):
+    for start, end, _, _ in detail.conjuncts(flat, set(keys)):
         out += [*flat[at:start], Token("number", "1"), Token("op", "="), Token("number", "1")]
         at = end
     return lex.text_of(out + flat[at:])
@@ -116,7 +89,7 @@ def with_keys(d: Dataset, report: ReportDef) -> str:
             between[-1].append(t)
         else:
             branches[-1].append(t)
-    found = [{column.rpartition(".")[2].upper(): column for _, _, _, column in link_predicates(b, set(keys))} for b in branches]
+    found = [{column.rpartition(".")[2].upper(): column for _, _, _, column in detail.conjuncts(b, set(keys))} for b in branches]
     have = {c.upper() for c in _selected(branches[0])}
     missing = [c for c in dict.fromkeys(k.upper() for k in keys.values()) if c not in have and "*" not in have and any(c in f for f in found)]
     if not missing or any(lex.is_word(t, "ROLLUP", "CUBE", "SETS") for b in branches for t in b):
@@ -172,10 +145,17 @@ class _Run:
         self.given = self.known | {k.upper(): v for k, v in values.items()}
         self.options = {"types": self.types, "registry": registry, "now": now}
         self.frames: dict[str, DataFrame] = {}
-
-    def sql(self, text: str, **options: object) -> DataFrame:
+        self.lateral: dict[str, tuple[tuple[str, str], ...]] = {}  # by detail: (parent column, key column)
+        self.waiting: dict[str, list[Formula]] = {}
+        self.broken: set[str] = set()
+        main = report.main().name if report.datasets else ""
+        homes = {d.name for d in report.datasets if d.sql}
+        for f in report.formulas:
+            self.waiting.setdefault(f.dataset if f.dataset in homes else main, []).append(f)
+
+    def sql(self, text: str, around: str = "{}", **options: object) -> DataFrame:
         dialect = Dialect(**options, **self.options)
-        sql = dialect.query(text)
+        sql = around.format(dialect.query(text))
         self.notes += dialect.notes
         return self.spark.sql(sql, args=binds.arguments(sql, self.given, self.report.params))
 
@@ -192,14 +172,47 @@ class _Run:
 
         return resolve
 
-    def load(self, d: Dataset) -> None:
+    def load(self, d: Dataset, parent: str = "") -> None:
+        """The rows of a dataset; of a detail, with what ties them to the rows of ``parent``."""
         if not d.sql:
             self.notes.append(f"{d.name}: no SQL")
             return
-        text = without_link(replace(d, sql=with_keys(d, self.report)), self.report)
-        left = [b for b in lex.binds(text) if b in _link_keys(d, self.report) and b not in self.given and f"=:{b}" in text.upper().replace(" ", "")]
-        self.notes += [f"{d.name}: the predicate on :{b} is not understood, its rows are not tied to their parent" for b in left]
-        self.frames[d.name] = self.sql(text, lexicals=self.lexicals)
+        link = next((k for k in self.report.links if k.child.upper() == d.name.upper() and k.parent.upper() == parent.upper()), None)
+        if link is None:
+            self.frames[d.name] = self.sql(d.sql, lexicals=self.lexicals)
+            return
+        above = {c.upper(): c for c in self.frames[parent].columns}
+        used = [b for b in lex.binds(d.sql) if b in above and (b in _link_keys(d, self.report) or b not in self.given)]
+        unseen = [b for b in lex.binds(d.sql) if b in {p.upper() for p, _ in link.pairs} and b not in above and b not in self.given]
+        self.notes += [f"{d.name}: {parent} has no column {b}, its rows are not tied to their parent" for b in unseen]
+        declared = [(p, c) for p, c in link.pairs if c and p.upper() in above]
+        limited = detail.is_limited(lex.tokens(d.sql))
+        if detail.is_plain(d.sql, set(used)) and all(c for _, c in link.pairs) or not (used or limited and declared):
+            self.frames[d.name] = self.sql(without_link(replace(d, sql=with_keys(d, self.report)), self.report), lexicals=self.lexicals)
+            return
+        text = d.sql
+        if not used:  # a declared link is one more predicate of the detail
+            text, used = detail.with_predicates(d.sql, declared), [p.upper() for p, _ in declared]
+        keys = self.frames[parent].select(*(F.col(above[k]).alias(detail.key_column(k)) for k in used)).distinct()
+        frame = None
+        for null, branch in detail.optional_filters(text, set(used)):
+            some = keys
+            for k, is_null in null.items():
+                key = F.col(detail.key_column(k))
+                some = some.where(key.isNull() if is_null else key.isNotNull())
+            part = self.for_each(some, branch, set(used))
+            frame = part if frame is None else frame.unionByName(part)
+        self.frames[d.name] = frame
+        self.lateral[d.name.upper()] = tuple((above[k], detail.key_column(k)) for k in used)
+
+    def for_each(self, keys: DataFrame, text: str, used: set[str]) -> DataFrame:
+        """The rows of a detail for each row of its parent's keys, with these keys."""
+        view = f"bandwright_{uuid.uuid4().hex}"
+        keys.createOrReplaceTempView(view)
+        try:
+            return self.sql(detail.lateral(text, used), lexicals=self.lexicals, around=f"SELECT {detail.KEYS}.*, bw_x.* FROM {view} {detail.KEYS} JOIN LATERAL ({{}}) bw_x")
+        finally:
+            self.spark.catalog.dropTempView(view)
 
     def fetched(self, df: DataFrame, name: str, body: str) -> DataFrame:
         """``df`` with the value of a cursor formula, as a correlated subquery that Spark makes a join."""
@@ -215,22 +228,114 @@ class _Run:
         finally:
             self.spark.catalog.dropTempView(view)
 
-    def formulas(self, main: str) -> None:
-        for f in self.report.formulas:
-            home = f.dataset if f.dataset in self.frames else main
-            df = self.frames[home]
+    # ---- the order of evaluation
+    def evaluate(self, name: str, parent: str = "", above: tuple[str, ...] = ()) -> None:
+        """A dataset's rows, the formulas that need no detail, its details, then all that is made from these."""
+        d = self.report.dataset(name)
+        self.load(d, parent)
+        if d.name not in self.frames:
+            return
+        self.settle(d.name, early=True)
+        for link in self.report.links:
+            if link.parent.upper() == d.name.upper() and link.child.upper() not in {x.upper() for x in (d.name, *above)}:
+                child = self.report.dataset(link.child).name
+                if child not in self.frames:
+                    self.evaluate(child, d.name, (*above, d.name))
+                if child in self.frames:
+                    self.attach(d.name, child, link.pairs)
+        self.settle(d.name, early=False)
+
+    def needs(self, f: Formula) -> set[str]:
+        """The names that a formula reads, but for the placeholders that it sets itself."""
+        flat = lex.tokens(f.body)
+        read = {t.text[1:].upper() for t in flat if t.kind == "bind"}
+        return read - self.sets(f) - {f.name.upper()} | ({f.name.upper()} if self._reads_itself(f, flat) else set())
+
+    @staticmethod
+    def _reads_itself(f: Formula, flat: list[Token]) -> bool:
+        return any(t.kind == "bind" and t.text[1:].upper() == f.name.upper() and (i + 1 == len(flat) or flat[i + 1].text != ":=") for i, t in enumerate(flat))
+
+    @staticmethod
+    def sets(f: Formula) -> set[str]:
+        flat = lex.tokens(f.body)
+        return {t.text[1:].upper() for t, n in zip(flat, flat[1:], strict=False) if t.kind == "bind" and n.text == ":="}
+
+    def settle(self, name: str, early: bool) -> None:
+        """Computes what waits for a dataset's columns, in the order of who needs whom.
+
+        The graph has the formulas, the placeholders that they set and the
+        summaries of the dataset's own rows; a summary is brought to the rows
+        only for a formula that reads it. Early, what needs a detail goes on
+        waiting; later it is noted and NULL, and so are cycles.
+        """
+        waiting = self.waiting.get(name, [])
+        by_name = {f.name.upper(): f for f in waiting} | {p: f for f in waiting for p in self.sets(f)}
+        own = {s.name.upper(): s for s in self.report.summaries}
+        graph: dict[str, set[str]] = {f.name.upper(): self.needs(f) for f in waiting}
+        graph |= {p: {f.name.upper()} for f in waiting for p in self.sets(f)}
+        for s in self.report.summaries:
+            graph.setdefault(s.name.upper(), {s.source.upper()})
+        while True:
             try:
-                if any(lex.is_word(t, "CURSOR") for t in lex.tokens(f.body)):
-                    df = self.fetched(df, f.name, f.body)
-                else:
-                    done = plsql.Compiler(Dialect(**self.options), self.names(df)).compile(f.body)
-                    for name, value in done.placeholders.items():
-                        df = df.withColumn(name, F.expr(value))
-                    df = df.withColumn(f.name, F.expr(done.value or "NULL"))
-            except plsql.UntranslatableFormula as e:
-                self.notes.append(f"{f.name}: {e}")
-                df = df.withColumn(f.name, F.lit(None).cast("string"))
-            self.frames[home] = df
+                order = list(graphlib.TopologicalSorter(graph).static_order())
+                break
+            except graphlib.CycleError as e:
+                cycle = e.args[1]
+                self.notes.append(f"{' needs '.join(reversed(cycle))}: a cycle, all of them are NULL")
+                self.broken |= set(cycle)
+                for c in cycle:
+                    graph[c] = set()
+        done: set[str] = set()
+        for node in order:
+            columns = {c.upper() for c in self.frames[name].columns}
+            f = by_name.get(node)
+            if f is not None and f.name.upper() == node and f not in done:
+                missing = {n for n in self.needs(f) if n not in columns and n not in self.given}
+                for n in list(missing):
+                    s = own.get(n)
+                    if s is not None and self.bring(name, s):
+                        missing.discard(n)
+                if early and (missing or node in self.broken):
+                    continue
+                self.compute(name, f)
+                done.add(f)
+        self.waiting[name] = [f for f in waiting if f not in done]
+
+    def bring(self, name: str, s: Summary) -> bool:
+        """Gives each row of a dataset the value that a summary over these rows has at its level."""
+        df = self.frames[name]
+        columns = {c.upper(): c for c in df.columns}
+        groups = {g.name.upper() for g in self.report.dataset(name).groups}
+        if s.function.lower() in breaks.PERCENT or s.reset.lower() not in ("report", "page", "") and s.reset.upper() not in groups:
+            return False
+        inner = next((x for x in self.report.summaries if x.name.upper() == s.source.upper() and x is not s), None)
+        if s.source.upper() not in columns and inner is None:
+            return False
+        order = F.struct(*self.ordered(df, self.report.dataset(name))) if s.function.lower() in ("first", "last") else None
+        try:
+            total = self.total(df, s, order)
+        except (ValueError, KeyError, RecursionError):
+            return False
+        keys = [columns[k.upper()] for k in self.report.level(s.reset) if k.upper() in columns]
+        self.frames[name] = breaks.brought(df, total, keys)
+        return True
+
+    def compute(self, name: str, f: Formula) -> None:
+        df = self.frames[name]
+        try:
+            if f.name.upper() in self.broken:
+                raise plsql.UntranslatableFormula("part of a cycle")
+            if any(lex.is_word(t, "CURSOR") for t in lex.tokens(f.body)):
+                df = self.fetched(df, f.name, f.body)
+            else:
+                done = plsql.Compiler(Dialect(**self.options), self.names(df)).compile(f.body)
+                for placeholder, value in done.placeholders.items():
+                    df = df.withColumn(placeholder, F.expr(value))
+                df = df.withColumn(f.name, F.expr(done.value or "NULL"))
+        except plsql.UntranslatableFormula as e:
+            self.notes.append(f"{f.name}: {e}")
+            df = df.withColumn(f.name, F.lit(None).cast("string"))
+        self.frames[name] = df
 
     def ordered(self, df: DataFrame, d: Dataset) -> list[str]:
         """Columns that fix the order of a dataset's rows: those of its ORDER BY that it has, then all others."""
@@ -240,50 +345,54 @@ class _Run:
         named = [columns[p[-1].upper] for p in lex.split(lex.tree(flat[at + 2 :]), ",") if p and getattr(p[-1], "upper", "") in columns] if at is not None else []
         return list(dict.fromkeys([*named, *df.columns]))
 
-    def attach(self, parent: str, above: tuple[str, ...] = ()) -> None:
-        """Adds to a dataset what its rows show of their details, after these got what they show of theirs."""
-        for link in self.report.links:
-            if link.parent.upper() != parent.upper() or link.child not in self.frames or link.child in above:
-                continue
-            if not link.pairs:
-                self.notes.append(f"{link.parent} to {link.child}: no columns to join on")
-                continue
-            self.attach(link.child, (*above, parent))
-            child, d = self.frames[link.child], self.report.dataset(link.child)
-            gone = [c for _, c in link.pairs if c.upper() not in {x.upper() for x in child.columns}]
-            if gone:
-                self.notes.append(f"{link.parent} to {link.child}: {link.child} has no column {', '.join(gone)}")
-                continue
-            order = self.ordered(child, d)
-            own = {c.lower() for c in self.frames[parent].columns}
-            theirs = {c.lower(): c for c in child.columns}
-            df = links.lookup_count(self.frames[parent], child, link.pairs, f"n_{link.child.lower()}")
-            for s in self.report.summaries:
-                if s.source.lower() in theirs and s.source.lower() not in own and s.name.lower() not in own:
-                    if s.function.lower() in breaks.PERCENT:
-                        continue
-                    by = F.struct(*order) if s.function.lower() in ("first", "last") else None
-                    df = links.subtotal(df, child, link.pairs, breaks.aggregate(s.function, F.col(s.source), by), s.name)
-            shown = {f.source.lower(): f for f in self.report.fields if f.source.lower() in theirs and f.source.lower() not in own}
-            lists = [c for c, f in shown.items() if f.group and self.report.owner(f.group).upper() == link.child.upper()]
-            firsts = {theirs[c]: theirs[c] for c in shown if c not in lists and theirs[c] not in df.columns}
-            if firsts:
-                df = links.lookup(df, child, link.pairs, firsts, order)
-            for c in lists:
-                if theirs[c] not in df.columns:
-                    df = links.lookup_list(df, child, link.pairs, theirs[c], theirs[c], order)
-            self.frames[parent] = df
+    def attach(self, parent: str, name: str, declared: Iterable[tuple[str, str]]) -> None:
+        """Adds to a dataset what its rows show of one detail: all of it from one aggregation and one join."""
+        child, d = self.frames[name], self.report.dataset(name)
+        tied = self.lateral.get(name.upper())
+        pairs = list(tied or declared)
+        if not pairs:
+            self.notes.append(f"{parent} to {name}: no columns to join on")
+            return
+        gone = [c for _, c in pairs if c.upper() not in {x.upper() for x in child.columns}]
+        if gone:
+            self.notes.append(f"{parent} to {name}: {name} has no column {', '.join(gone) or 'for it'}")
+            return
+        order = self.ordered(child.drop(*(c for _, c in tied or ())), d)
+        own = {c.lower() for c in self.frames[parent].columns}
+        theirs = {c.lower(): c for c in child.columns}
+        n = f"n_{name.lower()}"
+        aggregates, shown = {n: F.count("*")}, {n: F.coalesce(F.col(f"_v_{n}"), F.lit(0))}
+        for s in self.report.summaries:
+            if s.source.lower() in theirs and s.source.lower() not in own and s.name.lower() not in own and s.function.lower() not in breaks.PERCENT:
+                by = F.struct(*order) if s.function.lower() in ("first", "last") else None
+                aggregates[s.name] = breaks.aggregate(s.function, F.col(s.source), by)
+                shown[s.name] = F.col(f"_v_{s.name}")
+        placed = {f.source.lower(): f for f in self.report.fields if f.source.lower() in theirs and f.source.lower() not in own}
+        read = {b.lower() for f in self.waiting.get(parent, []) for b in self.needs(f)}
+        lists = [theirs[c] for c, f in placed.items() if f.group and self.report.owner(f.group).upper() == name.upper()]
+        firsts = [theirs[c] for c in theirs if c not in own and theirs[c] not in lists and theirs[c] not in shown and (c in placed or c in read) and not c.startswith("_link_")]
+        if firsts:
+            aggregates["first"] = F.min(F.struct(*order, *(c for c in firsts if c not in order)))
+            shown |= {c: F.col(f"_v_first.{c}") for c in firsts}
+        if lists:
+            aggregates["rows"] = F.array_sort(F.collect_list(F.struct(*order, *(F.col(c).cast("string").alias(f"_t{i}") for i, c in enumerate(lists)))))
+            shown |= {c: F.nullif(F.array_join(F.col("_v_rows").getField(f"_t{i}"), "\n"), F.lit("")) for i, c in enumerate(lists)}
+        self.frames[parent] = links.merged(self.frames[parent], child, pairs, aggregates, shown, null_safe=tied is not None)
 
     def summaries(self, out: Result, d: Dataset) -> None:
         main = out.main
         have = {c.lower() for c in main.columns}
         keys = [g.columns[0] for g in d.groups[:-1]]
         own = [s for s in self.report.summaries if s.source.lower() in have]
+        made = {s.name.lower() for s in own}
+        while more := [s for s in self.report.summaries if s not in own and s.source.lower() in made]:  # summaries of summaries
+            own += more
+            made |= {s.name.lower() for s in more}
         order = F.struct(*self.ordered(main, d)) if any(s.function.lower() in ("first", "last") for s in own) else None
         if any(lex.is_word(t, "ROLLUP", "CUBE", "SETS") for t in lex.tokens(d.sql)):
             self.notes.append(f"{d.name}: has subtotal rows of its own, none are added")
         elif own:
-            plain = [s for s in own if s.function.lower() in breaks.FUNCTIONS or s.function.lower() in ("first", "last")]
+            plain = [s for s in own if s.source.lower() in have and s.function.lower() in breaks.FUNCTIONS or s.function.lower() in ("first", "last")]
             if keys and plain:
                 out.breaks = breaks.levels(main, keys, [breaks.aggregate(s.function, F.col(s.source), order).alias(s.name) for s in plain])
             for s in own:
@@ -295,6 +404,14 @@ class _Run:
 
     def total(self, main: DataFrame, s: Summary, order: Column | None) -> DataFrame:
         level = self.report.level(s.reset)
+        inner = next((x for x in self.report.summaries if x.name.lower() == s.source.lower() and x is not s), None)
+        if s.source.lower() not in {c.lower() for c in main.columns} and inner is not None:
+            below = self.report.level(inner.reset)
+            if len(level) >= len(below) and below[: len(level)] != level or not set(level) <= set(below):
+                raise ValueError(f"its level is not above that of {inner.name}")
+            main = self.total(main, inner, order)
+            if s.function.lower() in ("first", "last"):
+                order = F.struct(*(F.col(k) for k in below))
         if s.function.lower() in breaks.PERCENT:
             return breaks.percent(main, s.source, level, self.report.level(s.compute), s.name)
         return breaks.summary(main, s.function, s.source, level, s.name, order)
@@ -355,11 +472,14 @@ class _Run:
 def run(report: ReportDef, spark: SparkSession, registry: Registry | None = None, lexicals: dict[str, str] | None = None, now: str = "current_timestamp()", **values: object) -> Result:
     """The report's data. Tables are views of the session; ``values`` are the parameters."""
     at = _Run(report, spark, registry or standard(), lexicals or {}, now, values)
-    for d in report.datasets:
-        at.load(d)
     main_set = report.main()
-    at.formulas(main_set.name)
-    at.attach(main_set.name)
+    children = {link.child.upper() for link in report.links}
+    for d in (main_set, *report.datasets):
+        if d.name not in at.frames and (d is main_set or d.name.upper() not in children):
+            at.evaluate(d.name)
+    for d in report.datasets:  # details of no evaluated parent
+        if d.name not in at.frames:
+            at.evaluate(d.name)
     out = Result(at.frames[main_set.name], at.frames, notes=at.notes)
     down = {i.name.upper() for i in main_set.items if i.break_order == "descending"}
     out.order = [F.col(c).desc_nulls_last() if c.upper() in down else F.col(c).asc_nulls_last() for c in dict.fromkeys([*(g.columns[0] for g in main_set.groups), *at.ordered(out.main, main_set)]) if c in out.main.columns or c.upper() in {x.upper() for x in out.main.columns}]

@@ -212,9 +212,15 @@ def bind_pairs(datasets: list[Dataset], parent: str, child: str) -> tuple[tuple[
         return ()
     have = {i.name.upper(): i.name for i in by[parent.upper()].items}
     out, flat = [], lex.tokens(by[child.upper()].sql)
+    name = lambda i: flat[i].text if 0 <= i < len(flat) and flat[i].kind in ("word", "quoted") else ""
     for i, t in enumerate(flat):
-        if t.kind == "bind" and t.text[1:].upper() in have and i >= 2 and flat[i - 1].text == "=":
-            out.append((have[t.text[1:].upper()], flat[i - 2].text))
-        elif t.kind == "bind" and t.text[1:].upper() in have and i + 2 < len(flat) and flat[i + 1].text == "=":
-            out.append((have[t.text[1:].upper()], flat[i + 4].text if i + 4 < len(flat) and flat[i + 3].text == "." else flat[i + 2].text))
-    return tuple(dict.fromkeys(out))
+        if t.kind == "bind" and t.text[1:].upper() in have:
+            key = have[t.text[1:].upper()]
+            if i >= 2 and flat[i - 1].text == "=" and name(i - 2):
+                out.append((key, name(i - 2)))
+            elif name(i + 2) and flat[i + 1].text == "=":
+                out.append((key, name(i + 4) if i + 4 < len(flat) and flat[i + 3].text == "." else name(i + 2)))
+            else:  # no column of the child equals it: the engine joins each parent row laterally
+                out.append((key, ""))
+    tied = {key for key, column in out if column}
+    return tuple(dict.fromkeys(p for p in out if p[1] or p[0] not in tied))
