@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bandwright.llm import op2_secrets, op4_lines, op5_mix, op7_quality, op11_trie, op13_resample
+from bandwright.llm import op2_secrets, op4_lines, op5_mix, op7_quality, op11_trie, op12_repeats, op13_resample
 
 
 def _secrets() -> str:
@@ -80,6 +80,23 @@ SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_chil
 FROM kids x JOIN subs s ON s.d = x.d AND s.k = x.k LEFT JOIN kids p ON p.d = x.d - 1 AND p.k = substr(x.k, 1, 32 * (x.d - 1))"""
 
 
+def _repeats() -> str:
+    """Every window of the UTF-8 bytes as hexadecimal digits."""
+    w = op12_repeats.WIDTH
+    cut = "CASE WHEN i = 0 THEN 0 ELSE cut.b[i] END"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * w}) AS w FROM (SELECT doc_id, h, unnest(range(n - {w - 1})) AS p FROM d WHERE n >= {w})),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (SELECT doc_id, p FROM windows JOIN firsts USING (w) WHERE first < doc_id),
+runs AS (SELECT doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), {-w - 1}) > {w} AS starts FROM gone),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + {w} AS b FROM (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM runs) GROUP BY doc_id, k),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda i: substr(h, 2 * {cut} + 1, 2 * (CASE WHEN i = n_spans THEN n ELSE cut.a[i + 1] END - {cut}))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 def _mod(x: str, n: str | int) -> str:
     return f"((({x}) % {n} + {n}) % {n})"
 
@@ -201,4 +218,4 @@ SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_du
 FROM (SELECT *, n_words < {q.MIN_WORDS} OR n_repeat_words * 100 > n_words * {q.MAX_REPEATED_PERCENT} AS failed FROM found)"""
 
 
-ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op7_quality_rules": _quality(), "op9_minhash_neardup": _near_duplicates(), "op11_prefix_trie": _trie(), "op13_importance_resample": _resample()}
+ORACLES: dict[str, str] = {"op2_secret_scan": _secrets(), "op4_line_dedup": _lines(), "op5_source_mix": _mix(), "op7_quality_rules": _quality(), "op9_minhash_neardup": _near_duplicates(), "op11_prefix_trie": _trie(), "op12_repeated_bytes": _repeats(), "op13_importance_resample": _resample()}

@@ -12,6 +12,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -64,9 +65,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done, which it does when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that are done, which it does when the driver's JVM collects its garbage.
+
+    A plan that has just ended is let go of by the first collection and its files by the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
