@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.catalog import query, table
+from bandwright.operators import breaks, links, matrix, pages
 from bandwright.plans import engine
 from bandwright.plans.model import ReportDef
 from bandwright.sources import xml_source
@@ -19,6 +21,8 @@ TABLES = ("region", "nation", "customer", "supplier", "orders", "part", "lineite
 def ran(spark: SparkSession, sf: str, report: ReportDef | bytes, **values: object) -> engine.Result:
     for name in TABLES:
         table(spark, sf, name).createOrReplaceTempView(name)
+    spans = table(spark, sf, "lineitem").where("l_orderkey % 50 < 5").withColumn("from_date", F.col("l_shipdate"))
+    spans.withColumn("to_date", F.expr(EFFECTIVE.format("3 DAY"))).createOrReplaceTempView("lineitem_spans")
     return engine.run(report if isinstance(report, ReportDef) else xml_source.parse(report), spark, **values)
 
 
@@ -51,6 +55,84 @@ detail("w04_key_in_exists", NATIONS, "n_nationkey", "SELECT c.c_custkey FROM cus
 detail("w04_key_in_the_select_list", NATIONS, "n_nationkey", "SELECT s.s_suppkey + :n_nationkey v FROM supplier s WHERE s.s_nationkey = :n_nationkey", "v", "SELECT s_suppkey + p.n_nationkey AS v FROM supplier WHERE s_nationkey = p.n_nationkey")
 detail("w01_optional_key", "SELECT DISTINCT NULLIF(n_regionkey, 2) k FROM nation", "k", "SELECT n.n_nationkey FROM nation n WHERE (:k IS NULL OR n.n_regionkey = :k) AND n.n_nationkey > 3", "n_nationkey", "SELECT n_nationkey FROM nation WHERE (p.k IS NULL OR n_regionkey = p.k) AND n_nationkey > 3", "SELECT DISTINCT NULLIF(n_regionkey, 2) AS k FROM nation")
 
+# ---- links without an equality: a point of the parent in an interval of the detail
+detail("j19_value_in_an_interval", "SELECT c_custkey, c_acctbal FROM customer", "c_custkey", "SELECT s.s_suppkey FROM supplier s WHERE :c_acctbal BETWEEN s.s_acctbal - 100 AND s.s_acctbal + s.s_suppkey", "s_suppkey", "SELECT s_suppkey FROM supplier WHERE p.c_acctbal BETWEEN s_acctbal - 100 AND s_acctbal + s_suppkey")
+EFFECTIVE = "CASE WHEN l_linenumber > 1 THEN l_shipdate + INTERVAL {} END"
+detail("j19_effective_dating", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P'", "o_orderkey", "SELECT l.l_linenumber FROM lineitem_spans l WHERE l.from_date <= :o_orderdate AND NVL(l.to_date, :o_orderdate) >= :o_orderdate AND l.l_quantity > 45", "l_linenumber", "SELECT l_linenumber FROM (SELECT *, " + EFFECTIVE.format("3 DAY") + " AS to_date FROM lineitem WHERE l_orderkey % 50 < 5) l WHERE l_shipdate <= p.o_orderdate AND (to_date IS NULL OR to_date >= p.o_orderdate) AND l_quantity > 45")
+
+
+@query("j19_interval_join", "SELECT s_suppkey, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM supplier JOIN customer ON c_acctbal >= s_acctbal - s_suppkey AND c_acctbal < s_acctbal + 10 GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    spans = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") - F.col("s_suppkey")).alias("low"), (F.col("s_acctbal") + 10).alias("high"))
+    joined = links.interval_join(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), spans, "c_acctbal", "low", "high", high_is_open=True)
+    return joined.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("total"))
+
+
+# ---- scans over whole reports
+MONEY = "DECIMAL(18,2)"
+
+
+@query("n02_running_totals_of_the_report", f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS {MONEY})) OVER w AS DOUBLE) AS total, max(o_totalprice) OVER w AS largest, count(o_totalprice) OVER w AS n FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").withColumn("v", F.col("o_totalprice").cast(MONEY))
+    for name, function, value in (("total", "sum", "v"), ("largest", "max", "o_totalprice"), ("n", "count", "o_totalprice")):
+        rows = breaks.running(rows, value, name, ["o_orderdate", "o_orderkey"], function=function)
+    return rows.select("o_orderkey", F.col("total").cast("double").alias("total"), "largest", "n")
+
+
+@query("n02_running_minimum_of_large_groups", "SELECT o_orderkey, min(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS least FROM orders")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return breaks.running(table(spark, sf, "orders"), "o_totalprice", "least", ["o_orderkey"], ["o_orderstatus"], "min").select("o_orderkey", "least")
+
+
+@query("n05_pages_by_group", "SELECT o_orderkey, CAST((nth - 1) // records + 1 AS INTEGER) AS page_of_group, CAST((nth - 1) // records + 1 + before AS INTEGER) AS page_no FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS nth FROM orders) JOIN (SELECT o_orderstatus, records, coalesce(sum(CAST(ceil(n / records) AS BIGINT)) OVER (ORDER BY o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT o_orderstatus, count(*) AS n, CASE WHEN o_orderstatus = 'P' THEN 7 ELSE 40 END AS records FROM orders GROUP BY 1)) USING (o_orderstatus)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").withColumn("records", F.when(F.col("o_orderstatus") == "P", 7).otherwise(40))
+    return pages.flowed(rows, ["o_orderstatus"], ["o_orderstatus", "o_orderkey"], "records").select("o_orderkey", "page_no", "page_of_group")
+
+
+# ---- matrices
+MATRICES = b"""<report name="M"><data><dataSource name="Q_L"><select>SELECT l_returnflag, l_linestatus, CAST(NULLIF(l_linenumber, 3) AS INT) AS line, l_quantity FROM lineitem</select>
+<group name="G_F"><dataItem name="l_linestatus"/></group><group name="G_L"><dataItem name="l_returnflag"/><dataItem name="line" datatype="number"/><dataItem name="l_quantity" datatype="number"/></group></dataSource>
+<summary name="CS_Q" source="l_quantity" function="sum"/><summary name="CS_N" source="l_quantity" function="count"/></data><layout><section name="main"><body>
+<matrix name="X_TWO"><matrixRow><field source="l_returnflag"/></matrixRow><matrixCol><field source="l_linestatus"/><field source="line"/></matrixCol><matrixCell><field source="CS_Q"/><field source="CS_N"/></matrixCell></matrix>
+<repeatingFrame name="R_F" source="G_F"><matrix name="X_BAND"><matrixRow><field source="l_returnflag"/></matrixRow><matrixCol><field source="line"/></matrixCol><matrixCell><field source="CS_N"/></matrixCell></matrix></repeatingFrame>
+</body></section></layout></report>"""
+
+
+def unpivoted(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells of a matrix as rows again."""
+    names = [c for c in cells.columns if c not in keys]
+    return cells.select(*keys, *(F.col(f"`{c}`").cast("double").alias(c) for c in names)).unpivot(keys, [F.col(f"`{c}`") for c in names], "cell", "value").where("value <> 0")
+
+
+LINE = "coalesce(CAST(NULLIF(l_linenumber, 3) AS VARCHAR), '(null)')"
+
+
+@query("g21_two_cells_and_two_column_fields", f"SELECT l_returnflag, l_linestatus || '/' || {LINE} || ' ' || unnest(['sum', 'count']) || ' l_quantity' AS cell, CAST(unnest([sum(l_quantity), count(l_quantity)]) AS DOUBLE) AS value FROM lineitem GROUP BY l_returnflag, l_linestatus, {LINE}")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return unpivoted(ran(spark, sf, MATRICES).matrices["X_TWO"], ["l_returnflag"])
+
+
+@query("g24_band_of_the_layout", f"SELECT l_linestatus, l_returnflag, {LINE} AS cell, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2, 3")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return unpivoted(ran(spark, sf, MATRICES).matrices["X_BAND"], ["l_linestatus", "l_returnflag"])
+
+
+@query("g25_several_matrices", "SELECT 'X_BAND' AS name, count(*) AS n FROM (SELECT DISTINCT l_linestatus, l_returnflag FROM lineitem) UNION ALL SELECT 'X_TWO', count(DISTINCT l_returnflag) FROM lineitem")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = ran(spark, sf, MATRICES).matrices
+    return reduce(DataFrame.union, (m.select(F.lit(n).alias("name")) for n, m in found.items())).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("g23_margins_at_each_column_level", "SELECT l_returnflag, grouping(l_returnflag) = 1 AS is_total, CASE WHEN grouping(l_linestatus) = 1 THEN 'row_total' WHEN grouping(l_linenumber) = 1 THEN l_linestatus || ' total' ELSE l_linestatus || '/' || l_linenumber END AS cell, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linestatus), (l_returnflag), (l_linestatus, l_linenumber), (l_linestatus), ())")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem")
+    values = [tuple(r) for r in rows.select("l_linestatus", "l_linenumber").distinct().orderBy("l_linestatus", "l_linenumber").collect()]
+    done = matrix.crosstab(rows, ["l_returnflag"], ["l_linestatus", "l_linenumber"], values, [("l_orderkey", "count", "")], margins=True)
+    return unpivoted(done, ["l_returnflag", "is_total"])
+
+
 # ---- the order of evaluation
 ORDERED = b"""<report name="E"><data><dataSource name="Q_C"><select>SELECT c_custkey, c_nationkey, c_mktsegment, CAST(c_acctbal AS DECIMAL(12,2)) bal FROM customer</select>
 <group name="G_SEG"><dataItem name="c_mktsegment"/></group><group name="G_NAT"><dataItem name="c_nationkey" datatype="number"/></group>

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
-from bandwright.operators.present import with_totals
+from bandwright.operators.present import fixed, numbered, with_totals
 
 FUNCTIONS = {
     "sum": F.sum,
@@ -73,18 +74,56 @@ def share(df: DataFrame, value: str, name: str, scope: Sequence[str] = (), place
     return df.crossJoin(F.broadcast(total)).withColumn(name, F.round((F.col(value) / F.col("_total")).cast("double"), places)).drop("_total")
 
 
-def running(df: DataFrame, value: str, name: str, order: Sequence[Column | str], reset: Sequence[str] = ()) -> DataFrame:
-    """A running total that starts again at each reset group."""
-    window = Window.partitionBy(*reset).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(value).over(window))
+COMBINED = {
+    "sum": (F.sum, lambda a, b: a + b, lambda a, b: a + b),
+    "count": (F.count, lambda a, b: a + b, lambda a, b: a + b),
+    "min": (F.min, min, F.least),
+    "max": (F.max, max, F.greatest),
+}
+
+
+def running(df: DataFrame, value: str, name: str, order: Sequence[Column | str], reset: Sequence[str] = (), function: str = "sum") -> DataFrame:
+    """A running sum, count, min or max that starts again at each reset group, however large a group is.
+
+    A prefix scan: one range sort by group and order; a window over each
+    partition's part of a group; and for the group that a partition begins in,
+    what the partitions before it have of that group. Of these there is one row
+    a partition, so they are put together by the driver and broadcast.
+    """
+    made, combine, joined = COMBINED[function]
+    keys = list(reset)
+    ordered = fixed(df.orderBy(*keys, *order))
+    inner = Window.partitionBy("_p", *keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.struct(F.lit(0).alias("_"), *keys)
+    parts = ordered.groupBy("_p", *keys).agg(made(value).alias("_t"), F.min("_i").alias("_f"), F.max("_i").alias("_l"))
+    edges = parts.groupBy("_p").agg(F.min_by(key, "_f").alias("first"), F.max_by(key, "_l").alias("last"), F.max_by("_t", "_l").alias("_t")).orderBy("_p")
+    carried, open_key, so_far = [], None, None
+    for e in edges.collect():  # a row for each partition
+        before = so_far if open_key == e.first else None
+        if before is not None:
+            carried.append((e["_p"], e.first, before))
+        whole = e.first == e.last and before is not None
+        so_far = combine(before, e["_t"]) if whole and e["_t"] is not None else before if whole else e["_t"]
+        open_key = e.last
+    kinds = edges.schema
+    carry = df.sparkSession.createDataFrame(carried, StructType([StructField("_cp", kinds["_p"].dataType), StructField("_ck", kinds["first"].dataType), StructField("_cv", kinds["_t"].dataType)]))
+    out = ordered.withColumn(name, made(value).over(inner))
+    out = out.join(F.broadcast(carry), (F.col("_p") == F.col("_cp")) & key.eqNullSafe(F.col("_ck")), "left")
+    total = F.coalesce(joined(F.col(name), F.col("_cv")), F.col(name), F.col("_cv"))
+    return out.withColumn(name, total).drop("_p", "_i", "_cp", "_ck", "_cv")
 
 
 def print_once(df: DataFrame, columns: Sequence[str], order: Sequence[Column | str], suffix: str = "_shown") -> DataFrame:
-    """Break columns that show only on the first row of their group."""
-    for i in range(len(columns)):
-        window = Window.partitionBy(*columns[: i + 1]).orderBy(*order)
-        df = df.withColumn(columns[i] + suffix, F.when(F.row_number().over(window) == 1, F.col(columns[i])))
-    return df
+    """Break columns that show only on the first row of their group.
+
+    Rows are numbered once; a group's first number is an aggregation, so a
+    group of any size is dealt over tasks.
+    """
+    df = numbered(df, order, "_no")
+    for i, column in enumerate(columns):
+        df = with_totals(df, columns[: i + 1], F.min("_no").alias("_first"))
+        df = df.withColumn(column + suffix, F.when(F.col("_no") == F.col("_first"), F.col(column))).drop("_first")
+    return df.drop("_no")
 
 
 def folded(df: DataFrame, keys: Sequence[str], leaves: Sequence[str], name: str) -> DataFrame:

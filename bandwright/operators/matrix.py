@@ -11,23 +11,49 @@ from pyspark.sql import functions as F
 from bandwright.operators.breaks import aggregate
 
 
-def matrix(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[object], measure: str, function: str = "sum", names: Sequence[str] | None = None, margins: bool = False) -> DataFrame:
-    """Rows by columns with one aggregate a cell.
+NULL = "(null)"
+
+
+def cell_name(value: Sequence[object], label: str = "") -> str:
+    """What a cell's column is called: the values of the column fields, and the measure's label where there are several."""
+    return "/".join(NULL if v is None else str(v) for v in value) + (f" {label}" if label else "")
+
+
+def crosstab(df: DataFrame, rows: Sequence[str], columns: Sequence[str], values: Sequence[Sequence[object]], cells: Sequence[tuple[str, str, str]], names: Sequence[str] | None = None, margins: bool = False) -> DataFrame:
+    """Rows by nested column fields with one aggregate for each (measure, function, label) of ``cells``.
 
-    The column's values are given, so the schema is known without a job and one
-    aggregation does it. With margins, a rollup adds the row total and the
-    column totals in the same pass; ``is_total`` marks the totals' row. A band
-    is an outer key in ``rows``.
+    ``values`` are the combinations of the column fields' values that there
+    are, NULL being a value like another, so the schema is known without a job and
+    one aggregation does it all. With margins, each level of the column
+    fields but the last has its totals (``A total`` for all columns below A,
+    ``row_total`` for all), and a rollup adds the column totals, whose row has
+    ``is_total``. A band is an outer key in ``rows``.
     """
-    names = list(names or [str(v) for v in values])
-    cells = [aggregate(function, F.when(F.col(column) == v, F.col(measure))).alias(n) for v, n in zip(values, names, strict=True)]
+    several = len(cells) > 1
+
+    def within(value: Sequence[object]) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(columns, value, strict=False)), F.lit(True))
+
+    out = []
+    for k, value in enumerate(values):
+        for measure, function, label in cells:
+            name = (names[k] + (f" {label}" if several else "")) if names else cell_name(value, label if several else "")
+            out.append(aggregate(function, F.when(within(value), F.col(measure))).alias(name))
     if not margins:
-        return df.groupBy(*rows).agg(*cells)
-    cells.append(aggregate(function, F.col(measure)).alias("row_total"))
+        return df.groupBy(*rows).agg(*out)
+    for level in range(len(columns) - 1, 0, -1):
+        for value in dict.fromkeys(tuple(v[:level]) for v in values):
+            out += [aggregate(f, F.when(within(value), F.col(m))).alias(f"{cell_name(value)} total" + (f" {label}" if several else "")) for m, f, label in cells]
+    out += [aggregate(f, F.col(m)).alias("row_total" + (f" {label}" if several else "")) for m, f, label in cells]
     last = rows[-1]
-    out = df.rollup(*rows).agg(*cells, *(F.grouping(r).alias(f"_{r}") for r in rows))
+    done = df.rollup(*rows).agg(*out, *(F.grouping(r).alias(f"_{r}") for r in rows))
     outer = reduce(lambda a, b: a & b, [F.col(f"_{r}") == 0 for r in rows[:-1]], F.lit(True))
-    return out.where(outer).withColumn("is_total", F.col(f"_{last}") == 1).drop(*(f"_{r}" for r in rows))
+    return done.where(outer).withColumn("is_total", F.col(f"_{last}") == 1).drop(*(f"_{r}" for r in rows))
+
+
+def matrix(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[object], measure: str, function: str = "sum", names: Sequence[str] | None = None, margins: bool = False) -> DataFrame:
+    """Rows by one column field with one aggregate a cell."""
+    return crosstab(df, rows, [column], [(v,) for v in values], [(measure, function, "")], names, margins)
 
 
 def cross_product(df: DataFrame, dimensions: Sequence[Sequence[str]], aggregates: Sequence[Column]) -> DataFrame:

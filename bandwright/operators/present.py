@@ -13,19 +13,38 @@ from pyspark.sql.window import Window
 Order = Sequence[Column | str]
 
 
+_held: list[DataFrame] = []
+
+
+def fixed(ordered: DataFrame) -> DataFrame:
+    """A sorted frame with ``_p`` and ``_i``, the partition and the place of each row, that stays as it is.
+
+    A range partitioning is sampled anew each time a plan runs; so the frame is
+    checkpointed where the session has a folder for that, and persisted until
+    ``let_go`` where it has none.
+    """
+    ordered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    if ordered.sparkSession.sparkContext.getCheckpointDir():
+        return ordered.checkpoint()
+    _held.append(ordered.persist(StorageLevel.MEMORY_AND_DISK))
+    return _held[-1]
+
+
+def let_go() -> None:
+    """Releases the frames that ``fixed`` persisted; results that use them are computed anew after that."""
+    while _held:
+        _held.pop().unpersist()
+
+
 def numbered(df: DataFrame, order: Order, name: str = "row_no", within: Sequence[str] = ()) -> DataFrame:
     """Rows numbered from 1 in an order, of the report or of each group.
 
     A report-wide number is made from per-partition counts of a range-sorted
-    frame, so no single task gets all rows. Both its counts and its rows must
-    come from one and the same range partitioning, which is sampled anew each
-    time a plan runs: so the sorted frame is checkpointed where the session has
-    a folder for that, and persisted where it has none.
+    frame, so no single task gets all rows.
     """
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ordered.persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = fixed(df.orderBy(*order))
     first = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_f"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     first = first.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

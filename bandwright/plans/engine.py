@@ -65,7 +65,6 @@ def without_link(d: Dataset, report: ReportDef) -> str:
     return lex.text_of(out + flat[at:])
 
 
-AGGREGATES = ("SUM", "AVG", "COUNT", "MIN", "MAX", "STDDEV", "VARIANCE", "MEDIAN", "LISTAGG")
 SET_WORDS = ("UNION", "INTERSECT", "MINUS", "EXCEPT")
 
 
@@ -128,7 +127,7 @@ def _with_columns(branch: list[Token], columns: list[tuple[str | None, str]]) ->
     listed = [x for e in exprs for x in (Token("op", ","), Token("word", e))]
     if group is not None and exprs:
         tail = [*branch[source:end], *listed, *branch[end:]]
-    elif exprs and any(lex.is_word(t, *AGGREGATES) and branch[i + 1].text == "(" for i, t in enumerate(branch[:source])):
+    elif exprs and any(lex.is_word(t, *detail.AGGREGATES) and branch[i + 1].text == "(" for i, t in enumerate(branch[:source])):
         tail = [*branch[source:end], Token("word", "GROUP"), Token("word", "BY"), *listed[1:], *branch[end:]]
     else:
         tail = branch[source:]
@@ -194,8 +193,11 @@ class _Run:
         if not used:  # a declared link is one more predicate of the detail
             text, used = detail.with_predicates(d.sql, declared), [p.upper() for p, _ in declared]
         keys = self.frames[parent].select(*(F.col(above[k]).alias(detail.key_column(k)) for k in used)).distinct()
-        frame = None
-        for null, branch in detail.optional_filters(text, set(used)):
+        frame, spans = None, detail.interval(text, used[0]) if len(used) == 1 else None
+        if spans is not None:  # no equality: bins make one
+            rows = self.sql(spans.sql, lexicals=self.lexicals).dropna(subset=list(spans.bounded)) if spans.bounded else self.sql(spans.sql, lexicals=self.lexicals)
+            frame = links.interval_join(keys, rows, detail.key_column(used[0]), spans.low, spans.high, high_is_open=spans.is_open).drop(spans.low, spans.high)
+        for null, branch in detail.optional_filters(text, set(used)) if frame is None else ():
             some = keys
             for k, is_null in null.items():
                 key = F.col(detail.key_column(k))
@@ -417,16 +419,23 @@ class _Run:
         return breaks.summary(main, s.function, s.source, level, s.name, order)
 
     def matrices(self, out: Result) -> None:
+        have = {c.lower() for c in out.main.columns}
         for m in self.report.matrices:
-            values = list(m.values)
+            gone = [c for c in (*m.band, *m.rows, *m.across, *(c for c, _ in m.measures)) if c.lower() not in have]
+            if gone:
+                self.notes.append(f"{m.name}: no column {', '.join(gone)}")
+                continue
+            values = [(v,) for v in m.values]
             if not values:  # the columns of a matrix are data: one small query finds them
-                found = [r[0] for r in out.main.select(m.column).where(F.col(m.column).isNotNull()).distinct().orderBy(m.column).limit(MATRIX_VALUES + 1).collect()]
+                across = [F.col(c) for c in m.across]
+                found = [tuple(r) for r in out.main.select(*across).distinct().orderBy(*(c.asc_nulls_last() for c in across)).limit(MATRIX_VALUES + 1).collect()]
                 if len(found) > MATRIX_VALUES:
-                    self.notes.append(f"{m.name}: {m.column} has more than {MATRIX_VALUES} values, give those to show")
+                    self.notes.append(f"{m.name}: {', '.join(m.across)} have more than {MATRIX_VALUES} values, give those to show")
                     continue
                 values = found
-                self.notes.append(f"{m.name}: {len(values)} columns from the values of {m.column}")
-            out.matrices[m.name] = matrix.matrix(out.main, list(m.band) + list(m.rows), m.column, values, m.measure, m.function, margins=m.margins)
+                self.notes.append(f"{m.name}: {len(values)} columns from the values of {', '.join(m.across)}")
+            cells = [(c, f, f"{f} {c}") for c, f in m.measures]
+            out.matrices[m.name] = matrix.crosstab(out.main, list(m.band) + list(m.rows), m.across, values, cells, margins=m.margins)
 
     def placed(self, out: Result) -> None:
         """What the layout shows: masked texts, visibility, styles, links and boilerplate."""

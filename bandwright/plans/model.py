@@ -104,6 +104,18 @@ class Matrix:
     function: str = "sum"
     margins: bool = False
     band: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
+    cells: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def across(self) -> tuple[str, ...]:
+        """All column fields, the outermost first."""
+        return self.columns or (self.column,)
+
+    @property
+    def measures(self) -> tuple[tuple[str, str], ...]:
+        """(measure, function) of each cell."""
+        return self.cells or ((self.measure, self.function),)
 
 
 @dataclass(frozen=True)

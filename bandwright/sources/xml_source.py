@@ -81,6 +81,22 @@ def _frame_matrix(m: ET.Element, frames: dict[str, str], datasets: list[Dataset]
     return Matrix(m.get("name", ""), (groups[down][0].name,), groups[across][0].name, (), cells[0]) if cells else None
 
 
+def _bands(root: ET.Element, groups: dict[str, list[Item]]) -> dict[ET.Element, tuple[str, ...]]:
+    """For each matrix, the first columns of the groups whose frames stand around it."""
+    out: dict[ET.Element, tuple[str, ...]] = {}
+
+    def walk(node: ET.Element, keys: tuple[str, ...]) -> None:
+        if node.tag == "repeatingFrame":
+            keys += tuple(i.name for i in groups.get(node.get("source", "").upper(), [])[:1])
+        if node.tag == "matrix":
+            out[node] = keys
+        for child in node:
+            walk(child, keys)
+
+    walk(root, ())
+    return out
+
+
 def _formats(node: ET.Element) -> tuple[tuple[str, tuple[tuple[str, str], ...]], ...]:
     """(condition label, style properties) of the format exceptions of a field, in document order."""
     out = []
@@ -171,12 +187,14 @@ def parse(data: bytes) -> ReportDef:
         if not pairs:
             notes.append(f"link {parent} to {child}: no columns found")
     matrices = []
+    bands = _bands(root, own_items)
     for m in root.iter("matrix"):
         rows, cols, cells = (_sources(m, p) for p in ("matrixRow", "matrixCol", "matrixCell"))
         if rows and cols and cells:
             by = {s.name.upper(): s for s in summaries}
-            cell = by.get(cells[0].upper())
-            matrices.append(Matrix(m.get("name", ""), tuple(rows), cols[0], (), cell.source if cell else cells[0], cell.function if cell else "sum"))
+            filled = tuple((s.source, s.function) if (s := by.get(c.upper())) else (c, "sum") for c in cells)
+            band = tuple(k for k in bands.get(m, ()) if k not in (*rows, *cols))
+            matrices.append(Matrix(m.get("name", ""), tuple(rows), cols[0], (), *filled[0], band=band, columns=tuple(cols), cells=filled))
         elif framed := _frame_matrix(m, {r.get("name", "").upper(): r.get("source", "") for r in root.iter("repeatingFrame")}, datasets, own_items):
             matrices.append(framed)
         else:
