@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from xml.sax.saxutils import escape
@@ -10,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.catalog import query, table
-from bandwright.operators import breaks, links, matrix, pages
-from bandwright.plans import engine
+from bandwright.operators import breaks, burst, links, matrix, pages
+from bandwright.plans import binds, engine
 from bandwright.plans.model import ReportDef
-from bandwright.sources import xml_source
+from bandwright.sources import files, xml_source
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "part", "lineitem")
 
@@ -161,3 +163,57 @@ evaluated("e11_formula_on_a_later_one_and_a_lookup", f"SELECT c_custkey, n_name
 evaluated("e11_formula_on_an_own_summary", "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) - sum(CAST(c_acctbal AS DECIMAL(12,2))) OVER (PARTITION BY c_mktsegment) AS DOUBLE) AS apart FROM customer", lambda r: r.main.select("c_custkey", F.col("CF_SHARE").cast("double").alias("apart")))
 evaluated("g16_summary_of_a_summary", "SELECT c_mktsegment, CAST(max(s) AS DOUBLE) AS best FROM (SELECT c_mktsegment, c_nationkey, sum(CAST(c_acctbal AS DECIMAL(12,2))) AS s FROM customer GROUP BY 1, 2) GROUP BY 1", lambda r: r.totals["CS_BEST"].select("c_mktsegment", F.col("CS_BEST").cast("double").alias("best")))
 evaluated("g16_three_levels_of_summaries", "SELECT CAST(min(best) AS DOUBLE) AS least FROM (SELECT c_mktsegment, max(s) AS best FROM (SELECT c_mktsegment, c_nationkey, sum(CAST(c_acctbal AS DECIMAL(12,2))) AS s FROM customer GROUP BY 1, 2) GROUP BY 1)", lambda r: r.totals["CS_WORST_BEST"].select(F.col("CS_WORST_BEST").cast("double").alias("least")))
+
+
+# ---- hierarchies
+@query("j20_chains_of_300", "SELECT c_custkey, CAST(c_custkey % 300 + 1 AS INTEGER) AS depth, c_custkey - c_custkey % 300 AS root, CAST(c_custkey % 300 = 299 OR c_custkey = (SELECT max(c_custkey) FROM customer) AS INTEGER) AS is_leaf FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of 300 customers, each the parent of the next."""
+    table(spark, sf, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 300 > 0 THEN c_custkey - 1 END AS prev").createOrReplaceTempView("customer_chain")
+    return binds.run(spark, "SELECT c_custkey, LEVEL depth, CONNECT_BY_ROOT c_custkey root, CONNECT_BY_ISLEAF is_leaf FROM customer_chain START WITH prev IS NULL CONNECT BY PRIOR c_custkey = prev")
+
+
+@query("j20_cycles_and_paths", """WITH RECURSIVE ring AS (SELECT n_nationkey, n_regionkey, coalesce((SELECT min(m.n_nationkey) FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_nationkey > n.n_nationkey), (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_regionkey = n.n_regionkey)) AS nxt FROM nation n),
+w AS (SELECT n_nationkey, nxt, 1 AS depth, '/' || n_nationkey AS way, [n_nationkey] AS seen FROM ring WHERE n_nationkey IN (0, 2) UNION ALL SELECT r.n_nationkey, r.nxt, w.depth + 1, w.way || '/' || r.n_nationkey, list_append(w.seen, r.n_nationkey) FROM w JOIN ring r ON r.n_nationkey = w.nxt WHERE NOT list_contains(w.seen, r.n_nationkey))
+SELECT n_nationkey, depth, way, CAST(list_contains(seen, nxt) AS INTEGER) AS is_cycle FROM w""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The nations of a region in a ring."""
+    for name in TABLES:
+        table(spark, sf, name).createOrReplaceTempView(name)
+    ring = "SELECT n_nationkey, COALESCE(LEAD(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), MIN(n_nationkey) OVER (PARTITION BY n_regionkey)) nxt FROM nation"
+    return binds.run(spark, f"SELECT n_nationkey, LEVEL depth, SYS_CONNECT_BY_PATH(n_nationkey, '/') way, CONNECT_BY_ISCYCLE is_cycle FROM ({ring}) START WITH n_nationkey IN (0, 2) CONNECT BY NOCYCLE PRIOR nxt = n_nationkey")
+
+
+# ---- files
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors reach; the machine's own only where one machine runs all."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="bandwright-")
+    return f"{folder.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+NATION_FILES = b"""<report name="F"><data><dataSource name="Q_N"><select/><group name="G_N"><dataItem name="N_NATIONKEY" datatype="number" precision="9"/><dataItem name="N_NAME"/></group></dataSource>
+<dataSource name="Q_C"><select>SELECT c.c_custkey, CAST(c.c_acctbal AS DECIMAL(12,2)) bal FROM customer c WHERE c.c_nationkey = :N_NATIONKEY</select><group name="G_C"><dataItem name="c_custkey" datatype="number"/><dataItem name="bal" datatype="number"/></group></dataSource>
+<summary name="CS_BAL" source="bal" function="sum" reset="G_N"/><link parentGroup="G_N" childQuery="Q_C"/></data></report>"""
+
+
+@query("a10_rows_of_xml_files", "SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, n_name, count(c_custkey) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(12,2))) AS DOUBLE) AS bal FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A parent that is read from XML files, with a detail that is SQL over a table."""
+    path = shared_folder(spark)
+    table(spark, sf, "nation").write.format("xml").option("rowTag", "nation").save(path)
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    report = xml_source.parse(NATION_FILES)
+    main = engine.run(report, spark, sources={"Q_N": files.read(spark, report.dataset("Q_N"), path, "xml", "nation")}).main
+    return main.select(F.col("N_NATIONKEY").alias("n_nationkey"), F.col("N_NAME").alias("n_name"), F.col("n_q_c").alias("n"), F.col("CS_BAL").cast("double").alias("bal"))
+
+
+@query("a23_burst_files", "SELECT o_orderstatus, 'orders_' || o_orderstatus || '.csv' AS file_name, count(*) AS n_rows, count(*) > 3000 AS is_split FROM orders GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """One folder a status; the manifest of what was written."""
+    rows = table(spark, sf, "orders")
+    done = burst.write(rows, shared_folder(spark), "o_orderstatus", name=burst.file_name("orders_<O_ORDERSTATUS>.csv", rows.columns), rows_per_file=3000)
+    return done.select("o_orderstatus", "file_name", "n_rows", (F.col("n_files") > 1).alias("is_split"))

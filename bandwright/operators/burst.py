@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from bandwright.plans.model import ReportDef
 
 
+MOST_TASKS = 20_000
+
+
 def is_burst(report: ReportDef) -> bool:
     """Whether a report is made for distribution: by its parameters, or a formula or trigger that makes the file name."""
     names = {p.name.upper() for p in report.params}
@@ -60,6 +63,21 @@ def pending(keys: DataFrame, history: DataFrame, key: str, tries: int = 3) -> Da
     return keys.join(over.select(key), key, "left_anti")
 
 
-def write(rows: DataFrame, path: str, key: str, format: str = "parquet") -> None:
-    """One folder of files a key."""
-    rows.repartition(key).write.partitionBy(key).format(format).save(path)
+def write(rows: DataFrame, path: str, key: str, format: str = "parquet", name: Column | None = None, rows_per_file: int = 1_000_000) -> DataFrame:
+    """A folder of files a key, and their manifest: (key, file_name, n_rows, n_files), read from what was written.
+
+    ``name`` is the file name that the report's template gives a key. A key of more
+    than ``rows_per_file`` rows is dealt over as many tasks, by a hash of
+    the row, so that no task writes a key alone. Rows without a key are not written.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    sized = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min(name if name is not None else F.col(key).cast("string")).alias("file_name"))
+    parts = sized.select(F.col(key).alias("_k"), F.ceil(F.col("_n") / rows_per_file).alias("_parts"))
+    dealt = rows.withColumn("_row", F.xxhash64("*", F.monotonically_increasing_id())).join(parts, F.col(key) == F.col("_k"))
+    dealt = dealt.withColumn("_part", F.pmod("_row", "_parts")).drop("_k", "_row", "_parts")
+    tasks = min(parts.agg(F.sum("_parts")).first()[0] or 1, MOST_TASKS)
+    dealt.repartition(int(tasks), key, "_part").drop("_part").write.option("maxRecordsPerFile", rows_per_file).partitionBy(key).format(format).save(path)
+    spark = rows.sparkSession
+    written = spark.read.format(format).load(path) if format == "parquet" else spark.read.format(format).schema(rows.schema).load(path)
+    files = written.select(key, F.input_file_name().alias("_file")).groupBy(key, "_file").count().groupBy(key).agg(F.sum("count").alias("n_rows"), F.count("*").alias("n_files"))
+    return files.join(sized.select(F.col(key).alias("_k"), "file_name"), F.col(key) == F.col("_k").cast(files.schema[key].dataType)).select(key, "file_name", "n_rows", "n_files")

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwright.plans import lex
+from bandwright.plans import connect, lex
 from bandwright.plans.dialect import Dialect
 from bandwright.plans.model import Param
 
@@ -27,5 +27,8 @@ def arguments(sql: str, values: dict[str, object], params: tuple[Param, ...] = (
 
 def run(spark: SparkSession, sql: str, values: dict[str, object] | None = None, params: tuple[Param, ...] = (), **options: object) -> DataFrame:
     """A source statement with its binds, as a DataFrame."""
+    if connect.is_hierarchy(sql):
+        given = {k.upper(): v for k, v in (values or {}).items()}
+        return connect.run(spark, sql, Dialect(**options), lambda text: run(spark, text, values, params, **options), lambda name: given.get(name.upper()))
     done = Dialect(**options).query(sql)
     return spark.sql(done, args=arguments(done, values or {}, params))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bandwright.functions import masks
 from bandwright.functions.registry import Registry, standard
 from bandwright.operators import breaks, drill, links, matrix, present
-from bandwright.plans import binds, detail, lex, plsql
+from bandwright.plans import binds, connect, detail, lex, plsql
 from bandwright.plans.dialect import Dialect
 from bandwright.plans.lex import Token
 from bandwright.plans.model import Dataset, Formula, ReportDef, Summary
@@ -137,23 +137,26 @@ def _with_columns(branch: list[Token], columns: list[tuple[str | None, str]]) ->
 class _Run:
     """One run of a report: its frames, deepest detail first, and notes on what could not be done."""
 
-    def __init__(self, report: ReportDef, spark: SparkSession, registry: Registry, lexicals: dict[str, str], now: str, values: dict[str, object]):
+    def __init__(self, report: ReportDef, spark: SparkSession, registry: Registry, lexicals: dict[str, str], now: str, values: dict[str, object], sources: dict[str, DataFrame] | None = None):
         self.report, self.spark, self.lexicals = report, spark, lexicals
         self.types, self.notes = _types(report), list(report.notes)
         self.known = {p.name.upper(): values.get(p.name, values.get(p.name.lower(), p.default)) for p in report.params}
         self.given = self.known | {k.upper(): v for k, v in values.items()}
         self.options = {"types": self.types, "registry": registry, "now": now}
         self.frames: dict[str, DataFrame] = {}
+        self.sources = {k.upper(): v for k, v in (sources or {}).items()}
         self.lateral: dict[str, tuple[tuple[str, str], ...]] = {}  # by detail: (parent column, key column)
         self.waiting: dict[str, list[Formula]] = {}
         self.broken: set[str] = set()
         main = report.main().name if report.datasets else ""
-        homes = {d.name for d in report.datasets if d.sql}
+        homes = {d.name for d in report.datasets if d.sql or d.name.upper() in self.sources}
         for f in report.formulas:
             self.waiting.setdefault(f.dataset if f.dataset in homes else main, []).append(f)
 
     def sql(self, text: str, around: str = "{}", **options: object) -> DataFrame:
         dialect = Dialect(**options, **self.options)
+        if around == "{}" and connect.is_hierarchy(text):
+            return connect.run(self.spark, text, dialect, lambda t: self.sql(t, **options), lambda name: self.given.get(name.upper()))
         sql = around.format(dialect.query(text))
         self.notes += dialect.notes
         return self.spark.sql(sql, args=binds.arguments(sql, self.given, self.report.params))
@@ -173,6 +176,9 @@ class _Run:
 
     def load(self, d: Dataset, parent: str = "") -> None:
         """The rows of a dataset; of a detail, with what ties them to the rows of ``parent``."""
+        if d.name.upper() in self.sources:  # rows that come from elsewhere than SQL
+            self.frames[d.name] = self.sources[d.name.upper()]
+            return
         if not d.sql:
             self.notes.append(f"{d.name}: no SQL")
             return
@@ -478,9 +484,9 @@ class _Run:
             out.main = out.main.withColumn(f"{name}_text", present.token_text(template, list(columns.values())))
 
 
-def run(report: ReportDef, spark: SparkSession, registry: Registry | None = None, lexicals: dict[str, str] | None = None, now: str = "current_timestamp()", **values: object) -> Result:
-    """The report's data. Tables are views of the session; ``values`` are the parameters."""
-    at = _Run(report, spark, registry or standard(), lexicals or {}, now, values)
+def run(report: ReportDef, spark: SparkSession, registry: Registry | None = None, lexicals: dict[str, str] | None = None, now: str = "current_timestamp()", sources: dict[str, DataFrame] | None = None, **values: object) -> Result:
+    """The report's data. Tables are views of the session; ``sources`` are the rows of datasets without SQL; ``values`` are the parameters."""
+    at = _Run(report, spark, registry or standard(), lexicals or {}, now, values, sources)
     main_set = report.main()
     children = {link.child.upper() for link in report.links}
     for d in (main_set, *report.datasets):

@@ -172,3 +172,52 @@ def test_several_cells_and_the_band_come_from_the_layout():
 <summary name="CS" source="n" function="average"/></data><layout><repeatingFrame source="G_B"><matrix name="X"><matrixRow><field source="a"/></matrixRow><matrixCol><field source="c"/><field source="m"/></matrixCol><matrixCell><field source="m"/><field source="CS"/></matrixCell></matrix></repeatingFrame></layout></report>"""
     m = xml_source.parse(data).matrices[0]
     assert (m.band, m.across, m.measures) == (("b",), ("c", "m"), (("m", "sum"), ("n", "average")))
+
+
+# ---- hierarchies, files
+def test_ways_of_a_hierarchy(spark):
+    from bandwright.plans import binds
+    from bandwright.plans.dialect import Unsupported
+
+    spark.createDataFrame([(1, None, "r"), (2, 1, "b"), (3, 1, "a"), (4, 2, "z"), (5, 3, "y"), (6, 3, None)], "i int, p int, n string").createOrReplaceTempView("tree")
+    rows = binds.run(spark, "SELECT t.i, LEVEL, SYS_CONNECT_BY_PATH(n, '/') way, CONNECT_BY_ROOT n, CONNECT_BY_ISLEAF leaf, PRIOR i up FROM tree t WHERE t.i <> 3 START WITH t.p IS NULL CONNECT BY PRIOR t.i = t.p ORDER SIBLINGS BY n DESC").collect()
+    assert [tuple(r) for r in rows] == [(1, 1, "/r", "r", 0, None), (2, 2, "/r/b", "r", 0, 1), (4, 3, "/r/b/z", "r", 1, 2), (6, 3, "/r/a/", "r", 1, 3), (5, 3, "/r/a/y", "r", 1, 3)]
+    limited = binds.run(spark, "SELECT i FROM tree START WITH i = 1 CONNECT BY PRIOR i = p AND LEVEL < :P_N AND n <> 'b'", {"P_N": 3})
+    assert sorted(r.i for r in limited.collect()) == [1, 3]
+    for sql in ("SELECT i FROM tree CONNECT BY LEVEL > 2", "SELECT i FROM (SELECT i FROM tree START WITH i = 1 CONNECT BY NOCYCLE PRIOR i = p)"):
+        with pytest.raises(Unsupported):
+            binds.run(spark, sql)
+
+
+def test_loops_are_found(spark):
+    from bandwright.operators.hierarchy import Loop
+    from bandwright.plans import binds
+
+    spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "a int, b int").createOrReplaceTempView("graph")
+    got = binds.run(spark, "SELECT a, b, CONNECT_BY_ISCYCLE c FROM graph START WITH a = 1 CONNECT BY NOCYCLE PRIOR b = a").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 0), (2, 3, 0), (3, 1, 1), (3, 4, 0)]
+    with pytest.raises(Loop):
+        binds.run(spark, "SELECT a FROM graph START WITH a = 1 CONNECT BY PRIOR b = a").collect()
+
+
+def test_rows_of_files(spark, tmp_path):
+    from bandwright.plans.model import Item
+    from bandwright.sources import files
+
+    (tmp_path / "x.xml").write_text("<all><r><ID> 1 </ID><NAME>a</NAME><MORE>z</MORE></r><r><ID>two</ID></r></all>")
+    (tmp_path / "x.csv").write_text("id|name\n1|a\n2|\n")
+    d = Dataset("Q", "", items=(Item("id", "number", precision=9), Item("name")))
+    upper = Dataset("Q", "", items=(Item("ID", "number", precision=9), Item("NAME")))
+    assert [tuple(r) for r in files.read(spark, upper, str(tmp_path / "x.xml"), "xml", "r").collect()] == [(1, "a"), (None, None)]
+    assert [tuple(r) for r in files.read(spark, d, str(tmp_path / "x.csv"), "text", separator="|").collect()] == [(1, "a"), (2, None)]
+    with pytest.raises(ValueError):
+        files.read(spark, d, "x", "tape")
+
+
+def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    from bandwright.operators import burst
+
+    df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") < 900, F.concat(F.lit("k"), (F.col("id") % 5).cast("string"))).alias("k"), "id")
+    got = {r.k: r for r in burst.write(df, str(tmp_path / "o"), "k", name=burst.file_name("f_<K>.txt", ["k", "id"]), rows_per_file=60).collect()}
+    assert got["hot"].n_files > 3 and got["hot"].n_rows == 500 and got["hot"].file_name == "f_hot.txt"
+    assert sum(r.n_rows for r in got.values()) == 950 and None not in got
