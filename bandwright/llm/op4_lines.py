@@ -38,6 +38,7 @@ id sorts first; an empty table gives an empty result; other columns stay.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -199,7 +200,8 @@ class Lines:
                 n.append(self.size[lines] - delta)
                 k.append(np.full(len(lines), most))
         at, n, k = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (at, n, k))
-        parts = np.stack([n, k, np.zeros(len(n), np.int64), self.size[at]], axis=1)[:, None, :].astype(np.int64)
+        none = np.zeros(len(n), np.int64)
+        parts = np.stack([n, k, none, self.size[at], none], axis=1)[:, None, :].astype(np.int64)
         return States(at, np.zeros(len(at), np.uint64), n == self.size[at], parts)
 
     def refined(self, states: States) -> States:
@@ -209,8 +211,8 @@ class Lines:
         rows = np.arange(len(part))
         is_open = open_[rows, part] > 0
         byte_at = np.append(np.flatnonzero((self.texts.data & 0xC0) != 0x80), len(self.texts.data))
-        found = [States(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros((0, states.parts.shape[1] + 1, 4), np.int64))]
-        size, budget, start, have = states.parts[rows, part].T
+        found = [States(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros((0, states.parts.shape[1] + 1, 5), np.int64))]
+        size, budget, start, have, index = states.parts[rows, part].T
         for k in np.unique(budget[is_open]).tolist():
             for i in range(k + 1):
                 for move in range(-i, i + 1):
@@ -222,15 +224,15 @@ class Lines:
                     base = self.base[states.line[row]] + start[row] + move
                     h = ts.hash_between(self.total, byte_at[base + a], byte_at[base + b])
                     h = ts.mix(h + (size[row] * (k + 1) + i).astype(np.uint64) * np.uint64(ts.BASE) + states.h[row] * np.uint64(3))
-                    parts = np.concatenate([states.parts[row], np.stack([size[row] - b, np.full(len(row), k - i), start[row] + b + move, have[row] - b - move], axis=1)[:, None, :]], axis=1)
-                    parts[np.arange(len(row)), part[row]] = np.stack([a, np.full(len(row), i), start[row], a + move], axis=1)
+                    parts = np.concatenate([states.parts[row], np.stack([size[row] - b, np.full(len(row), k - i), start[row] + b + move, have[row] - b - move, index[row] + b], axis=1)[:, None, :]], axis=1)
+                    parts[np.arange(len(row)), part[row]] = np.stack([a, np.full(len(row), i), start[row], a + move, index[row]], axis=1)
                     found.append(States(states.line[row], h, states.own[row] & (move == 0), parts))
         return States(*(np.concatenate(c) for c in zip(*((f.line, f.h, f.own, f.parts) for f in found), strict=True)))
 
 
 @dataclass
 class States:
-    """Lines on their way to a key: line, key so far, whether it is an index key, and the open parts (size in the index line, edits, start and size in this line)."""
+    """Lines on their way to a key: line, key so far, whether it is an index key, and the open parts (size in the index line, edits, start and size in this line, start in the index line)."""
 
     line: np.ndarray
     h: np.ndarray
@@ -241,15 +243,68 @@ class States:
         return States(self.line[chosen], self.h[chosen], self.own[chosen], self.parts[chosen])
 
 
-def line_keys(texts: ts.Texts, edits: Edits, hots: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[Lines, States, np.ndarray]:
-    """(lines, states at ``depth`` refinements, whether they are final) of one-line texts, through the keys of ``hots`` (line, h) alone."""
+def line_states(texts: ts.Texts, edits: Edits, hots: tuple[np.ndarray, np.ndarray], cuts: dict[int, np.ndarray], depth: int, cut: bool = False) -> tuple[Lines, States]:
+    """The states of one-line texts after ``depth`` segments, through the keys of ``hots`` (line, h) alone; open parts are cut as ``cuts`` says for each h, those of the last keys too with ``cut``."""
     x = Lines(texts, edits[0][0])
     known = np.unique(ts.mix(hots[1] + hots[0].astype(np.uint64) * np.uint64(ts.BASE)))
     states = x.refined(x.states(edits))
-    for _ in range(depth):
+    for k in range(depth if cut else depth - 1):
         chosen = np.isin(ts.mix(states.h + x.owner[states.line].astype(np.uint64) * np.uint64(ts.BASE)), known)
-        states = x.refined(states.where(chosen))
-    return x, states, (states.parts[:, :, 0] <= states.parts[:, :, 1]).all(axis=1)
+        states = states.where(chosen)
+        there, which = np.unique(states.h, return_inverse=True)
+        if len(there):
+            both = np.stack([cuts[h] for h in there.view(np.int64).tolist()])[which]  # (state, part, before and after)
+            states.parts[:, :, 0] -= both.sum(axis=2)
+            states.parts[:, :, 3] -= both.sum(axis=2)
+            states.parts[:, :, 2] += both[:, :, 0]
+            states.parts[:, :, 4] += both[:, :, 0]
+        if k < depth - 1:
+            states = x.refined(states)
+    return x, states
+
+
+def is_settled(states: States) -> np.ndarray:
+    return (states.parts[:, :, 0] <= states.parts[:, :, 1]).all(axis=1)
+
+
+def _alignments(size: int, have: int, budget: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(places in a part of the index line, places in the line's part) that may agree so that all between them costs at most the budget."""
+    out = []
+    for n in range(min(size, have) + 1):
+        for s in itertools.combinations(range(size), n):
+            for j in itertools.combinations(range(have), n):
+                gaps = zip((-1, *s), (*s, size), (-1, *j), (*j, have), strict=True)
+                if sum(max(b - a, d - c) - 1 for a, b, c, d in gaps) <= budget:
+                    out.append((s, j))
+    return [((), ())] if ((), ()) in out else out
+
+
+def settled(x: Lines, states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, line, whether it is an index key) for states whose parts are all no longer than their edits in the index line.
+
+    Lines that meet in such a key are within their edits: it says which
+    characters of the open parts agree, and the rest costs no more than the
+    part's edits. The index line has a key for each choice of characters.
+    """
+    byte_at = np.append(np.flatnonzero((x.texts.data & 0xC0) != 0x80), len(x.texts.data))
+    h, line, own, parts = states.h, states.line, states.own, states.parts
+    for p in range(parts.shape[1]):
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, *parts.shape[1:]), np.int64))]
+        kind = np.column_stack([parts[:, p, [0, 3, 1]], own]) if len(h) else np.zeros((0, 4), np.int64)
+        kinds, which = np.unique(kind, axis=0, return_inverse=True)
+        for k, (size, have, budget, is_own) in enumerate(kinds.tolist()):
+            row = np.flatnonzero(which.ravel() == k)
+            choices = [(s, s) for n in range(size + 1) for s in itertools.combinations(range(size), n)] if is_own else _alignments(size, have, budget)
+            for s, j in choices:
+                key = h[row].copy()
+                if s:
+                    key = ts.mix(key + np.uint64((p * 64 + sum(1 << i for i in s)) * ts.BASE & ts.MASK))
+                for place in j:
+                    at = x.base[line[row]] + parts[row, p, 2] + place
+                    key = ts.mix(key * np.uint64(5) + ts.hash_between(x.total, byte_at[at], byte_at[at + 1]))
+                found.append((key, line[row], own[row], parts[row]))
+        h, line, own, parts = (np.concatenate(c) for c in zip(*found, strict=True))
+    return h, line, own
 
 
 SOLID = np.zeros(256, bool)
@@ -280,10 +335,44 @@ def _hot_lines(source: DataFrame, edits: Edits, hot: np.ndarray) -> DataFrame:
     return source.select("text").mapInArrow(lines, "key long, value string, hots array<long>").dropDuplicates(["key"])
 
 
-def _refined_pairs(lines: DataFrame, edits: Edits) -> DataFrame:
-    """(a, b) of the candidates among lines with hot keys, each once: one level of refinement after the other."""
+HOTS = "array<struct<h:bigint,cut:array<int>>>"
+
+
+def _hots_of(column: pa.ListArray, first: int, end: int) -> tuple[tuple[np.ndarray, np.ndarray], dict[int, np.ndarray]]:
+    """((line, h), the cuts of each h) of some rows of a column of HOTS."""
+    some = column.slice(first, end - first)
+    owner = np.repeat(np.arange(end - first), np.diff(some.offsets.to_numpy()))
+    flat = some.flatten()
+    h = flat.field("h").to_numpy(zero_copy_only=False)
+    there, at = np.unique(h, return_index=True)
+    lists = flat.field("cut")
+    return (owner, h.view(np.uint64)), {int(k): np.array(lists[int(i)].as_py(), np.int64).reshape(-1, 2) for k, i in zip(there, at, strict=True)}
+
+
+def _common(a: str, b: str) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n  # a[:low] agrees, a[:high] does not
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
+    return low
+
+
+def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, nearest) of lines with hot keys: (a, b) of candidates, each once, and (key, near_first) of what is near for certain.
+
+    One segment after the other. First, what all lines of a hot key have in
+    common at the ends of the open parts is cut off, so that lines which
+    differ in a few characters are left with these at once. Keys whose parts are no
+    longer than their edits are settled: each line gets the earliest line there, an
+    aggregation and a join, and no pair is made. Other keys of few lines
+    give candidates; those of many go on.
+    """
     most = max(k for _, k in edits)
     tally = [F.col(t) for t in TALLIES]
+    lines = lines.select("key", "value", F.array().cast(HOTS).alias("hots"), F.col("hots").alias("fresh"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, list of b), a > b, for the lines (key, size, tallies) that are near enough to one of their list by size and tallies."""
@@ -301,37 +390,88 @@ def _refined_pairs(lines: DataFrame, edits: Edits) -> DataFrame:
             larger, first = np.unique(found[:, 0], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(larger), pa.ListArray.from_arrays(pa.array(np.append(first, len(found)).astype(np.int32)), pa.array(np.ascontiguousarray(found[:, 1])))], ["a", "bs"])
 
-    pairs, depth = None, 0
+    pairs = nearest = None
+    depth = 0
     while True:
         depth += 1
 
+        def owners(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            """(h, key) of the lines that are indexed by a fresh key."""
+            for batch in batches:
+                names, fresh = batch.column(0).to_numpy(), batch.column(3)
+                for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
+                    hots, cuts = _hots_of(batch.column(2), a, b)
+                    some = fresh.slice(a, b - a)
+                    mine = np.repeat(np.arange(b - a), np.diff(some.offsets.to_numpy()))
+                    wanted = ts.mix(some.flatten().to_numpy().view(np.uint64) + mine.astype(np.uint64) * np.uint64(ts.BASE))
+                    x, states = line_states(texts, edits, hots, cuts, depth)
+                    chosen = states.own & np.isin(ts.mix(states.h + x.owner[states.line].astype(np.uint64) * np.uint64(ts.BASE)), wanted)
+                    yield pa.RecordBatch.from_arrays([_signed(states.h[chosen]), pa.array(names[a:b][x.owner[states.line[chosen]]])], ["h", "key"])
+
+        def alike(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            """(h, place, n): for each open part of a line's state, how much of its beginning and its end is that of the key's first line, and its size."""
+            for batch in batches:
+                listed = batch.column(3)
+                for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
+                    hots, cuts = _hots_of(batch.column(2), a, b)
+                    values = batch.column(1).slice(a, b - a).to_pylist()
+                    first = [{r["h"]: r["value"] for r in rows} for rows in listed.slice(a, b - a).to_pylist()]
+                    x, states = line_states(texts, edits, hots, cuts, depth)
+                    least: dict[tuple[int, int], int] = {}
+                    for owner, h, parts in zip(x.owner[states.line].tolist(), states.h.view(np.int64).tolist(), states.parts.tolist(), strict=True):
+                        other = first[owner].get(h)
+                        for p, (size, _, start, have, index) in enumerate(parts if other is not None else ()):
+                            mine, theirs = values[owner][start : start + have], other[index : index + size]
+                            for place, n in ((3 * p, _common(mine, theirs)), (3 * p + 1, _common(mine[::-1], theirs[::-1])), (3 * p + 2, min(size, have))):
+                                if n < least.get((h, place), 1 << 30):
+                                    least[h, place] = n
+                    keys = list(least)
+                    yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.int64()), pa.array([p for _, p in keys], pa.int32()), pa.array(list(least.values()), pa.int32())], ["h", "place", "n"])
+
         def keys(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names, lists = batch.column(0).to_numpy(), batch.column(2)
+                names = batch.column(0).to_numpy()
                 for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
-                    hots = lists.slice(a, b - a)
-                    owner = np.repeat(np.arange(b - a), np.diff(hots.offsets.to_numpy()))
-                    x, states, final = line_keys(texts, edits, (owner, hots.flatten().to_numpy().view(np.uint64)), depth)
-                    tallies = x.tallies()[states.line].T
-                    columns = [_signed(states.h), pa.array(names[a:b][x.owner[states.line]]), pa.array(states.own), pa.array(final), pa.array(x.size[states.line]), *map(pa.array, tallies)]
+                    x, states = line_states(texts, edits, *_hots_of(batch.column(2), a, b), depth, cut=True)
+                    open_ = x.refined(states.where(~is_settled(states)))
+                    done = [settled(x, s.where(is_settled(s))) for s in (states, open_)]
+                    open_ = open_.where(~is_settled(open_))
+                    h, line, own = (np.concatenate(c) for c in zip(*done, strict=True))
+                    line, own = np.concatenate([open_.line, line]), np.concatenate([open_.own, own])
+                    final = np.arange(len(line)) >= len(open_.line)
+                    columns = [_signed(np.concatenate([open_.h, h])), pa.array(names[a:b][x.owner[line]]), pa.array(own), pa.array(final), pa.array(x.size[line]), *map(pa.array, x.tallies()[line].T)]
                     yield pa.RecordBatch.from_arrays(columns, ["h", "key", "own", "final", "size", *TALLIES])
 
+        heads = lines.mapInArrow(owners, "h long, key long").groupBy("h").agg(F.min("key").alias("key"))
+        heads = written(heads.join(lines.select("key", "value"), "key").select("h", "value"), "heads")
+        listed = lines.select("key", F.explode("fresh").alias("h")).join(heads, "h").groupBy("key").agg(F.collect_list(F.struct("h", "value")).alias("first"))
+        ends = lines.join(listed, "key").select("key", "value", "hots", "first").mapInArrow(alike, "h long, place int, n int")
+        ends = ends.groupBy("h", F.floor(F.col("place") / 3).alias("part")).agg(*(F.min(F.when(F.col("place") % 3 == i, F.col("n"))).alias(c) for i, c in enumerate(("before", "after", "size"))))
+        cut = F.array(F.col("before"), F.least("after", F.col("size") - F.col("before")))
+        cuts = ends.groupBy("h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", cut.alias("cut")))), lambda p: p["cut"])).alias("cut"))
+        cuts = written(cuts, "cuts")
+        more = lines.select("key", F.explode("fresh").alias("h")).join(cuts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "cut")).cast(HOTS).alias("more"))
+        lines = written(lines.join(more, "key").select("key", "value", F.concat("hots", "more").alias("hots")), "cut-lines")
+
         found = written(lines.mapInArrow(keys, f"h long, key long, own boolean, final boolean, size long, {', '.join(f'{t} long' for t in TALLIES)}").distinct(), "refined")
-        hot = found.where("own and not final").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h")
-        hot = written(hot, "hot")
+        certain = found.where("final").select("h", "key", "own").join(firsts, "key")
+        earliest = written(certain.groupBy("h").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("indexed"), F.min("first").alias("all")), "earliest")
+        near = certain.join(earliest, "h").select("key", F.when(F.col("own"), F.col("all")).otherwise(F.col("indexed")).alias("near_first")).where("near_first is not null")
+        near = written(near.groupBy("key").agg(F.min("near_first").alias("near_first")), "nearest")
+        nearest = near if nearest is None else nearest.union(near)
+
+        found = found.where("not final")
+        hot = written(found.where("own").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h"), "hot")
         cool = found.where("own").join(hot, "h", "left_anti")
-        line = F.struct("key", "size", *tally)
-        # at most HOT_REFINED lines in a list; a final key has no bound, and its lines hardly differ
-        listed = cool.where("not final").groupBy("h").agg(F.collect_list(line).alias("near"))
-        listed = listed.union(cool.where("final").select("h", F.array(line).alias("near")))
+        listed = cool.groupBy("h").agg(F.collect_list(F.struct("key", "size", *tally)).alias("near"))  # at most HOT_REFINED lines
         met = found.select("h", "key", "size", *tally).join(listed, "h").where("size(near) > 1 or near[0].key <> key")
         met = written(met.select("key", "size", *tally, "near").mapInArrow(compared, "a long, bs array<long>"), "near")
         pairs = met if pairs is None else pairs.union(met)
         if hot.isEmpty():
             by = pairs.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-            return by.select("a", F.explode("bs").alias("b"))
-        more = found.join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("more"))
-        lines = written(lines.join(more, "key").select("key", "value", F.array_union("hots", "more").alias("hots")), "hot-lines")
+            return by.select("a", F.explode("bs").alias("b")), nearest
+        fresh = found.join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("fresh"))
+        lines = written(lines.join(fresh, "key").select("key", "value", "hots", "fresh"), "hot-lines")
 
 
 def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int, broadcast_docs: int) -> DataFrame:
@@ -391,6 +531,7 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
     n_hot = hot.count()
     release(df.sparkSession)  # the largest shuffle comes next
     cool = entries if not n_hot else entries.join(F.broadcast(hot) if n_hot <= FILTERED_KEYS else hot, "h", "left_anti")
+    certain = None
     pairs = keys(False).toDF("h", "a").join(cool.toDF("h", "b"), "h").where("a <> b").select("a", "b")
     if n_hot:
         if n_hot <= FILTERED_KEYS:
@@ -398,7 +539,8 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
         else:
             hots = written(keys(False).join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("hots")), "hots")
             lines_of = hots.join(texts_of(hots.select("key")), "key").select("key", "value", "hots")
-        pairs = pairs.union(_refined_pairs(written(lines_of, "hot-lines"), edits))
+        more, certain = _refined(written(lines_of, "hot-lines"), edits, distinct.select("key", "first"))
+        pairs = pairs.union(more)
     pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     release(df.sparkSession)
 
@@ -413,7 +555,8 @@ def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int,
     linked = written(both.select("a", "b", "va", "vb").mapInArrow(close, "a long, b long"), "linked")
 
     links = linked.union(linked.select("b", "a")).toDF("key", "near").join(distinct.select(F.col("key").alias("near"), F.col("first").alias("near_first")), "near")
-    nearest = links.groupBy("key").agg(F.min("near_first").alias("near_first"))
+    links = links.select("key", "near_first")
+    nearest = (links if certain is None else links.union(certain)).groupBy("key").agg(F.min("near_first").alias("near_first"))
     earliest = distinct.select("key", "other", "first", "copies").join(nearest, "key", "left").withColumn("earliest", F.least("first", "near_first"))
     earliest = written(earliest.where("copies > 1 or near_first < first").select("key", "other", "earliest"), "earliest")
     dropped = places.select("id", "line", "key", "other").join(earliest, ["key", "other"]).where(F.col("earliest") < F.struct("id", "line"))

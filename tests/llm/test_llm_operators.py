@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -260,6 +261,19 @@ def test_edits_grow_with_the_length(spark, monkeypatch, hot):
     assert len(want) > 30
 
 
+@pytest.mark.parametrize("ending", ["letters", "numbers", "middle"])
+def test_a_family_of_lines_makes_no_pairs(spark, monkeypatch, ending):
+    """Lines that differ in three letters, in a number, or inside: candidates do not grow with the square, and the earliest near line of each is found."""
+    monkeypatch.setattr(op4_lines, "HOT_REFINED", 16)
+    random.seed(8)
+    head = " ".join(random.choice(["stock", "order", "of", "the", "item"]) + str(i) for i in range(17))[:109]
+    tails = {"letters": lambda i: "".join(chr(97 + i // 26**p % 26) for p in range(3)), "numbers": lambda i: str(i * 37), "middle": lambda i: str(1000 + 7 * i)}
+    lines = [head[:50] + tails[ending](i) + head[50:] if ending == "middle" else head + tails[ending](i) for i in range(150)]
+    got = {r.doc_id: [d.first_id for d in r.dropped or []] for r in op4_lines.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    within = lambda a, b: op4_lines.edit_within(a, b, 3 if min(len(a), len(b)) >= 100 else 2)
+    assert got == {i: [j for j in range(i) if within(x, lines[j])][:1] for i, x in enumerate(lines)}
+
+
 def test_exact_copies_of_short_lines_go(spark):
     texts = ["All rights reserved.\nReleased under the MIT License.\nYes.", "All rights reserved.\nReleased under the MIT Licence.\nYes.", "Released under the MIT License.\nAll rights reserved\nNineteen characters"]
     got = op4_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()

@@ -113,14 +113,31 @@ def test_close_lines_share_a_key_at_every_depth(a, edits, k):
     (_, _, t), = ts.slices(pa.array([a, b]))
     x = op4_lines.Lines(t, 40)
     h, at, own = x.segments(((40, k),), False)
-    known = np.zeros(0, np.uint64)
-    for depth in range(3):
-        _, states, final = op4_lines.line_keys(t, ((40, k),), (np.repeat([0, 1], len(known)), np.tile(known, 2)), depth)
-        if depth == 0:
+    known, cuts = np.zeros(0, np.uint64), {}
+
+    def meet(h, line, own):
+        keys = [(set(h[(line == i) & own]), set(h[line == i])) for i in (0, 1)]
+        return keys[0][0] & keys[1][1] | keys[1][0] & keys[0][1]
+
+    for depth in range(1, 5):
+        lines, states = op4_lines.line_states(t, ((40, k),), (np.repeat([0, 1], len(known)), np.tile(known, 2)), cuts, depth)
+        if depth == 1:
             assert set(zip(h, at, own)) == set(zip(states.h, states.line, states.own))
-        keys = [(set(states.h[(states.line == i) & states.own]), set(states.h[states.line == i])) for i in (0, 1)]
-        shared = keys[0][0] & keys[1][1] | keys[1][0] & keys[0][1]
-        assert shared
-        if shared & set(states.h[final]):
+        done = op4_lines.is_settled(states)
+        if meet(*op4_lines.settled(lines, states.where(done))):
+            assert edit(a, b) <= k
             return
-        known = np.append(known, states.h)
+        left = states.where(~done)
+        assert meet(left.h, left.line, left.own)
+        cuts |= {int(i): np.zeros((depth + 1, 2), np.int64) for i in left.h.view(np.int64)}
+        known = np.append(known, left.h)
+
+
+@given(st.text(alphabet="ab", max_size=3), st.text(alphabet="ab", max_size=6), st.integers(0, 3))
+@settings(max_examples=300, deadline=None)
+def test_settled_parts_are_within_their_edits(own, other, budget):
+    """A part of the index line, no longer than its edits, agrees in some choice of characters exactly if it is within them."""
+    if len(own) > budget:
+        return
+    chosen = any(all(own[i] == other[j] for i, j in zip(s, t, strict=True)) for s, t in op4_lines._alignments(len(own), len(other), budget))
+    assert chosen == (edit(own, other) <= budget)
