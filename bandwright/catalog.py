@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -428,7 +429,7 @@ source("d32_to_char_number", "SELECT l_orderkey, l_linenumber, TO_CHAR(l_quantit
 source("d33_url_escape", "SELECT p_partkey, Pkg.F_Url_Escape(p_type) v FROM part", "SELECT p_partkey, replace(p_type, ' ', '%20') AS v FROM part")
 source("d34_address_phone", "SELECT c_custkey, Pkg.F_Phone(LPAD(TO_CHAR(c_custkey), 10, '5')) phone, Pkg.F_Address(c_name, NULL, c_mktsegment, 'NY', '10001') addr FROM customer", "SELECT c_custkey, '(' || substr(p, 1, 3) || ') ' || substr(p, 4, 3) || '-' || substr(p, 7, 4) AS phone, c_name || ', ' || c_mktsegment || ', NY 10001' AS addr FROM (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 10, '5') AS p FROM customer)")
 source("d35_add_delimiter", "SELECT o_orderkey, F_Add_Delimiter(NULLIF(o_orderstatus, 'P'), ', ') v FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus || ', ' ELSE '' END AS v FROM orders")
-source("d40_sysdate", "SELECT TO_CHAR(SYSDATE, 'YYYY-MM-DD HH24:MI') v FROM DUAL", "SELECT '2001-06-15 10:30' AS v")
+source("d40_sysdate", "SELECT o_orderkey, TO_CHAR(SYSDATE, 'YYYY-MM-DD HH24:MI') v, CASE WHEN o_orderdate < SYSDATE - 30 THEN 'old' ELSE 'new' END age FROM orders", "SELECT o_orderkey, '2001-06-15 10:30' AS v, CASE WHEN o_orderdate < TIMESTAMP '2001-05-16 10:30:00' THEN 'old' ELSE 'new' END AS age FROM orders")
 source("d41_to_date", "SELECT o_orderkey, TO_CHAR(TO_DATE(TO_CHAR(o_orderdate, 'DD/MM/YYYY'), 'DD/MM/YYYY'), 'YYYY-MM-DD') v FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders")
 source("d42_to_char_date", "SELECT o_orderkey, TO_CHAR(o_orderdate, 'MM/DD/YYYY') a, TO_CHAR(o_orderdate, 'YYYY\"-Q\"Q') b FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS a, strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) AS b FROM orders")
 _D = "CAST(CAST({} AS DATE) AS VARCHAR)"
@@ -521,7 +522,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return main.unionByName(by).unionByName(total)
 
 
-@query("r35_labelled_parameter", "SELECT 'Status: Final' AS line")
+@query("r35_labelled_parameter", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Status: Final' WHEN o_orderstatus <> 'P' THEN 'Status: ' || o_orderstatus END AS line FROM orders")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The line that a parameter's value gives, for the value of each row."""
+    body = "begin if :P_STATUS = 'F' then return ('Status: ' || 'Final'); elsif :P_STATUS is null then return (null); else return ('Status: ' || :P_STATUS); end if; end;"
+    return table(spark, sf, "orders").select("o_orderkey", F.expr(plsql.formula(body, lambda n: "nullif(o_orderstatus, 'P')")).alias("line"))
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     body = "begin if :P_STATUS = 'F' then return ('Status: ' || 'Final'); elsif :P_STATUS is null then return (null); else return ('Status: ' || :P_STATUS); end if; end;"
     return spark.range(1).select(F.expr(plsql.formula(body, lambda n: "'F'")).alias("line"))
@@ -540,15 +547,44 @@ def _sample() -> ReportDef:
     return sql_source.report("SAMPLE", sql_source.named(SAMPLE))
 
 
-source("a11_dual", "SELECT 1 one, 'x' || NULL text FROM DUAL", "SELECT 1 AS one, 'x' AS text")
+def _sample_with(**parts: object) -> ReportDef:
+    return replace(_sample(), **parts)
+
+
+def _ran_sample(spark: SparkSession, sf: str, **parts: object) -> engine.Result:
+    for t in ("customer", "orders", "nation"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    return engine.run(_sample_with(**parts), spark)
+
+
+def _rows_of(done: engine.Result) -> DataFrame:
+    """(dataset, n_rows) of a run."""
+    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("dataset"), "n_rows") for name, df in done.datasets.items()]
+    return reduce(DataFrame.union, counts)
+
+
+source("a11_dual", "SELECT c.c_custkey, d.one, d.text, (SELECT 2 FROM DUAL) two FROM customer c, (SELECT 1 one, 'x' || NULL text FROM DUAL) d", "SELECT c_custkey, 1 AS one, 'x' AS text, 2 AS two FROM customer")
+
+
+@query("a04_sql_text_source", "SELECT 'Q_CUSTOMER' AS dataset, c_custkey AS k, coalesce(c_mktsegment, 'none') AS v FROM customer UNION ALL SELECT 'Q_ORDERS', o_orderkey, CAST(o_custkey AS VARCHAR) FROM orders")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of both datasets of a text of named statements."""
+    done = _ran_sample(spark, sf).datasets
+    first = done["Q_CUSTOMER"].select(F.lit("Q_CUSTOMER").alias("dataset"), F.col("c_custkey").alias("k"), F.col("segment").alias("v"))
+    return first.union(done["Q_ORDERS"].select(F.lit("Q_ORDERS"), "o_orderkey", F.col("o_custkey").cast("string")))
 
 
-@query("a04_sql_text_source", "SELECT * FROM (VALUES ('Q_CUSTOMER', 'c_custkey,c_name,segment'), ('Q_ORDERS', 'o_orderkey,o_custkey,o_totalprice')) AS t(dataset, columns)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(d.name, ",".join(i.name for i in d.items)) for d in _sample().datasets], "dataset string, columns string")
 
 
-@query("j08_inferred_link", "SELECT 'Q_CUSTOMER' AS parent, 'Q_ORDERS' AS child, 'c_custkey=o_custkey' AS pairs")
+@query("j08_inferred_link", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A count over the columns that the link was found to join on."""
+    link = _sample().links[0]
+    return links.lookup_count(table(spark, sf, "customer"), table(spark, sf, "orders"), link.pairs, "n").select("c_custkey", "n")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(link.parent, link.child, ",".join(f"{a}={b}" for a, b in link.pairs)) for link in _sample().links], "parent string, child string, pairs string")
 
@@ -564,51 +600,106 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("spent", F.col("spent").cast("double"))
 
 
-@query("r14_fidelity_score", "SELECT CAST(0.8571 AS DOUBLE) AS score, 'assisted' AS tier")
+@query("r14_fidelity_score", "SELECT CAST(0.8571 AS DOUBLE) AS score, 'assisted' AS tier, count(*) AS n_rows FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """What of the definition is among the columns of its run, and how many rows that has."""
+    main = _ran_sample(spark, sf).main
+    score = quality.fidelity(_sample(), [*main.columns, "o_orderkey", "o_custkey"])
+    return main.agg(F.count("*").alias("n_rows")).select(F.lit(score).alias("score"), F.lit(quality.effort("READY", score)).alias("tier"), "n_rows")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     score = quality.fidelity(_sample(), ["c_custkey", "c_name", "segment", "o_orderkey", "o_custkey"])
     return spark.createDataFrame([(score, quality.effort("READY", score))], "score double, tier string")
 
 
-@query("r16_complexity", "SELECT 12 AS score")
+@query("r16_complexity", "SELECT 12 AS score, (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) AS n_rows")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of a definition beside the rows that its queries read."""
+    return _rows_of(_ran_sample(spark, sf)).agg(F.sum("n_rows").alias("n_rows")).select(F.lit(quality.complexity(_sample())).alias("score"), "n_rows")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(quality.complexity(_sample()),)], "score int")
 
 
-@query("r17_report_diff", "SELECT * FROM (VALUES ('query', 'Q_ORDERS', 'removed'), ('query', 'Q_CUSTOMER', 'changed'), ('formula', 'CF_1', 'added')) AS t(part, name, change)")
+@query("r17_report_diff", "SELECT * FROM (VALUES ('query', 'Q_ORDERS', 'changed', (SELECT count(*) FROM orders WHERE o_orderstatus = 'P'), (SELECT count(*) FROM orders WHERE o_orderstatus = 'O')), ('query', 'Q_CUSTOMER', 'removed', (SELECT count(*) FROM customer), 0), ('formula', 'CF_1', 'added', 0, 0)) AS t(part, name, change, rows_gone, rows_new)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The changed parts of a definition, and for a query the rows that only one of its two forms gives."""
+    for t in ("customer", "orders", "nation"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    q = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> '{}'"
+    old = ReportDef("R", datasets=(Dataset("Q_ORDERS", q.format("O")), Dataset("Q_CUSTOMER", "SELECT c_custkey FROM customer")))
+    new = ReportDef("R", datasets=(Dataset("Q_ORDERS", q.format("P")),), formulas=(Formula("CF_1", "begin return 1; end;"),))
+    return quality.changed_rows(spark, old, new)
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     old = _sample()
     new = replace(old, datasets=(replace(old.datasets[0], sql="SELECT 1 FROM DUAL"),), formulas=(Formula("CF_1", "begin return 1; end;"),))
     return spark.createDataFrame(quality.diff(old, new), "part string, name string, change string")
 
 
-@query("r20_leftover_lint", "SELECT * FROM (VALUES ('source', 'NVL'), ('source', '(+)')) AS t(text, leftover)")
+@query("r20_leftover_lint", "SELECT text, leftover, n_rows FROM (VALUES ('source', 'NVL'), ('source', '(+)')) AS t(text, leftover), (SELECT count(*) AS n_rows FROM customer)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the source dialect before and after translation, beside the rows that the translation gives."""
+    rows = [("source", x) for d in _sample().datasets for x in quality.lint(d.sql)]
+    rows += [("translated", x) for d in _sample().datasets for x in quality.lint(Dialect().query(d.sql))]
+    total = _ran_sample(spark, sf).main.agg(F.count("*").alias("n_rows"))
+    return spark.createDataFrame(rows, "text string, leftover string").crossJoin(F.broadcast(total))
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = [("source", x) for d in _sample().datasets for x in quality.lint(d.sql)]
     rows += [("translated", x) for d in _sample().datasets for x in quality.lint(Dialect().query(d.sql))]
     return spark.createDataFrame(rows, "text string, leftover string")
 
 
-@query("r23_preflight", "SELECT 'READY' AS verdict")
+@query("r23_preflight", "SELECT 'READY' AS verdict, 'Q_CUSTOMER' AS dataset, count(*) AS n_rows FROM customer UNION ALL SELECT 'READY', 'Q_ORDERS', count(*) FROM orders")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict of the checks that come before a run, and what the run then gives."""
+    done = _rows_of(_ran_sample(spark, sf))
+    return done.select(F.lit(quality.preflight(_sample(), spark)[0]).alias("verdict"), "dataset", "n_rows")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     for t in ("customer", "orders", "nation"):
         table(spark, sf, t).createOrReplaceTempView(t)
     return spark.createDataFrame([(quality.preflight(_sample(), spark)[0],)], "verdict string")
 
 
-@query("a09_stub_table", "SELECT CAST(0 AS BIGINT) AS n_rows, 'a,b' AS columns")
+@query("a09_stub_table", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS a FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A table beside one that is missing and gets an empty stand-in."""
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    tables.stub(spark, "not_there", ["a", "b"])
+    return binds.run(spark, "SELECT c.c_custkey, x.a FROM customer c, not_there x WHERE TO_CHAR(c.c_custkey) = x.b(+)")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     df = tables.stub(spark, "not_there", ["a", "b"])
     return df.agg(F.count("*").alias("n_rows")).withColumn("columns", F.lit(",".join(df.columns)))
 
 
-@query("a12_fuller_dataset", "SELECT 'SELECT a, b FROM t' AS chosen")
+@query("a12_fuller_dataset", "SELECT n_nationkey, n_name FROM nation")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of the fuller of two forms of one dataset."""
+    table(spark, sf, "nation").createOrReplaceTempView("nation")
+    chosen = sql_source.better(Dataset("Q", "SELECT n_nationkey FROM nation WHERE n_nationkey IS NOT NULL"), Dataset("Q", "SELECT n_nationkey, n_name FROM nation"))
+    return binds.run(spark, chosen.sql)
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     chosen = sql_source.better(Dataset("Q", "SELECT a FROM t WHERE a IS NOT NULL"), Dataset("Q", "SELECT a, b FROM t"))
     return spark.createDataFrame([(chosen.sql,)], "chosen string")
 
 
-@query("a13_synthetic_rows", "SELECT CAST(range + 1 AS INT) AS ID, 'NAME ' || range AS NAME FROM range(5)")
+@query("a13_synthetic_rows", "SELECT CAST(range + 1 AS INT) AS ID, 'NAME ' || range AS NAME FROM range((SELECT count(*) FROM customer))")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """As many made-up rows as a table has."""
+    return tables.synthetic(spark, [Item("ID", "number", precision=9), Item("NAME")], table(spark, sf, "customer").count())
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return tables.synthetic(spark, [Item("ID", "number", precision=9), Item("NAME")], 5)
 
@@ -619,7 +710,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return tables.declared(rows, [Item("nation_key", "number", precision=9), Item("n_name")])
 
 
-@query("w04_link_decorrelation", "SELECT 'SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o LEFT JOIN nation n ON n.n_nationkey = 1 WHERE 1 = 1' AS text")
+@query("w04_link_decorrelation", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders LEFT JOIN nation ON n_nationkey = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A detail's statement without the predicate that became the join, run for all parents at once."""
+    for t in ("orders", "nation"):
+        table(spark, sf, t).createOrReplaceTempView(t)
+    report = _sample()
+    return spark.sql(Dialect().query(engine.without_link(report.dataset("Q_ORDERS"), report)))
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     report = _sample()
     text = Dialect().query(engine.without_link(report.dataset("Q_ORDERS"), report))
@@ -647,12 +746,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return binds.run(spark, "SELECT o_orderkey FROM orders WHERE o_orderstatus = Pkg.F_Val('K_FINAL')", registry=registry)
 
 
-@query("j16_main_dataset", "SELECT 'Q_CUSTOMER' AS main")
+@query("j16_main_dataset", "SELECT 'Q_CUSTOMER' AS main, count(*) AS n_rows FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The dataset that the report repeats, and its rows."""
+    name = _sample().main().name
+    return _rows_of(_ran_sample(spark, sf)).where(F.col("dataset") == name).select(F.col("dataset").alias("main"), "n_rows")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(_sample().main().name,)], "main string")
 
 
-@query("g10_unbound_summary", "SELECT 'CS_X: nothing to sum for no_column' AS note")
+@query("g10_unbound_summary", "SELECT 'CS_X: nothing to sum for no_column' AS note, count(*) AS n_rows FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary without its column is noted, and the rows come all the same."""
+    done = _ran_sample(spark, sf, summaries=(Summary("CS_X", "no_column"),))
+    note = next(n for n in done.notes if n.startswith("CS_X"))
+    return done.main.agg(F.count("*").alias("n_rows")).select(F.lit(note).alias("note"), "n_rows")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     for t in ("customer", "orders", "nation"):
         table(spark, sf, t).createOrReplaceTempView(t)
@@ -678,7 +790,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 source("e09_named_arguments", "SELECT o_orderkey, F_Add_Delimiter(p_text => o_orderstatus, p_mark => ';') v FROM orders", "SELECT o_orderkey, o_orderstatus || ';' AS v FROM orders")
 
 
-@query("e16_parameter_placeholder", "SELECT 'From 1997 for FINAL' AS heading")
+@query("e16_parameter_placeholder", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'From ' || year(o_orderdate) || ' for FINAL' ELSE 'All' END AS heading FROM orders")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The placeholder that a parameter trigger sets, for the values of each row."""
+    body = "begin if :P_STATUS = 'F' then :CP_TITLE := 'From ' || :P_YEAR || ' for FINAL'; else :CP_TITLE := 'All'; end if; return (TRUE); end;"
+    values = {"P_STATUS": "o_orderstatus", "P_YEAR": "year(o_orderdate)"}
+    return table(spark, sf, "orders").select("o_orderkey", F.expr(plsql.Compiler(Dialect(), values.__getitem__).compile(body).placeholders["CP_TITLE"]).alias("heading"))
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     body = "begin if :P_STATUS = 'F' then :CP_TITLE := 'From ' || :P_YEAR || ' for FINAL'; else :CP_TITLE := 'All'; end if; return (TRUE); end;"
     values = {"P_STATUS": "'F'", "P_YEAR": "1997"}
@@ -692,32 +811,70 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return drill.filtered(engine.run(_sample(), spark).main, {"P_C_CUSTKEY": 42}).select("c_custkey", "n_q_orders")
 
 
-@query("r08_burst_detection", "SELECT TRUE AS is_burst, FALSE AS is_drill, 'CUST_ID' AS key")
+@query("r08_burst_detection", "SELECT c_custkey, count(*) AS n_rows FROM customer GROUP BY 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of each recipient, by the key that the report is cut by; no rows unless it is made for distribution."""
+    report = ReportDef("R", (Param("P_DISTRIBUTE"),))
+    rows = table(spark, sf, "customer")
+    key = burst.burst_key(rows.columns)
+    return rows.where(F.lit(burst.is_burst(report) and not burst.is_drill_through(report, ["P_X"]))).groupBy(key).agg(F.count("*").alias("n_rows"))
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     report = ReportDef("R", (Param("P_DISTRIBUTE"),))
     row = (burst.is_burst(report), burst.is_drill_through(report, ["P_X"]), burst.burst_key(["CF_1", "NAME", "CUST_ID"]))
     return spark.createDataFrame([row], "is_burst boolean, is_drill boolean, key string")
 
 
-@query("r13_batch", "SELECT * FROM (VALUES ('SAMPLE', 'READY', 12), ('BROKEN', 'BLOCKER', 7)) AS t(report, verdict, complexity)")
+@query("r13_batch", "SELECT 'SAMPLE' AS report, 'READY' AS verdict, 12 AS complexity, count(*) AS n_rows FROM customer UNION ALL SELECT 'BROKEN', 'BLOCKER', 7, CAST(NULL AS BIGINT)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Several definitions: those that pass the checks are run."""
+    out = []
+    for r in (_sample(), ReportDef("BROKEN", datasets=(Dataset("Q", "SELECT a FROM t, u WHERE a = b(+)"),))):
+        verdict = quality.preflight(r)[0]
+        rows = _ran_sample(spark, sf).main if verdict == "READY" else spark.range(0)
+        n = F.count("*") if verdict == "READY" else F.lit(None).cast("long")
+        out.append(rows.agg(n.alias("n_rows")).select(F.lit(r.name).alias("report"), F.lit(verdict).alias("verdict"), F.lit(quality.complexity(r)).alias("complexity"), "n_rows"))
+    return out[0].union(out[1])
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     reports = [_sample(), ReportDef("BROKEN", datasets=(Dataset("Q", "SELECT a FROM t, u WHERE a = b(+)"),))]
     return spark.createDataFrame([(r.name, quality.preflight(r)[0], quality.complexity(r)) for r in reports], "report string, verdict string, complexity int")
 
 
-@query("r15_coverage", "SELECT 'missing_field' AS missing")
+@query("r15_coverage", "SELECT 'c_name' AS field, 'shown' AS status, count(c_name) AS n_values FROM customer UNION ALL SELECT 'missing_field', 'missing', 0 UNION ALL SELECT 'nothing', 'hollow', 0")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Each visible field: whether the output has its column, and how many values that has."""
+    done = _ran_sample(spark, sf, fields=(Field("F_1", "c_name"), Field("F_2", "missing_field"), Field("F_3", "gone", visible=False), Field("F_4", "nothing")))
+    return quality.field_values(_sample_with(fields=(Field("F_1", "c_name"), Field("F_2", "missing_field"), Field("F_3", "gone", visible=False), Field("F_4", "nothing"))), done.main.withColumn("nothing", F.lit(None).cast("string")))
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     report = replace(_sample(), fields=(Field("F_1", "c_name"), Field("F_2", "missing_field"), Field("F_3", "gone", visible=False)))
     return spark.createDataFrame([(m,) for m in quality.coverage(report, ["c_custkey", "c_name"])], "missing string")
 
 
-@query("r18_document_drift", "SELECT CAST(0.3333 AS DOUBLE) AS drift, TRUE AS is_other_query")
+@query("r18_document_drift", "SELECT CAST(0.3333 AS DOUBLE) AS drift, TRUE AS is_other_query, count(*) AS n_rows FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of documented columns that a run does not give."""
+    main = _ran_sample(spark, sf).main
+    score = quality.drift(["c_custkey", "c_name", "c_phone"], main.columns)
+    return main.agg(F.count("*").alias("n_rows")).select(F.lit(score).alias("drift"), F.lit(score > 0.3).alias("is_other_query"), "n_rows")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     score = quality.drift(["c_custkey", "c_name", "c_phone"], [i.name for i in _sample().datasets[0].items])
     return spark.createDataFrame([(score, score > 0.3)], "drift double, is_other_query boolean")
 
 
-@query("r19_audit_trail", "SELECT * FROM (VALUES ('Q_CUSTOMER', 'NVL'), ('Q_ORDERS', '(+)')) AS t(dataset, rewritten)")
+@query("r19_audit_trail", "SELECT 'Q_CUSTOMER' AS dataset, 'NVL' AS rewritten, count(*) AS n_rows FROM customer UNION ALL SELECT 'Q_ORDERS', '(+)', count(*) FROM orders")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """What was rewritten in each dataset's statement, beside the rows that it gives."""
+    rows = [(d.name, x) for d in _sample().datasets for x in quality.audit(d.sql, Dialect().query(d.sql))]
+    return spark.createDataFrame(rows, "dataset string, rewritten string").join(_rows_of(_ran_sample(spark, sf)), "dataset")
+
+
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(d.name, x) for d in _sample().datasets for x in quality.audit(d.sql, Dialect().query(d.sql))]
     return spark.createDataFrame(rows, "dataset string, rewritten string")

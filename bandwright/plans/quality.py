@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from bandwright.plans import lex, plsql
@@ -121,6 +123,40 @@ def hollow(df: DataFrame) -> bool:
     return df.limit(1).isEmpty()
 
 
+def field_values(report: ReportDef, df: DataFrame) -> DataFrame:
+    """(field, status, n_values) of each visible field: shown, hollow if its column has no value in any row, missing without a column. One aggregation."""
+    have = {c.lower(): c for c in df.columns}
+    params = {p.name.lower() for p in report.params}
+    wanted = list(dict.fromkeys(f.source for f in report.fields if f.visible and f.source and f.source.lower() not in params))
+    counts = [F.count(F.col(f"`{have[w.lower()]}`")) if w.lower() in have else F.lit(None).cast("long") for w in wanted]
+    one = df.agg(F.array(*(F.struct(F.lit(w).alias("field"), c.alias("n")) for w, c in zip(wanted, counts, strict=True))).alias("f")) if wanted else df.sparkSession.createDataFrame([], "f array<struct<field string, n long>>")
+    status = F.when(F.col("x.n").isNull(), "missing").when(F.col("x.n") == 0, "hollow").otherwise("shown")
+    return one.select(F.explode("f").alias("x")).select("x.field", status.alias("status"), F.coalesce("x.n", F.lit(0)).cast("long").alias("n_values"))
+
+
+def changed_rows(spark: SparkSession, old: ReportDef, new: ReportDef) -> DataFrame:
+    """(part, name, change, rows_gone, rows_new): what changed from one definition to another, and for a query the rows, with their copies, that only one form gives.
+
+    Both forms are translated and run, so a changed text with equal rows shows as changed with zeros.
+    """
+    def rows(report: ReportDef, name: str) -> DataFrame | None:
+        sql = next((d.sql for d in report.datasets if d.name == name), "")
+        return spark.sql(text := Dialect().query(sql), args=dict.fromkeys(lex.binds(text))) if sql else None
+
+    out = []
+    for part, name, change in diff(old, new):
+        a, b = (rows(r, name) if part == "query" else None for r in (old, new))
+        if a is not None and b is not None and len(a.columns) == len(b.columns):
+            gone, made = a.exceptAll(b), b.exceptAll(a)
+        else:
+            gone, made = a, b
+        one = spark.range(1).select(F.lit(part).alias("part"), F.lit(name).alias("name"), F.lit(change).alias("change"))
+        for column, df in (("rows_gone", gone), ("rows_new", made)):
+            one = one.crossJoin(df.agg(F.count("*").alias(column))) if df is not None else one.withColumn(column, F.lit(0).cast("long"))
+        out.append(one)
+    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], "part string, name string, change string, rows_gone long, rows_new long")
+
+
 def effort(verdict: str, score: float) -> str:
     return "automatic" if verdict == "READY" and score >= 0.9 else "assisted" if verdict in ("READY", "AMBER") else "manual"
 
