@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.catalog import query, table
+from bandwright.functions.registry import standard
 from bandwright.operators import breaks, burst, links, matrix, pages
-from bandwright.plans import binds, engine
-from bandwright.plans.model import ReportDef
+from bandwright.plans import binds, engine, quality
+from bandwright.plans.model import Dataset, ReportDef
 from bandwright.sources import files, xml_source
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "part", "lineitem")
@@ -217,3 +218,85 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders")
     done = burst.write(rows, shared_folder(spark), "o_orderstatus", name=burst.file_name("orders_<O_ORDERSTATUS>.csv", rows.columns), rows_per_file=3000)
     return done.select("o_orderstatus", "file_name", "n_rows", (F.col("n_files") > 1).alias("is_split"))
+
+
+# ---- rules of a definition, each seen in the rows of its run
+RULES = b"""<report name="R"><data><userParameter name="P_SEG" datatype="character"><listOfValues><value>BUILDING</value><value>MACHINERY</value></listOfValues></userParameter>
+<dataSource name="Q_C"><select>SELECT n_regionkey, n_name, c_custkey, CAST(c_acctbal AS DECIMAL(12,2)) bal FROM customer, nation WHERE c_nationkey = n_nationkey AND (:P_SEG IS NULL OR c_mktsegment = :P_SEG)</select>
+<group name="G_R"><dataItem name="n_regionkey" datatype="number"/></group><group name="G_N"><dataItem name="n_name"/></group>
+<group name="G_C"><dataItem name="c_custkey" datatype="number"/><dataItem name="bal" datatype="number"/><formula name="CF_LOOP" source="cf_loop"/><formula name="CF_CALL" source="cf_call"/><formula name="CF_OK" source="cf_ok"/></group></dataSource>
+<summary name="CS_BAL" source="bal" function="sum" reset="report"/><summary name="CS_N" source="c_custkey" function="count" reset="G_R"/></data>
+<layout><tabular name="T"><field source="bal" formatMask="999990.00"/><field source="CF_OK"/></tabular></layout><programUnits>
+<function name="cf_loop"><textSource>function cf_loop return number is x number; begin for i in 1..3 loop x := x + i; end loop; return x; end;</textSource></function>
+<function name="cf_call"><textSource>function cf_call return number is begin return Other_Pkg.Unknown_Function(:c_custkey); end;</textSource></function>
+<function name="cf_ok"><textSource>function cf_ok return number is begin if :bal is null then return (0); end if; return (:bal * 2); end;</textSource></function></programUnits></report>"""
+RULED = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+def ruled(name: str, oracle: str, pick: Callable[[engine.Result], DataFrame], **values: object) -> None:
+    query(name, oracle)(lambda spark, sf: pick(ran(spark, sf, RULES, **values)))
+
+
+def noted(result: engine.Result, start: str) -> bool:
+    return any(n.startswith(start) for n in result.notes)
+
+
+ruled("e08_formula_that_is_not_translated", f"SELECT c_custkey, CAST(NULL AS VARCHAR) AS looped, CAST(2 * CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS doubled, TRUE AS is_noted {RULED}", lambda r: r.main.select("c_custkey", F.col("CF_LOOP").cast("string").alias("looped"), F.col("CF_OK").cast("double").alias("doubled"), F.lit(noted(r, "CF_LOOP")).alias("is_noted")))
+ruled("e10_call_of_an_unknown_package", f"SELECT c_custkey, CAST(NULL AS VARCHAR) AS called, TRUE AS is_noted {RULED}", lambda r: r.main.select("c_custkey", F.col("CF_CALL").cast("string").alias("called"), F.lit(noted(r, "CF_CALL")).alias("is_noted")))
+ruled("r34_short_hand_layout", f"SELECT c_custkey, printf('%.2f', CAST(c_acctbal AS DECIMAL(12,2))) AS shown {RULED}", lambda r: r.main.select("c_custkey", F.col("F_bal_text").alias("shown")))
+ruled("r36_totals_of_the_data_model", f"SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(12,2))) AS DOUBLE) AS total {RULED}", lambda r: r.totals["CS_BAL"].select(F.col("CS_BAL").cast("double").alias("total")))
+ruled("r03_bands_by_their_own_columns", f"SELECT n_regionkey, n_name, count(c_custkey) AS n, CASE WHEN grouping(n_regionkey) = 1 THEN 0 WHEN grouping(n_name) = 1 THEN 1 ELSE 2 END AS level {RULED} GROUP BY ROLLUP (n_regionkey, n_name)", lambda r: r.breaks.select("n_regionkey", "n_name", F.col("CS_N").alias("n"), "level"))
+ruled("p10_value_of_the_list", f"SELECT c_custkey, FALSE AS is_noted {RULED} WHERE c_mktsegment = 'BUILDING'", lambda r: r.main.select("c_custkey", F.lit(noted(r, "P_SEG")).alias("is_noted")), P_SEG="BUILDING")
+ruled("p10_value_outside_of_the_list", f"SELECT c_custkey, TRUE AS is_noted {RULED} WHERE c_mktsegment = 'FURNITURE'", lambda r: r.main.select("c_custkey", F.lit(noted(r, "P_SEG")).alias("is_noted")), P_SEG="FURNITURE")
+
+
+@query("r04_no_second_totals", "SELECT c_mktsegment, count(*) AS n, FALSE AS is_added FROM customer GROUP BY ROLLUP (c_mktsegment)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A statement that has its totals among its rows gets none added."""
+    report = b"""<report name="R"><data><dataSource name="Q"><select>SELECT c_mktsegment, COUNT(*) n FROM customer GROUP BY ROLLUP(c_mktsegment)</select><group name="G_S"><dataItem name="c_mktsegment"/></group><group name="G_N"><dataItem name="n" datatype="number"/></group></dataSource>
+<summary name="CS_N" source="n" function="sum" reset="G_S"/></data></report>"""
+    done = ran(spark, sf, report)
+    return done.main.select("c_mktsegment", "n", F.lit(bool(done.totals) or done.breaks is not None).alias("is_added"))
+
+
+@query("r24_hollow_parts", "SELECT * FROM (VALUES ('Q_P', FALSE, (SELECT count(*) FROM nation)), ('Q_D', TRUE, 0)) AS t(dataset, is_hollow, n_rows)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of a report that came out without a row."""
+    done = ran(spark, sf, master_detail(NATIONS, "n_nationkey", "SELECT c.c_custkey FROM customer c WHERE c.c_nationkey = :n_nationkey AND c.c_acctbal > 1000000", "c_custkey"))
+    parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("dataset"), (F.col("n_rows") == 0).alias("is_hollow"), "n_rows") for name, df in done.datasets.items()]
+    return reduce(DataFrame.union, parts)
+
+
+@query("u02_arity_of_a_set_operation", "SELECT 'BLOCKER' AS bad, 'READY' AS good, n_nationkey AS k FROM nation UNION ALL SELECT 'BLOCKER', 'READY', r_regionkey FROM region")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Branches of unequal width stop a report before it runs; those of equal width run."""
+    for name in TABLES:
+        table(spark, sf, name).createOrReplaceTempView(name)
+    wide, even = (ReportDef("R", datasets=(Dataset("Q", f"SELECT n_nationkey k{more} FROM nation UNION ALL SELECT r_regionkey FROM region"),)) for more in (", n_name", ""))
+    verdicts = [quality.preflight(r, spark)[0] for r in (wide, even)]
+    return engine.run(even, spark).main.select(F.lit(verdicts[0]).alias("bad"), F.lit(verdicts[1]).alias("good"), "k")
+
+
+@query("x04_arity_of_a_call", "SELECT c_custkey, c_name || ';' AS v, TRUE AS is_refused FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A helper with as many arguments as it takes, and one with more, which is refused before it runs."""
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    refused = False
+    try:
+        binds.run(spark, "SELECT F_Add_Delimiter(c_name, ';', 1) FROM customer")
+    except ValueError:
+        refused = True
+    return binds.run(spark, "SELECT c_custkey, F_Add_Delimiter(c_name, ';') v FROM customer").withColumn("is_refused", F.lit(refused))
+
+
+@query("x05_helper_of_the_user", "SELECT c_custkey, c_name || '!' AS v, TRUE AS is_refused FROM customer")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A helper that nobody supplied is refused; once it is supplied, it runs."""
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    sql, registry, refused = "SELECT c_custkey, Own_Pkg.F_Loud(c_name) v FROM customer", standard(), False
+    try:
+        binds.run(spark, sql, registry=registry)
+    except ValueError:
+        refused = True
+    registry.add("F_Loud", 1, lambda x: f"concat({x}, '!')")
+    return binds.run(spark, sql, registry=registry).withColumn("is_refused", F.lit(refused))

@@ -487,6 +487,10 @@ class _Run:
 def run(report: ReportDef, spark: SparkSession, registry: Registry | None = None, lexicals: dict[str, str] | None = None, now: str = "current_timestamp()", sources: dict[str, DataFrame] | None = None, **values: object) -> Result:
     """The report's data. Tables are views of the session; ``sources`` are the rows of datasets without SQL; ``values`` are the parameters."""
     at = _Run(report, spark, registry or standard(), lexicals or {}, now, values, sources)
+    for p in report.params:
+        value = at.known[p.name.upper()]
+        if p.values and value is not None and str(value) not in p.values:
+            at.notes.append(f"{p.name}: {value} is not in its list of values")
     main_set = report.main()
     children = {link.child.upper() for link in report.links}
     for d in (main_set, *report.datasets):

@@ -23,14 +23,14 @@ def test_date_masks(mask, pattern, case):
 @pytest.mark.parametrize(
     ("mask", "value", "shown"),
     [
-        ("$NNN,NN0.00", 1234.5, "$1,234.50"),
-        ("9G999G999", 1234567, "1,234,567"),
-        ("999%", 12, "12%"),
-        ("000099", 42, "000042"),
-        ("9999MI", -5, "5-"),
-        ("9999PR", -5, "<5>"),
-        ("999,990.0", 0.25, "0.3"),
-        ("9.99EEEE", 1234.0, "1.23E03"),
+        ("$99G990D00", 8017.25, "$8,017.25"),
+        ("99G990", 64005, "64,005"),
+        ("90.9%", 7.5, "7.5%"),
+        ("0000000", 318, "0000318"),
+        ("99990MI", -71, "71-"),
+        ("990PR", -640, "<640>"),
+        ("9,990.00", 0.625, "0.63"),
+        ("9.9EEEE", 70500.0, "7.1E04"),
     ],
 )
 def test_number_masks(spark, mask, value, shown):
