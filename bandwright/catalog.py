@@ -430,6 +430,7 @@ source("d33_url_escape", "SELECT p_partkey, Pkg.F_Url_Escape(p_type) v FROM part
 source("d34_address_phone", "SELECT c_custkey, Pkg.F_Phone(LPAD(TO_CHAR(c_custkey), 10, '5')) phone, Pkg.F_Address(c_name, NULL, c_mktsegment, 'NY', '10001') addr FROM customer", "SELECT c_custkey, '(' || substr(p, 1, 3) || ') ' || substr(p, 4, 3) || '-' || substr(p, 7, 4) AS phone, c_name || ', ' || c_mktsegment || ', NY 10001' AS addr FROM (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 10, '5') AS p FROM customer)")
 source("d35_add_delimiter", "SELECT o_orderkey, F_Add_Delimiter(NULLIF(o_orderstatus, 'P'), ', ') v FROM orders", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus || ', ' ELSE '' END AS v FROM orders")
 source("d40_sysdate", "SELECT o_orderkey, TO_CHAR(SYSDATE, 'YYYY-MM-DD HH24:MI') v, CASE WHEN o_orderdate < SYSDATE THEN 'old' ELSE 'new' END age FROM orders", "SELECT o_orderkey, '2001-06-15 10:30' AS v, CASE WHEN o_orderdate < TIMESTAMP '2001-06-15 10:30:00' THEN 'old' ELSE 'new' END AS age FROM orders")
+source("d64_date_arithmetic", "SELECT o_orderkey, TO_CHAR(o_orderdate + 30, 'YYYY-MM-DD') later, TO_CHAR(SYSDATE - 1/24, 'YYYY-MM-DD HH24:MI') an_hour_ago, TRUNC(SYSDATE) - TRUNC(o_orderdate) days FROM orders WHERE o_orderdate - 7 < SYSDATE - 400", "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS later, '2001-06-15 09:30' AS an_hour_ago, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-06-15') AS DOUBLE) AS days FROM orders WHERE o_orderdate - INTERVAL 7 DAY < TIMESTAMP '2001-06-15 10:30:00' - INTERVAL 400 DAY")
 source("d41_to_date", "SELECT o_orderkey, TO_CHAR(TO_DATE(TO_CHAR(o_orderdate, 'DD/MM/YYYY'), 'DD/MM/YYYY'), 'YYYY-MM-DD') v FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders")
 source("d42_to_char_date", "SELECT o_orderkey, TO_CHAR(o_orderdate, 'MM/DD/YYYY') a, TO_CHAR(o_orderdate, 'YYYY\"-Q\"Q') b FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS a, strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate) AS b FROM orders")
 _D = "CAST(CAST({} AS DATE) AS VARCHAR)"

@@ -81,3 +81,14 @@ def test_literal_round_trip(value):
     literal = "'" + value.replace("'", "''") + "'"
     tokens = lex.tokens(f"SELECT {literal} x")
     assert tokens[1].kind == "string" and tokens[1].text == literal
+
+
+def test_days_are_added_to_dates_and_dates_subtracted(spark):
+    import datetime as dt
+
+    from bandwright.plans.dialect import to_spark_sql
+
+    spark.createDataFrame([(dt.datetime(2024, 3, 1, 12), dt.datetime(2024, 2, 28), 5)], "d timestamp_ntz, e timestamp_ntz, n int").createOrReplaceTempView("dated")
+    row = spark.sql(to_spark_sql("SELECT d - 1 a, d + 1/24 b, d - e c, TRUNC(d) - e + 3 f, n - 1 g, d - 1 - e h FROM dated", types={"d": "date", "e": "date", "n": "number"})).first()
+    assert (row.a, row.b) == (dt.datetime(2024, 2, 29, 12), dt.datetime(2024, 3, 1, 13))
+    assert (row.c, row.f, row.g, row.h) == (2.5, 5.0, 4, 1.5)
