@@ -300,3 +300,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         refused = True
     registry.add("F_Loud", 1, lambda x: f"concat({x}, '!')")
     return binds.run(spark, sql, registry=registry).withColumn("is_refused", F.lit(refused))
+
+
+@query("x03_functions_over_tables", "SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 THEN 'none ' || c_nationkey ELSE n_name END AS nation, (SELECT coalesce(string_agg(m.n_name, '; ' ORDER BY m.n_name), '') FROM nation m WHERE m.n_regionkey = c_nationkey) AS neighbours FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Helpers that read a table: a value by its key, and a list."""
+    table(spark, sf, "customer").createOrReplaceTempView("customer")
+    table(spark, sf, "nation").where("n_nationkey % 4 <> 0").createOrReplaceTempView("nation_some")
+    table(spark, sf, "nation").createOrReplaceTempView("nation")
+    registry = standard()
+    registry.add_lookup("F_Nation_Name", "nation_some", "n_nationkey", "n_name", lambda x: f"concat('none ', {x})")
+    registry.add_list("F_Nations_Of", "nation", ["n_regionkey"], "n_name")
+    return binds.run(spark, "SELECT c.c_custkey, Geo.F_Nation_Name(c.c_nationkey) nation, Geo.F_Nations_Of(c.c_nationkey, '; ') neighbours FROM customer c", registry=registry)

@@ -6,7 +6,7 @@ have a builder here; a hard one must be supplied, or the call is an error.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 
@@ -58,6 +58,27 @@ class Registry:
     def add(self, name: str, arity: int, builder: Callable[..., str]) -> None:
         self.builders[name.upper()] = (arity, builder)
 
+    def add_lookup(self, name: str, table: str, key: str, value: str, default: Callable[[str], str] | None = None) -> None:
+        """A function that reads one value of a table by its key; ``default`` makes SQL from the argument where there is none.
+
+        A correlated subquery with one aggregate, which Spark runs as one aggregation of the table and one join.
+        """
+
+        def builder(x: str) -> str:
+            found = f"(SELECT max(_t.{value}) FROM {table} _t WHERE _t.{key} = {x})"
+            return f"coalesce({found}, {default(x)})" if default else found
+
+        self.add(name, 1, builder)
+
+    def add_list(self, name: str, table: str, keys: Sequence[str], value: str) -> None:
+        """A function of the keys and a delimiter that joins a table's values for these keys, in order."""
+
+        def builder(*args: str) -> str:
+            same = " AND ".join(f"_t.{k} = {x}" for k, x in zip(keys, args, strict=False))
+            return f"(SELECT array_join(array_sort(collect_list(cast(_t.{value} AS string))), {args[-1]}) FROM {table} _t WHERE {same})"
+
+        self.add(name, len(keys) + 1, builder)
+
     def knows(self, name: str) -> bool:
         return name.upper().rpartition(".")[2] in self.builders
 
