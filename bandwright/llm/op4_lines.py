@@ -57,6 +57,8 @@ HOT_REFINED = 128
 TALLIES = ("t0", "t1", "t2", "t3")
 BROADCAST_DOCS = 500_000
 FILTERED_KEYS = 1_000_000
+BROADCAST_KEYS = 100_000
+BROADCAST_BYTES = 16 << 20
 LINE_SLICE_BYTES = 1 << 16
 
 
@@ -360,6 +362,12 @@ def _common(a: str, b: str) -> int:
     return low
 
 
+def _few(table: DataFrame, text: str | None = None) -> DataFrame:
+    """A written table to be broadcast if its rows, and the bytes of its text, are few; else a join shuffles it."""
+    size = table.agg(F.count("*").alias("n"), F.sum(F.octet_length(text) if text else F.lit(0)).alias("bytes")).first()
+    return F.broadcast(table) if size.n <= BROADCAST_KEYS and (size.bytes or 0) <= BROADCAST_BYTES else table
+
+
 def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, nearest) of lines with hot keys: (a, b) of candidates, each once, and (key, near_first) of what is near for certain.
 
@@ -396,9 +404,9 @@ def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFra
         depth += 1
 
         def owners(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
-            """(h, key) of the lines that are indexed by a fresh key."""
+            """(h, value) of the lines that are indexed by a fresh key."""
             for batch in batches:
-                names, fresh = batch.column(0).to_numpy(), batch.column(3)
+                fresh = batch.column(3)
                 for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
                     hots, cuts = _hots_of(batch.column(2), a, b)
                     some = fresh.slice(a, b - a)
@@ -406,7 +414,7 @@ def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFra
                     wanted = ts.mix(some.flatten().to_numpy().view(np.uint64) + mine.astype(np.uint64) * np.uint64(ts.BASE))
                     x, states = line_states(texts, edits, hots, cuts, depth)
                     chosen = states.own & np.isin(ts.mix(states.h + x.owner[states.line].astype(np.uint64) * np.uint64(ts.BASE)), wanted)
-                    yield pa.RecordBatch.from_arrays([_signed(states.h[chosen]), pa.array(names[a:b][x.owner[states.line[chosen]]])], ["h", "key"])
+                    yield pa.RecordBatch.from_arrays([_signed(states.h[chosen]), batch.column(1).slice(a, b - a).take(pa.array(x.owner[states.line[chosen]]))], ["h", "value"])
 
         def alike(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
             """(h, place, n): for each open part of a line's state, how much of its beginning and its end is that of the key's first line, and its size."""
@@ -442,26 +450,25 @@ def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFra
                     columns = [_signed(np.concatenate([open_.h, h])), pa.array(names[a:b][x.owner[line]]), pa.array(own), pa.array(final), pa.array(x.size[line]), *map(pa.array, x.tallies()[line].T)]
                     yield pa.RecordBatch.from_arrays(columns, ["h", "key", "own", "final", "size", *TALLIES])
 
-        heads = lines.mapInArrow(owners, "h long, key long").groupBy("h").agg(F.min("key").alias("key"))
-        heads = written(heads.join(lines.select("key", "value"), "key").select("h", "value"), "heads")
+        heads = _few(written(lines.mapInArrow(owners, "h long, value string").groupBy("h").agg(F.min("value").alias("value")), "heads"), "value")
         listed = lines.select("key", F.explode("fresh").alias("h")).join(heads, "h").groupBy("key").agg(F.collect_list(F.struct("h", "value")).alias("first"))
         ends = lines.join(listed, "key").select("key", "value", "hots", "first").mapInArrow(alike, "h long, place int, n int")
         ends = ends.groupBy("h", F.floor(F.col("place") / 3).alias("part")).agg(*(F.min(F.when(F.col("place") % 3 == i, F.col("n"))).alias(c) for i, c in enumerate(("before", "after", "size"))))
         cut = F.array(F.col("before"), F.least("after", F.col("size") - F.col("before")))
         cuts = ends.groupBy("h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", cut.alias("cut")))), lambda p: p["cut"])).alias("cut"))
-        cuts = written(cuts, "cuts")
+        cuts = _few(written(cuts, "cuts"))
         more = lines.select("key", F.explode("fresh").alias("h")).join(cuts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "cut")).cast(HOTS).alias("more"))
         lines = written(lines.join(more, "key").select("key", "value", F.concat("hots", "more").alias("hots")), "cut-lines")
 
         found = written(lines.mapInArrow(keys, f"h long, key long, own boolean, final boolean, size long, {', '.join(f'{t} long' for t in TALLIES)}").distinct(), "refined")
-        certain = found.where("final").select("h", "key", "own").join(firsts, "key")
-        earliest = written(certain.groupBy("h").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("indexed"), F.min("first").alias("all")), "earliest")
+        certain = written(found.where("final").select("h", "key", "own").join(firsts, "key"), "certain")
+        earliest = _few(written(certain.groupBy("h").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("indexed"), F.min("first").alias("all")), "earliest"))
         near = certain.join(earliest, "h").select("key", F.when(F.col("own"), F.col("all")).otherwise(F.col("indexed")).alias("near_first")).where("near_first is not null")
         near = written(near.groupBy("key").agg(F.min("near_first").alias("near_first")), "nearest")
         nearest = near if nearest is None else nearest.union(near)
 
         found = found.where("not final")
-        hot = written(found.where("own").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h"), "hot")
+        hot = _few(written(found.where("own").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h"), "hot"))
         cool = found.where("own").join(hot, "h", "left_anti")
         listed = cool.groupBy("h").agg(F.collect_list(F.struct("key", "size", *tally)).alias("near"))  # at most HOT_REFINED lines
         met = found.select("h", "key", "size", *tally).join(listed, "h").where("size(near) > 1 or near[0].key <> key")
