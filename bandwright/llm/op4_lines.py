@@ -38,6 +38,7 @@ id sorts first; an empty table gives an empty result; other columns stay.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,7 +59,6 @@ TALLIES = ("t0", "t1", "t2", "t3")
 BROADCAST_DOCS = 500_000
 FILTERED_KEYS = 1_000_000
 BROADCAST_KEYS = 100_000
-BROADCAST_BYTES = 16 << 20
 LINE_SLICE_BYTES = 1 << 16
 
 
@@ -362,10 +362,18 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _few(table: DataFrame, text: str | None = None) -> DataFrame:
-    """A written table to be broadcast if its rows, and the bytes of its text, are few; else a join shuffles it."""
-    size = table.agg(F.count("*").alias("n"), F.sum(F.octet_length(text) if text else F.lit(0)).alias("bytes")).first()
-    return F.broadcast(table) if size.n <= BROADCAST_KEYS and (size.bytes or 0) <= BROADCAST_BYTES else table
+def _collected(table: DataFrame) -> pa.Table | None:
+    """A written table of keys, to go to all tasks with their code, if its rows are few; else joins shuffle it."""
+    return table.toArrow() if table.count() <= BROADCAST_KEYS else None
+
+
+def _with_cuts(batch: pa.RecordBatch, cut_of: dict[int, list[int]] | None) -> pa.RecordBatch:
+    """Lines (key, value, hots, fresh) whose fresh keys went to the hots, with their cuts; as they are if these are joined already."""
+    if cut_of is None:
+        return batch
+    hots = [old + [{"h": h, "cut": cut_of[h]} for h in fresh] for old, fresh in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    none = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hots, pa.list_(pa.struct([("h", pa.int64()), ("cut", pa.list_(pa.int32()))]))), none], ["key", "value", "hots", "fresh"])
 
 
 def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -376,7 +384,9 @@ def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFra
     differ in a few characters are left with these at once. Keys whose parts are no
     longer than their edits are settled: each line gets the earliest line there, an
     aggregation and a join, and no pair is made. Other keys of few lines
-    give candidates; those of many go on.
+    give candidates; those of many go on. A round aggregates twice (ends, and
+    counts of keys); hot keys and cuts go to the tasks with the code while they are at most
+    ``BROADCAST_KEYS``, and are joined by a shuffle beyond it. Lines meet once, after the last round.
     """
     most = max(k for _, k in edits)
     tally = [F.col(t) for t in TALLIES]
@@ -398,46 +408,61 @@ def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFra
             larger, first = np.unique(found[:, 0], return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(larger), pa.ListArray.from_arrays(pa.array(np.append(first, len(found)).astype(np.int32)), pa.array(np.ascontiguousarray(found[:, 1])))], ["a", "bs"])
 
-    pairs = nearest = None
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     depth = 0
     while True:
         depth += 1
 
-        def owners(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
-            """(h, value) of the lines that are indexed by a fresh key."""
+        def ends(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            """For each fresh key of some lines and each open part: its least and greatest text, forwards and backwards, and its least size."""
             for batch in batches:
                 fresh = batch.column(3)
                 for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
                     hots, cuts = _hots_of(batch.column(2), a, b)
+                    values = batch.column(1).slice(a, b - a).to_pylist()
                     some = fresh.slice(a, b - a)
                     mine = np.repeat(np.arange(b - a), np.diff(some.offsets.to_numpy()))
                     wanted = ts.mix(some.flatten().to_numpy().view(np.uint64) + mine.astype(np.uint64) * np.uint64(ts.BASE))
                     x, states = line_states(texts, edits, hots, cuts, depth)
-                    chosen = states.own & np.isin(ts.mix(states.h + x.owner[states.line].astype(np.uint64) * np.uint64(ts.BASE)), wanted)
-                    yield pa.RecordBatch.from_arrays([_signed(states.h[chosen]), batch.column(1).slice(a, b - a).take(pa.array(x.owner[states.line[chosen]]))], ["h", "value"])
-
-        def alike(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
-            """(h, place, n): for each open part of a line's state, how much of its beginning and its end is that of the key's first line, and its size."""
-            for batch in batches:
-                listed = batch.column(3)
-                for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
-                    hots, cuts = _hots_of(batch.column(2), a, b)
-                    values = batch.column(1).slice(a, b - a).to_pylist()
-                    first = [{r["h"]: r["value"] for r in rows} for rows in listed.slice(a, b - a).to_pylist()]
-                    x, states = line_states(texts, edits, hots, cuts, depth)
-                    least: dict[tuple[int, int], int] = {}
+                    states = states.where(np.isin(ts.mix(states.h + x.owner[states.line].astype(np.uint64) * np.uint64(ts.BASE)), wanted))
+                    found: dict[int, list] = {}
                     for owner, h, parts in zip(x.owner[states.line].tolist(), states.h.view(np.int64).tolist(), states.parts.tolist(), strict=True):
-                        other = first[owner].get(h)
-                        for p, (size, _, start, have, index) in enumerate(parts if other is not None else ()):
-                            mine, theirs = values[owner][start : start + have], other[index : index + size]
-                            for place, n in ((3 * p, _common(mine, theirs)), (3 * p + 1, _common(mine[::-1], theirs[::-1])), (3 * p + 2, min(size, have))):
-                                if n < least.get((h, place), 1 << 30):
-                                    least[h, place] = n
-                    keys = list(least)
-                    yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.int64()), pa.array([p for _, p in keys], pa.int32()), pa.array(list(least.values()), pa.int32())], ["h", "place", "n"])
-
-        def keys(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+                        here = []
+                        for size, _, start, have, _ in parts:
+                            part = values[owner][start : start + have]
+                            back = part[::-1]
+                            here += [part, part, back, back, min(size, have)]
+                        before = found.get(h)
+                        found[h] = here if before is None else [(max if i % 5 in (1, 3) else min)(v, w) for i, (v, w) in enumerate(zip(before, here, strict=True))]
+                    columns = [pa.array([row[i] for row in found.values()], pa.int32() if i % 5 == 4 else pa.string()) for i in range(5 * depth + 5)]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *columns], ["h", *named])
+
+        def common(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            """(h, cut): how much of the beginning and the end of each open part all lines of a key share, which its least and greatest text do."""
             for batch in batches:
+                rows = []
+                for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                    cut = []
+                    for low, high, back_low, back_high, size in (row[5 * p : 5 * p + 5] for p in range(depth + 1)):
+                        before = _common(low, high)
+                        cut += [before, min(_common(back_low, back_high), size - before)]
+                    rows.append(cut)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["h", "cut"])
+
+        named = [f"{c}{p}" for p in range(depth + 1) for c in ("low", "high", "back_low", "back_high", "size")]
+        all_ends = lines.mapInArrow(ends, "h long, " + ", ".join(f"{c} {'int' if c.startswith('size') else 'string'}" for c in named))
+        all_ends = all_ends.groupBy("h").agg(*((F.max if c.startswith(("high", "back_high")) else F.min)(c).alias(c) for c in named))
+        cuts = written(all_ends.mapInArrow(common, "h long, cut array<int>"), "cuts")
+        table = _collected(cuts)
+        cut_of = None if table is None else dict(zip(table["h"].to_pylist(), table["cut"].to_pylist(), strict=True))
+        if cut_of is None:
+            more = lines.select("key", F.explode("fresh").alias("h")).join(cuts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "cut")).cast(HOTS).alias("more"))
+            lines = written(lines.join(more, "key").select("key", "value", F.concat("hots", "more").alias("hots"), F.array().cast("array<long>").alias("fresh")), "cut-lines")
+
+        def keys(batches: Iterator[pa.RecordBatch], depth: int = depth, cut_of: dict | None = cut_of) -> Iterator[pa.RecordBatch]:
+            """The keys of each line, each once, after one more segment."""
+            for batch in batches:
+                batch = _with_cuts(batch, cut_of)
                 names = batch.column(0).to_numpy()
                 for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
                     x, states = line_states(texts, edits, *_hots_of(batch.column(2), a, b), depth, cut=True)
@@ -445,40 +470,67 @@ def _refined(lines: DataFrame, edits: Edits, firsts: DataFrame) -> tuple[DataFra
                     done = [settled(x, s.where(is_settled(s))) for s in (states, open_)]
                     open_ = open_.where(~is_settled(open_))
                     h, line, own = (np.concatenate(c) for c in zip(*done, strict=True))
-                    line, own = np.concatenate([open_.line, line]), np.concatenate([open_.own, own])
+                    h, line, own = np.concatenate([open_.h, h]), np.concatenate([open_.line, line]), np.concatenate([open_.own, own])
                     final = np.arange(len(line)) >= len(open_.line)
-                    columns = [_signed(np.concatenate([open_.h, h])), pa.array(names[a:b][x.owner[line]]), pa.array(own), pa.array(final), pa.array(x.size[line]), *map(pa.array, x.tallies()[line].T)]
+                    order = np.lexsort((final, own, h, line))
+                    h, line, own, final = h[order], line[order], own[order], final[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1]) | (own[1:] != own[:-1]) | (final[1:] != final[:-1])
+                    h, line, own, final = h[new], line[new], own[new], final[new]
+                    columns = [_signed(h), pa.array(names[a:b][x.owner[line]]), pa.array(own), pa.array(final), pa.array(x.size[line]), *map(pa.array, x.tallies()[line].T)]
                     yield pa.RecordBatch.from_arrays(columns, ["h", "key", "own", "final", "size", *TALLIES])
 
-        heads = _few(written(lines.mapInArrow(owners, "h long, value string").groupBy("h").agg(F.min("value").alias("value")), "heads"), "value")
-        listed = lines.select("key", F.explode("fresh").alias("h")).join(heads, "h").groupBy("key").agg(F.collect_list(F.struct("h", "value")).alias("first"))
-        ends = lines.join(listed, "key").select("key", "value", "hots", "first").mapInArrow(alike, "h long, place int, n int")
-        ends = ends.groupBy("h", F.floor(F.col("place") / 3).alias("part")).agg(*(F.min(F.when(F.col("place") % 3 == i, F.col("n"))).alias(c) for i, c in enumerate(("before", "after", "size"))))
-        cut = F.array(F.col("before"), F.least("after", F.col("size") - F.col("before")))
-        cuts = ends.groupBy("h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", cut.alias("cut")))), lambda p: p["cut"])).alias("cut"))
-        cuts = _few(written(cuts, "cuts"))
-        more = lines.select("key", F.explode("fresh").alias("h")).join(cuts, "h").groupBy("key").agg(F.collect_list(F.struct("h", "cut")).cast(HOTS).alias("more"))
-        lines = written(lines.join(more, "key").select("key", "value", F.concat("hots", "more").alias("hots")), "cut-lines")
-
-        found = written(lines.mapInArrow(keys, f"h long, key long, own boolean, final boolean, size long, {', '.join(f'{t} long' for t in TALLIES)}").distinct(), "refined")
-        certain = written(found.where("final").select("h", "key", "own").join(firsts, "key"), "certain")
-        earliest = _few(written(certain.groupBy("h").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("indexed"), F.min("first").alias("all")), "earliest"))
-        near = certain.join(earliest, "h").select("key", F.when(F.col("own"), F.col("all")).otherwise(F.col("indexed")).alias("near_first")).where("near_first is not null")
-        near = written(near.groupBy("key").agg(F.min("near_first").alias("near_first")), "nearest")
-        nearest = near if nearest is None else nearest.union(near)
-
-        found = found.where("not final")
-        hot = _few(written(found.where("own").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h"), "hot"))
-        cool = found.where("own").join(hot, "h", "left_anti")
-        listed = cool.groupBy("h").agg(F.collect_list(F.struct("key", "size", *tally)).alias("near"))  # at most HOT_REFINED lines
-        met = found.select("h", "key", "size", *tally).join(listed, "h").where("size(near) > 1 or near[0].key <> key")
-        met = written(met.select("key", "size", *tally, "near").mapInArrow(compared, "a long, bs array<long>"), "near")
-        pairs = met if pairs is None else pairs.union(met)
-        if hot.isEmpty():
-            by = pairs.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-            return by.select("a", F.explode("bs").alias("b")), nearest
-        fresh = found.join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("fresh"))
-        lines = written(lines.join(fresh, "key").select("key", "value", "hots", "fresh"), "hot-lines")
+        found = written(lines.mapInArrow(keys, f"h long, key long, own boolean, final boolean, size long, {', '.join(f'{t} long' for t in TALLIES)}"), "refined")
+        hot = written(found.where("own and not final").groupBy("h").count().where(F.col("count") > HOT_REFINED).select("h"), "hot")
+        table = _collected(hot)
+        rounds.append((found, hot if table is None else F.broadcast(hot)))
+        if table is not None and not table.num_rows:
+            break
+        if table is not None:
+            hot_keys = np.sort(table["h"].to_numpy().view(np.uint64))
+
+            def still(batches: Iterator[pa.RecordBatch], depth: int = depth, cut_of: dict | None = cut_of, hot_keys: np.ndarray = hot_keys) -> Iterator[pa.RecordBatch]:
+                """(key, value, hots, fresh) of the lines with keys that are still hot."""
+                for batch in batches:
+                    batch = _with_cuts(batch, cut_of)
+                    for a, b, texts in ts.slices(batch.column(1), size=LINE_SLICE_BYTES):
+                        x, states = line_states(texts, edits, *_hots_of(batch.column(2), a, b), depth + 1)
+                        states = states.where(~is_settled(states) & np.isin(states.h, hot_keys))
+                        owner, h = x.owner[states.line], states.h
+                        order = np.lexsort((h, owner))
+                        owner, h = owner[order], h[order]
+                        new = np.ones(len(h), bool)
+                        new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+                        owner, h = owner[new], h[new]
+                        chosen, first = np.unique(owner, return_index=True)
+                        fresh = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), _signed(h))
+                        yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(pa.array(chosen)) for c in batch.columns[:3]), fresh], ["key", "value", "hots", "fresh"])
+
+            lines = written(lines.mapInArrow(still, f"key long, value string, hots {HOTS}, fresh array<long>"), "hot-lines")
+        else:
+            if cut_of is not None:
+
+                def with_cuts(batches: Iterator[pa.RecordBatch], cut_of: dict = cut_of) -> Iterator[pa.RecordBatch]:
+                    for batch in batches:
+                        yield _with_cuts(batch, cut_of)
+
+                lines = lines.mapInArrow(with_cuts, f"key long, value string, hots {HOTS}, fresh array<long>")
+            fresh = found.where("not final").join(hot, "h").groupBy("key").agg(F.collect_set("h").alias("fresh"))
+            lines = written(lines.drop("fresh").join(fresh, "key").select("key", "value", "hots", "fresh"), "hot-lines")
+
+    # what all rounds have found meets at once
+    final = functools.reduce(DataFrame.union, (found.where("final").select("h", "key", "own") for found, _ in rounds))
+    certain = written(final.join(firsts, "key"), "certain")
+    earliest = written(certain.groupBy("h").agg(F.min(F.when(F.col("own"), F.col("first"))).alias("indexed"), F.min("first").alias("all")), "earliest")
+    near = certain.join(earliest, "h").select("key", F.when(F.col("own"), F.col("all")).otherwise(F.col("indexed")).alias("near_first")).where("near_first is not null")
+    nearest = written(near.groupBy("key").agg(F.min("near_first").alias("near_first")), "nearest")
+
+    cool = functools.reduce(DataFrame.union, (found.where("not final").drop("final").join(hot, "h", "left_anti") for found, hot in rounds))
+    listed = cool.where("own").groupBy("h").agg(F.collect_list(F.struct("key", "size", *tally)).alias("near"))  # at most HOT_REFINED lines
+    met = cool.select("h", "key", "size", *tally).join(listed, "h").where("size(near) > 1 or near[0].key <> key")
+    pairs = written(met.select("key", "size", *tally, "near").mapInArrow(compared, "a long, bs array<long>"), "near")
+    by = pairs.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    return by.select("a", F.explode("bs").alias("b")), nearest
 
 
 def _decisions(df: DataFrame, id_col: str, text: str, edits: Edits, least: int, broadcast_docs: int) -> DataFrame:

@@ -274,6 +274,29 @@ def test_a_family_of_lines_makes_no_pairs(spark, monkeypatch, ending):
     assert got == {i: [j for j in range(i) if within(x, lines[j])][:1] for i, x in enumerate(lines)}
 
 
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_lines_of_hot_keys_meet_once(spark, monkeypatch, broadcast):
+    """However many rounds there are, and whether keys are few or many in each: two tables a round and one meeting after the last; no line is lost."""
+    monkeypatch.setattr(op4_lines, "HOT", 3)
+    monkeypatch.setattr(op4_lines, "HOT_REFINED", 5)
+    monkeypatch.setattr(op4_lines, "BROADCAST_KEYS", broadcast)
+    names = []
+    monkeypatch.setattr(op4_lines, "written", lambda df, name, keep=op4_lines.written: names.append(name) or keep(df, name))
+    random.seed(11)
+    head = "every one of these é lines begins with this same passage of text, "
+    lines = [head + "".join(random.choice("ab") for _ in range(24)) + " and ends with this other one" + random.choice(["", "!"]) for _ in range(60)]
+    lines += [line[:70] + "c" + line[71:80] + line[81:] for line in random.sample(lines, 20)]
+    got = op4_lines.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    within = lambda a, b: op4_lines.edit_within(a, b, 3 if min(len(a), len(b)) >= 100 else 2)
+    want = {i: [j for j in range(i) if within(x, lines[j])][:1] for i, x in enumerate(lines)}
+    assert {r.doc_id: [d.first_id for d in r.dropped or []] for r in got.collect()} == want
+    assert 0 < sum(map(bool, want.values())) < len(lines)
+    rounds = names.count("refined")
+    assert rounds >= 2 and names.count("near") == names.count("certain") == 1
+    assert names.count("cuts") == names.count("hot") - 1 == rounds and names.count("hot-lines") == rounds
+    assert names.count("cut-lines") == (0 if broadcast else rounds)
+
+
 def test_exact_copies_of_short_lines_go(spark):
     texts = ["All rights reserved.\nReleased under the MIT License.\nYes.", "All rights reserved.\nReleased under the MIT Licence.\nYes.", "Released under the MIT License.\nAll rights reserved\nNineteen characters"]
     got = op4_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
