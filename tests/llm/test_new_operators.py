@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from bandwright.llm import induced, op11_trie, op12_repeats, op13_resample, order
 
@@ -163,6 +164,31 @@ def test_repeats_of_copied_passages(spark, options):
     assert kept(df, **options) == removed(rows, options.get("width", 50))
 
 
+def test_answers_of_a_shard(monkeypatch):
+    """Each window gets the least id of its string; numpy is called for a shard, not for each of its pieces; 16-bit keys sort as wider ones."""
+    random.seed(4)
+    texts = sorted({"".join(random.choices("ab", k=random.randint(6, 12))).encode() for _ in range(400)})
+    asks = np.zeros(len(texts), op12_repeats.ASK)
+    asks["s"], asks["first"], asks["size"] = np.arange(len(texts)), random.sample(range(-500, 500), len(texts)), [len(t) for t in texts]
+    table = pa.table({"shard": [1], "block": [2], "x": pa.array([asks.tobytes()], pa.binary()), "bytes": pa.array([b"".join(texts)], pa.binary())})
+    calls = []
+    diff = np.diff
+    monkeypatch.setattr(np, "diff", lambda *a, **b: calls.append(1) or diff(*a, **b))
+    raw = op12_repeats.runs_of(table, 6, 1 << 26)["x"][0].as_py()
+    least = {}
+    for t, first in zip(texts, asks["first"].tolist(), strict=True):
+        for i in range(len(t) - 5):
+            least[t[i : i + 6]] = min(first, least.get(t[i : i + 6], first))
+    for t in texts:
+        run = np.frombuffer(raw, op12_repeats.RUN, raw[0], 1)
+        assert np.repeat(run["first"], run["n"]).tolist() == [least[t[i : i + 6]] for i in range(len(t) - 5)]
+        raw = raw[1 + run.nbytes :]
+    assert not raw and len(calls) < 100 < len(texts)
+    for most in (200, 65_535, 65_536, 1 << 40):
+        keys = np.array([random.choice([0, 5, most]) for _ in range(50)])
+        assert (induced.stable(keys, most) == np.argsort(keys, kind="stable")).all()
+
+
 def test_texts_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(op12_repeats, "PART", 256)
     rows = [(1, LONG[:900] + "xyz" + LONG[:300]), (2, "q" * 400 + LONG[100:700]), (3, "ab" * 500)]
