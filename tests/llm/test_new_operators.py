@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import tempfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -189,6 +191,37 @@ def test_answers_of_a_shard(monkeypatch):
         assert (induced.stable(keys, most) == np.argsort(keys, kind="stable")).all()
 
 
+def test_memory_of_a_shard():
+    """What a shard takes for each byte and entry, traced; a queue counts what its views keep, and a worker gives back what it has freed."""
+    rng = np.random.default_rng(5)
+    asks = np.zeros(12_000, op12_repeats.ASK)
+    asks["s"], asks["first"], asks["size"] = np.arange(len(asks)), rng.integers(0, 5000, len(asks)), 60
+    raw = rng.integers(97, 123, 60 * len(asks)).astype(np.uint8)
+    raw[: len(raw) // 4] = raw[len(raw) // 2 :][: len(raw) // 4]  # passages of others
+    table = pa.table({"shard": [1], "block": [2], "x": pa.array([asks.tobytes()], pa.binary()), "bytes": pa.array([raw.tobytes()], pa.binary())})
+    entries = np.zeros(60_000, op12_repeats.ENTRY)
+    entries["s"], entries["a"], entries["first"] = rng.integers(0, 50_000, len(entries)), rng.integers(0, 40_000, len(entries)), rng.integers(0, 9, len(entries))
+    sent = pa.table({"shard": [1], "block": [2], "x": pa.array([op12_repeats.packed_entries(entries)], pa.binary())})
+    tracemalloc.start()
+    try:
+        peaks = []
+        for f in (lambda: op12_repeats.runs_of(table, 50, 1 << 27), lambda: op12_repeats.codes_of(sent)):
+            tracemalloc.reset_peak()
+            before = tracemalloc.get_traced_memory()[0]
+            f()
+            peaks.append(tracemalloc.get_traced_memory()[1] - before)
+    finally:
+        tracemalloc.stop()
+    assert peaks[0] < 60 * len(raw) and peaks[1] < 120 * len(entries), (peaks[0] / len(raw), peaks[1] / len(entries))
+    with tempfile.TemporaryDirectory() as folder:
+        queue = induced.Queue(induced.Disk(folder, 1000), 2)
+        for _ in range(4):  # bin 0 is taken at once, bin 1 keeps the arrays
+            queue.push(np.append(np.zeros(29, int), 1), np.zeros((30, 2), np.int64))
+            queue.pop(0, 1000)
+        assert queue.disk.spilled and len(queue.pop(1, 1000)) == 4
+    op12_repeats.give_back()
+
+
 def test_texts_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(op12_repeats, "PART", 256)
     rows = [(1, LONG[:900] + "xyz" + LONG[:300]), (2, "q" * 400 + LONG[100:700]), (3, "ab" * 500)]
