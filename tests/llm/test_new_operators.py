@@ -232,6 +232,29 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
     assert windows == {int(a) + p for a, (_, b) in zip(bounds, data, strict=False) for p in range(len(b) - 49)}
 
 
+def test_entries_of_a_block(monkeypatch):
+    """A shard's entries lie together, each once, with the least id; hashes of neighbours are those of ranges; no suffix is searched for."""
+    random.seed(6)
+    rows = [(random.randrange(99), random.choice([LONG[:300], LONG[7:400]]) + "".join(random.choices("abcdef", k=200))) for _ in range(30)]
+    data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    bounds, ids = np.cumsum([0, *map(len, data)]), np.array([i for i, _ in rows])
+    x = op12_repeats.block_of(np.concatenate(data), bounds, ids, 50, 7)
+    assert len(set(x.shards.tolist())) == len(x.shards) > 1 and x.cuts[-1] == len(x.entries) == len(set(x.entries["s"].tolist()))
+    for e in range(len(x.entries)):
+        own = ids[x.doc[x.entry == e]]
+        assert x.entries["first"][e] == own.min() and x.entries["many"][e] == (own.min() != own.max())
+    total = op12_repeats.ts.prefix_hashes(data[0])
+    at = np.arange(len(data[0]) - 19)
+    assert (op12_repeats.ts.hash_neighbours(total, 20) == op12_repeats.ts.hash_between(total, at, at + 20)).all()
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: searched.append(np.size(v)) or search(a, v, *more))
+    asks = np.zeros(50, op12_repeats.ASK)
+    asks["s"], asks["size"] = np.arange(50), 60
+    raw = "".join(random.choices("abcdef", k=3000)).encode()
+    op12_repeats.runs_of(pa.table({"shard": [1], "block": [2], "x": pa.array([asks.tobytes()], pa.binary()), "bytes": pa.array([raw], pa.binary())}), 50, 1 << 26)
+    assert sum(searched) < 100
+
+
 def test_entries_survive_packing():
     e = np.zeros(3, op12_repeats.ENTRY)
     for ids in ([5, 6, 7], [-9, 1 << 40, 3], [op12_repeats.NO_ID, (1 << 63) - 1, 0]):
