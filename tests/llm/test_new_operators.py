@@ -191,6 +191,18 @@ def test_answers_of_a_shard(monkeypatch):
         assert (induced.stable(keys, most) == np.argsort(keys, kind="stable")).all()
 
 
+@pytest.mark.parametrize("budget", [1 << 26, 1000])
+def test_narrow_and_wide_positions(monkeypatch, budget):
+    """32-bit positions, ranks and tuples order suffixes as 64-bit ones do, with any size of chunk, in memory and on disk."""
+    x = np.append(np.tile(np.random.default_rng(3).integers(1, 5, 700), 3), 0).astype(np.uint16)
+    kinds = [a.dtype.itemsize for a in induced.suffix_order(x, 50, budget)]
+    narrow = [a.tolist() for a in induced.suffix_order(x, 50, budget)]
+    monkeypatch.setattr(induced, "CHUNK", 64)
+    assert [a.tolist() for a in induced.suffix_order(x, 50, budget)] == narrow
+    monkeypatch.setattr(induced, "WIDE", 0)
+    assert [a.tolist() for a in induced.suffix_order(x, 50, budget)] == narrow and kinds == [4, 1]
+
+
 def test_memory_of_a_shard():
     """What a shard takes for each byte and entry, traced; a queue counts what its views keep, and a worker gives back what it has freed."""
     rng = np.random.default_rng(5)
