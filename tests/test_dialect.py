@@ -92,3 +92,16 @@ def test_days_are_added_to_dates_and_dates_subtracted(spark):
     row = spark.sql(to_spark_sql("SELECT d - 1 a, d + 1/24 b, d - e c, TRUNC(d) - e + 3 f, n - 1 g, d - 1 - e h FROM dated", types={"d": "date", "e": "date", "n": "number"})).first()
     assert (row.a, row.b) == (dt.datetime(2024, 2, 29, 12), dt.datetime(2024, 3, 1, 13))
     assert (row.c, row.f, row.g, row.h) == (2.5, 5.0, 4, 1.5)
+
+
+def test_a_nested_limit_has_its_sort_keys_among_its_columns(spark):
+    spark.range(3).toDF("k").createOrReplaceTempView("outer_rows")
+    spark.range(3000).selectExpr("id % 3 AS k", "id AS v", "id * 7919 % 997 AS w").repartition(7).createOrReplaceTempView("inner_rows")
+    rows = [(v % 3, v, v * 7919 % 997) for v in range(3000)]
+    want = {k: max((w, -v) for x, v, w in rows if x == k)[1] * -1 for k in range(3)}
+    inner = "SELECT i.v FROM inner_rows i WHERE i.k = o.k ORDER BY i.w DESC, i.v FETCH FIRST 1 ROWS ONLY"
+    for sql in (f"SELECT o.k, f.v FROM outer_rows o LEFT JOIN LATERAL ({inner}) f", f"SELECT o.k, ({inner}) AS v FROM outer_rows o"):
+        done = spark.sql(to_spark_sql(sql))
+        assert {r.k: r.v for r in done.collect()} == want
+        assert "Sort [" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert to_spark_sql("SELECT a FROM t ORDER BY b FETCH FIRST 2 ROWS ONLY") == "SELECT a FROM t ORDER BY b ASC NULLS LAST LIMIT 2"
