@@ -55,6 +55,25 @@ def test_a_detail_is_run_for_each_parent_row(spark, masters, sql, want):
     assert lists(spark, sql) == want
 
 
+@pytest.mark.parametrize(
+    ("sql", "least", "most"),
+    [
+        ("SELECT v FROM many WHERE mid = :id ORDER BY w DESC, v FETCH FIRST 1 ROWS ONLY", 0, 1),
+        ("SELECT v FROM many m WHERE m.mid = :id ORDER BY m.w DESC, v OFFSET 1 ROWS FETCH NEXT 2 ROWS ONLY", 1, 3),
+    ],
+)
+def test_a_limit_of_each_parent_row_is_by_sort_keys_that_are_not_selected(spark, masters, sql, least, most):
+    rows = [(1 + v % 2, v, v * 7919 % 997) for v in range(3000)]
+    spark.createDataFrame(rows, "mid int, v int, w int").repartition(7).createOrReplaceTempView("many")
+    want = {k: sorted(v for _, v, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))[least:most]) for k in (1, 2)}
+    report = ReportDef("R", datasets=(Dataset("P", "SELECT id FROM masters"), Dataset("D", sql)), links=(Link("P", "D", (("ID", ""),)),))
+    done = engine.run(report, spark)
+    got = lists(spark, sql) if "SUM" not in sql else {r["_link_id"]: [r.v] for r in done.datasets["D"].where("v IS NOT NULL").collect()}
+    assert got == want
+    plan = done.datasets["D"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan and ("w#" in plan or "bw_o0" in plan)  # the rows are numbered by the keys, not by what a sort before a shuffle leaves
+
+
 def test_a_declared_link_is_part_of_a_limited_detail(spark, masters):
     assert lists(spark, "SELECT d.mid, d.v FROM details d WHERE d.t = 'a' OR d.t = 'b' ORDER BY d.v DESC FETCH FIRST 1 ROWS ONLY", (("ID", "mid"),)) == {1: [10], 2: [21]}
 
