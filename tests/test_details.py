@@ -60,6 +60,9 @@ def test_a_detail_is_run_for_each_parent_row(spark, masters, sql, want):
     [
         ("SELECT v FROM many WHERE mid = :id ORDER BY w DESC, v FETCH FIRST 1 ROWS ONLY", 0, 1),
         ("SELECT v FROM many m WHERE m.mid = :id ORDER BY m.w DESC, v OFFSET 1 ROWS FETCH NEXT 2 ROWS ONLY", 1, 3),
+        ("SELECT * FROM (SELECT m.v FROM many m WHERE m.mid = :id ORDER BY m.w DESC, m.v) WHERE ROWNUM <= 2", 0, 2),
+        ("SELECT d.v + 0 v FROM (SELECT * FROM (SELECT m.v FROM many m WHERE m.mid = :id ORDER BY -m.w, 1) x) d WHERE ROWNUM <= 2 AND d.v >= 0 ORDER BY d.v", 0, 2),
+        ("SELECT SUM(d.v) v FROM (SELECT m.v, m.w weight FROM many m WHERE m.mid = :id ORDER BY weight DESC, m.v) d WHERE ROWNUM <= 1", 0, 1),
     ],
 )
 def test_a_limit_of_each_parent_row_is_by_sort_keys_that_are_not_selected(spark, masters, sql, least, most):
