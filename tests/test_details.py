@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from bandwright import catalog, catalog_details  # noqa: F401
 from bandwright.operators import breaks, links, matrix, pages, present
 from bandwright.plans import detail, engine
 from bandwright.plans.model import Dataset, Formula, Group, Link, Matrix, ReportDef, Summary
@@ -243,3 +244,48 @@ def test_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
     got = {r.k: r for r in burst.write(df, str(tmp_path / "o"), "k", name=burst.file_name("f_<K>.txt", ["k", "id"]), rows_per_file=60).collect()}
     assert got["hot"].n_files > 3 and got["hot"].n_rows == 500 and got["hot"].file_name == "f_hot.txt"
     assert sum(r.n_rows for r in got.values()) == 950 and None not in got
+
+
+def spans_and_points():
+    """Points and intervals with NULLs, equal values, reversed and empty intervals; the pairs of them."""
+    rng = random.Random(3)
+    some = lambda: rng.choice([None, *range(12)] + [rng.uniform(-1, 13) for _ in range(8)])
+    spans = [(k, None if (a := some()) is None else float(a), None if (b := some()) is None else float(b), rng.choice([None, k, 10**16])) for k in range(150)]
+    points = [(k, None if (a := some()) is None else float(a), rng.choice([None, k, -(10**16)])) for k in range(200)]
+    return spans, points
+
+
+def held(spans, points, is_open):
+    return [(s, p) for s in spans for p in points if p[1] is not None and (s[1] is None or s[1] <= p[1]) and (s[2] is None or (p[1] < s[2] if is_open else p[1] <= s[2])) and (None in s[1:3] or s[1] <= s[2])]
+
+
+def added(values):
+    known = [v for v in values if v is not None]
+    return len(values), len(known), sum(known) if known else None
+
+
+@pytest.mark.parametrize("is_open", [False, True])
+def test_totals_of_intervals_are_those_of_the_pairs(spark, is_open):
+    spans, points = spans_and_points()
+    s = spark.createDataFrame(spans, "k int, low double, high double, w bigint")
+    p = spark.createDataFrame(points, "pk int, at double, v bigint").repartition(5)
+    got = {r.k: (r["_n"], r["_count0"], r["_sum0"]) for r in links.totals_of_intervals(s, p, "at", "low", "high", ["v"], is_open).collect()}
+    pairs = held(spans, points, is_open)
+    assert got == {k: added([y[2] for x, y in pairs if x[0] == k]) for k in {x[0] for x, _ in pairs}}
+
+
+def test_the_interval_query_makes_no_pairs(spark, tmp_path):
+    """A supplier without a balance holds nobody; the plan has no join of customers with suppliers."""
+    customers = [(k, float(k % 7)) for k in range(50)] + [(99, None)]
+    suppliers = [(1, 3.0), (2, None), (40, 5.0), (2000, -500.0), (40, 5.0)]
+    for name, rows, schema in (("customer", customers, "c_custkey bigint, c_acctbal double"), ("supplier", suppliers, "s_suppkey bigint, s_acctbal double")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    done = catalog.queries()["j19_interval_join"](spark, str(tmp_path))
+    want = {}
+    for k, b in suppliers:
+        for c, v in customers:
+            if b is not None and v is not None and b - k <= v < b + 10:
+                n, total = want.get(k, (0, 0))
+                want[k] = (n + 1, total + c)
+    assert {r.s_suppkey: (r.n, r.total) for r in done.collect()} == want
+    assert "_plevel" not in done._jdf.queryExecution().optimizedPlan().toString()
