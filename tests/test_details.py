@@ -1,6 +1,7 @@
 """Details run for each parent row, the order of evaluation, scans, intervals and matrices on small frames."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from bandwright import catalog, catalog_details  # noqa: F401
@@ -289,3 +290,27 @@ def test_the_interval_query_makes_no_pairs(spark, tmp_path):
                 want[k] = (n + 1, total + c)
     assert {r.s_suppkey: (r.n, r.total) for r in done.collect()} == want
     assert "_plevel" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("is_open", [False, True])
+def test_totals_at_points_are_those_of_the_pairs(spark, is_open):
+    spans, points = spans_and_points()
+    s = spark.createDataFrame([(*x[:3], None if x[3] is None else Decimal(x[3]) / 100) for x in spans], "k int, low double, high double, w decimal(20,2)").repartition(5)
+    p = spark.createDataFrame(points, "pk int, at double, v bigint")
+    done = links.totals_at_points(p, s, "at", "low", "high", ["w"], is_open)
+    assert dict(done.dtypes)["_sum0"] == "decimal(30,2)"
+    pairs = held(spans, points, is_open)
+    assert {r["at"]: (r["_n"], r["_count0"], r["_sum0"]) for r in done.collect()} == {at: added([None if x[3] is None else Decimal(x[3]) / 100 for x, y in pairs if y == first]) for at in {y[1] for _, y in pairs} for first in [next(y for _, y in pairs if y[1] == at)]}
+
+
+@pytest.mark.parametrize(("function", "is_paired"), [("sum", False), ("count", False), ("maximum", True)])
+def test_an_interval_detail_is_added_up_without_pairs(spark, function, is_paired):
+    spark.createDataFrame([(k, float(k % 5)) for k in range(20)] + [(20, None)], "id int, at double").createOrReplaceTempView("places")
+    spark.createDataFrame([(1, 0.0, 2.0), (2, 2.0, 2.0), (3, 3.0, 1.0), (None, 4.0, 9.0), (5, None, 9.0)], "v int, a double, b double").createOrReplaceTempView("bounds")
+    report = ReportDef("R", datasets=(Dataset("P", "SELECT id, at FROM places"), Dataset("D", "SELECT v FROM bounds WHERE :at BETWEEN a AND b")), summaries=(Summary("CS", "v", function, "report"),), links=(Link("P", "D", (("AT", ""),)),))
+    main = engine.run(report, spark).main
+    values = {0.0: [1], 1.0: [1], 2.0: [1, 2], 3.0: [], 4.0: [None], None: []}
+    make = {"sum": lambda v: sum(v) if v else None, "count": len, "maximum": lambda v: max(v, default=None)}[function]
+    want = {k: (len(values[at]), make([x for x in values[at] if x is not None]) if values[at] else None) for k, at in [(k, float(k % 5)) for k in range(20)] + [(20, None)]}
+    assert {r.id: (r.n_d, r.CS) for r in main.collect()} == want
+    assert ("_plevel" in main._jdf.queryExecution().optimizedPlan().toString()) == is_paired
