@@ -213,6 +213,36 @@ def test_ways_of_a_hierarchy(spark):
             binds.run(spark, sql)
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_a_forest_is_climbed_without_ways(spark, tmp_path, monkeypatch, folder):
+    """One table of (row, ancestor, distance) is kept, and no list of rows; rows below a cycle are not found."""
+    from bandwright.operators import hierarchy
+    from bandwright.plans import binds
+
+    monkeypatch.setattr(hierarchy, "connect_by", None)
+    if folder:
+        monkeypatch.setattr(hierarchy, "_folder", lambda _: str(tmp_path / "c"))
+    chain = [(k, k - 1 if k % 50 else None, f"n{k}") for k in range(120)]
+    rows = [*chain, (500, 501, "x"), (501, 500, "y"), (502, 500, "z"), (600, 999, "no parent"), (700, 3, "twig")]
+    spark.createDataFrame(rows, "i int, p int, n string").repartition(3).createOrReplaceTempView("chains")
+    sql = "SELECT i, LEVEL depth, CONNECT_BY_ROOT n top, CONNECT_BY_ISLEAF leaf, PRIOR i up FROM chains START WITH p IS NULL CONNECT BY PRIOR i = p"
+    want = sorted([(k, k % 50 + 1, f"n{k - k % 50}", int(k % 50 == 49 or k == 119), p) for k, p, _ in chain] + [(700, 5, "n0", 1, 3)], key=str)
+    assert sorted((tuple(r) for r in binds.run(spark, sql).collect()), key=str) == want
+    short = [(i, d, t, int(leaf or d == 6), u) for i, d, t, leaf, u in want if d <= 6]
+    assert sorted((tuple(r) for r in binds.run(spark, f"{sql} AND LEVEL <= 6").collect()), key=str) == sorted(short, key=str)
+    if folder:
+        assert len(list((tmp_path / "c").iterdir())) == 2 * 3  # of each run the rows, the edges and the last round
+
+
+def test_several_ways_to_a_row_are_all_found(spark):
+    from bandwright.plans import binds
+
+    spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (6, 6)], "i int, p int").createOrReplaceTempView("dag")
+    sql = "SELECT i, LEVEL depth, CONNECT_BY_ROOT i top FROM dag {} CONNECT BY PRIOR i = p"
+    assert sorted(map(tuple, binds.run(spark, sql.format("START WITH i = 1")).collect())) == [(1, 1, 1), (2, 2, 1), (3, 2, 1), (4, 3, 1), (4, 3, 1), (5, 4, 1), (5, 4, 1)]
+    assert sorted(map(tuple, binds.run(spark, sql.format("START WITH i IN (2, 4)")).collect())) == [(2, 1, 2), (4, 1, 4), (4, 1, 4), (4, 2, 2), (5, 2, 4), (5, 2, 4), (5, 3, 2)]
+
+
 def test_loops_are_found(spark):
     from bandwright.operators.hierarchy import Loop
     from bandwright.plans import binds
